@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, exact_dedup, packing, quality_rules
+from memlake.llm import bpe, exact_dedup, packing, quality_rules, token_count
 from memlake.llm.common import table
 
 
+def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,6 +39,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_count": op1_token_count,
         "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
