@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, exact_dedup, packing, quality_rules, token_count
-from memlake.llm.common import table
+from memlake.llm import bpe, exact_dedup, language_id, packing, quality_rules, token_count
+from memlake.llm.common import bucket_of, table
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("round_trip")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_count": op1_token_count,
@@ -44,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
+        "op10_language_id": op10_language_id,
     }
 
 
