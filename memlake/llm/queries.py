@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, exact_dedup, language_id, packing, quality_rules, token_count
+from memlake.llm import bpe, chat_format, exact_dedup, language_id, packing, quality_rules, token_count, toxicity
 from memlake.llm.common import bucket_of, table
 
 
@@ -16,10 +16,19 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -47,7 +56,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_count": op1_token_count,
+        "op2_chat_format": op2_chat_format,
         "op3_packing": op3_packing,
+        "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
@@ -55,6 +66,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = """
+with d as (
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), p as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+    count(*) over (partition by conv_id) as n_turns,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (
+      partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and current row) as prefix
+  from d
+), whole as (
+  select place, prefix, min(conv_id) as conv_id, count(*) as copies from p where place = n_turns group by place, prefix
+), stay as (
+  select * from whole w where not exists (select 1 from p where p.place = w.place and p.prefix = w.prefix and p.n_turns > p.place)
+)
+select p.conv_id, (p.place - 1) // 256 as part, p.n_turns, count(*) as part_turns, s.copies,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by p.place) as text
+from p join stay s on s.conv_id = p.conv_id
+group by p.conv_id, (p.place - 1) // 256, p.n_turns, s.copies
+"""
+
 OP6_SQL = """
 with d as (
   select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
@@ -66,4 +97,4 @@ from d join g using (text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op2_chat_format": OP2_SQL, "op6_exact_dedup": OP6_SQL}
