@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chat_format, exact_dedup, hmm_lm, language_id, packing, quality_rules, token_count, toxicity
+from memlake.llm import bpe, chat_format, exact_dedup, hmm_lm, language_id, near_dedup, packing, quality_rules, token_count, toxicity
 from memlake.llm.common import bucket_of, table
 
 
@@ -46,6 +46,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("round_trip")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 1, F.lit(False))
     return hmm_lm.score_documents(table(spark, sf_dir, "documents").withColumn("held_out", held_out))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_bpe": op7_bpe,
+        "op8_near_dedup": op8_near_dedup,
         "op9_hmm_lm": op9_hmm_lm,
         "op10_language_id": op10_language_id,
     }
