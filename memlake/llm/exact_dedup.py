@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import ascii_lower, materialize
@@ -31,9 +31,13 @@ INDEX_SCHEMA = "bucket bigint, n int, pilots array<int>, digests binary, winners
 GROUP_SCHEMA = "digest binary, keep_id bigint, group_size bigint, member boolean"
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256))
+
+
 def digest_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, digest): the SHA-256 of each normalised text, 32 bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(ascii_lower(F.col("text")), "UTF-8"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -158,3 +162,14 @@ def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
     cold = marked.filter("group_size is null").select("doc_id", "digest").join(groups.filter(~hot), "digest")
     out = marked.filter("group_size is not null").select(cold.columns).unionByName(cold)
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"))
+
+
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that exact deduplication keeps.
+
+    Even ids take the part of the history. Rows that go are told apart by id and digest.
+    """
+    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    gone = exact_dedup(docs.filter(even), docs.filter(~even)).filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    told = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
+    return told.join(materialize(gone.distinct()), ["id", "digest"], "left_anti").select("doc.*")

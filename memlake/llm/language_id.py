@@ -26,8 +26,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import materialize
@@ -202,3 +203,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+
+def keep_documents(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, in a language of the model with ``least_score``."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.floor))  # bounded, see above
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        here = Model(*shipped.value)
+        for text in texts:
+            yield pd.Series([here.predict(x)[1] for x in text], dtype="float64")
+
+    scored = docs.select(F.struct("*").alias("doc"), score.asNondeterministic()("text").alias("score"))
+    return scored.filter(F.col("score") >= least_score).select("doc.*")

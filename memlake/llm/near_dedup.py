@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import materialize
@@ -279,3 +279,9 @@ def near_dedup(docs: DataFrame, width: int, percent: int) -> DataFrame:
     out = marked.filter("root is not null").unionByName(cold)
     component = F.when(F.col("full") & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``docs``, all columns, of the document that stays of each component."""
+    gone = near_dedup(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("id"))
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id")).join(materialize(gone), "id", "left_anti").select("doc.*")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -265,3 +266,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, ``STATS``, base_failed, rule and kept for every document."""
     rules = learn_rules(docs, labels, **how)
     return with_stats(docs).select("doc_id", *STATS, base_failed().alias("base_failed"), fired(rules).alias("rule"), verdict(rules).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    rules = learn_rules(docs, labels, **how)
+
+    @F.pandas_udf(", ".join(f"{x} bigint" for x in STATS))
+    def stats(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_stats(x) for x in text], columns=list(STATS), dtype="int64")
+
+    # not deterministic, so that no optimisation makes it run again for each condition
+    counted = docs.select(F.struct("*").alias("doc"), stats.asNondeterministic()("text").alias("stats")).select("doc", "stats.*")
+    return counted.filter(verdict(rules)).select("doc.*")
