@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from memlake.schemas import SUPERSESSION_HINTS
 
@@ -39,7 +40,7 @@ def fold_content(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")), "[.!?]+$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_content(text: pd.Series) -> pd.Series:
     """T-3: as ``fold_content``, after NFKC and full case folding."""
 
@@ -137,7 +138,7 @@ def infer_namespace(path: Column) -> Column:
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def ksuid_timestamp(ids: pd.Series) -> pd.Series:
     """T-15: seconds since 1970 of a 27-character id; malformed ones give null."""
     digit = {c: i for i, c in enumerate(_BASE62)}
