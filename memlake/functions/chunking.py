@@ -1,0 +1,106 @@
+"""Chunkers: table functions from a text to its chunks (T-10 to T-14)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+_WORD = re.compile(r"\S+")
+_HEADING = re.compile(r"^(#{2,3})\s+(.*?)\s*$", re.M)
+
+Spans = list[tuple[int, int]]
+CHUNK_SCHEMA = "object_id string, chunk_index int, content string, start_offset int, end_offset int, heading_path string"
+
+
+def word_offsets(text: str) -> Spans:
+    """K-8, default: words between white space."""
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def token_windows(text: str, window: int = 512, overlap: int = 128, tokenizer: Callable[[str], Spans] = word_offsets) -> Iterator[tuple[int, int]]:
+    """Spans of sliding windows: each next one starts ``overlap`` tokens before the end of the
+    last, at least one token on; the window that reaches the end is the last."""
+    offsets = tokenizer(text)
+    start = 0
+    while start < len(offsets):
+        end = min(start + window, len(offsets))
+        yield offsets[start][0], offsets[end - 1][1]
+        if end == len(offsets):
+            return
+        start = max(end - overlap, start + 1)
+
+
+def markdown_sections(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, heading path) of the parts at second and third level headings; what comes
+    before the first is ``unknown``."""
+    marks = list(_HEADING.finditer(text))
+    if not marks or marks[0].start() > 0:
+        yield 0, marks[0].start() if marks else len(text), "unknown"
+    parent = ""
+    for i, m in enumerate(marks):
+        if len(m[1]) == 2:
+            parent = path = m[2]
+        else:
+            path = f"{parent} > {m[2]}" if parent else m[2]
+        yield m.start(), marks[i + 1].start() if i + 1 < len(marks) else len(text), path
+
+
+def chunk_markdown_text(text: str, window: int = 512, overlap: int = 128) -> Iterator[tuple[int, int, str]]:
+    for start, end, path in markdown_sections(text):
+        for a, b in token_windows(text[start:end], window, overlap):
+            yield start + a, start + b, path
+
+
+def _chunks(df: DataFrame, spans: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, text[s[0] : s[1]], s[0], s[1], s[2] if len(s) > 2 else None) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, s in enumerate(spans(text or ""))]
+            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+
+    return df.select("object_id", "content").mapInArrow(run, CHUNK_SCHEMA)
+
+
+def chunk_tokens(df: DataFrame, window: int = 512, overlap: int = 128, tokenizer: Callable[[str], Spans] = word_offsets) -> DataFrame:
+    """T-10"""
+    return _chunks(df, lambda text: token_windows(text, window, overlap, tokenizer))
+
+
+def chunk_markdown(df: DataFrame, window: int = 512, overlap: int = 128) -> DataFrame:
+    """T-11"""
+    return _chunks(df, lambda text: chunk_markdown_text(text, window, overlap))
+
+
+def chunk_turns(df: DataFrame) -> DataFrame:
+    """T-12: parts between blank lines; the index counts blank parts too, which have no chunk
+    and do not move the offset."""
+    parts = df.select("object_id", F.posexplode(F.split("content", "\n\n")).alias("chunk_index", "content")).filter(F.trim("content") != "")
+    before = F.coalesce(F.sum(F.length("content") + 2).over(Window.partitionBy("object_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("start_offset", before.cast("int")).withColumn("end_offset", F.col("start_offset") + F.length("content")).withColumn("heading_path", F.lit(None).cast("string"))
+
+
+def chunk_json(df: DataFrame) -> DataFrame:
+    """T-13: one chunk per element of a top-level array; other texts are one chunk."""
+    items = F.from_json("content", "array<string>")
+    is_array = F.trim("content").startswith("[") & F.try_parse_json("content").isNotNull()
+    parts = df.select("object_id", F.posexplode(F.when(is_array, items).otherwise(F.array("content"))).alias("chunk_index", "content"))
+    return parts.select("object_id", "chunk_index", "content", F.lit(0).alias("start_offset"), F.length("content").alias("end_offset"), F.lit(None).cast("string").alias("heading_path"))
+
+
+def index_artifacts(heads: DataFrame, generation: str) -> tuple[DataFrame, DataFrame]:
+    """T-14: (chunks, heads) by each head's ``chunker``; heads without a known chunker or
+    without chunks fail, with the reason."""
+    known = {"tokens": chunk_tokens, "markdown": chunk_markdown, "turns": chunk_turns, "json": chunk_json}
+    chunks = None
+    for name, chunker in known.items():
+        one = chunker(heads.filter(F.col("chunker") == name)).select("object_id", "chunk_index", "content", "start_offset", "end_offset", "heading_path")
+        chunks = one if chunks is None else chunks.unionByName(one)
+    chunks = chunks.withColumn("generation", F.lit(generation))
+    counts = chunks.groupBy("object_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    reason = F.when(~F.col("chunker").isin(*known), F.concat(F.lit("unknown chunker "), "chunker")).when(F.col("chunk_count").isNull(), "no chunks")
+    out = heads.join(counts, "object_id", "left").withColumn("failure_reason", reason)
+    return chunks, out.withColumn("artifact_state", F.when(F.col("failure_reason").isNull(), "indexed").otherwise("failed"))
