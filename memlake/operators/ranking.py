@@ -106,3 +106,9 @@ def thought_history(thoughts: DataFrame, namespace: str, presence: str | None =
 def unread_thoughts(thoughts: DataFrame, me: str) -> DataFrame:
     """R-13: sent to me or all, not by me, and not read by me."""
     return thoughts.filter(F.col("to_presence").isin(me, "all") & ~F.array_contains("read_by", me) & (F.col("from_presence") != me))
+
+
+def merge_best(hits: DataFrame, limit: int) -> DataFrame:
+    """The best hit of each id, ranked, without a new calibration."""
+    one = Window.partitionBy("query_id", "object_id").orderBy(F.desc("score"), "plane")
+    return rank_hits(hits.withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")).filter(F.col("rank") <= limit)

@@ -1 +1 @@
-"""See the README for what belongs here."""
+"""Whole jobs composed of operators: retrieval and synthesis."""
