@@ -63,7 +63,7 @@ def _(spark, d):
     cursors = e.select("family").distinct().filter("family <> 'fr'").withColumn("cursor", F.lit(1706000000.0))
     new, marks = jobs.after_cursor(e, cursors)
     fresh = new.groupBy("family").agg(F.count(F.lit(1)).alias("fresh"))
-    return marks.join(fresh, "family", "left").select("family", F.col("cursor").cast("long").alias("cursor"), "fresh")
+    return marks.join(fresh, "family", "left").select("family", F.col("cursor").cast("long").alias("cursor"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
 @query("s09_split_late", "select event_id, case when event_id % 10 = 0 and epoch_us(ts) - 864000000000 < 1705000000000000 or epoch_us(ts) < 1705000000000000 then 'late' else 'in time' end as side from events")
