@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -102,55 +101,74 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
 class Model:
     """Log frequencies by language (in name order) of known words and n-grams."""
 
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
-    _index: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], floor: np.ndarray):
+        self.languages, self.words, self.grams, self.floor = languages, words, grams, floor
+        # rows of one matrix, the last for positions without a known n-gram
+        self._gram_row = {g: i for i, g in enumerate(grams)}
+        self._gram_values = np.array([*grams.values(), floor], float).reshape(len(grams) + 1, -1)
+        # words met so far: their rows in a bounded matrix
+        self._row: dict[str, int] = {}
+        self._values = np.empty((0, len(languages)))
+
+    def parts(self) -> tuple:
+        return self.languages, self.words, self.grams, self.floor
+
+    def gram_rows(self, word: str) -> list[int]:
+        """The longest known n-gram at each position."""
+        spelled, get = f"<{word}>", self._gram_row.get
+        end, rows = len(spelled), []
+        for i in range(end - 1):
+            for stop in range(min(i + LONGEST, end), i, -1):
+                row = get(spelled[i:stop])
+                if row is not None:
+                    rows.append(row)
+                    break
+            else:
+                rows.append(-1)
+        return rows
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies of a word; an unseen one backs off at each of its positions."""
         known = self.words.get(word)
-        if known is not None:
-            return known
-        spelled, total, grams = f"<{word}>", np.zeros(len(self.languages)), self.grams
-        for i in range(len(spelled) - 1):
-            for n in range(min(LONGEST, len(spelled) - i), 0, -1):
-                found = grams.get(spelled[i : i + n])
-                if found is not None:
-                    total = total + found
-                    break
-            else:
-                total = total + self.floor
-        return total / (len(spelled) - 1)
+        return self._gram_values[self.gram_rows(word)].mean(axis=0) if known is None else known
+
+    def _learn(self, words: list[str]) -> None:
+        """Add words to the matrix; unseen ones are summed up together."""
+        row, first = self._row, len(self._row)
+        if first + len(words) > len(self._values):
+            self._values = np.concatenate([self._values, np.empty((max(4096, len(words), len(self._values)), len(self.languages)))])
+        rows, starts, places = [], [], []
+        for w in words:
+            if w in row:
+                continue
+            at = row[w] = len(row)
+            known = self.words.get(w)
+            if known is not None:
+                self._values[at] = known
+                continue
+            starts.append(len(rows))
+            rows += self.gram_rows(w)
+            places.append(at)
+        if places:
+            sums = np.add.reduceat(self._gram_values[rows], starts, axis=0)
+            self._values[places] = sums / np.diff([*starts, len(rows)])[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN_LANGUAGE, 0.0
-        if len(self._index) > CACHE_WORDS:
-            self._index.clear()
-            self._rows.clear()
-        index, at = self._index, []
-        for w in words:
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(self._rows)
-                self._rows.append(self.word(w))
-            at.append(i)
-        mean = np.sum([self._rows[i] for i in at], axis=0) / len(at) if len(at) < 64 else self._mean(at)
+        if len(self._row) > CACHE_WORDS:
+            self._row = {}
+        row = self._row
+        new = [w for w in words if w not in row]
+        if new:
+            self._learn(new)
+        mean = self._values[[row[w] for w in words]].mean(axis=0)
         best = int(np.argmax(mean))
-        share = np.exp(SHARPNESS * (mean - mean[best]))
-        return self.languages[best], float(1.0 / share.sum())
-
-    def _mean(self, at: list[int]) -> np.ndarray:
-        ids, counts = np.unique(at, return_counts=True)
-        return counts @ np.array([self._rows[i] for i in ids]) / len(at)
+        return self.languages[best], float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum())
 
 
 def _known(counts: DataFrame, key: list[str], share: int) -> DataFrame:
@@ -194,7 +212,7 @@ def learn(train: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.floor))  # bounded, see above
+    shipped = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Model(*shipped.value)
@@ -207,7 +225,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_documents(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
     """The rows of ``docs``, all columns, in a language of the model with ``least_score``."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.floor))  # bounded, see above
+    shipped = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -161,3 +161,13 @@ def test_language_id_backs_off_to_the_longest_known_grams():
     model = language_id.Model(["a", "b"], {}, {"xy": np.array([-1.0, -5.0]), "x": np.array([-9.0, -1.0]), "y": np.array([-2.0, -2.0])}, np.array([-10.0, -10.0]))
     # positions of "<xy>": "<" unknown, "xy" known at x, "y" at y
     assert model.word("xy") == pytest.approx((np.array([-10.0, -10.0]) + [-1, -5] + [-2, -2]) / 3)
+
+
+def test_language_id_scores_words_alike_alone_and_together():
+    rng = random.Random(9)
+    grams = {"".join(rng.choice("abc<>") for _ in range(rng.randint(1, 4))): np.array([rng.random(), rng.random()]) for _ in range(60)}
+    model = language_id.Model(["x", "y"], {"abc": np.array([-1.0, -2.0])}, grams, np.array([-9.0, -9.0]))
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(50)] + ["abc", "abc"]
+    mean = np.mean([model.word(w) for w in words], axis=0)
+    lang, score = model.predict(" ".join(words))
+    assert lang == model.languages[int(mean.argmax())] and score == pytest.approx(1 / np.exp(language_id.SHARPNESS * (mean - mean.max())).sum())
