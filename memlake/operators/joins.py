@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import infer_namespace
+from memlake.sources.scratch import ensure_checkpoint_dir
 
 #: Chains are followed for 2**DOUBLINGS hops at most.
 DOUBLINGS = 6
@@ -32,13 +33,20 @@ def successor_paths(df: DataFrame) -> DataFrame:
     """(object_id, path): up to 64 successors in order; a dangling pointer ends the path.
 
     Each round joins every path with the path of its last row, so paths double: six joins
-    serve all rows, not one per hop.
+    serve all rows, not one per hop. A round is checkpointed, for the next one reads it twice;
+    the loop ends when no path grows.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     ids = df.select(F.col("object_id").alias("next"))
-    paths = df.filter("superseded_by is not null").select("object_id", F.col("superseded_by").alias("next")).join(ids, "next").select("object_id", F.array("next").alias("path"))
+    first = df.filter("superseded_by is not null").select("object_id", F.col("superseded_by").alias("next")).join(ids, "next", "left_semi")
+    paths = first.select("object_id", F.array("next").alias("path")).checkpoint()
     for _ in range(DOUBLINGS):
         more = paths.select(F.col("object_id").alias("last"), F.col("path").alias("more"))
-        paths = paths.withColumn("last", F.element_at("path", -1)).join(more, "last", "left").select("object_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
+        joined = paths.withColumn("last", F.element_at("path", -1)).join(more, "last", "left")
+        grown = joined.select("object_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("more").isNotNull().alias("grew")).checkpoint()
+        paths = grown.drop("grew")
+        if grown.filter("grew").isEmpty():
+            break
     return paths.select("object_id", F.slice("path", 1, 2**DOUBLINGS).alias("path"))
 
 

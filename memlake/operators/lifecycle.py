@@ -17,19 +17,23 @@ def transition_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "object_type string, from_state string, to_state string")
 
 
-def apply_transitions(rows: DataFrame, intents: DataFrame, object_type: str, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_transitions(rows: DataFrame, intents: DataFrame, object_type: str, now: float, with_targets: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """L-1: (updated rows, events, errors).
 
     ``intents`` has intent_id, object_id, to_state, expected_version (or null), reason, actor,
     target (a new superseder, or null) and requested_at. Of several intents for one object the
     first by (requested_at, intent_id) is judged; the others meet a changed version. The first
-    error that applies is the intent's code.
+    error that applies is the intent's code. Without targets no chain is followed.
     """
     first = F.row_number().over(Window.partitionBy("object_id").orderBy("requested_at", "intent_id"))
     have = rows.select("object_id", "namespace", F.col("state").alias("from_state"), F.col("version").alias("row_version"), F.lit(True).alias("found"))
     legal = transition_table(rows.sparkSession).filter(F.col("object_type") == object_type).select("from_state", "to_state", F.lit(True).alias("legal"))
-    cycles = supersession_cycle(rows, intents.filter("target is not null").select("object_id", "target").distinct())
-    judged = intents.withColumn("turn", first).join(have, "object_id", "left").join(F.broadcast(legal), ["from_state", "to_state"], "left").join(cycles, ["object_id", "target"], "left")
+    judged = intents.withColumn("turn", first).join(have, "object_id", "left").join(F.broadcast(legal), ["from_state", "to_state"], "left")
+    if with_targets:
+        cycles = supersession_cycle(rows, intents.filter("target is not null").select("object_id", "target").distinct())
+        judged = judged.join(cycles, ["object_id", "target"], "left")
+    else:
+        judged = judged.withColumn("cyclic", F.lit(False))
     code = (
         F.when(F.coalesce("reason", F.lit("")) == "", "missing_reason").when(F.col("found").isNull(), "not_found")
         .when((F.col("turn") > 1) | (F.col("expected_version").isNotNull() & (F.col("expected_version") != F.col("row_version"))), "version_fence_violation")
@@ -56,7 +60,7 @@ def intents_for(selected: DataFrame, to_state: str, actor: str, reason: str) ->
 
 def sweep(rows: DataFrame, selected: Column, to_state: str, reason: str, object_type: str, now: float) -> tuple[DataFrame, DataFrame]:
     """Select, validate and derive: (updated rows, events)."""
-    out = apply_transitions(rows, intents_for(rows.filter(selected), to_state, "lifecycle", reason), object_type, now)
+    out = apply_transitions(rows, intents_for(rows.filter(selected), to_state, "lifecycle", reason), object_type, now, with_targets=False)
     return out[0], out[1]
 
 
@@ -109,7 +113,7 @@ def ops_alerts(events: DataFrame) -> DataFrame:
 def reinstate(rows: DataFrame, ids: DataFrame, object_type: str, now: float) -> tuple[DataFrame, DataFrame]:
     """L-10: demoted rows among ``ids`` back to matured; a concept's clock starts again."""
     chosen = rows.join(ids.select("object_id").distinct(), "object_id", "left_semi").filter("state = 'demoted'")
-    updated, events, _ = apply_transitions(rows, intents_for(chosen, "matured", "operator", "reinstated"), object_type, now)
+    updated, events, _ = apply_transitions(rows, intents_for(chosen, "matured", "operator", "reinstated"), object_type, now, with_targets=False)
     if "last_reinforced_epoch" in rows.columns:
         back = events.select("object_id", F.lit(True).alias("back"))
         updated = updated.join(back, "object_id", "left").withColumn("last_reinforced_epoch", F.when(F.col("back"), F.lit(now)).otherwise(F.col("last_reinforced_epoch"))).drop("back")
@@ -155,7 +159,7 @@ def promote(concepts: DataFrame, bodies: DataFrame, now: float) -> tuple[DataFra
     ready = concepts.filter(promotion_eligible(now)).join(bodies, "object_id").withColumn("reason", promotion_verdict(F.col("body")))
     good = ready.filter("reason is null")
     curated = good.select(F.concat(F.lit("K"), F.substring("object_id", 2, 26)).alias("object_id"), F.concat_ws("/", F.split("namespace", "/")[0], F.split("namespace", "/")[1], F.lit("curated")).alias("namespace"), "title", F.col("body").alias("content"), F.sha2(F.trim("body"), 256).alias("body_hash"), F.col("object_id").alias("promoted_from"), F.lit("matured").alias("state"))
-    _, events, _ = apply_transitions(concepts.withColumn("superseded_by", F.lit(None).cast("string")), intents_for(good, "promoted", "promotion", "promoted"), "concept", now)
+    _, events, _ = apply_transitions(concepts.withColumn("superseded_by", F.lit(None).cast("string")), intents_for(good, "promoted", "promotion", "promoted"), "concept", now, with_targets=False)
     return curated, events, ready.filter("reason is not null").select("object_id", "reason", F.lit(now).alias("rejected_epoch"))
 
 

@@ -79,7 +79,7 @@ def _(spark, d):
 def _(spark, d):
     a = P.artifact(spark, d)
     chosen = joins.unreferenced_artifacts(a, P.episodic(spark, d), NOW)
-    return l.apply_transitions(bare(a), l.intents_for(chosen, "archived", "lifecycle", "unreferenced"), "artifact", NOW)[1].select("object_id", "to_state")
+    return l.apply_transitions(bare(a), l.intents_for(chosen, "archived", "lifecycle", "unreferenced"), "artifact", NOW, with_targets=False)[1].select("object_id", "to_state")
 
 
 @query("l10_reinstate", "select object_id, case when state = 'demoted' and number % 2 = 0 then 'matured' else state end as state, case when state = 'demoted' and number % 2 = 0 then 1714521600.0 else last_reinforced_epoch end as last_reinforced_epoch from concept", C_)
