@@ -193,3 +193,66 @@ def _(spark, d):
     pool = rows.filter("number % 50 = 0").select("family", "object_id", F.lit(P.NOW - 86400.0).alias("first_seen"), F.lit(1).alias("attempts"))
     out = synthesis.synthesize(rows, cursors, pool, P.NOW, threshold=0.30)
     return out["concepts"].select("object_id", "family", "importance", F.size("merged_from").alias("n_sources"))
+
+
+@query("k01_score_importance", "select object_id, case when number % 4 = 0 then 10 else importance end as importance from episodic", E_)
+def _(spark, d):
+    from memlake.functions import models
+
+    def scorer(rows):
+        return {i: 99 for i, _, _ in rows if int(i[1:]) % 4 == 0}
+
+    return models.score_importance(P.episodic(spark, d), scorer).select("object_id", "importance")
+
+
+@query("k02_infer_topics", "select object_id, case when number % 2 = 0 then tags[1] else array_to_string(topics, ',') end as topics from episodic", E_)
+def _(spark, d):
+    from memlake.functions import models
+
+    out = models.infer_topics(P.episodic(spark, d), lambda i, content, tags: [tags[0]] if int(i[1:]) % 2 == 0 else [])
+    return out.select("object_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query("k04_judge_pairs", "select a.object_id as a, b.object_id as b, case when length(a.content) > length(b.content) then 'contradictory' else 'consistent' end as verdict from concept a join concept b on b.number = a.number + 5", C_)
+def _(spark, d):
+    from memlake.functions import models
+
+    c = P.concept(spark, d).select("number", "object_id", "content")
+    pairs = c.select("number", F.col("object_id").alias("a"), F.col("content").alias("text_a")).join(c.select((F.col("number") - 5).alias("number"), F.col("object_id").alias("b"), F.col("content").alias("text_b")), "number")
+    return models.judge_pairs(pairs, lambda x, y: len(x) > len(y)).select("a", "b", "verdict")
+
+
+@query("k05_render", "select object_id, '## ' || title || chr(10) || chr(10) || content as body from concept", C_)
+def _(spark, d):
+    from memlake.functions import models
+
+    return models.render(P.concept(spark, d)).select("object_id", "body")
+
+
+@query("v13_near_duplicate_candidate", """with v as (select 'D' || lpad(cast(vec_id as varchar), 26, '0') as object_id, vec_id as number, 'ns' || cast(label % 2 as varchar) as namespace, cast(embedding as double[]) as vector from embeddings),
+  best as (select q.number as query_id, x.number as found, row_number() over (partition by q.number order by list_cosine_similarity(q.vector, x.vector) desc, x.object_id) as k, list_cosine_similarity(q.vector, x.vector) as score from v q join v x on x.namespace = q.namespace and x.number % 100 <> 0 where q.number % 100 = 0)
+  select query_id, case when found % 2 = query_id % 2 then 'merge' else 'insert' end as action from best where k = 1 and score >= 0.3 union all select query_id, 'insert' from best where k = 1 and score < 0.3""")
+def _(spark, d):
+    from memlake.operators import similarity as v
+
+    near = v.best_match(vector_queries(spark, d), vectors(spark, d).filter(F.col("number") % 100 != 0), 0.3)
+    compatible = F.substring("object_id", 2, 26).cast("long") % 2 == F.col("query_id") % 2
+    return near.select("query_id", F.when(F.col("object_id").isNotNull() & compatible, "merge").otherwise("insert").alias("action"))
+
+
+@query("v15_token_overlap", """with w as (select number, list_distinct(list_filter(string_split(lower(summary), ' '), lambda x: x <> '')) as words from episodic where number % 2 = 0 and not regexp_matches(summary, '[^\\x20-\\x7E]'))
+  select a.number, round(case when len(a.words) = 0 or len(b.words) = 0 then 0.0 else cast(len(list_intersect(a.words, b.words)) as double) / len(list_distinct(list_concat(a.words, b.words))) end, 6) as overlap from w a join w b on b.number = a.number + 2""", E_)
+def _(spark, d):
+    e = P.episodic(spark, d).filter("number % 2 = 0").filter(~F.col("summary").rlike("[^\\x20-\\x7E]")).select("number", "summary")
+    nxt = e.select((F.col("number") - 2).alias("number"), F.col("summary").alias("other"))
+    return e.join(nxt, "number").select("number", F.round(T.token_overlap(F.col("summary"), F.col("other")), 6).alias("overlap"))
+
+
+@query("j09_orphan_writes", "select vault_path as path from curated where number % 2 = 0 and number % 3 = 1 and created_epoch < 1714521600 - 300", K_)
+def _(spark, d):
+    from memlake.operators import joins
+
+    k, n = P.curated(spark, d), F.col("number")
+    writes = k.select(F.col("vault_path").alias("path"), F.col("body_hash").alias("file_hash"), (n % 2 == 1).alias("consumed"), F.col("created_epoch").alias("written_epoch"))
+    changes = k.filter(n % 3 != 1).select(F.col("vault_path").alias("path"), F.col("body_hash").alias("file_hash"))
+    return joins.orphan_writes(changes, writes, P.NOW).select("path")
