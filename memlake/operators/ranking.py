@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,24 @@ def merge_best(hits: DataFrame, limit: int) -> DataFrame:
     """The best hit of each id, ranked, without a new calibration."""
     one = Window.partitionBy("query_id", "object_id").orderBy(F.desc("score"), "plane")
     return rank_hits(hits.withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")).filter(F.col("rank") <= limit)
+
+
+def fuzzy_dedup(hits: DataFrame, tags_threshold: float = 0.5, cosine_threshold: float = 0.92) -> DataFrame:
+    """R-11, deep mode: (query_id, object_id) of the hits that stay when, after ``content_dedup``,
+    a hit also goes if an earlier kept one of its query is alike in tags (Jaccard) and in its
+    vector (cosine). Earlier is the better source, then score, then object_id. A query's hits
+    are a page of retrieval, so a group is small."""
+    kept = content_dedup(hits).withColumn("source", F.when(F.col("plane") == "curated", 4).when(F.col("plane") == "concept", 3).when(F.col("state") == "matured", 2).when(F.col("state") == "provisional", 1).otherwise(0))
+
+    def lead(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["source", "score", "object_id"], ascending=[False, False, True])
+        leaders: list[tuple[set, np.ndarray, str]] = []
+        for tags, vector, object_id in zip(rows.tags, rows.vector, rows.object_id):
+            t, v = set(tags), np.asarray(vector, float)
+            n = np.linalg.norm(v)
+            v = v / n if n else v
+            if not any((1.0 if not t | o else len(t & o) / len(t | o)) >= tags_threshold and float(v @ w) >= cosine_threshold for o, w, _ in leaders):
+                leaders.append((t, v, object_id))
+        return pd.DataFrame({"query_id": key[0], "object_id": [x for _, _, x in leaders]})
+
+    return kept.select("query_id", "object_id", "source", "score", "tags", "vector").groupBy("query_id").applyInPandas(lead, "query_id long, object_id string")

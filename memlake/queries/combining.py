@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import filters, joins as j, merge as m
+from memlake.operators import joins as j, merge as m
 from memlake.queries.registry import query
 from memlake.sources import planes as P
 

@@ -218,3 +218,14 @@ def test_retraction_accounts_for_every_byte(spark):
     rows, artifacts = synthesis.retract(df, df.select("object_id", F.lit("asked").alias("reason")), 5.0)
     r, a = rows.first(), artifacts.first()
     assert r.kept_bytes + r.omitted_bytes == r.original_bytes == a.size_bytes and len(r.content.encode()) == r.kept_bytes and a.sha256 == r.original_digest
+
+
+def test_fuzzy_dedup_keeps_the_better_source(spark):
+    from memlake.operators.ranking import fuzzy_dedup
+
+    rows = [
+        (1, "a", "episodic", "matured", 0.9, "text a", ["x", "y"], [1.0, 0.0]), (1, "b", "curated", "matured", 0.1, "text b", ["x"], [0.99, 0.05]),
+        (1, "c", "episodic", "matured", 0.8, "text c", ["z"], [1.0, 0.0]), (1, "d", "episodic", "matured", 0.7, "text c", [], [0.0, 1.0]), (2, "a", "episodic", "matured", 0.9, "text a", [], [1.0, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, object_id string, plane string, state string, score double, content string, tags array<string>, vector array<double>")
+    assert sorted((r.query_id, r.object_id) for r in fuzzy_dedup(df).collect()) == [(1, "b"), (1, "c"), (2, "a")]
