@@ -21,7 +21,8 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     inside = F.regexp_replace("path", "^.*?" + root.split("://")[-1].rstrip("/").replace(".", "\\.") + "/", "")
     rows = files.select(inside.alias("path"), text.alias("text")).filter(~F.col("path").rlike("(^|/)[._]"))
     front, body = F.regexp_extract("text", _FRONT, 1), F.when(F.col("text").rlike(_FRONT), F.regexp_extract("text", _FRONT, 2)).otherwise(F.col("text"))
-    return rows.select("path", front.alias("frontmatter"), F.trim(body).alias("body"), F.sha2(F.trim(body), 256).alias("body_hash"))
+    stripped = F.regexp_replace(body, "^\\s+|\\s+$", "")
+    return rows.select("path", front.alias("frontmatter"), stripped.alias("body"), F.sha2(stripped, 256).alias("body_hash"))
 
 
 def parse_frontmatter(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -157,8 +158,11 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     schema = "token string, bucket string, capacity long, at_us long, event_id long"
     spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = jobs.rate_limit_stream(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = jobs.rate_limit_stream(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 90
+    while spark.table("limited").count() < len(events) and time.time() < until:  # timeouts keep the query alive
+        time.sleep(0.5)
+    q.stop()
     got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
     batch = jobs.rate_limit(spark.createDataFrame(events, schema).withColumn("operator", F.lit(False)))
     assert got == {r.event_id: r.allowed for r in batch.collect()} and not all(got.values())
