@@ -20,7 +20,8 @@ empty set and links with nothing. Shingles are 64-bit fingerprints.
    |D(y)| > K(p, y), and the right side exceeds half of |D(x)| - K(p, x) + K(p, y) > 0 for
    K counted with the sizes; so the differences must meet, and by the prefix filter they meet
    among their rarest elements. Pairs of two documents that both link with p need no
-   comparison. Only documents too far from p to be judged so stay for another pivot.
+   comparison. Only documents too far from p to be judged so stay, for buckets that a second
+   band splits and other pivots.
 4. Candidates are verified in batches of signature values: a pair is dropped as soon as the
    posterior chance (uniform prior) that its similarity reaches the threshold falls below the
    miss probability. Survivors are verified exactly on their full sets.
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import materialize
-from memlake.llm.shingles import MinHash, ascii_lower_words, shingle_set
+from memlake.llm.shingles import MinHash, ascii_lower_words, jaccard, shingle_set
 
 ROWS = 5
 #: Chance that a pair at the threshold shares no band, and that one is dropped by a posterior.
@@ -52,12 +53,10 @@ MISS = 1e-6
 #: Signature values per step of the sequential verification.
 STEP = 20
 #: Buckets up to this size give all their pairs.
-SMALL = 32
+SMALL = 16
 #: Similarity to a pivot from which a document is judged by its difference to it.
 NEAR = 0.5
-ROUNDS = 6
-#: Round after which buckets that pivots do not thin out are split by a second band.
-SPLIT_ROUND = 2
+ROUNDS = 4
 #: A class with more than 1/HOT of all rows is hot; so there are at most HOT hot classes.
 HOT = 1024
 #: Values of the hash that keeps texts of other documents out of the verification.
@@ -128,33 +127,47 @@ def prune(pairs: DataFrame, signed: DataFrame, threshold: float, bands: int) ->
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, width: int, least: float, differences: bool = False) -> DataFrame:
-    """Exact set sizes of the pairs: a, b, inter, size_a, size_b and, if asked for, the
-    symmetric difference of pairs with similarity ``least`` or more; others are left out."""
+def prefix_lengths(size_p: int, size_x: int, inter: int, percent: int) -> tuple[int, int]:
+    """How many elements of the difference of x and the pivot, in any fixed order, must meet
+    those of a linked document: for x as any document, and as one that does not link with the
+    pivot (0 if it does)."""
+    share, union = (100 - percent) / (100 + percent), size_p + size_x - inter
+    d, room = union - inter, share * (size_x + size_x * 100 / percent)
+    as_any = max(math.floor((d + share * (size_p - size_x)) / 2 - 1e-9) + 1, 1)
+    as_loose = max(math.ceil(d - room - 1e-9), 1)
+    return max(d - as_any + 1, 0), max(d - as_loose + 1, 0) if 100 * inter < percent * union else 0
+
+
+def compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, near: float | None = None) -> DataFrame:
+    """Exact set sizes of the pairs (a, b) that link: a, b, inter, size_a, size_b. With ``near``
+    those of that similarity or more, with b's difference to the pivot a and its prefix lengths."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sieve = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
     some = ids.select(sieve.alias("sieve")).distinct()  # SIEVE rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("sieve", sieve).join(F.broadcast(some), "sieve", "left_semi").drop("sieve")
     rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    schema = "a bigint, b bigint, inter bigint, size_a bigint, size_b bigint" + ", difference array<bigint>" * differences
+    names = ["a", "b", "inter", "size_a", "size_b", *(["any_n", "loose_n"] if near else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[tuple] = []
             for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if a not in last:
                     last = {a: shingle_set(ascii_lower_words(text_a), width)}
                 x, y = last[a], shingle_set(ascii_lower_words(text_b), width)
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                if inter >= least * (len(x) + len(y) - inter) - 1e-9:
-                    values = (a, b, inter, len(x), len(y), np.setxor1d(x, y, assume_unique=True).view(np.int64) if differences else None)
-                    for column, value in zip(out, values):
-                        column.append(value)
-            arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.list_(pa.int64()))] * differences
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+                inter, union = jaccard(x, y)
+                if near is None:
+                    if 100 * inter >= percent * union:
+                        out.append((a, b, inter, len(x), len(y)))
+                elif inter >= near * union:
+                    out.append((a, b, inter, len(x), len(y), *prefix_lengths(len(x), len(y), inter, percent), np.setxor1d(x, y, assume_unique=True).view(np.int64)))
+            arrays = [pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))]
+            if near:
+                arrays.append(pa.array([r[-1] for r in out], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *(["difference"] if near else [])])
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["a", "b"])
+    return rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), *(["difference array<bigint>"] if near else [])]))
 
 
 def linked(percent: int) -> Column:
@@ -167,30 +180,22 @@ def all_pairs(members: DataFrame) -> DataFrame:
     return x.join(y, "key").filter("a < b").select("a", "b").distinct()
 
 
-def pairs_by_difference(near: DataFrame, percent: int) -> DataFrame:
-    """Candidates among the documents near each pivot, of which one does not link with it.
+def pairs_by_difference(near: DataFrame) -> DataFrame:
+    """Candidates among the documents near each pivot, of which one does not link with it: those
+    whose differences meet in their prefixes (see step 3 above).
 
-    ``near`` has a (the pivot), b, the sizes and the difference. Elements are ordered by how
-    few documents near the pivot have them, and each side keeps the prefix in which a link's
-    elements must meet (see step 3 above).
+    The order is by the number of documents near the pivot that have the element. Those of one
+    document come first and meet nothing, so they only move the others' places.
     """
-    share = (100 - percent) / (100 + percent)
-    d, room = F.size("difference"), share * (F.col("size_b") + F.col("size_b") * 100.0 / percent)
-    loose = ~linked(percent)
-    # elements that must be shared at least, by a document that links with the pivot and any other
-    as_any = F.greatest(F.floor((d + share * (F.col("size_a") - F.col("size_b"))) / 2) + 1, F.lit(1))
-    as_loose = F.greatest(F.ceil(d - room), F.lit(1))
-    rows = near.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), loose.alias("loose"), (d - as_any + 1).alias("any_prefix"), (d - as_loose + 1).alias("loose_prefix"), F.explode("difference").alias("element"))
-    pivots = near.filter(loose).select(F.col("a").alias("pivot")).distinct()
-    rows = rows.join(pivots, "pivot", "left_semi")
-    frequency = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # elements of one document come first in the order; they only count for the place of the others
-    sizes = rows.join(frequency, ["pivot", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    placed = sizes.withColumn("place", F.row_number().over(Window.partitionBy("pivot", "rep").orderBy("n", "element"))).filter("n > 1")
-    x = placed.filter("place <= any_prefix").select("pivot", "element", F.col("rep").alias("x"))
-    y = placed.filter("loose and place <= loose_prefix").select("pivot", "element", F.col("rep").alias("y"))
-    met = x.join(y, ["pivot", "element"]).filter("x != y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pivots = near.filter("loose_n > 0").select("a").distinct()
+    rows = near.join(pivots, "a", "left_semi").select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "any_n", "loose_n", F.size("difference").alias("d"), F.explode("difference").alias("element"))
+    shared = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    by_doc = Window.partitionBy("pivot", "rep")
+    met = rows.join(shared, ["pivot", "element"]).withColumn("place", F.col("d") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("n", "element")))
+    prefixes = met.filter(F.col("place") <= F.greatest("any_n", "loose_n")).select(F.col("pivot").alias("hub"), F.col("element").alias("part"), "rep", "place", "any_n", "loose_n")
+    x = prefixes.filter("place <= any_n").select("hub", "part", F.col("rep").alias("x"))
+    y = prefixes.filter("place <= loose_n").select("hub", "part", F.col("rep").alias("y"))
+    return x.join(y, ["hub", "part"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _count_keys(rows: DataFrame) -> DataFrame:
@@ -214,24 +219,23 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
         pivots = large.join(reach, "rep").groupBy("key").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("pivot"))
         seats = materialize(large.join(pivots, "key").filter("rep != pivot"))
         star = seats.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        near = materialize(compare(prune(star, signed, NEAR, bands), docs, width, NEAR, differences=True))
+        near = materialize(compare(prune(star, signed, NEAR, bands), docs, width, percent, NEAR))
         found.append(near.filter(linked(percent)).select("a", "b"))
-        candidates.append(pairs_by_difference(near, percent))
+        candidates.append(pairs_by_difference(near))
         judged = near.filter(F.col("inter") >= resolved * (F.col("size_a") + F.col("size_b") - F.col("inter"))).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
-        rest = seats.join(judged, ["pivot", "rep"], "left_anti").select("key", "rep")
-        if turn == SPLIT_ROUND:  # a linked pair shares a second band but for the same miss probability
-            second = signed.select("rep", F.explode("bands").alias("other"))
-            rest = rest.join(second, "rep").filter("key != other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep").distinct()
-        rest = materialize(_count_keys(rest))
+        rest = materialize(_count_keys(seats.join(judged, ["pivot", "rep"], "left_anti").select("key", "rep")))
         candidates.append(all_pairs(rest.filter(F.col("n") <= SMALL)))
-        large = rest.filter(F.col("n") > SMALL).select("key", "rep")
+        # linked documents share a second band too, but for the same miss probability
+        split = rest.filter(F.col("n") > SMALL).join(signed.select("rep", F.explode("bands").alias("other")), "rep").filter("key != other")
+        parts = materialize(_count_keys(split.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep").distinct()))
+        candidates.append(all_pairs(parts.filter(F.col("n") <= SMALL)))
+        large = parts.filter(F.col("n") > SMALL).select("key", "rep")
     else:
         candidates.append(all_pairs(large))  # what no pivot and no second band has thinned out
     pairs = candidates[0]
     for more in candidates[1:]:
         pairs = pairs.unionByName(more)
-    checked = compare(materialize(prune(materialize(pairs.distinct()), signed, threshold, bands)), docs, width, threshold)
-    out = checked.filter(linked(percent)).select("a", "b")
+    out = compare(materialize(prune(materialize(pairs.distinct()), signed, threshold, bands)), docs, width, percent).select("a", "b")
     for more in found:
         out = out.unionByName(more)
     return materialize(out.distinct())
@@ -248,8 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = materialize(large)
+        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))

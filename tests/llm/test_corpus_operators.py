@@ -160,6 +160,26 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_that_miss_the_pivot_meet_in_prefixes(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for _ in range(4000):
+        pivot = np.arange(rng.integers(20, 60), dtype=np.uint64)
+        x = np.union1d(rng.choice(pivot, len(pivot) - rng.integers(0, 9), replace=False), rng.integers(100, 112, rng.integers(0, 8)).astype(np.uint64))
+        y = np.union1d(np.delete(x, rng.integers(0, len(x), rng.integers(0, 5))), rng.integers(100, 112, rng.integers(0, 4)).astype(np.uint64))
+        inter, union = jaccard(x, y)
+        with_pivot = jaccard(pivot, y)
+        if 100 * inter >= percent * union and 100 * with_pivot[0] < percent * with_pivot[1]:
+            any_n, _ = near_dedup.prefix_lengths(len(pivot), len(x), jaccard(pivot, x)[0], percent)
+            _, loose_n = near_dedup.prefix_lengths(len(pivot), len(y), with_pivot[0], percent)
+            order = rng.permutation(200)
+            first_x, first_y = (sorted(np.setxor1d(pivot, z).tolist(), key=lambda e: order[int(e)]) for z in (x, y))
+            assert set(first_x[:any_n]) & set(first_y[:loose_n])
+            met += 1
+    assert met > 100
+
+
 def test_near_dedup_of_odd_rows(spark, odd_docs, no_docs):
     got = near_dedup.near_dedup(odd_docs, 5, 80).collect()
     assert len(got) == len(ROWS)
