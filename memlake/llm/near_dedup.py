@@ -141,7 +141,7 @@ def prefix_lengths(size_p: int, size_x: int, inter: int, percent: int) -> tuple[
 def compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, near: float | None = None) -> DataFrame:
     """Exact set sizes of the pairs (a, b) that link: a, b, inter, size_a, size_b. With ``near``
     those of that similarity or more, with b's difference to the pivot a and its prefix lengths."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
     sieve = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
     some = ids.select(sieve.alias("sieve")).distinct()  # SIEVE rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("sieve", sieve).join(F.broadcast(some), "sieve", "left_semi").drop("sieve")
