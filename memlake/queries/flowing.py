@@ -57,7 +57,7 @@ def _(spark, d):
     return jobs.debounce_changes(changes, quiet="2 hours")
 
 
-@query("s07_incremental_cursor", """select lang as family, greatest(max(1704067200 + doc_id * 3600 + doc_id % 7 * 86400), 1706000000) as cursor, count(*) filter (where 1704067200 + doc_id * 3600 + doc_id % 7 * 86400 > 1706000000 or lang = 'fr') as fresh from documents group by lang""")
+@query("s07_incremental_cursor", """select lang as family, greatest(max(1704067200 + doc_id * 3600 + doc_id % 7 * 86400), case when lang = 'fr' then 0 else 1706000000 end) as cursor, count(*) filter (where 1704067200 + doc_id * 3600 + doc_id % 7 * 86400 > 1706000000 or lang = 'fr') as fresh from documents group by lang""")
 def _(spark, d):
     e = P.episodic(spark, d).withColumn("family", F.col("identity_family"))
     cursors = e.select("family").distinct().filter("family <> 'fr'").withColumn("cursor", F.lit(1706000000.0))
