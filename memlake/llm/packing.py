@@ -60,9 +60,21 @@ def byte_level_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a file of ``tokenizers``, which it finds in a text before all else."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens", [])
+    odd = [x["content"] for x in found if any(x.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+    return {x["content"]: x["id"] for x in found}
+
+
 class WordEncoder:
     """Ids of whole texts as ``tokenizers`` gives them, with a bounded cache of encoded words.
 
+    ``ids`` takes added tokens in a text for plain text; ``document_ids`` gives them their own ids.
+
     In a byte-level BPE file whose ids follow its merges, merging by id is merging by rank, so
     the merges run in tiktoken, several times as fast; tests hold the ids against
     ``tokenizers`` itself. A text without two white-space characters in a row falls into words
@@ -76,6 +88,9 @@ class WordEncoder:
         self._length = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self._length[rank] = len(token)
+        added = added_tokens(path)
+        self._added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -112,6 +127,14 @@ class WordEncoder:
             self._old, self._young = young, {}
         return out
 
+    def document_ids(self, texts: list[str]) -> list[bytes]:
+        """Like ``ids``, but the text is cut at added tokens first and these have their own ids."""
+        if self._split is None:
+            return self.ids(texts)
+        parts = [self._split.split(x) for x in texts]  # text and added token by turns
+        plain = iter(self.ids([x for some in parts for x in some[::2]]))
+        return [b"".join(self._added[x] if k % 2 else next(plain) for k, x in enumerate(some)) for some in parts]
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
@@ -136,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.ids([x or "" for x in some.column(1).to_pylist()])):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.document_ids([x or "" for x in some.column(1).to_pylist()])):
                     for k, (start, length, crc) in enumerate(cut(ids + end, capacity)):
                         rank = seen.get(length, 0)
                         seen[length] = rank + 1

@@ -52,6 +52,20 @@ def test_encoder_gives_the_ids_of_tokenizers():
         assert got == np.array(want.ids, "<u4").tobytes()
 
 
+def test_added_tokens_in_a_text_have_their_ids(spark):
+    reference = Tokenizer.from_file(BPE)
+    rng = random.Random(6)
+    alphabet = [" ", "\n", "a", "B1", ".", "é", "  ", "漢", "<|endoftext|>", "<|endoftext|", "<|endoftext|><|endoftext|>"]
+    texts = ["", "foo<|endoftext|> bar", LONG + "<|endoftext|>" + LONG] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    want = [np.array(x.ids, "<u4") for x in reference.encode_batch(texts, add_special_tokens=False)]
+    assert want[1].tolist() == [21943, 50256, 2318]
+    assert packing.WordEncoder(BPE).document_ids(texts) == [x.tobytes() for x in want]
+    docs = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id bigint, text string")
+    for r in packing.pack(docs, BPE, capacity=64).collect():
+        ids = np.append(want[r.doc_id], packing.END_ID).astype("<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(2)
     for capacity in (10, 30, 97):
