@@ -138,20 +138,30 @@ def similar_pairs(df: DataFrame, threshold: float, below: float | None = None) -
     return spread.groupBy("group", "i", "j").applyInPandas(run, "group string, a string, b string, cosine double")
 
 
-def clusters(pairs: DataFrame, min_size: int = 3, rounds: int = 30) -> DataFrame:
-    """V-8: (group, cluster, object_id): components of the pairs within each group, by label
-    propagation with pointer jumping; cluster is the smallest id. Components that are the same
-    in several groups are kept for the first group."""
-    edges = pairs.select("group", "a", "b").unionByName(pairs.select("group", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = edges.select("group", F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), ["group", "b"]).groupBy("group", "a").agg(F.min("seen").alias("seen")).withColumnRenamed("a", "node")
-        moved = labels.join(near, ["group", "node"]).select("group", "node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = moved.select("group", F.col("node").alias("label"), F.col("label").alias("further"))
-        new = moved.join(jump, ["group", "label"], "left").select("group", "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
-        labels = new.drop("old")
-        if new.filter("label < old").isEmpty():
-            break
+def components(pairs: DataFrame) -> DataFrame:
+    """(group, node, label): the smallest node of each component within its group, by
+    large-star and small-star steps until no edge changes."""
+    edges = pairs.select("group", F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct().checkpoint()
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select("group", F.col("u").alias("v"), F.col("v").alias("u")))
+        low = both.groupBy("group", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, ["group", "u"]).filter("v > u").select("group", F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").checkpoint()
+        low = large.groupBy("group", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["group", "u"]).select("group", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("group", "u", F.col("m").alias("v")))
+        edges = small.filter("u != v").distinct().checkpoint()
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("group", "u", "v"))).first())
+        if now == mark:
+            roots = edges.select("group", F.col("v").alias("node")).distinct()
+            return edges.select("group", F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
+        mark = now
+
+
+def clusters(pairs: DataFrame, min_size: int = 3) -> DataFrame:
+    """V-8: (group, cluster, object_id): components of the pairs within each group; cluster is
+    the smallest id. Components that are the same in several groups are kept for the first
+    group."""
+    labels = components(pairs)
     sized = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("print")).filter(F.col("n") >= min_size)
     first = sized.groupBy("label", "n", "print").agg(F.min("group").alias("group"))
     return labels.join(first.select("group", "label"), ["group", "label"]).select("group", F.col("label").alias("cluster"), F.col("node").alias("object_id"))

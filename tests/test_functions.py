@@ -16,6 +16,7 @@ from memlake.operators import context, filters, joins, lifecycle, similarity
 from memlake.plans import synthesis
 from memlake.schemas import TRANSITIONS
 from memlake.sources import exchange, planes
+from memlake.sources.scratch import ensure_checkpoint_dir
 from memlake.streaming import jobs
 
 
@@ -217,6 +218,14 @@ def test_similar_pairs_across_blocks(spark, monkeypatch):
     assert got == {(a[1], b[1]) for k, a in enumerate(rows) for b in rows[k + 1 :] if cos(a[2], b[2]) >= 0.6}
 
 
+def test_long_chains_are_one_cluster(spark):
+    ensure_checkpoint_dir(spark)
+    falling = ["s00", *(f"x{i:02d}" for i in range(40, 0, -1)), "t00"]  # a smaller label moves one hop a round
+    pairs = [("g", a, b) for a, b in zip(falling, falling[1:])] + [("h", "s00", "x01"), ("h", "x01", "x02"), ("h", "y", "z")]
+    got = similarity.clusters(spark.createDataFrame(pairs, "group string, a string, b string")).collect()
+    assert sorted((r.group, r.cluster, r.object_id) for r in got) == sorted([("g", "s00", x) for x in falling] + [("h", "s00", x) for x in ("s00", "x01", "x02")])
+
+
 def test_retraction_accounts_for_every_byte(spark):
     df = spark.createDataFrame([("1", "a/b/c", "é👨‍👩‍👧" * 400, 0.0)], "object_id string, namespace string, content string, updated_epoch double")
     rows, artifacts = synthesis.retract(df, df.select("object_id", F.lit("asked").alias("reason")), 5.0)
