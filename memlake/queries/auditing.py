@@ -66,6 +66,18 @@ def lanes(spark, d):
     return c.with_kind(c.context_candidates(base.filter(n % 3 == 0), base.filter(n % 4 != 0))), queries
 
 
+def whole_lanes(spark, d):
+    """The same over every document and its whole text: a query for each 40 ids, from the first
+    of them, so that queries grow with the documents."""
+    e, n = P.episodic(spark, d), F.col("number")
+    kind = F.when(n % 8 == 0, "kind:boundary").when(n % 8 == 1, "kind:open-loop").when(n % 8 == 2, "kind:correction/suppression").when(n % 8 == 3, "kind:nonsense").otherwise("plain")
+    stale = F.when(n % 6 == 0, "staleness:durable").when(n % 6 == 1, "freshness:current").otherwise("other")
+    base = e.select(F.floor(n / 40).alias("query_id"), "object_id", "namespace", F.lit("episodic").alias("plane"), "state", "content", F.lit(None).cast("string").alias("summary"), "title", F.array(kind, stale).alias("tags"), "created_epoch", "updated_epoch", "importance", ((n * 37 % 101) / 100.0).alias("retrieve_score"), "number")
+    first = base.groupBy("query_id").agg(F.min_by("content", "number").alias("content"))
+    queries = first.select("query_id", F.concat_ws(" ", F.slice(F.split("content", " "), 1, 4)).alias("query_text"))
+    return c.with_kind(c.context_candidates(base.filter(n % 3 == 0), base.filter(n % 4 != 0))), queries
+
+
 LANES = """base as (select number % 10 as query_id, object_id, namespace, state, substr(content, 1, 200) as content, created_epoch, updated_epoch, importance, (number * 37 % 101) / 100.0 as retrieve_score, number,
     case number % 8 when 0 then 'kind:boundary' when 1 then 'kind:open-loop' when 2 then 'kind:correction/suppression' when 3 then 'kind:nonsense' else 'plain' end as t1, case number % 6 when 0 then 'staleness:durable' when 1 then 'freshness:current' else 'other' end as t2
     from episodic where number < 300),
@@ -107,12 +119,12 @@ def _(spark, d):
 
 @query("c05_pack")
 def _(spark, d):
-    return c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2).select("query_id", "item", "object_id", "lane", "shown", "content_truncated")
+    return c.pack(c.essence_rank(*whole_lanes(spark, d)), 8, 1200, 2).select("query_id", "item", "object_id", "lane", "shown", "content_truncated")
 
 
 @query("c06_render_pack")
 def _(spark, d):
-    return c.render_pack(c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2))
+    return c.render_pack(c.pack(c.essence_rank(*whole_lanes(spark, d)), 8, 1200, 2))
 
 
 @query("q01_validate_rows", """select 'episodic' as plane, namespace, object_id, 'importance' as loc from episodic where importance + number % 3 > 10 union all select 'episodic', namespace, object_id, 'updated_epoch' from episodic where number % 37 = 0

@@ -218,6 +218,21 @@ def test_similar_pairs_across_blocks(spark, monkeypatch):
     assert got == {(a[1], b[1]) for k, a in enumerate(rows) for b in rows[k + 1 :] if cos(a[2], b[2]) >= 0.6}
 
 
+def test_packs_cover_every_document(spark):
+    from memlake.queries import QUERIES
+    from memlake.queries.auditing import whole_lanes
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    asked = {i // 40 for i in docs}
+    assert max(docs) >= 400
+    candidates, queries = whole_lanes(spark, sf)
+    assert sorted((r.query_id, r.number, r.content) for r in candidates.collect()) == sorted((i // 40, i, t) for i, t in docs.items() if i % 3 == 0 or i % 4)
+    first = {q: docs[min(i for i in docs if i // 40 == q)] for q in asked}
+    assert {r.query_id: r.query_text for r in queries.collect()} == {q: " ".join(t.split(" ")[:4]) for q, t in first.items()}
+    assert {r.query_id for r in QUERIES["c05_pack"](spark, sf).collect()} == {r.query_id for r in QUERIES["c06_render_pack"](spark, sf).collect()} == asked
+
+
 def test_long_chains_are_one_cluster(spark):
     ensure_checkpoint_dir(spark)
     falling = ["s00", *(f"x{i:02d}" for i in range(40, 0, -1)), "t00"]  # a smaller label moves one hop a round
