@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.models import judge_pairs
 from memlake.functions.text import truncate_grapheme
-from memlake.operators import similarity as v
-from memlake.operators.lifecycle import candidate_pool
+from memlake.operators import merge as m, similarity as v
+from memlake.operators.lifecycle import DAY, candidate_pool
 from memlake.streaming.jobs import after_cursor
 
 TOMBSTONE_BYTES = 32_768
+POOL_TTL = 30 * DAY
 
 
 def summarize(members: DataFrame) -> DataFrame:
-    """K-3, default: the title and text of the most important member, all sources."""
+    """K-3, default: the text of the most important member with its vector, all sources."""
     best = F.struct("importance", F.col("place") * -1)
-    return members.groupBy("group", "cluster").agg(F.max_by("content", best).alias("content"), F.max("importance").alias("importance"), F.array_sort(F.collect_list("object_id")).alias("merged_from"))
+    return members.groupBy("group", "cluster").agg(F.max_by("content", best).alias("content"), F.max_by("vector", best).alias("vector"), F.max("importance").alias("importance"), F.array_sort(F.collect_list("object_id")).alias("merged_from"))
 
 
-def synthesize(memories: DataFrame, cursors: DataFrame, pool: DataFrame, now: float, threshold: float = 0.70, most: int = 20) -> dict[str, DataFrame]:
-    """L-19: clusters of similar memories, all families at once: ``concepts`` (with the members
-    that they merge), ``cursors`` and ``pool`` after the run.
+def synthesize(
+    memories: DataFrame, cursors: DataFrame, pool: DataFrame, existing: DataFrame, now: float, judge: Callable[[str, str], bool],
+    threshold: float = 0.70, most: int = 20, low: float = 0.75, match: float = 0.85,
+) -> dict[str, DataFrame]:
+    """L-19: clusters of similar memories, all families at once: ``concepts`` (all of them, with
+    the members that they merge), ``cursors`` and ``pool`` after the run, and its ``report``.
 
     Memories above their family's cursor or in the pool are grouped by topic within the family,
-    similar pairs linked, components of three or more capped and summarised.
+    similar pairs linked, components of three or more capped and summarised. A cluster
+    reinforces the family's nearest matured or promoted concept from ``match`` on, else it is a
+    new concept. Concepts of this run with a similarity in [low, match) are judged, and those
+    that contradict are linked. ``existing`` may have null vectors; these match nothing.
     """
     new, marks = after_cursor(memories, cursors)
     waiting = memories.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
     chosen = new.unionByName(waiting).dropDuplicates(["family", "object_id"])
     grouped = v.cluster_groups(chosen).withColumn("group", F.concat_ws("\x1f", "family", "group"))
     linked = v.clusters(v.similar_pairs(grouped.select("group", "object_id", "vector"), threshold))
-    members = v.cap_cluster(linked.join(chosen.select("object_id", "family", "importance", "content"), "object_id"), most)
-    concepts = summarize(members).withColumn("family", F.split("group", "\x1f")[0])
-    concepts = concepts.dropDuplicates(["family", "merged_from"]).withColumn("object_id", F.substring(F.sha2(F.array_join("merged_from", ","), 256), 1, 27))
-    concepts = concepts.select("object_id", F.concat("family", F.lit("/shared/concept")).alias("namespace"), "family", F.lit("synthesized").alias("state"), F.substring("content", 1, 80).alias("title"), "content", "importance", "merged_from")
+    members = v.cap_cluster(linked.join(chosen.select("object_id", "family", "importance", "content", "vector"), "object_id"), most)
+    made = summarize(members).withColumn("family", F.split("group", "\x1f")[0]).dropDuplicates(["family", "merged_from"])
+    made = made.withColumns({"object_id": F.substring(F.sha2(F.array_join("merged_from", ","), 256), 1, 27), "query_id": F.monotonically_increasing_id()}).checkpoint()
+    live = existing.filter(F.col("state").isin("matured", "promoted") & F.col("vector").isNotNull())
+    nearest = v.best_match(made.select("query_id", F.col("family").alias("namespace"), "vector"), live.select(F.col("family").alias("namespace"), "object_id", "vector"), match)
+    matched = made.join(nearest.select("query_id", F.col("object_id").alias("known")), "query_id").checkpoint()
+    evidence = matched.filter("known is not null").select(F.col("known").alias("object_id"), F.explode("merged_from").alias("source_id"))
+    created = matched.filter("known is null").join(existing.select("object_id"), "object_id", "left_anti").select(
+        "object_id", F.concat("family", F.lit("/shared/concept")).alias("namespace"), "family", F.lit("synthesized").alias("state"), F.substring("content", 1, 80).alias("title"), "content", "importance",
+        "merged_from", "vector", F.lit(0).alias("reinforcement_count"), F.array().cast("array<string>").alias("contradicts"), F.lit(None).cast("double").alias("last_reinforced_epoch"), F.lit(1).alias("version"),
+    )
+    after = m.reinforce_concepts(existing, evidence, now).unionByName(created, allowMissingColumns=True)
+    touched = after.join(evidence.select("object_id").unionByName(created.select("object_id")).distinct(), "object_id", "left_semi").select("family", "object_id", "content", "vector").checkpoint()
+    near = v.similar_pairs(touched.withColumnRenamed("family", "group"), low, match)
+    for side in ("a", "b"):
+        near = near.join(touched.select(F.col("object_id").alias(side), F.col("content").alias(f"text_{side}")), side)
+    verdicts = judge_pairs(near, judge).select(F.col("group").alias("family"), "a", "b", "verdict").checkpoint()
     done = members.select("family", "object_id").distinct()
-    return {"concepts": concepts, "cursors": marks, "pool": candidate_pool(pool, chosen.select("family", "object_id"), done, now)}
+    counted = {
+        "selected": chosen, "clusters": matched, "created": created, "reinforced": matched.filter("known is not null"), "contradictions": verdicts.filter("verdict = 'contradictory'"),
+        "pruned": pool.filter(F.col("first_seen") < now - POOL_TTL).join(done, ["family", "object_id"], "left_anti"), "carried": chosen.join(done, ["family", "object_id"], "left_anti"),
+    }
+    steps = None
+    for step, rows in counted.items():
+        one = rows.select("family", F.lit(step).alias("step"))
+        steps = one if steps is None else steps.unionByName(one)
+    return {
+        "concepts": m.link_contradictions(after, verdicts), "cursors": marks, "pool": candidate_pool(pool, chosen.select("family", "object_id"), done, now, POOL_TTL),
+        "report": m.report(steps, ["family"], {step: F.col("step") == step for step in counted}),
+    }
 
 
 def retract(rows: DataFrame, requests: DataFrame, now: float, prefix_chars: int = 512) -> tuple[DataFrame, DataFrame]:

@@ -191,8 +191,9 @@ def _(spark, d):
     rows = vectors(spark, d).select("object_id", "vector").join(e, "object_id")
     cursors = rows.select("family").distinct().withColumn("cursor", F.lit(0.0))
     pool = rows.filter("number % 50 = 0").select("family", "object_id", F.lit(P.NOW - 86400.0).alias("first_seen"), F.lit(1).alias("attempts"))
-    out = synthesis.synthesize(rows, cursors, pool, P.NOW, threshold=0.30)
-    return out["concepts"].select("object_id", "family", "importance", F.size("merged_from").alias("n_sources"))
+    concepts = P.concept(spark, d).withColumn("family", F.col("identity_family")).join(vectors(spark, d).select("number", "vector"), "number", "left")
+    out = synthesis.synthesize(rows, cursors, pool, concepts, P.NOW, lambda x, y: len(x) > len(y), threshold=0.30, low=0.30, match=0.37)
+    return out["concepts"].select("object_id", "family", "state", "importance", "reinforcement_count", F.size("merged_from").alias("n_sources"), F.size("contradicts").alias("n_contradicts"))
 
 
 @query("k01_score_importance", "select object_id, case when number % 4 = 0 then 10 else importance end as importance from episodic", E_)

@@ -233,6 +233,33 @@ def test_packs_cover_every_document(spark):
     assert {r.query_id for r in QUERIES["c05_pack"](spark, sf).collect()} == {r.query_id for r in QUERIES["c06_render_pack"](spark, sf).collect()} == asked
 
 
+def test_synthesis_reinforces_creates_and_links(spark):
+    ensure_checkpoint_dir(spark)
+    at = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.8, 0.6]}
+    rows = [(f"{p}{i}", f, at[p], [], ["t"], 5, f"text {p}", 10.0) for f, ps in (("en", "abc"), ("de", "a")) for p in ps for i in (f + "1", f + "2", f + "3")]
+    rows.append(("lone", "en", [0.0, 0.0, -1.0], [], ["t"], 5, "alone", 10.0))
+    memories = spark.createDataFrame(rows, "object_id string, family string, vector array<double>, topics array<string>, tags array<string>, importance int, content string, updated_epoch double")
+    cursors = spark.createDataFrame([("en", 0.0), ("de", 0.0)], "family string, cursor double")
+    pool = spark.createDataFrame([("en", "old", -1e9, 4)], "family string, object_id string, first_seen double, attempts int")
+    known = [("K1", "en", "matured", at["a"], "known a"), ("K2", "en", "demoted", at["b"], "known b"), ("K3", "en", "matured", None, "no vector")]
+    existing = spark.createDataFrame([(i, f + "/shared/concept", f, s, "t", c, 5, ["x"], v, 2, [], None, 1) for i, f, s, v, c in known], "object_id string, namespace string, family string, state string, title string, content string, importance int, merged_from array<string>, vector array<double>, reinforcement_count int, contradicts array<string>, last_reinforced_epoch double, version int")
+    out = synthesis.synthesize(memories, cursors, pool, existing, 20.0, lambda x, y: True, threshold=0.9)
+    got = {r.object_id: r for r in out["concepts"].collect()}
+    assert got["K1"].reinforcement_count == 5 and got["K1"].merged_from == ["x", "aen1", "aen2", "aen3"] and got["K1"].last_reinforced_epoch == 20.0
+    assert all(got[k].reinforcement_count == 2 and got[k].merged_from == ["x"] for k in ("K2", "K3"))
+    made = {tuple(r.merged_from): r for k, r in got.items() if not k.startswith("K")}
+    assert set(made) == {tuple(f"{p}{f}{i}" for i in (1, 2, 3)) for p, f in (("b", "en"), ("c", "en"), ("a", "de"))}
+    b, c, de = (made[tuple(f"{x}{i}" for i in (1, 2, 3))] for x in ("ben", "cen", "ade"))
+    assert (b.contradicts, c.contradicts, de.contradicts, got["K1"].contradicts) == ([c.object_id], [b.object_id], [], [])
+    report = {r.family: r.asDict() for r in out["report"].collect()}
+    assert report == {
+        "en": {"family": "en", "selected": 10, "clusters": 3, "created": 2, "reinforced": 1, "contradictions": 1, "pruned": 1, "carried": 1},
+        "de": {"family": "de", "selected": 3, "clusters": 1, "created": 1, "reinforced": 0, "contradictions": 0, "pruned": 0, "carried": 0},
+    }
+    again = synthesis.synthesize(memories, cursors, pool, out["concepts"], 20.0, lambda x, y: False, threshold=0.9)["concepts"]
+    assert again.count() == len(got)
+
+
 def test_long_chains_are_one_cluster(spark):
     ensure_checkpoint_dir(spark)
     falling = ["s00", *(f"x{i:02d}" for i in range(40, 0, -1)), "t00"]  # a smaller label moves one hop a round
