@@ -167,9 +167,11 @@ def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that exact deduplication keeps.
 
-    Even ids take the part of the history. Rows that go are told apart by id and digest.
+    Even ids take the part of the history. Rows that go are told apart by id, which may be
+    null, and digest.
     """
     even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    gone = exact_dedup(docs.filter(even), docs.filter(~even)).filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    gone = exact_dedup(docs.filter(even), docs.filter(~even)).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
     told = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
-    return told.join(materialize(gone.distinct()), ["id", "digest"], "left_anti").select("doc.*")
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+    return told.join(materialize(gone.distinct()), same, "left_anti").select("doc.*")

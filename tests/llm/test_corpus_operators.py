@@ -128,6 +128,12 @@ def test_exact_dedup_equals_grouping(spark, odd_docs, no_docs, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 3, 4, 6, 7, 7, 9, 10, 11]
 
 
+def test_exact_copies_without_an_id_go(spark):
+    rows = [(1, "Same"), (None, "same"), (None, "SAME"), (4, "same"), (None, "only here"), (None, "Only here"), (None, None), (7, "")]
+    kept = exact_dedup.keep_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(kept.collect(), key=repr) == sorted([(4, "same"), (None, "only here"), (None, "Only here"), (7, "")], key=repr)
+
+
 def brute_components(rows: list[tuple], width: int, percent: int) -> dict:
     root = {i: i for i, _ in rows}
 
