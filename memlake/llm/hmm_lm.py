@@ -105,10 +105,12 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
 
 def head_words(vocabulary: DataFrame) -> list[bytes]:
     """At most HEAD_SHARE frequent words, by name. A word with that share of all tokens has it
-    in some block, so the others need not be summed."""
+    in some block, so only such words are summed, over all their blocks."""
     total = vocabulary.groupBy("block").agg(F.max("block_n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    frequent = vocabulary.filter(F.col("n") * HEAD_SHARE >= F.greatest("block_n", F.lit(1))).groupBy("word").agg(F.sum("n").alias("n"))
-    found = frequent.filter((F.col("n") * HEAD_SHARE >= max(total, 1)) & (F.length("word") > 0)).collect()
+    # written down, so that Spark knows its size when it picks the join
+    named = materialize(vocabulary.filter((F.col("n") * HEAD_SHARE >= F.greatest("block_n", F.lit(1))) & (F.length("word") > 0)).select("word").distinct())
+    frequent = vocabulary.select("word", "n").join(named, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    found = frequent.filter(F.col("n") * HEAD_SHARE >= max(total, 1)).collect()
     return sorted(bytes(r.word) for r in found)
 
 

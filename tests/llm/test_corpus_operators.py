@@ -267,6 +267,14 @@ def test_language_model_scores(spark, odd_docs, no_docs, monkeypatch):
     assert hmm_lm.score_documents(no_docs.withColumn("held_out", F.lit(False))).collect() == []
 
 
+def test_head_words_do_not_hang_on_the_blocks(spark):
+    share = hmm_lm.HEAD_SHARE
+    rows = [(b"over", 0, 150), (b"over", 1, 60), (b"under", 0, 150), (b"under", 1, 40), (b"even", 0, 100), (b"even", 1, 100), (hmm_lm.END, 0, 900), (hmm_lm.END, 1, 900)]
+    split = spark.createDataFrame([(*r, 100 * share) for r in rows], "word binary, block bigint, n bigint, block_n bigint")
+    whole = split.groupBy("word").agg(F.lit(0).cast("bigint").alias("block"), F.sum("n").alias("n"), F.lit(200 * share).cast("bigint").alias("block_n"))
+    assert hmm_lm.head_words(split) == hmm_lm.head_words(whole) == [b"even", b"over"]
+
+
 def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
 
