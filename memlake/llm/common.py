@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,19 +37,84 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
+#: Folders written since the innermost ``scratch()`` began, one list for each that is open.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor never makes the work before it run again, and readers
-    get the same rows in the same files each time.
+    get the same rows in the same files each time. Inside ``scratch()`` the table goes when the
+    block ends.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"memlake-{uuid.uuid4().hex}")
+    spark, path = df.sparkSession, os.path.join(shared_dir(df.sparkSession), f"memlake-{uuid.uuid4().hex}")
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``materialize`` for the result of a ``scratch()`` block: the table stays."""
+    outer = _OPEN.pop() if _OPEN else None
+    try:
+        return materialize(df)
+    finally:
+        if outer is not None:
+            _OPEN.append(outer)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes in the block; what is needed of them
+    afterwards has to be written by ``kept_table``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: At most HOT keys, of more than HOT_ROWS rows each, count as hot; a hot key's rows are dealt
+#: into SALTS parts.
+HOT = 1024
+HOT_ROWS = 1000
+SALTS = 32
+
+
+def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """The most frequent keys of ``rows``, HOT at most, that have more than HOT_ROWS rows; or None."""
+    return hot_from_counts(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+
+
+def hot_from_counts(counts: DataFrame, key: list[str]) -> DataFrame | None:
+    """``hot_keys`` from the keys' counts ``n``."""
+    some = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.col("n").desc(), *key).limit(HOT).select(key)
+    found = some.collect()
+    return counts.sparkSession.createDataFrame(found, some.schema) if found else None
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: list[str], by: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row per key, on ``key``.
+
+    The rows of a hot key are dealt into SALTS parts by ``by`` and its row of ``side`` is
+    repeated for each: at most HOT * SALTS rows more, and no key's rows meet in one task.
+    """
+    if hot is None:
+        return rows.join(side, key)
+    marked = F.broadcast(hot.withColumn("hot_key", F.lit(True)))  # HOT rows at most
+    zero = F.lit(0).cast("long")
+    part = F.when(F.col("hot_key"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(zero)
+    parts = F.when(F.col("hot_key"), F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(zero))
+    left = rows.join(marked, key, "left").withColumn("salt", part).drop("hot_key")
+    right = side.join(marked, key, "left").withColumn("salt", F.explode(parts)).drop("hot_key")
+    return left.join(right, [*key, "salt"]).drop("salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

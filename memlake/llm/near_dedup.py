@@ -7,30 +7,39 @@ empty set and links with nothing. Shingles are 64-bit fingerprints.
 
 1. Documents with the same set form a class; its smallest doc_id stands for it from here on,
    so copies are never compared or expanded.
-2. Signatures in bands give buckets of candidates. The number of bands follows from the chosen
-   miss probability at the threshold.
+2. Signatures in bands give buckets of candidates. The number of bands is such that a pair at
+   the threshold shares fewer than two bands with the chosen miss probability only.
 3. In small buckets all pairs are candidates; their size is bounded, so the pairs are linear in
    the documents. In larger ones every member is compared with one pivot, the member that lies
-   in most large buckets, and other pairs are found by what they do not share with it:
+   in most large buckets. Members known to be in one component need no comparison with each
+   other. Other pairs are found by what they do not share with the pivot:
 
    Let D(x) be the symmetric difference of x and the pivot p, t the threshold, and
    K = (1 - t) / (1 + t) * (|x| + |y|): x and y link exactly if |x ^ y| <= K. Since
-   |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, a link needs that
-   |D(x) & D(y)| >= (|D(x)| + |D(y)| - K) / 2. If y does not link with p, then
-   |D(y)| > K(p, y), and the right side exceeds half of |D(x)| - K(p, x) + K(p, y) > 0 for
-   K counted with the sizes; so the differences must meet, and by the prefix filter they meet
-   among their rarest elements. Pairs of two documents that both link with p need no
-   comparison. Only documents too far from p to be judged so stay, for buckets that a second
-   band splits and other pivots.
+   |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, a link needs at least
+   m = (|D(x)| + |D(y)| - K) / 2 common elements, and |D(x)| and |D(y)| at most K apart. So
+   the two differences meet among the first |D| - m + 1 elements of either, in an order from
+   rare to frequent ones. Differences are keyed by such an element and by both levels (ranges
+   of |D|), so that only those that can link meet. If x and y do not both link with p, m > 0.
+   Keys that many documents share on both sides become groups with a pivot of their own.
+   Documents too far from the pivot to be judged so stay in their bucket, split once by a
+   second band, for another pivot.
 4. Candidates are verified in batches of signature values: a pair is dropped as soon as the
    posterior chance (uniform prior) that its similarity reaches the threshold falls below the
    miss probability. Survivors are verified exactly on their full sets.
 5. Components come from alternating large-star and small-star steps on the links.
 
-Rows are never merged: repeated rows are copies and share a component. Rows with a null doc_id
-link with nothing and are kept; columns beyond doc_id and text are not read; an empty table
-gives an empty result. Nothing is capped: buckets of any size lose no pair, except by the two
-miss probabilities.
+Each turn takes the pivots and all they judge out of a group, so turns end; from the third on a
+group has ``MORE_PIVOTS`` times as many each turn. Nothing is capped: groups of any size lose no
+pair, except by the two miss probabilities. Groups whose members are many, far from each other
+and yet share two bands would take the comparisons of all pairs, spread over the turns.
+
+Defined cases: rows are never merged, so repeated rows are copies and share a component, in
+large buckets too; rows with one doc_id and several texts are one node that links as any of
+them does; rows with a null doc_id link with nothing and are kept; very long texts are hashed
+whole, a block of shingles at a time; of pivots that lie in as many buckets the smallest doc_id
+is taken, which never changes the components; columns beyond doc_id and text are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,19 +53,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import materialize
+from memlake.llm.common import hot_from_counts, hot_keys, join_hot, kept_table, materialize, scratch
 from memlake.llm.shingles import MinHash, ascii_lower_words, jaccard, shingle_set
 
 ROWS = 5
-#: Chance that a pair at the threshold shares no band, and that one is dropped by a posterior.
+#: Chance that a pair at the threshold shares fewer than two bands, and that one is dropped by a posterior.
 MISS = 1e-6
 #: Signature values per step of the sequential verification.
 STEP = 20
-#: Buckets up to this size give all their pairs.
+#: Buckets up to this size give all their pairs, and groups left after a turn up to that size.
 SMALL = 16
+FEW = 48
+#: Keys of differences that more documents than that share on both sides become groups.
+HEAVY = 256
 #: Similarity to a pivot from which a document is judged by its difference to it.
 NEAR = 0.5
-ROUNDS = 4
+#: Shingles after which a task forgets the sets it has made.
+CACHE_SHINGLES = 100_000
+#: From the third turn on a group has so many times the pivots of the turn before.
+MORE_PIVOTS = 8
+#: Ranges of the size of a difference, for each K.
+LEVELS = 4
 #: A class with more than 1/HOT of all rows is hot; so there are at most HOT hot classes.
 HOT = 1024
 #: Values of the hash that keeps texts of other documents out of the verification.
@@ -64,8 +81,11 @@ SIEVE = 1 << 19
 
 
 def bands_for(threshold: float) -> int:
-    """Bands of ROWS values such that a pair at the threshold shares none with chance MISS."""
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
+    """Bands of ROWS values such that a pair at the threshold shares fewer than two with chance MISS."""
+    match, bands = threshold**ROWS, 2
+    while (1 - match) ** bands + bands * match * (1 - match) ** (bands - 1) > MISS:
+        bands += 1
+    return bands
 
 
 def least_matches(threshold: float, values: int) -> list[tuple[int, int]]:
@@ -99,75 +119,85 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 for text in some.column(1).to_pylist():
                     shingles = shingle_set(ascii_lower_words(text), width)
                     signature = hasher.signature(shingles) if len(shingles) else np.empty(0, np.uint32)
-                    for column, value in zip(rows, (len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), signature.tobytes(), hasher.band_keys(signature) if len(shingles) else [])):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "signature", "bands"])
+                    rows[0].append(len(shingles))
+                    rows[1].append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    rows[2].append(signature.tobytes())
+                    rows[3].append(hasher.band_keys(signature) if len(shingles) else [])
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                columns = [some.column(0), *(pa.array(r, kind) for r, kind in zip(rows, types))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "signature", "bands"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>")
+    schema = "doc_id bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>"
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
 def prune(pairs: DataFrame, signed: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """The pairs (a, b) that sequential verification does not drop."""
+    """The pairs (a, b), a written table, that sequential verification does not drop."""
     steps = least_matches(threshold, bands * ROWS)
-    side = signed.select("rep", "signature")
-    both = pairs.join(side.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a").join(side.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
+    side_a = signed.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
+    side_b = signed.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
+    met = pairs.select("a", "b").join(side_b, "b")
+    both = join_hot(met, side_a, ["a"], "b", hot_keys(pairs, ["a"])).select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-            left, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in steps:
-                matches = matches + (x[left, done:n] == y[left, done:n]).sum(axis=1)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, -1) for i in (2, 3))
+            left, matches, done = np.arange(n), np.zeros(n, np.int64), 0
+            for end, least in steps:
+                matches = matches + (x[left, done:end] == y[left, done:end]).sum(axis=1)
                 stay = matches >= least
-                left, matches, done = left[stay], matches[stay], n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left))], ["a", "b"])
+                left, matches, done = left[stay], matches[stay], end
+            some = pa.array(left)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], ["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def prefix_lengths(size_p: int, size_x: int, inter: int, percent: int) -> tuple[int, int]:
-    """How many elements of the difference of x and the pivot, in any fixed order, must meet
-    those of a linked document: for x as any document, and as one that does not link with the
-    pivot (0 if it does)."""
-    share, union = (100 - percent) / (100 + percent), size_p + size_x - inter
-    d, room = union - inter, share * (size_x + size_x * 100 / percent)
-    as_any = max(math.floor((d + share * (size_p - size_x)) / 2 - 1e-9) + 1, 1)
-    as_loose = max(math.ceil(d - room - 1e-9), 1)
-    return max(d - as_any + 1, 0), max(d - as_loose + 1, 0) if 100 * inter < percent * union else 0
+def sieved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents of the pairs, and of few others."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sieve = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")
+    some = ids.select(sieve).distinct()  # SIEVE rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", sieve)
+    return texts.join(F.broadcast(some), "sieve", "left_semi").drop("sieve")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, near: float | None = None) -> DataFrame:
-    """Exact set sizes of the pairs (a, b) that link: a, b, inter, size_a, size_b. With ``near``
-    those of that similarity or more, with b's difference to the pivot a and its prefix lengths."""
-    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
-    sieve = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
-    some = ids.select(sieve.alias("sieve")).distinct()  # SIEVE rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("sieve", sieve).join(F.broadcast(some), "sieve", "left_semi").drop("sieve")
-    rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    names = ["a", "b", "inter", "size_a", "size_b", *(["any_n", "loose_n"] if near else [])]
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, near: float | None = None) -> DataFrame:
+    """Exact set sizes of the pairs (a, b), a written table, that link: a, b, inter, size_a, size_b.
+    With ``near`` those of that similarity or more, with b's difference to a."""
+    met = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    side_a = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
+    rows = join_hot(met, side_a, ["a"], "b", hot_keys(pairs, ["a"])).select("a", "b", "text_a", "text_b")
+    names = ["a", "b", "inter", "size_a", "size_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
+        known: dict[str, np.ndarray] = {}  # sets of the last texts, which come back as pivots
+        held = 0
         for batch in batches:
             out: list[tuple] = []
             for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if a not in last:
-                    last = {a: shingle_set(ascii_lower_words(text_a), width)}
-                x, y = last[a], shingle_set(ascii_lower_words(text_b), width)
+                if text_a not in known:
+                    if held > CACHE_SHINGLES:
+                        known, held = {}, 0
+                    known[text_a] = shingle_set(ascii_lower_words(text_a), width)
+                    held += len(known[text_a])
+                x, y = known[text_a], shingle_set(ascii_lower_words(text_b), width)
                 inter, union = jaccard(x, y)
                 if near is None:
                     if 100 * inter >= percent * union:
                         out.append((a, b, inter, len(x), len(y)))
                 elif inter >= near * union:
-                    out.append((a, b, inter, len(x), len(y), *prefix_lengths(len(x), len(y), inter, percent), np.setxor1d(x, y, assume_unique=True).view(np.int64)))
+                    out.append((a, b, inter, len(x), len(y), np.setxor1d(x, y, assume_unique=True).view(np.int64)))
             arrays = [pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))]
             if near:
                 arrays.append(pa.array([r[-1] for r in out], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, [*names, *(["difference"] if near else [])])
 
-    return rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), *(["difference array<bigint>"] if near else [])]))
+    schema = ", ".join([*(f"{n} bigint" for n in names), *(["difference array<bigint>"] if near else [])])
+    return rows.mapInArrow(run, schema)
 
 
 def linked(percent: int) -> Column:
@@ -175,86 +205,172 @@ def linked(percent: int) -> Column:
 
 
 def all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs a < b of each bucket's members (key, rep)."""
-    x, y = members.select("key", F.col("rep").alias("a")), members.select("key", F.col("rep").alias("b"))
-    return x.join(y, "key").filter("a < b").select("a", "b").distinct()
+    """Pairs a < b of each small group's members (key, rep, label) that have different labels."""
+    x = members.select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"))
+    y = members.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
+    return x.join(y, "key").filter("a < b and label_a != label_b").select("a", "b").distinct()
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with ``label``: the component that ``rep`` is known to be in."""
+    if labels is None:
+        return rows.withColumn("label", F.col("rep"))
+    roots = labels.select(F.col("node").alias("rep"), "root")
+    return rows.join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """The rows (key, rep, label ...) of the groups with two labels or more, and their size n."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(sizes.filter("low != high").select("key", "n"), "key")
+
+
+def _prefixes(near: DataFrame, percent: int) -> DataFrame:
+    """The elements by which documents near a pivot can meet ones that do not link with it: one
+    row for each level of the other side for which the element is early enough."""
+    t, c = percent / 100, (100 - percent) / (100 + percent)
+    rows = near.select(
+        F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("size_a").alias("p"), F.col("size_b").alias("s"),
+        F.size("difference").alias("d"), "loose", "label", F.explode("difference").alias("element"),
+    )
+    # an element that no loose document shares meets nothing: such ones come first and only count as places
+    counts = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("n"), F.max("loose").alias("some"))
+    shared = materialize(counts.filter("n > 1 and some").select("pivot", "element", "n"))
+    hot = hot_from_counts(shared, ["pivot", "element"])
+    met = join_hot(rows, shared, ["pivot", "element"], "rep", hot)
+    by_doc = Window.partitionBy("pivot", "rep")
+    met = met.withColumn("place", F.col("d") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("n", "element")))
+    met = met.withColumn("g", F.expr(f"greatest(cast(floor({2 * c / LEVELS} * p) as bigint), 1L)"))
+    room = f"{c} * (s + s / {t})"
+    levels = F.expr(f"sequence(greatest(cast(floor((d - {room}) / g) as bigint), 0L), cast(floor((d + {room}) / g) as bigint))")
+    least = f"greatest(ceil((greatest(g * l, 1) + d - {c} * (s + least(s / {t}, p + g * l + g - 1))) / 2 - 1e-9), 1)"
+    fits = F.expr(f"filter(levels, l -> {least} <= g * l + g - 1 and place <= d - {least} + 1)")
+    return met.withColumn("levels", levels).withColumn("other", F.explode(fits)).drop("levels")
 
 
-def pairs_by_difference(near: DataFrame) -> DataFrame:
-    """Candidates among the documents near each pivot, of which one does not link with it: those
-    whose differences meet in their prefixes (see step 3 above).
+def by_difference(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) among the documents near each pivot (step 3 above), one of them not known
+    to be in its component, and the keys that are frequent on both sides, as groups (key, rep, core).
 
-    The order is by the number of documents near the pivot that have the element. Those of one
-    document come first and meet nothing, so they only move the others' places.
+    ``near`` has label and loose (not that of the pivot).
     """
-    pivots = near.filter("loose_n > 0").select("a").distinct()
-    rows = near.join(pivots, "a", "left_semi").select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "any_n", "loose_n", F.size("difference").alias("d"), F.explode("difference").alias("element"))
-    shared = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    by_doc = Window.partitionBy("pivot", "rep")
-    met = rows.join(shared, ["pivot", "element"]).withColumn("place", F.col("d") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("n", "element")))
-    prefixes = met.filter(F.col("place") <= F.greatest("any_n", "loose_n")).select(F.col("pivot").alias("hub"), F.col("element").alias("part"), "rep", "place", "any_n", "loose_n")
-    x = prefixes.filter("place <= any_n").select("hub", "part", F.col("rep").alias("x"))
-    y = prefixes.filter("place <= loose_n").select("hub", "part", F.col("rep").alias("y"))
-    return x.join(y, ["hub", "part"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _count_keys(rows: DataFrame) -> DataFrame:
-    """(key, rep, n) of the keys with two members or more."""
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    t, c = percent / 100, (100 - percent) / (100 + percent)
+    hubs = near.filter("loose").select("a").distinct()
+    met = materialize(_prefixes(near.join(hubs, "a", "left_semi"), percent))
+    level = F.floor(F.col("d") / F.col("g"))
+    # a loose y does not link with the pivot: |D(y)| > K(p, y), so levels below that have none
+    x = met.filter(f"g * other + g - 1 > {c} * (p + {t} * s) - 1e-9").select(
+        F.xxhash64("pivot", "element", level.alias("lx"), F.col("other").alias("ly")).alias("key"), F.col("rep").alias("x"),
+        F.col("d").alias("dx"), F.col("s").alias("sx"), F.col("place").alias("px"), F.col("label").alias("label_x"), (~F.col("loose")).alias("core"),
+    )
+    y = met.filter("loose").select(
+        F.xxhash64("pivot", "element", F.col("other").alias("lx"), level.alias("ly")).alias("key"), F.col("rep").alias("y"),
+        F.col("d").alias("dy"), F.col("s").alias("sy"), F.col("place").alias("py"), F.col("label").alias("label_y"),
+    )
+    counts = x.groupBy("key").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy("key").agg(F.count(F.lit(1)).alias("ny")), "key")
+    heavy = materialize(counts.filter(F.least("nx", "ny") > HEAVY).select("key"))
+    light_x, light_y = x, y
+    members = x.select("key", F.col("x").alias("rep"), "core")
+    groups = members.limit(0)
+    if not heavy.isEmpty():
+        light_x, light_y = (side.join(heavy, "key", "left_anti") for side in (x, y))
+        members = members.unionByName(y.select("key", F.col("y").alias("rep"), F.lit(False).alias("core")))
+        groups = members.join(heavy, "key", "left_semi").groupBy("key", "rep").agg(F.min("core").alias("core"))
+    common = f"greatest(ceil((dx + dy - {c} * (sx + sy)) / 2 - 1e-9), 1)"
+    fits = F.expr(f"label_x != label_y and px <= dx - {common} + 1 and py <= dy - {common} + 1")
+    pairs = light_x.join(light_y, "key").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.distinct(), groups
+
+
+def with_pivots(groups: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Up to ``count`` pivots of each group (key, pivot), and every other member's meetings with
+    them (key, rep, core, pivot). Members outside the core go first, then those in most groups."""
+    reach = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("reach"))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(count)).alias("slot")
+    first = F.struct(~F.col("core"), "reach", -F.col("rep"))
+    pivots = groups.join(reach, "rep").groupBy("key", slot).agg(F.max_by("rep", first).alias("pivot")).select("key", "pivot")
+    return pivots, groups.join(pivots, "key").filter("rep != pivot")
+
+
+def with_labels(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """``near`` with the label of b, and whether a has another one."""
+    rows = materialize(labelled(near.withColumnRenamed("b", "rep"), labels).withColumnRenamed("rep", "b"))
+    own = F.max(F.when(F.col("links"), F.col("label")))  # one of those that link with a has a's label
+    hubs = rows.groupBy("a").agg(F.coalesce(own, F.col("a")).alias("hub_label"))
+    met = join_hot(rows, hubs, ["a"], "b", hot_keys(rows, ["a"]))
+    return met.withColumn("loose", F.col("label") != F.col("hub_label")).drop("hub_label")
+
+
+def turn_of(
+    large: DataFrame, known: DataFrame | None, texts: DataFrame, signed: DataFrame, width: int, percent: int, turn: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One turn of pivots over the large groups (key, rep, core), with the links that are known:
+    links known after it, further candidates, and the large groups that are left."""
+    threshold = percent / 100
+    bands = bands_for(threshold)
+    resolved = 1 - threshold + NEAR  # what links with such a document is itself near the pivot
+    with scratch():
+        pivots, meetings = with_pivots(large, MORE_PIVOTS ** max(0, turn - 1))
+        seats = materialize(meetings)
+        star = materialize(seats.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+        near = compare(materialize(prune(star, signed, NEAR, bands)), texts, width, percent, NEAR)
+        near = materialize(near.withColumn("links", linked(percent)))
+        found = near.filter("links").select("a", "b")
+        known = kept_table(known.unionByName(found).distinct() if known else found)
+        labels = components(known)
+        met, heavy = by_difference(with_labels(near, labels), percent)
+        judged = near.filter(F.col("inter") >= resolved * (F.col("size_a") + F.col("size_b") - F.col("inter")))
+        judged = judged.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+        settled = seats.join(judged, ["pivot", "rep"], "left_semi").select("key", "rep")
+        settled = settled.unionByName(pivots.withColumnRenamed("pivot", "rep")).distinct()
+        rest = labelled(large.join(settled, ["key", "rep"], "left_anti"), labels)
+        if not turn:  # linked documents share two bands, but for the miss probability
+            rest = materialize(_counted(rest))
+            split = rest.filter(F.col("n") > FEW).join(signed.select("rep", F.explode("bands").alias("other")), "rep")
+            both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")
+            split = split.filter("key != other").select(both, "rep", "core", "label").distinct()
+            rest = rest.filter(F.col("n") <= FEW).drop("n").unionByName(split)
+        groups = materialize(_counted(rest.unionByName(labelled(heavy, labels))))
+        few = all_pairs(groups.filter(F.col("n") <= FEW))
+        more = kept_table(met.unionByName(few).distinct())
+        return known, more, kept_table(groups.filter(F.col("n") > FEW).select("key", "rep", "core"))
 
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect each component."""
-    threshold = percent / 100
-    bands = bands_for(threshold)
-    resolved = 1 - threshold + NEAR
-    members = materialize(_count_keys(signed.select("rep", F.explode("bands").alias("key"))))
-    candidates = [all_pairs(members.filter(F.col("n") <= SMALL))]
-    found: list[DataFrame] = []
-    large = members.filter(F.col("n") > SMALL).select("key", "rep")
-    for turn in range(ROUNDS):
-        if large.isEmpty():
-            break
-        reach = large.groupBy("rep").agg(F.count(F.lit(1)).alias("reach"))
-        pivots = large.join(reach, "rep").groupBy("key").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("pivot"))
-        seats = materialize(large.join(pivots, "key").filter("rep != pivot"))
-        star = seats.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        near = materialize(compare(prune(star, signed, NEAR, bands), docs, width, percent, NEAR))
-        found.append(near.filter(linked(percent)).select("a", "b"))
-        candidates.append(pairs_by_difference(near))
-        judged = near.filter(F.col("inter") >= resolved * (F.col("size_a") + F.col("size_b") - F.col("inter"))).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
-        rest = materialize(_count_keys(seats.join(judged, ["pivot", "rep"], "left_anti").select("key", "rep")))
-        candidates.append(all_pairs(rest.filter(F.col("n") <= SMALL)))
-        # linked documents share a second band too, but for the same miss probability
-        split = rest.filter(F.col("n") > SMALL).join(signed.select("rep", F.explode("bands").alias("other")), "rep").filter("key != other")
-        parts = materialize(_count_keys(split.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep").distinct()))
-        candidates.append(all_pairs(parts.filter(F.col("n") <= SMALL)))
-        large = parts.filter(F.col("n") > SMALL).select("key", "rep")
-    else:
-        candidates.append(all_pairs(large))  # what no pivot and no second band has thinned out
-    pairs = candidates[0]
-    for more in candidates[1:]:
-        pairs = pairs.unionByName(more)
-    out = compare(materialize(prune(materialize(pairs.distinct()), signed, threshold, bands)), docs, width, percent).select("a", "b")
-    for more in found:
-        out = out.unionByName(more)
-    return materialize(out.distinct())
+    bands = bands_for(percent / 100)
+    keys = labelled(signed.select("rep", F.explode("bands").alias("key")), None)
+    members = materialize(_counted(keys))
+    pairs, known = all_pairs(members.filter(F.col("n") <= SMALL)), None
+    large, turn = members.filter(F.col("n") > SMALL).select("key", "rep", F.lit(False).alias("core")), 0
+    crowd = materialize(large.select("rep").distinct())
+    ids = F.col("doc_id").cast("long")
+    texts = materialize(docs.select(ids.alias("doc_id"), "text").join(crowd, ids == F.col("rep"), "left_semi"))
+    signs = materialize(signed.join(crowd, "rep", "left_semi"))
+    while not large.isEmpty():
+        known, more, large = turn_of(large, known, texts, signs, width, percent, turn)
+        pairs, turn = pairs.unionByName(more), turn + 1
+    pairs = materialize(pairs.distinct())
+    pruned = materialize(prune(pairs, signed, percent / 100, bands))
+    out = compare(pruned, sieved(docs, pruned), width, percent).select("a", "b")
+    return materialize((out.unionByName(known) if known else out).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, by large-star and small-star steps.
 
-    A hub's neighbours never meet in a task: minima are summed up before the shuffle and
-    joined back.
+    A hub's neighbours never meet in a task: minima are summed up before the shuffle, and the
+    hubs' are joined back with their neighbours dealt out.
     """
-    edges = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct()
+    edges = materialize(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
+        met = join_hot(both, low, ["u"], "v", hot_keys(both, ["u"]))
+        large = materialize(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low, "u")  # each u has its neighbours' minima here, few ones
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u != v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -268,12 +384,14 @@ def near_dedup(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = materialize(signatures(docs, width, percent / 100))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = full.join(classes, "set_key").filter("doc_id = rep").select("rep", "signature", "bands").dropDuplicates(["rep"])
-    reps = materialize(reps)
-    roots = components(links(docs, reps, width, percent))
+    with scratch():
+        reps = full.withColumnRenamed("doc_id", "rep").join(classes.select("set_key", "rep"), ["rep", "set_key"], "left_semi")
+        reps = materialize(reps.select("rep", "set_key", "signature", "bands").dropDuplicates(["rep", "set_key"]).drop("set_key"))
+        edges = links(docs, reps, width, percent)
+        roots = kept_table(components(edges))
     total = signed.count()
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).filter("copies > 1 or root != rep").select("set_key", "root", "copies")
-    named = materialize(named)
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = materialize(named.filter("copies > 1 or root != rep").select("set_key", "root", "copies"))
     hot = F.col("copies") * HOT > total
     rows = signed.select("doc_id", "n_shingles", "set_key", (F.col("n_shingles") > 0).alias("full"))
     # at most HOT classes have more than 1/HOT of all rows: a proven bound for the broadcast
@@ -281,10 +399,13 @@ def near_dedup(docs: DataFrame, width: int, percent: int) -> DataFrame:
     cold = marked.filter("root is null").drop("root", "copies").join(named.filter(~hot), "set_key", "left")
     out = marked.filter("root is not null").unionByName(cold)
     component = F.when(F.col("full") & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of ``docs``, all columns, of the document that stays of each component."""
-    gone = near_dedup(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("id"))
-    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id")).join(materialize(gone), "id", "left_anti").select("doc.*")
+    found = near_dedup(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("id"))
+    told = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    return told.join(materialize(gone), "id", "left_anti").select("doc.*")

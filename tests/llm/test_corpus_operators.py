@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from memlake.llm import chat_format, exact_dedup, hmm_lm, near_dedup, packing
+from memlake.llm import chat_format, common, exact_dedup, hmm_lm, near_dedup, packing
 from memlake.llm.shingles import ascii_lower_words, jaccard, shingle_set
 from tests.llm.conftest import LONG, ROWS
 
@@ -162,6 +162,8 @@ def test_shingle_sets_are_sets_of_word_windows():
 def test_near_dedup_equals_brute_force(spark, monkeypatch):
     """A hub with variants at all distances, so that some link only through each other."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "FEW", 6)
+    monkeypatch.setattr(near_dedup, "HEAVY", 3)
     rng = random.Random(11)
     rows = []
     for family in range(3):
@@ -181,23 +183,75 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_links_that_miss_the_pivot_meet_in_prefixes(percent):
+def test_links_that_miss_the_pivot_meet_by_difference(spark, monkeypatch, percent):
+    """Each link but those of two in the pivot's component is a candidate or has a common group."""
+    monkeypatch.setattr(near_dedup, "HEAVY", 3)
     rng = np.random.default_rng(percent)
-    met = 0
-    for _ in range(4000):
-        pivot = np.arange(rng.integers(20, 60), dtype=np.uint64)
-        x = np.union1d(rng.choice(pivot, len(pivot) - rng.integers(0, 9), replace=False), rng.integers(100, 112, rng.integers(0, 8)).astype(np.uint64))
-        y = np.union1d(np.delete(x, rng.integers(0, len(x), rng.integers(0, 5))), rng.integers(100, 112, rng.integers(0, 4)).astype(np.uint64))
-        inter, union = jaccard(x, y)
-        with_pivot = jaccard(pivot, y)
-        if 100 * inter >= percent * union and 100 * with_pivot[0] < percent * with_pivot[1]:
-            any_n, _ = near_dedup.prefix_lengths(len(pivot), len(x), jaccard(pivot, x)[0], percent)
-            _, loose_n = near_dedup.prefix_lengths(len(pivot), len(y), with_pivot[0], percent)
-            order = rng.permutation(200)
-            first_x, first_y = (sorted(np.setxor1d(pivot, z).tolist(), key=lambda e: order[int(e)]) for z in (x, y))
-            assert set(first_x[:any_n]) & set(first_y[:loose_n])
-            met += 1
-    assert met > 100
+    pivot, sets = np.arange(100, dtype=np.int64), set()
+    while len(sets) < 250:
+        start = pivot if len(sets) < 60 or rng.random() < 0.4 else np.array(sorted(list(sets)[rng.integers(0, len(sets))]))
+        x = rng.choice(start, len(start) - rng.integers(0, 14), replace=False)
+        x = np.union1d(x, rng.integers(100, 130, rng.integers(0, 9)))
+        inter, union = jaccard(pivot, x)
+        if len(x) and 2 * inter >= union and inter < union:
+            sets.add(tuple(x.tolist()))
+    sets = [np.array(x) for x in sorted(sets)]
+    rows = []
+    for i, x in enumerate(sets):
+        inter, union = jaccard(pivot, x)
+        rows.append((-1, i, inter, len(pivot), len(x), np.setxor1d(pivot, x).tolist(), i if 100 * inter < percent * union else -1, 100 * inter < percent * union))
+    schema = "a bigint, b bigint, inter bigint, size_a bigint, size_b bigint, difference array<bigint>, label bigint, loose boolean"
+    pairs, groups = near_dedup.by_difference(spark.createDataFrame(rows, schema), percent)
+    pairs = {(r.a, r.b) for r in pairs.collect()}
+    keys = defaultdict(set)
+    for r in groups.collect():
+        keys[r.rep].add(r.key)
+        assert r.core != rows[r.rep][-1]
+    wanted = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            inter, union = jaccard(x, sets[j])
+            if 100 * inter >= percent * union and (rows[i][-1] or rows[j][-1]):
+                assert (j, i) in pairs or keys[i] & keys[j]
+                wanted += 1
+    assert wanted > 50 and keys and pairs
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_dedup_of_a_large_family(spark, monkeypatch, width, percent):
+    """2,000 documents around two centres and along chains, some of them copies."""
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    rng = random.Random(width)
+
+    def edited(words: list[str], most: int) -> list[str]:
+        words = list(words)
+        for _ in range(rng.randrange(1, most)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = [f"n{rng.randrange(400)}"] * rng.randrange(2)
+        return words
+
+    first = [f"w{i}" for i in range(150)]
+    second = [w if i % 25 else "second" for i, w in enumerate(first)]
+    texts = [first, second]
+    for i in range(1998):
+        texts.append(texts[-1] if i % 97 == 5 else edited(texts[-1], 3) if i % 5 == 4 and i > 1500 else edited(first if i % 2 else second, 12))
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, width, percent).collect()}
+    sets = [shingle_set(ascii_lower_words(t), width) for _, t in rows]
+    place = {e: k for k, e in enumerate(sorted({int(e) for x in sets for e in x}))}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for r, x in enumerate(sets):
+        held[r, [place[int(e)] for e in x]] = 1
+    inter = held @ held.T
+    size = held.sum(axis=1)
+    link = 100 * inter >= percent * (size[:, None] + size[None] - inter)
+    label, before = np.arange(len(sets)), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.where(link, before[None], len(sets)).min(axis=1)
+    assert got == dict(enumerate(label.tolist()))
+    assert 1 < len(set(got.values())) < len(rows)
 
 
 def test_near_dedup_of_odd_rows(spark, odd_docs, no_docs):
