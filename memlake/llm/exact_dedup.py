@@ -9,7 +9,8 @@ outside the history is never taken for a member. Digests outside it form their o
 Texts are equal when identical after lower-casing A-Z only; a null text counts as empty. Of
 equal texts the largest doc_id stays (null ids rank lowest). Each input row gives one output
 row, repeated rows too: they are copies, and every row carrying the id that stays is kept.
-An empty table gives an empty result. Columns beyond doc_id and text are not read.
+A very long text is hashed whole, in the JVM. An empty table gives an empty result, an empty
+history an index without rows. Columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -152,9 +153,10 @@ def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
     """
     rows = materialize(digest_rows(history).withColumn("old", F.lit(True)).unionByName(digest_rows(batch).withColumn("old", F.lit(False))))
     old = materialize(distinct_digests(rows.filter("old")))
-    buckets = max(1, math.ceil(old.count() / BUCKET_KEYS))
+    new = materialize(distinct_digests(rows.filter("not old")))
+    buckets = max(1, math.ceil(max(old.count(), new.count()) / BUCKET_KEYS))  # neither side's are large
     index = materialize(build_index(old, buckets))
-    groups = materialize(look_up(index, distinct_digests(rows.filter("not old")), buckets))
+    groups = materialize(look_up(index, new, buckets))
     total = rows.count()
     hot = F.col("group_size") * HOT > total
     # at most HOT groups have more than 1/HOT of all rows: a proven bound for the broadcast
