@@ -23,10 +23,15 @@ The steps, all of them over every document:
    spread thin) and sent back to the blocks in packed form.
 3. Each block turns its documents to class sequences with the sum of log10(c + 1/2).
 4. Baum-Welch: expected counts of starts, transitions and emissions are computed per
-   partition and summed by class; training sequences are runs of at most ``RUN_TOKENS`` tokens.
+   partition and summed by class, over whole documents.
 5. The scaled forward recursion gives each document's exact likelihood, over its whole length.
 
+Both recursions go through chunks of ``CHUNK_TOKENS`` tokens side by side. What a chunk of a
+longer document begins and ends with follows from the chunks' products of transitions and
+emissions, small matrices, so cutting changes nothing but the order of the work.
+
 Defined cases: rows are never merged, so repeated ones are scored and trained on repeatedly;
+a very long text is one sequence of one block;
 rows with a null doc_id belong to the training documents; with no training tokens the model is
 uniform over one unseen word, score and base_score being the same formula with zero counts;
 an empty table gives an empty result; columns beyond doc_id and text are not read.
@@ -53,7 +58,7 @@ TAIL_CLASSES = 2048
 BLOCK_TOKENS = 3_000_000
 STATES = 6
 ITERATIONS = 6
-RUN_TOKENS = 256
+CHUNK_TOKENS = 512
 #: Tokens that are taken through a recursion together.
 BATCH_TOKENS = 1 << 19
 #: A class's prior weight in each state, in tokens, spread by the classes' frequencies.
@@ -132,16 +137,23 @@ class Classes:
         return len(self.head) + zlib.crc32(word[-3:]) % TAIL_CLASSES if found is None else found
 
 
+_COUNTED = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("class", pa.int32()), ("distinct", pa.int64()), ("tokens", pa.int64())])
+
+
 def counts_by_block(vocabulary: DataFrame, classes: Classes) -> DataFrame:
-    """(block, words): packed (local number, class, count) of the blocks' words; block -1 gets
-    packed (class, distinct words, tokens) sums instead."""
+    """Packed (local number, class, count) of the blocks' words (block, words), and each task's
+    distinct words and tokens of a class (class, distinct, tokens), the other columns being null."""
     word = Window.partitionBy("word")
     counted = vocabulary.select("word", "block", "local", F.sum("n").over(word).alias("c"), F.row_number().over(word.orderBy("block")).alias("k"))
 
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        found = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _COUNTED]
+        return pa.RecordBatch.from_arrays(found, schema=_COUNTED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipped = Classes(classes.head)
-        distinct, tokens, cache = np.zeros(len(shipped), np.int64), np.zeros(len(shipped), np.int64), {}
-        schema = pa.schema([("block", pa.int64()), ("words", pa.binary())])
+        shipped, held = Classes(classes.head), {}
+        distinct, tokens = np.zeros(len(shipped), np.int64), np.zeros(len(shipped), np.int64)
         for batch in batches:
             words, block, local, c, k = (batch.column(i) for i in range(5))
             number = np.array([shipped.number(w) for w in words.to_pylist()], np.int64)
@@ -152,15 +164,17 @@ def counts_by_block(vocabulary: DataFrame, classes: Classes) -> DataFrame:
             packed = np.stack([local.astype(np.int64), number, c], axis=1)
             order = np.argsort(block, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                cache.setdefault(int(block[part[0]]), []).append(packed[part])
-            if sum(len(x) for parts in cache.values() for x in parts) > 1_000_000:
-                yield _arrow({"block": list(cache), "words": [_pack(np.concatenate(x)) for x in cache.values()]}, schema)
-                cache.clear()
+                if len(part):
+                    held.setdefault(int(block[part[0]]), []).append(packed[part])
+            if sum(len(x) for parts in held.values() for x in parts) > 1_000_000:
+                yield rows_of(block=list(held), words=[_pack(np.concatenate(x)) for x in held.values()])
+                held.clear()
+        if held:
+            yield rows_of(block=list(held), words=[_pack(np.concatenate(x)) for x in held.values()])
         some = np.flatnonzero(distinct)
-        cache[-1] = [np.stack([some, distinct[some], tokens[some]], axis=1)]
-        yield _arrow({"block": list(cache), "words": [_pack(np.concatenate(x)) for x in cache.values()]}, schema)
+        yield rows_of(**{"class": some, "distinct": distinct[some], "tokens": tokens[some]})
 
-    return counted.mapInArrow(run, "block bigint, words binary")
+    return counted.mapInArrow(run, "block bigint, words binary, class int, distinct bigint, tokens bigint")
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -179,17 +193,16 @@ _CODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_
 
 
 def _code(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents as class sequences; block -1's sums as one row without an id."""
+    """A block's documents as class sequences."""
     rows = np.concatenate([_unpack(x) for x in words.words]) if len(words) else np.empty((0, 3), np.int64)
-    if key[0] == -1:
-        return pd.DataFrame({"doc_id": pd.array([None], "Int64"), "held_out": pd.array([None], "boolean"), "n_tokens": -1, "n_known": 0, "log_counts": 0.0, "classes": [rows.astype("<i8").tobytes()]})
     number, c = np.zeros(len(rows), np.uint16), np.zeros(len(rows), np.int64)
     number[rows[:, 0]], c[rows[:, 0]] = rows[:, 1], rows[:, 2]
     log_c = np.log10(c + 0.5)
     ids = [np.frombuffer(x, np.int32) for x in docs.ids]
     return pd.DataFrame({
         "doc_id": docs.doc_id.astype("Int64"), "held_out": docs.held_out.astype("boolean"), "n_tokens": [len(x) for x in ids],
-        "n_known": [int((c[x] > 0).sum()) for x in ids], "log_counts": [float(log_c[x].sum()) for x in ids], "classes": [number[x].astype("<u2").tobytes() for x in ids],
+        "n_known": [int((c[x] > 0).sum()) for x in ids], "log_counts": [float(log_c[x].sum()) for x in ids],
+        "classes": [number[x].astype("<u2").tobytes() for x in ids],
     })
 
 
@@ -210,56 +223,100 @@ def initial(tokens: np.ndarray, states: int = STATES, seed: int = 7) -> Params:
 
 
 class Layout:
-    """Sequences side by side: all first tokens, then all second ones, and so on."""
+    """Chunks of sequences side by side, the longest first: all their first tokens, then all
+    second ones, and so on."""
 
     def __init__(self, sequences: list[np.ndarray]):
-        lengths = np.array([len(s) for s in sequences])
-        self.order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[self.order]
-        self.active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0))  # sequences longer than t
-        self.offset = np.concatenate([[0], np.cumsum(self.active)])
+        parts = [(i, j) for i, s in enumerate(sequences) for j in range(0, len(s), CHUNK_TOKENS)]
+        chunks = [sequences[i][j : j + CHUNK_TOKENS] for i, j in parts]
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lengths, owner = lengths[order], np.array([i for i, _ in parts], np.int64)[order]
+        self.active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0))  # chunks longer than t
+        self.offset = np.concatenate([[0], np.cumsum(self.active)]).astype(np.int64)
         at = self.offset[np.concatenate([np.arange(n) for n in lengths])] + np.repeat(np.arange(len(lengths)), lengths)
         self.classes, self.sequence = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        self.classes[at] = np.concatenate([sequences[i] for i in self.order])
-        self.sequence[at] = np.repeat(self.order, lengths)
-
-
-def forward(layout: Layout, p: Params, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Scales of all tokens, whose logs sum to a sequence's log likelihood, and, to ``keep``,
-    the scaled state chances."""
+        self.classes[at] = np.concatenate([chunks[i] for i in order])
+        self.sequence[at] = np.repeat(owner, lengths)
+        self.last = self.offset[lengths - 1] + np.arange(len(lengths))  # place of a chunk's last token
+        chain = np.array([rank[k - 1] if j else -1 for k, (_, j) in enumerate(parts)], np.int64)
+        self.before = chain[order]  # the chunk before, or -1
+        #: chunks of each sequence of several, in order
+        self.chains = [rank[k] for k in np.split(np.arange(len(parts)), np.flatnonzero(chain < 0)[1:]) if len(k) > 1]
+
+
+def carried(layout: Layout, p: Params, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each chunk begins with (chances of states before its first token, given all tokens
+    before it) and ends with (relative chances of all tokens after it, given its last state)."""
+    states, n = len(p.start), len(layout.before)
+    begin, end = np.tile(p.start, (n, 1)), np.ones((n, states))
+    if not layout.chains:
+        return begin, end
+    some = np.sort(np.concatenate(layout.chains))
+    product = np.eye(states) * b[some][:, None, :]
+    for t in range(1, len(layout.active)):
+        k = np.searchsorted(some, layout.active[t])
+        if not k:
+            break
+        longer = product[:k] @ p.move * b[layout.offset[t] + some[:k]][:, None, :]
+        product[:k] = longer / longer.max(axis=(1, 2), keepdims=True)
+    place = np.searchsorted(some, np.arange(n))
+    for chain in layout.chains:
+        x = p.start
+        for r in chain:
+            begin[r] = x
+            x = x @ product[place[r]]
+            x = x / x.sum() @ p.move
+        x = np.ones(states)
+        for r in chain[::-1]:
+            end[r] = x
+            x = product[place[r]] @ x
+            x = p.move @ (x / x.max())
+    return begin, end
+
+
+def forward(layout: Layout, p: Params, keep: bool) -> tuple[np.ndarray, np.ndarray | None, tuple]:
+    """Scales of all tokens, whose logs sum to a sequence's log likelihood, to ``keep`` the scaled
+    state chances, and what the chunks begin and end with."""
     b = p.emit[layout.classes]
+    begin, end = carried(layout, p, b)
     scales, kept = np.empty(len(b)), np.empty_like(b) if keep else None
     alpha = None
     for t, n in enumerate(layout.active.tolist()):
         o = layout.offset[t]
-        alpha = (p.start if alpha is None else alpha[:n] @ p.move) * b[o : o + n]
+        alpha = (begin[:n] if alpha is None else alpha[:n] @ p.move) * b[o : o + n]
         s = alpha.sum(axis=1)
         alpha /= s[:, None]
         scales[o : o + n] = s
         if keep:
             kept[o : o + n] = alpha
-    return scales, kept
+    return scales, kept, (begin, end)
 
 
 def expected(layout: Layout, p: Params) -> tuple[Params, float]:
     """Expected counts (not yet chances) of a batch of sequences, and its log likelihood."""
-    scales, alpha = forward(layout, p, True)
+    scales, alpha, (begin, end) = forward(layout, p, True)
     b, states = p.emit[layout.classes], len(p.start)
     gamma, moves = np.empty_like(alpha), np.zeros_like(p.move)
     beta = np.ones((0, states))
-    active = layout.active.tolist()
-    for t in range(len(active) - 1, -1, -1):
-        o, n = layout.offset[t], active[t]
-        if t + 1 < len(active):
-            o2, m = layout.offset[t + 1], active[t + 1]
+    active = [*layout.active.tolist(), 0]
+    for t in range(len(active) - 2, -1, -1):
+        o, n, m = layout.offset[t], active[t], active[t + 1]
+        closing = end[m:n] / (alpha[o + m : o + n] * end[m:n]).sum(axis=1, keepdims=True)
+        if m:
+            o2 = layout.offset[t + 1]
             after = b[o2 : o2 + m] * beta / scales[o2 : o2 + m, None]
             moves += alpha[o : o + m].T @ after
-            beta = np.concatenate([after @ p.move.T, np.ones((n - m, states))])
+            beta = np.concatenate([after @ p.move.T, closing])
         else:
-            beta = np.ones((n, states))
+            beta = closing
         gamma[o : o + n] = alpha[o : o + n] * beta
+    first, later = gamma[: active[0]], layout.before >= 0
+    moves += alpha[layout.last[layout.before[later]]].T @ (first[later] / begin[later])
     emit = np.stack([np.bincount(layout.classes, gamma[:, s], len(p.emit)) for s in range(states)], axis=1)
-    return Params(gamma[: active[0]].sum(axis=0), moves * p.move, emit), float(np.log10(scales).sum())
+    return Params(first[~later].sum(axis=0), moves * p.move, emit), float(np.log10(scales).sum())
 
 
 def _batches(batches: Iterator[pa.RecordBatch], of) -> Iterator[list]:
@@ -277,11 +334,6 @@ def _batches(batches: Iterator[pa.RecordBatch], of) -> Iterator[list]:
         yield out
 
 
-def _runs(row: dict) -> list[tuple]:
-    x = np.frombuffer(row["classes"], "<u2")
-    return [(None, x[i : i + RUN_TOKENS]) for i in range(0, len(x), RUN_TOKENS)]
-
-
 def step(coded: DataFrame, p: Params, tokens: np.ndarray) -> tuple[Params, float]:
     """One round of Baum-Welch over all training documents."""
     states, shipped = len(p.start), coded.sparkSession.sparkContext.broadcast(p)
@@ -289,7 +341,7 @@ def step(coded: DataFrame, p: Params, tokens: np.ndarray) -> tuple[Params, float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, total, log_p = shipped.value, None, 0.0
-        for items in _batches(batches, _runs):
+        for items in _batches(batches, lambda row: [(None, np.frombuffer(row["classes"], "<u2"))]):
             got, l = expected(Layout([x for _, x in items]), here)
             total = got if total is None else Params(total.start + got.start, total.move + got.move, total.emit + got.emit)
             log_p += l
@@ -318,13 +370,13 @@ def score_documents(docs: DataFrame, iterations: int = ITERATIONS, states: int =
     vocabulary = encoded.filter("kind = 1").select("block", "word", "local", "n", "block_n")
     classes = Classes.of(head_words(vocabulary))
     blocks = encoded.filter("kind = 0").select("block", "doc_id", "held_out", "ids")
-    coded = materialize(blocks.groupBy("block").cogroup(counts_by_block(vocabulary, classes).groupBy("block")).applyInPandas(_code, _CODED))
+    counted = materialize(counts_by_block(vocabulary, classes))
+    words = counted.filter("words is not null").select("block", "words")
+    coded = materialize(blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_code, _CODED))
     sums = np.zeros((len(classes), 2), np.int64)  # distinct words and tokens by class
-    for row in coded.filter("n_tokens = -1").select("classes").toLocalIterator():
-        k, distinct, tokens = np.frombuffer(row.classes, "<i8").reshape(-1, 3).T
-        np.add.at(sums, (k, 0), distinct)
-        np.add.at(sums, (k, 1), tokens)
-    coded = coded.filter("n_tokens >= 0")
+    by_class = counted.filter("class is not null").groupBy("class").agg(F.sum("distinct").alias("distinct"), F.sum("tokens").alias("tokens"))
+    for row in by_class.collect():  # a row per class
+        sums[row["class"]] = row["distinct"], row["tokens"]
     total, kinds, tokens = int(sums[:, 1].sum()), int(sums[:, 0].sum()), sums[:, 1].astype(float)
     p = initial(tokens, states)
     for _ in range(iterations if total else 0):
