@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns what stays of ``docs``, all columns; the last
 one returns the packed pieces. Stages are independent: each is written and read again before
 the next.
+
+Defined cases: null and empty texts have too few words and end at the first stage; very long
+texts go through whole; rows are never merged, so of repeated rows those that carry the id
+that stays all stay; rows with a null doc_id stay unless they are copies of one with an id (or
+of each other: then all stay, none being told from another); ties are those of the operators;
+extra columns, whatever their names, are kept to the last stage; empty tables give no pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import exact_dedup, language_id, near_dedup, packing, quality_rules
-from memlake.llm.common import materialize, table
+from memlake.llm.common import kept_table, scratch, table
 
 #: A document below this share for its likeliest language is in none of the learned ones.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -25,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_documents(docs, language_id.learn(docs), LEAST_LANGUAGE_SCORE)
+    return language_id.keep_documents(docs, LEAST_LANGUAGE_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch():  # a stage's own tables go once its result is written
+            docs = kept_table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,44 +1,55 @@
 """Language identification, word first with backoff to character n-grams.
 
 Words are runs of letters, lower-cased. From the training documents (text and a non-null
-language) come counts of words and of the words' character n-grams by language. A *known* word
-makes up at least 1/WORD_SHARE of some language's words; it scores the log of its smoothed
-frequency in each language. An unseen word is scored by its n-grams: at each position the
-longest known one of n = 5 to 1 counts, by the log of its smoothed frequency in each language;
-an n-gram is known if it makes up at least 1/GRAM_SHARE of the n-grams of its length in some
-language. So a model has at most WORD_SHARE words and 5 * GRAM_SHARE n-grams per language,
-whatever the corpus's size: that bound is what lets it go to every task.
-
-A document takes the language of the largest sum over its words; equal sums take the first
+language) come counts of words and of the words' character n-grams by language. Every word that
+a training document has is *known*: it scores the log of its smoothed frequency in each
+language. Another word is scored by its n-grams: at each position the longest known one of
+n = 5 to 1 counts, by the log of its smoothed frequency in each language; an n-gram is known if
+it makes up at least 1/GRAM_SHARE of the n-grams of its length in some language. So the n-gram
+model has at most 5 * GRAM_SHARE entries per language, whatever the corpus's size: that bound
+is what lets it go to every task. The words have no bound, and are joined by shuffles:
+
+1. Blocks of some hundred thousand tokens number their own words: documents as local numbers,
+   and (block, word, local number, count in each language's training documents).
+2. Counts are summed over the blocks by word (a word is one row per block, so a hot word is
+   spread thin), turned to scores and sent back to the blocks in packed form.
+3. Each block sums up its documents' scores.
+
+A document takes the language of the largest mean over its words; equal means take the first
 name. ``score`` is that language's share after normalising (softmax) the mean log frequencies
 times ``SHARPNESS``, which stands for the number of independent words.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0, as does every
-text when nothing can be learned; rows are never merged, so repeated ones give repeated
-results; columns beyond doc_id, text and lang are not read, and lang only where it trains.
+text when nothing can be learned; a very long text is read whole, in one block; rows are never
+merged, so repeated ones give repeated results; columns beyond doc_id, text and lang are not
+read, and lang only where it trains; an empty table gives an empty result. There is a column of
+counts for each learned language, so languages are expected to be some hundreds at most.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import materialize
+from memlake.llm.common import SALTS, materialize
+from memlake.llm.shingles import _mix
 
-WORD_SHARE = 1 << 14
 GRAM_SHARE = 1 << 14
 LONGEST = 5
 SHARPNESS = 8.0
-#: Bounds, in entries, of a task's counters between flushes and of a worker's word cache.
-FLUSH_WORDS = 200_000
-CACHE_WORDS = 200_000
+#: A block ends at that many tokens, or at that many counts (words times languages).
+BLOCK_TOKENS = 1_000_000
+BLOCK_COUNTS = 4_000_000
+#: Words that are taken apart together.
+WORDS_AT_ONCE = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN_LANGUAGE = "und"
 
@@ -47,191 +58,261 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def grams_of(word: str) -> Iterator[tuple[int, str]]:
-    """(n, n-gram) for all n-grams of the word between two boundary marks."""
-    spelled = f"<{word}>"
-    for n in range(1, LONGEST + 1):
-        for i in range(len(spelled) - n + 1):
-            yield n, spelled[i : i + n]
+def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
+    """Kind 0: documents (doc_id, digest) as local word numbers. Kind 1: a block's words and
+    their counts in the training documents (lang not null) of each language.
 
+    ``docs`` has doc_id, digest, text and lang.
+    """
+    at = {lang: i for i, lang in enumerate(languages)}
+    counts = [f"n{i}" for i in range(len(languages))]
+    fields = [("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary())]
+    fields += [("ids", pa.binary()), ("word", pa.string()), ("local", pa.int32())]
+    schema = pa.schema([*fields, *((name, pa.int64()) for name in counts)])
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(lang, word, n), summed in bounded counters before the shuffle."""
+    def batch_of(rows: int, **columns) -> pa.RecordBatch:
+        found = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(found, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        block, index, rows, tokens = TaskContext.get().partitionId() << 32, {}, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, found in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
-            counts.clear()
+            n, numbers = len(rows), {"kind": np.zeros(len(rows), np.int32), "block": np.full(len(rows), block)}
+            ids, names, keys = [r[3].tobytes() for r in rows], [r[0] for r in rows], [r[1] for r in rows]
+            yield batch_of(n, **numbers, doc_id=names, digest=keys, ids=ids)
+            words, sums = list(index), {}
+            for name, lang in zip(counts, languages):
+                trained = [r[3] for r in rows if r[2] == at[lang]]
+                sums[name] = np.bincount(np.concatenate(trained), minlength=len(index)) if trained else np.zeros(len(index), np.int64)
+            for i in range(0, len(words), WORDS_AT_ONCE):
+                some = words[i : i + WORDS_AT_ONCE]
+                numbers = {"kind": np.ones(len(some), np.int32), "block": np.full(len(some), block)}
+                part = {name: x[i : i + len(some)] for name, x in sums.items()}
+                yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)), **part)
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, counts.values())) > FLUSH_WORDS:
+            for doc_id, digest, text, lang in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = words_of(text)
+                ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))
+                rows.append((doc_id, digest, None if lang is None else at[lang], ids))
+                tokens += len(ids) + 1
+                if tokens >= BLOCK_TOKENS or len(index) * len(languages) >= BLOCK_COUNTS:
                     yield from flush()
-        yield from flush()
+                    block, index, rows, tokens = block + 1, {}, [], 0
+        if rows:
+            yield from flush()
+
+    names = "kind int, block bigint, doc_id bigint, digest binary, ids binary, word string, local int"
+    return docs.mapInArrow(run, ", ".join([names, *(f"{name} bigint" for name in counts)]))
+
 
-    parts = train.filter("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, word string, n bigint")
-    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+class Spelled:
+    """The characters of many words, each between two boundary marks, one after the other."""
 
+    def __init__(self, words: list[str]):
+        text = "".join([f"<{w}>" for w in words])
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.owner = np.repeat(np.arange(len(words)), lengths)
+        self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.codes))  # characters to the word's end
 
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, size, gram, n) from the counts of words, so each distinct word is taken apart once."""
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the n-grams of ``size`` characters and their 64-bit keys."""
+        places = np.flatnonzero(self.left >= size)
+        keys = np.full(len(places), size, np.uint64)
+        for i in range(size):
+            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + self.codes[places + i])
+        return places, keys.view(np.int64)
+
+
+def gram_counts(words: DataFrame, kinds: int) -> DataFrame:
+    """(size, gram, n0 ...) of the n-grams by key, from the distinct words' counts."""
+    names = [f"n{i}" for i in range(kinds)]
+    schema = pa.schema([("size", pa.int32()), ("gram", pa.int64()), *((name, pa.int64()) for name in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "gram", "n"])
-            counts.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            spelled = Spelled(table.column(0).to_pylist())
+            n = np.stack([table.column(1 + i).to_numpy() for i in range(kinds)])
+            for size in range(1, LONGEST + 1):
+                places, keys = spelled.grams(size)
+                some, which = np.unique(keys, return_inverse=True)
+                sums = [np.bincount(which, x[spelled.owner[places]], len(some)).astype(np.int64) for x in n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(some), size, np.int32), some, *sums)], schema=schema)
+            held.clear()
 
         for batch in batches:
-            for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for size, gram in grams_of(word):
-                    counts[lang, size, gram] += n
-                if len(counts) > FLUSH_WORDS:
-                    yield flush()
-        if counts:
-            yield flush()
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= WORDS_AT_ONCE:
+                yield from flush()
+        if sum(b.num_rows for b in held):
+            yield from flush()
+
+    parts = words.mapInArrow(run, ", ".join(["size int, gram bigint", *(f"{name} bigint" for name in names)]))
+    return parts.groupBy("size", "gram").agg(*(F.sum(name).alias(name) for name in names))
 
-    return words.mapInArrow(run, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
+def log_shares(n: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Logs of (n + 1/2) / (total + (kinds + 1) / 2), a column per language."""
+    return np.log((n + 0.5) / (totals + 0.5 * (kinds + 1)))
 
+
+@dataclass(frozen=True)
 class Model:
-    """Log frequencies by language (in name order) of known words and n-grams."""
-
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], floor: np.ndarray):
-        self.languages, self.words, self.grams, self.floor = languages, words, grams, floor
-        # rows of one matrix, the last for positions without a known n-gram
-        self._gram_row = {g: i for i, g in enumerate(grams)}
-        self._gram_values = np.array([*grams.values(), floor], float).reshape(len(grams) + 1, -1)
-        # words met so far: their rows in a bounded matrix
-        self._row: dict[str, int] = {}
-        self._values = np.empty((0, len(languages)))
-
-    def parts(self) -> tuple:
-        return self.languages, self.words, self.grams, self.floor
-
-    def gram_rows(self, word: str) -> list[int]:
-        """The longest known n-gram at each position."""
-        spelled, get = f"<{word}>", self._gram_row.get
-        end, rows = len(spelled), []
-        for i in range(end - 1):
-            for stop in range(min(i + LONGEST, end), i, -1):
-                row = get(spelled[i:stop])
-                if row is not None:
-                    rows.append(row)
-                    break
-            else:
-                rows.append(-1)
-        return rows
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; an unseen one backs off at each of its positions."""
-        known = self.words.get(word)
-        return self._gram_values[self.gram_rows(word)].mean(axis=0) if known is None else known
-
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the matrix; unseen ones are summed up together."""
-        row, first = self._row, len(self._row)
-        if first + len(words) > len(self._values):
-            self._values = np.concatenate([self._values, np.empty((max(4096, len(words), len(self._values)), len(self.languages)))])
-        rows, starts, places = [], [], []
-        for w in words:
-            if w in row:
-                continue
-            at = row[w] = len(row)
-            known = self.words.get(w)
-            if known is not None:
-                self._values[at] = known
+    """Languages in name order, the totals of words, and the known n-grams: keys of each size in
+    order, with log frequencies by language; ``floor`` stands for a position without any."""
+
+    languages: list[str]
+    totals: np.ndarray
+    kinds: np.ndarray
+    keys: list[np.ndarray]
+    values: list[np.ndarray]
+    floor: np.ndarray
+
+    def known(self, n: np.ndarray) -> np.ndarray:
+        """Scores of words with counts ``n`` by language."""
+        return log_shares(n, self.totals, self.kinds)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by the longest known n-gram at each position but the last."""
+        spelled = Spelled(words)
+        scores = np.tile(self.floor, (len(spelled.codes), 1))
+        open_ = np.ones(len(spelled.codes), bool)
+        for size in range(LONGEST, 0, -1):
+            keys, values = self.keys[size - 1], self.values[size - 1]
+            if not len(keys):
                 continue
-            starts.append(len(rows))
-            rows += self.gram_rows(w)
-            places.append(at)
-        if places:
-            sums = np.add.reduceat(self._gram_values[rows], starts, axis=0)
-            self._values[places] = sums / np.diff([*starts, len(rows)])[:, None]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNKNOWN_LANGUAGE, 0.0
-        if len(self._row) > CACHE_WORDS:
-            self._row = {}
-        row = self._row
-        new = [w for w in words if w not in row]
-        if new:
-            self._learn(new)
-        mean = self._values[[row[w] for w in words]].mean(axis=0)
-        best = int(np.argmax(mean))
-        return self.languages[best], float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum())
-
-
-def _known(counts: DataFrame, key: list[str], share: int) -> DataFrame:
-    """Entries that make up at least 1/share of a language's total (of its size), in all
-    languages: (key, lang, n, total, kinds)."""
-    by = ["lang", *(["size"] if "size" in key else [])]
-    totals = counts.groupBy(by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    shared = counts.join(F.broadcast(totals), by)  # one row per language, and size
-    known = shared.filter(F.col("n") * share >= F.col("total")).select(key).distinct()
-    return shared.join(known, key)
-
-
-def learn(train: DataFrame) -> Model:
-    """The model of the training documents' text and lang; its size is bounded, see above."""
-    counts = materialize(word_counts(train))
-    words = _known(counts, ["word"], WORD_SHARE).toPandas()
-    grams = _known(materialize(gram_counts(counts)), ["size", "gram"], GRAM_SHARE).toPandas()
-    languages = sorted(words.lang.unique())
-    at = {lang: i for i, lang in enumerate(languages)}
-
-    def table(rows, key: str) -> dict[str, np.ndarray]:
-        """log10((n + 0.5) / (total + 0.5 * (kinds + 1))) of each language."""
-        out: dict[str, np.ndarray] = {}
-        if not len(rows):
-            return out
-        sizes = rows["size"] if "size" in rows else rows.n * 0
-        for _, part in rows.groupby(sizes):
-            bottom = np.ones(len(languages))
-            for lang, total, kinds in part[["lang", "total", "kinds"]].drop_duplicates().itertuples(index=False):
-                bottom[at[lang]] = total + 0.5 * (kinds + 1)
-            for name, lang, n in zip(part[key], part.lang, part.n):
-                if name not in out:
-                    out[name] = np.log(0.5 / bottom)
-                out[name][at[lang]] = np.log((n + 0.5) / bottom[at[lang]])
-        return out
-
-    known = table(grams, "gram")
-    floor = np.min(list(known.values()), axis=0) if known else np.zeros(len(languages))
-    return Model(languages, table(words, "word"), known, np.full(len(languages), floor.min() if len(floor) else 0.0))
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every whole text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
+            places, found = spelled.grams(size)
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            hit = (keys[at] == found) & open_[places]
+            scores[places[hit]] = values[at[hit]]
+            open_[places[hit]] = False
+        inner = spelled.left > 1
+        sums = np.stack([np.bincount(spelled.owner[inner], x[inner], len(words)) for x in scores.T], axis=1)
+        return sums / np.bincount(spelled.owner[inner], minlength=len(words))[:, None]
+
+
+def learn(words: DataFrame, languages: list[str]) -> Model:
+    """The model of distinct words with their counts; what comes to the driver is bounded, see above."""
+    k = range(len(languages))
+    sums = [x for i in k for x in (F.sum(f"n{i}").alias(f"t{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}"))]
+
+    def of(row, name: str) -> np.ndarray:
+        return np.array([row[f"{name}{i}"] or 0 if row else 0 for i in k], float)
+
+    whole = words.agg(*sums).first() if languages else None
+    grams = materialize(gram_counts(words, len(languages))) if languages else None
+    by_size = {r["size"]: r for r in grams.groupBy("size").agg(*sums).collect()} if languages else {}
+    keys, values = [], []
+    for size in range(1, LONGEST + 1):
+        row = by_size.get(size)
+        totals, kinds = of(row, "t"), of(row, "k")
+        if row is None:
+            keys.append(np.empty(0, np.int64))
+            values.append(np.empty((0, len(languages))))
+            continue
+        often = [(F.col(f"n{i}") > 0) & (F.col(f"n{i}") * GRAM_SHARE >= int(totals[i])) for i in k]
+        known = grams.filter((F.col("size") == size) & F.greatest(F.lit(False), F.lit(False), *often)).toPandas().sort_values("gram")
+        keys.append(known.gram.to_numpy(np.int64))
+        values.append(log_shares(known[[f"n{i}" for i in k]].to_numpy(float), totals, kinds))
+    least = min((v.min() for v in values if len(v)), default=0.0)
+    return Model(languages, of(whole, "t"), of(whole, "k"), keys, values, np.full(len(languages), least))
+
+
+def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
+    """(block, words): packed local numbers and scores of the words (word, block, local, n0 ...)."""
+    shipped = words.sparkSession.sparkContext.broadcast(model)  # bounded, see above
+    schema = pa.schema([("block", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Model(*shipped.value)
-        for batch in batches:
-            found = [here.predict(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
-
+        here, held, rows = shipped.value, {}, 0
+        record = np.dtype([("local", "<i4"), ("score", "<f4", (len(here.languages),))])
 
-def keep_documents(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns, in a language of the model with ``least_score``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b"".join(x) for x in held.values()], pa.binary())], schema=schema)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        here = Model(*shipped.value)
-        for text in texts:
-            yield pd.Series([here.predict(x)[1] for x in text], dtype="float64")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = np.stack([batch.column(3 + i).to_numpy() for i in range(len(here.languages))], axis=1)
+            packed = np.empty(batch.num_rows, record)
+            packed["local"] = batch.column(2).to_numpy()
+            packed["score"] = here.known(n)
+            new = np.flatnonzero(~n.any(axis=1))
+            if len(new):
+                packed["score"][new] = here.unseen(batch.column(0).take(pa.array(new)).to_pylist())
+            block = batch.column(1).to_numpy()
+            order = np.argsort(block, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                held.setdefault(int(block[part[0]]), []).append(packed[part].tobytes())
+            rows += batch.num_rows
+            if rows > 1_000_000:
+                yield flush()
+                held, rows = {}, 0
+        if held:
+            yield flush()
 
-    scored = docs.select(F.struct("*").alias("doc"), score.asNondeterministic()("text").alias("score"))
-    return scored.filter(F.col("score") >= least_score).select("doc.*")
+    return words.mapInArrow(run, "block bigint, words binary")
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, lang_pred and score of every whole text of ``docs`` (doc_id, digest, text,
+    lang), learned from the rows whose lang is not null."""
+    trained = docs.filter("text is not null and lang is not null")
+    languages = sorted(r.lang for r in trained.select("lang").distinct().collect())  # a row per language
+    encoded = materialize(encode_blocks(docs.select("doc_id", "digest", "text", F.when(F.col("text").isNotNull(), F.col("lang"))), languages), ["kind"])
+    counts = [f"n{i}" for i in range(len(languages))]
+    rows = encoded.filter("kind = 1").select("word", "block", "local", *counts)
+    found = F.greatest(F.lit(0), F.lit(0), *counts) > 0
+    distinct = materialize(rows.filter(found).groupBy("word").agg(*(F.sum(c).alias(c) for c in counts))) if languages else rows
+    model = learn(distinct, languages)
+    summed = [F.sum(c).over(Window.partitionBy("word")).alias(c) for c in counts]
+    packed = _scores_by_block(rows.select("word", "block", "local", *summed), model) if languages else None
+
+    def sum_up(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        record = np.dtype([("local", "<i4"), ("score", "<f4", (len(languages),))])
+        read = np.concatenate([np.frombuffer(x, record) for x in words.words]) if len(words) else np.empty(0, record)
+        table = np.empty((len(read), len(languages)))
+        table[read["local"]] = read["score"]
+        names, shares = [], []
+        for raw in texts.ids:
+            ids = np.frombuffer(raw, np.int32)
+            if not len(ids):
+                names.append(UNKNOWN_LANGUAGE)
+                shares.append(0.0)
+                continue
+            mean = table[ids].mean(axis=0)
+            best = int(np.argmax(mean))
+            names.append(languages[best])
+            shares.append(float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum()))
+        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "digest": texts.digest, "lang_pred": names, "score": shares})
+
+    texts = encoded.filter("kind = 0").select("block", "doc_id", "digest", "ids")
+    if not languages:
+        return texts.select("doc_id", "digest", F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = "doc_id bigint, digest binary, lang_pred string, score double"
+    return texts.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(sum_up, schema)
+
+
+def predict(docs: DataFrame, trains: Column) -> DataFrame:
+    """doc_id, lang_pred and score of every whole text, learned from the rows that ``trains``."""
+    lang = F.when(trains, F.col("lang").cast("string")).alias("lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "text", lang)
+    return scores(rows).drop("digest")
+
+
+def keep_documents(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has ``least_score`` for a language of the
+    table's own; rows are told apart by text, on which alone the score depends."""
+    digest = F.unhex(F.sha2(F.col("text"), 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text", F.col("lang").cast("string").alias("lang"))
+    gone = materialize(scores(rows).filter(F.col("digest").isNotNull() & (F.col("score") < least_score)).select("digest").distinct())
+    # a text may have many copies, so they are dealt into parts
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part")
+    told = docs.select(F.struct("*").alias("doc"), digest.alias("digest"), part).filter(F.col("digest").isNotNull())
+    parts = gone.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"))
+    return told.join(parts, ["digest", "part"], "left_anti").select("doc.*")
