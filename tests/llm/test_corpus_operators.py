@@ -128,6 +128,23 @@ def test_exact_dedup_equals_grouping(spark, odd_docs, no_docs, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 3, 4, 6, 7, 7, 9, 10, 11]
 
 
+def test_exact_dedup_with_an_empty_history_and_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 500)
+    rows = spark.range(100_000).selectExpr("id as doc_id", "concat('text ', cast(id % 60000 as string)) as text")
+    sizes = []
+    look_up = exact_dedup.look_up
+
+    def seen(index, distinct, buckets):
+        sizes.append(exact_dedup.with_bucket(distinct, buckets).groupBy("bucket").count().agg({"count": "max"}).first()[0])
+        return look_up(index, distinct, buckets)
+
+    monkeypatch.setattr(exact_dedup, "look_up", seen)
+    got = exact_dedup.exact_dedup(rows.limit(0), rows)
+    assert got.filter("kept").count() == 60_000 and got.filter("group_size = 2").count() == 80_000
+    assert got.filter("keep_id % 60000 <> doc_id % 60000 or keep_id < doc_id or in_history").count() == 0
+    assert sizes[0] < 800
+
+
 def test_exact_copies_without_an_id_go(spark):
     rows = [(1, "Same"), (None, "same"), (None, "SAME"), (4, "same"), (None, "only here"), (None, "Only here"), (None, None), (7, "")]
     kept = exact_dedup.keep_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
@@ -279,7 +296,7 @@ def dense_log10(classes: list[int], p) -> float:
     alpha = p.start * p.emit[classes[0]]
     for k in classes[1:]:
         alpha = alpha @ p.move * p.emit[k]
-    return math.log10(alpha.sum())
+    return float(np.log10(alpha.sum()))
 
 
 def test_forward_recursion_is_exact_and_training_improves():
@@ -287,7 +304,7 @@ def test_forward_recursion_is_exact_and_training_improves():
     p = hmm_lm.initial(np.arange(1, 8, dtype=float), 3)
     sequences = [rng.integers(0, 7, n) for n in (1, 5, 12, 30, 2)]
     layout = hmm_lm.Layout(sequences)
-    scales, _ = hmm_lm.forward(layout, p, False)
+    scales = hmm_lm.forward(layout, p, False)[0]
     got = np.bincount(layout.sequence, np.log10(scales))
     assert got == pytest.approx([dense_log10(list(s), p) for s in sequences])
     last = -math.inf
@@ -298,6 +315,85 @@ def test_forward_recursion_is_exact_and_training_improves():
         p = hmm_lm.Params(counts.start / counts.start.sum(), counts.move / counts.move.sum(axis=1, keepdims=True), counts.emit / counts.emit.sum(axis=0))
 
 
+def test_cutting_sequences_into_chunks_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = hmm_lm.initial(np.arange(1, 30, dtype=float), 4)
+    sequences = [rng.integers(0, 29, n) for n in (1, 7, 8, 9, 40, 16, 33, 3)]
+    whole = hmm_lm.Layout(sequences)
+    want, log_p = hmm_lm.expected(whole, p)
+    scores = np.bincount(whole.sequence, np.log10(hmm_lm.forward(whole, p, False)[0]))
+    for length in (1, 4, 8):
+        monkeypatch.setattr(hmm_lm, "CHUNK_TOKENS", length)
+        layout = hmm_lm.Layout(sequences)
+        got, cut_p = hmm_lm.expected(layout, p)
+        assert cut_p == pytest.approx(log_p)
+        for part in ("start", "move", "emit"):
+            assert getattr(got, part) == pytest.approx(getattr(want, part))
+        assert np.bincount(layout.sequence, np.log10(hmm_lm.forward(layout, p, False)[0])) == pytest.approx(scores)
+
+
+def wide(p):
+    """In numbers that hold a long document's likelihood unscaled."""
+    return hmm_lm.Params(*(x.astype(np.longdouble) for x in (p.start, p.move, p.emit)))
+
+
+def dense_model(rows: list[tuple], states: int, share: int) -> dict:
+    """Training and scores by one dense recursion per document; rows of (id, text, held_out)."""
+    words = [[*ascii_lower_words(text), b""] for _, text, _ in rows]
+    counts = Counter(w for found, (_, _, held) in zip(words, rows) if not held for w in found)
+    total = sum(counts.values())
+    head = {b"": 0} | {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if w and n * share >= total), 1)}
+    classes = len(head) + hmm_lm.TAIL_CLASSES
+
+    def number(w: bytes) -> int:
+        return head[w] if w in head else len(head) + zlib.crc32(w[-3:]) % hmm_lm.TAIL_CLASSES
+
+    tokens, kinds = np.zeros(classes), np.zeros(classes)
+    for w, n in counts.items():
+        tokens[number(w)] += n
+        kinds[number(w)] += 1
+    p = hmm_lm.initial(tokens, states)
+    coded = [[number(w) for w in found] for found in words]
+    for _ in range(hmm_lm.ITERATIONS):
+        p = wide(p)
+        start, move, emit = (np.zeros(n, np.longdouble) for n in (states, (states, states), (classes, states)))
+        for ks, (_, _, held) in zip(coded, rows):
+            if held:
+                continue
+            alpha, beta = [p.start * p.emit[ks[0]]], [np.ones(states)]
+            for k in ks[1:]:
+                alpha.append(alpha[-1] @ p.move * p.emit[k])
+            for k in ks[:0:-1]:
+                beta.append(p.move @ (p.emit[k] * beta[-1]))
+            beta, whole = beta[::-1], alpha[-1].sum()
+            for t, k in enumerate(ks):
+                emit[k] += alpha[t] * beta[t] / whole
+                if t:
+                    move += np.outer(alpha[t - 1], p.emit[k] * beta[t]) * p.move / whole
+            start += alpha[0] * beta[0] / whole
+        share_of = (tokens + 0.5) / (tokens + 0.5).sum()
+        emit, start, move = emit + hmm_lm.PRIOR * share_of[:, None], start + 0.1, move + 0.1
+        p = hmm_lm.Params(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    out = {}
+    for ks, found, (i, _, _) in zip(coded, words, rows):
+        room = sum(math.log10((counts[w] + 0.5) / (tokens[k] + 0.5 if k < len(head) else tokens[k] + 0.5 * (kinds[k] + 1))) for w, k in zip(found, ks))
+        out[i] = dense_log10(ks, wide(p)) + room
+    return out
+
+
+def test_language_model_score_equals_a_dense_model(spark, odd_docs, monkeypatch):
+    """The query's score from text, trained on documents longer than a chunk and over many blocks."""
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 600)
+    monkeypatch.setattr(hmm_lm, "HEAD_SHARE", 64)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.choice('abcd')}{rng.randrange(1 + i % 30)}" for _ in range(rng.randrange(60) if i % 10 else 250 + 10 * i)), i % 4 == 1) for i in range(60)]
+    rows += [(900, None, False), (901, "never seen", True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(3)
+    got = {r.doc_id: r.score for r in hmm_lm.score_documents(docs, states=3).collect()}
+    want = dense_model(rows, 3, 64)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+
+
 def test_language_model_scores(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 50)
     rng = random.Random(4)

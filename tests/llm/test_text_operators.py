@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
+import __spark_entry__
 from memlake.llm import bpe, language_id, quality_rules, token_count, toxicity
 from tests.llm.conftest import LONG, ROWS
 
@@ -142,32 +146,101 @@ def test_toxicity_orders_severity(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).collect() == []
 
 
-def test_language_id(spark, odd_docs, no_docs):
-    train = spark.createDataFrame([("der hund und die katze " * 30, "de"), ("le chien et le chat " * 30, "fr"), ("the dog and the cat " * 30, "en"), (None, "en"), ("x", None)], "text string, lang string")
-    model = language_id.learn(train)
-    assert model.languages == ["de", "en", "fr"]
-    assert model.predict("und die hunde")[0] == "de" and model.predict("chiens et chats")[0] == "fr" and model.predict("dogs and cats")[0] == "en"
-    assert model.predict("12 !?") == ("und", 0.0) == model.predict(None)
-    got = language_id.predict(odd_docs, model).collect()
-    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
-    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
-    assert language_id.predict(no_docs, model).collect() == []
-    untaught = language_id.learn(train.limit(0))
-    assert {r.lang_pred for r in language_id.predict(odd_docs, untaught).collect()} == {"und"}
-    assert language_id.keep_documents(odd_docs, model, 0.4).columns == odd_docs.columns
-
-
-def test_language_id_backs_off_to_the_longest_known_grams():
-    model = language_id.Model(["a", "b"], {}, {"xy": np.array([-1.0, -5.0]), "x": np.array([-9.0, -1.0]), "y": np.array([-2.0, -2.0])}, np.array([-10.0, -10.0]))
-    # positions of "<xy>": "<" unknown, "xy" known at x, "y" at y
-    assert model.word("xy") == pytest.approx((np.array([-10.0, -10.0]) + [-1, -5] + [-2, -2]) / 3)
-
-
-def test_language_id_scores_words_alike_alone_and_together():
-    rng = random.Random(9)
-    grams = {"".join(rng.choice("abc<>") for _ in range(rng.randint(1, 4))): np.array([rng.random(), rng.random()]) for _ in range(60)}
-    model = language_id.Model(["x", "y"], {"abc": np.array([-1.0, -2.0])}, grams, np.array([-9.0, -9.0]))
-    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(50)] + ["abc", "abc"]
-    mean = np.mean([model.word(w) for w in words], axis=0)
-    lang, score = model.predict(" ".join(words))
-    assert lang == model.languages[int(mean.argmax())] and score == pytest.approx(1 / np.exp(language_id.SHARPNESS * (mean - mean.max())).sum())
+def brute_languages(rows: list[tuple]) -> dict:
+    """The method with plain dictionaries; rows of (id, text, lang or None where it does not train)."""
+    words = defaultdict(Counter)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            words[lang].update(language_id.words_of(text))
+    languages = sorted({lang for _, text, lang in rows if text is not None and lang is not None})
+    grams = {lang: defaultdict(Counter) for lang in languages}
+    for lang in languages:
+        for word, n in words[lang].items():
+            spelled = f"<{word}>"
+            for size in range(1, 6):
+                for i in range(len(spelled) - size + 1):
+                    grams[lang][size][spelled[i : i + size]] += n
+
+    def shares(counts: list[Counter], key: str) -> np.ndarray:
+        return np.array([math.log((c[key] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))) for c in counts])
+
+    known = {}
+    for size in range(1, 6):
+        counts = [grams[lang][size] for lang in languages]
+        for c in counts:
+            total = sum(c.values())
+            known.update({g: shares(counts, g) for g, n in c.items() if n * language_id.GRAM_SHARE >= total and g not in known})
+    floor = np.full(len(languages), min((v.min() for v in known.values()), default=0.0))
+
+    def score(word: str) -> np.ndarray:
+        if any(words[lang][word] for lang in languages):
+            return shares([words[lang] for lang in languages], word)
+        spelled, found = f"<{word}>", []
+        for i in range(len(spelled) - 1):
+            fits = [spelled[i:j] for j in range(min(i + 5, len(spelled)), i, -1) if spelled[i:j] in known]
+            found.append(known[fits[0]] if fits else floor)
+        return np.mean(found, axis=0)
+
+    scored, out = {}, []
+    for i, text, _ in rows:
+        found = language_id.words_of(text)
+        if not found or not languages:
+            out.append((i, "und", 0.0))
+            continue
+        for w in found:
+            if w not in scored:
+                scored[w] = score(w)
+        mean = np.mean([scored[w] for w in found], axis=0)
+        best = int(mean.argmax())
+        out.append((i, languages[best], 1 / np.exp(language_id.SHARPNESS * (mean - mean[best])).sum()))
+    return out
+
+
+def same_languages(got, want) -> None:
+    def by(r):
+        return (r[0] is None, r[0] or 0, r[2])
+
+    got, want = sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=by), sorted(want, key=by)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
+
+
+def test_language_id_of_whole_tables_equals_brute_force(spark, monkeypatch):
+    """The registered query; small blocks, and a short gram model so that backoff shows."""
+    monkeypatch.setattr(language_id, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 500)
+    monkeypatch.setattr(language_id, "GRAM_SHARE", 400)
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    got = __spark_entry__.queries()["op10_language_id"](spark, sf)
+    assert {"doc_id", "held_out", "lang_pred", "score"} <= set(got.columns)
+    got = got.collect()
+    assert all(r.held_out == held[r.doc_id] for r in got)
+    same_languages(got, brute_languages([(i, text, None if held[i] else lang) for i, text, lang in rows]))
+    langs = {i: lang for i, _, lang in rows}
+    right = [r.lang_pred == langs[r.doc_id] for r in got if r.held_out and langs[r.doc_id] and r.lang_pred != "und"]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_language_id_of_odd_rows(spark, odd_docs, no_docs):
+    taught = [("der hund und die katze " * 30, "de"), ("le chien et le chat " * 30, "fr"), ("the dog and the cat " * 30, "en"), (None, "xx"), ("x", None)]
+    asked = [("und die hunde", "de"), ("chiens et chats", "fr"), ("dogs and cats", "en"), ("12 !?", "und"), (None, "und")]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(taught)] + [(100 + i, text, None) for i, (text, _) in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.predict(docs, F.lit(True)).collect()
+    same_languages(got, brute_languages(rows))
+    named = {r.doc_id: r.lang_pred for r in got}
+    assert [named[100 + i] for i in range(len(asked))] == [lang for _, lang in asked]
+    same_languages(language_id.predict(odd_docs, F.lit(True)).collect(), brute_languages(ROWS))
+    assert language_id.predict(no_docs, F.lit(True)).collect() == []
+    assert {r.lang_pred for r in language_id.predict(odd_docs, F.lit(False)).collect()} == {"und"}
+    kept = language_id.keep_documents(odd_docs, 0.4)
+    want = Counter(i for i, _, score in brute_languages(ROWS) if score >= 0.4)
+    assert kept.columns == odd_docs.columns and Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_equal_language_sums_take_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (3, "same", None)], "doc_id bigint, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in language_id.predict(docs, F.lit(True)).collect()} == {("a", 0.5)}
