@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -37,30 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
+#: Rows that a task of a table of known size takes at least.
+ROWS_OF_TASK = 2000
 #: Folders written since the innermost ``scratch()`` began, one list for each that is open.
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor never makes the work before it run again, and readers
     get the same rows in the same files each time. Inside ``scratch()`` the table goes when the
-    block ends.
+    block ends. ``rows``, a bound of the table's size where one is known, spares a small table
+    more tasks and files than it fills.
     """
     spark, path = df.sparkSession, os.path.join(shared_dir(df.sparkSession), f"memlake-{uuid.uuid4().hex}")
     if _OPEN:
         _OPEN[-1].append((spark, path))
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / ROWS_OF_TASK)))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_table(df: DataFrame) -> DataFrame:
+def kept_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``materialize`` for the result of a ``scratch()`` block: the table stays."""
     outer = _OPEN.pop() if _OPEN else None
     try:
-        return materialize(df)
+        return materialize(df, rows=rows)
     finally:
         if outer is not None:
             _OPEN.append(outer)

@@ -45,7 +45,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ MISS = 1e-6
 STEP = 20
 #: Buckets up to this size give all their pairs, and groups left after a turn up to that size.
 SMALL = 16
-FEW = 48
+FEW = 128
 #: Keys of differences that more documents than that share on both sides become groups.
 HEAVY = 256
 #: Similarity to a pivot from which a document is judged by its difference to it.
@@ -131,13 +131,13 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
-def prune(pairs: DataFrame, signed: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """The pairs (a, b), a written table, that sequential verification does not drop."""
+def prune(pairs: DataFrame, hot: DataFrame | None, signed: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """The pairs (a, b) that sequential verification does not drop; ``hot`` are their hot keys by a."""
     steps = least_matches(threshold, bands * ROWS)
     side_a = signed.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
     side_b = signed.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
     met = pairs.select("a", "b").join(side_b, "b")
-    both = join_hot(met, side_a, ["a"], "b", hot_keys(pairs, ["a"])).select("a", "b", "sig_a", "sig_b")
+    both = join_hot(met, side_a, ["a"], "b", hot).select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +165,13 @@ def sieved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(some), "sieve", "left_semi").drop("sieve")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, near: float | None = None) -> DataFrame:
-    """Exact set sizes of the pairs (a, b), a written table, that link: a, b, inter, size_a, size_b.
-    With ``near`` those of that similarity or more, with b's difference to a."""
+def compare(
+    pairs: DataFrame, hot: DataFrame | None, texts: DataFrame, width: int, percent: int, near: float | None = None
+) -> DataFrame:
+    """Exact set sizes of the pairs (a, b) that link: a, b, inter, size_a, size_b. With ``near`` those of that similarity or more, with b's difference to a."""
     met = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     side_a = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
-    rows = join_hot(met, side_a, ["a"], "b", hot_keys(pairs, ["a"])).select("a", "b", "text_a", "text_b")
+    rows = join_hot(met, side_a, ["a"], "b", hot).select("a", "b", "text_a", "text_b")
     names = ["a", "b", "inter", "size_a", "size_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,50 +283,67 @@ def by_difference(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), groups
 
 
-def with_pivots(groups: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """Up to ``count`` pivots of each group (key, pivot), and every other member's meetings with
-    them (key, rep, core, pivot). Members outside the core go first, then those in most groups."""
+def with_pivots(groups: DataFrame, count: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Up to ``count`` pivots of each group (key, pivot), and, given them, every other member's
+    meetings with them (key, rep, core, pivot). Members outside the core go first, then those in
+    most groups."""
     reach = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("reach"))
     slot = F.pmod(F.xxhash64("rep"), F.lit(count)).alias("slot")
     first = F.struct(~F.col("core"), "reach", -F.col("rep"))
     pivots = groups.join(reach, "rep").groupBy("key", slot).agg(F.max_by("rep", first).alias("pivot")).select("key", "pivot")
-    return pivots, groups.join(pivots, "key").filter("rep != pivot")
+    return pivots, lambda chosen: groups.join(chosen, "key").filter("rep != pivot")
 
 
-def with_labels(near: DataFrame, labels: DataFrame) -> DataFrame:
-    """``near`` with the label of b, and whether a has another one."""
-    rows = materialize(labelled(near.withColumnRenamed("b", "rep"), labels).withColumnRenamed("rep", "b"))
-    own = F.max(F.when(F.col("links"), F.col("label")))  # one of those that link with a has a's label
-    hubs = rows.groupBy("a").agg(F.coalesce(own, F.col("a")).alias("hub_label"))
-    met = join_hot(rows, hubs, ["a"], "b", hot_keys(rows, ["a"]))
+def labels_of(known: DataFrame) -> DataFrame:
+    """(node, root) from the links of pivots (a) with others (b): equal roots mean one component.
+
+    Pivots take the least label of their members, and those the least of their pivots, twice;
+    what is only joined by longer ways keeps several labels, which costs work and no links.
+    """
+    low = known.groupBy("b").agg(F.min("a").alias("m"))
+    hubs = known.join(low, "b").groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
+    members = known.join(hubs, "a").groupBy("b").agg(F.min("m").alias("m"))
+    every = hubs.select(F.col("a").alias("node"), "m").unionByName(members.select(F.col("b").alias("node"), "m"))
+    return every.groupBy("node").agg(F.min("m").alias("root"))
+
+
+def with_labels(near: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``near`` with the label of b, and whether a, which may be hot, has another one."""
+    rows = labelled(near.withColumnRenamed("b", "rep"), labels).withColumnRenamed("rep", "b")
+    pivots = near.select("a").distinct()
+    hubs = labelled(pivots.withColumnRenamed("a", "rep"), labels).select(F.col("rep").alias("a"), F.col("label").alias("hub_label"))
+    met = join_hot(rows, hubs, ["a"], "b", hot)
     return met.withColumn("loose", F.col("label") != F.col("hub_label")).drop("hub_label")
 
 
 def turn_of(
-    large: DataFrame, known: DataFrame | None, texts: DataFrame, signed: DataFrame, width: int, percent: int, turn: int
+    large: DataFrame, n: int, known: DataFrame | None, texts: DataFrame, signed: DataFrame, width: int, percent: int, turn: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One turn of pivots over the large groups (key, rep, core), with the links that are known:
+    """One turn of pivots over the ``n`` rows of large groups (key, rep, core), with the links known:
     links known after it, further candidates, and the large groups that are left."""
     threshold = percent / 100
     bands = bands_for(threshold)
     resolved = 1 - threshold + NEAR  # what links with such a document is itself near the pivot
     with scratch():
-        pivots, meetings = with_pivots(large, MORE_PIVOTS ** max(0, turn - 1))
-        seats = materialize(meetings)
-        star = materialize(seats.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-        near = compare(materialize(prune(star, signed, NEAR, bands)), texts, width, percent, NEAR)
-        near = materialize(near.withColumn("links", linked(percent)))
+        count = MORE_PIVOTS ** max(0, turn - 1)
+        pivots, meetings = with_pivots(large, count)
+        pivots, n = materialize(pivots, rows=n), n * count
+        seats = materialize(meetings(pivots), rows=n)
+        star = materialize(seats.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), rows=n)
+        hot = hot_keys(star, ["a"])
+        near = compare(prune(star, hot, signed, NEAR, bands), hot, texts, width, percent, NEAR)
+        near = materialize(near.withColumn("links", linked(percent)), rows=n)
         found = near.filter("links").select("a", "b")
-        known = kept_table(known.unionByName(found).distinct() if known else found)
-        labels = components(known)
-        met, heavy = by_difference(with_labels(near, labels), percent)
+        known = kept_table(known.unionByName(found).distinct() if known else found, rows=n)
+        labels = materialize(labels_of(known), rows=n)
+        met, heavy = by_difference(with_labels(near, labels, hot), percent)
         judged = near.filter(F.col("inter") >= resolved * (F.col("size_a") + F.col("size_b") - F.col("inter")))
         judged = judged.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
         settled = seats.join(judged, ["pivot", "rep"], "left_semi").select("key", "rep")
         settled = settled.unionByName(pivots.withColumnRenamed("pivot", "rep")).distinct()
         rest = labelled(large.join(settled, ["key", "rep"], "left_anti"), labels)
         if not turn:  # linked documents share two bands, but for the miss probability
-            rest = materialize(_counted(rest))
+            rest = materialize(_counted(rest), rows=n)
             split = rest.filter(F.col("n") > FEW).join(signed.select("rep", F.explode("bands").alias("other")), "rep")
             both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")
             split = split.filter("key != other").select(both, "rep", "core", "label").distinct()
@@ -347,13 +365,14 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     ids = F.col("doc_id").cast("long")
     texts = materialize(docs.select(ids.alias("doc_id"), "text").join(crowd, ids == F.col("rep"), "left_semi"))
     signs = materialize(signed.join(crowd, "rep", "left_semi"))
-    while not large.isEmpty():
-        known, more, large = turn_of(large, known, texts, signs, width, percent, turn)
+    while n := large.count():
+        known, more, large = turn_of(large, n, known, texts, signs, width, percent, turn)
         pairs, turn = pairs.unionByName(more), turn + 1
     pairs = materialize(pairs.distinct())
-    pruned = materialize(prune(pairs, signed, percent / 100, bands))
-    out = compare(pruned, sieved(docs, pruned), width, percent).select("a", "b")
-    return materialize((out.unionByName(known) if known else out).distinct())
+    hot, n = hot_keys(pairs, ["a"]), pairs.count()
+    pruned = materialize(prune(pairs, hot, signed, percent / 100, bands), rows=n)
+    out = materialize(compare(pruned, hot, sieved(docs, pruned), width, percent).select("a", "b"), rows=n)
+    return out.unionByName(known) if known else out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -362,21 +381,22 @@ def components(edges: DataFrame) -> DataFrame:
     A hub's neighbours never meet in a task: minima are summed up before the shuffle, and the
     hubs' are joined back with their neighbours dealt out.
     """
-    edges = materialize(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct())
-    mark = None
+    edges = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v")
+    edges = materialize(edges.distinct(), rows=edges.count())
+    mark, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        met = join_hot(both, low, ["u"], "v", hot_keys(both, ["u"]))
-        large = materialize(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), rows=2 * n)
+        met = join_hot(both, low.select("u", "m"), ["u"], "v", hot_from_counts(low, ["u"]))
+        large = materialize(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), rows=2 * n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")  # each u has its neighbours' minima here, few ones
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u != v").distinct())
+        edges = materialize(small.filter("u != v").distinct(), rows=2 * n)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        mark, n = now, now[0]
 
 
 def near_dedup(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -388,7 +408,7 @@ def near_dedup(docs: DataFrame, width: int, percent: int) -> DataFrame:
         reps = full.withColumnRenamed("doc_id", "rep").join(classes.select("set_key", "rep"), ["rep", "set_key"], "left_semi")
         reps = materialize(reps.select("rep", "set_key", "signature", "bands").dropDuplicates(["rep", "set_key"]).drop("set_key"))
         edges = links(docs, reps, width, percent)
-        roots = kept_table(components(edges))
+        roots = kept_table(components(edges), rows=edges.count())
     total = signed.count()
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = materialize(named.filter("copies > 1 or root != rep").select("set_key", "root", "copies"))
