@@ -9,11 +9,12 @@ it makes up at least 1/GRAM_SHARE of the n-grams of its length in some language.
 model has at most 5 * GRAM_SHARE entries per language, whatever the corpus's size: that bound
 is what lets it go to every task. The words have no bound, and are joined by shuffles:
 
-1. Blocks of some hundred thousand tokens number their own words: documents as local numbers,
-   and (block, word, local number, count in each language's training documents).
-2. Counts are summed over the blocks by word (a word is one row per block, so a hot word is
+1. Blocks of some million tokens number their own words: documents as local numbers, many to a
+   packed row, and (block, word, local number, count in each language's training documents).
+2. The n-gram model is counted from the blocks' words.
+3. Counts are summed over the blocks by word (a word is one row per block, so a hot word is
    spread thin), turned to scores and sent back to the blocks in packed form.
-3. Each block sums up its documents' scores.
+4. Each block sums up its documents' scores.
 
 A document takes the language of the largest mean over its words; equal means take the first
 name. ``score`` is that language's share after normalising (softmax) the mean log frequencies
@@ -29,6 +30,7 @@ counts for each learned language, so languages are expected to be some hundreds
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,8 +48,10 @@ GRAM_SHARE = 1 << 14
 LONGEST = 5
 SHARPNESS = 8.0
 #: A block ends at that many tokens, or at that many counts (words times languages).
-BLOCK_TOKENS = 1_000_000
-BLOCK_COUNTS = 4_000_000
+BLOCK_TOKENS = 3_000_000
+BLOCK_COUNTS = 8_000_000
+#: Tokens of the documents that are packed together.
+PACKED_TOKENS = 200_000
 #: Words that are taken apart together.
 WORDS_AT_ONCE = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,16 +62,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers of 4 bytes, compressed with like bytes side by side."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unsqueeze(raw: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(dtype).ravel()
+
+
 def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """Kind 0: documents (doc_id, digest) as local word numbers. Kind 1: a block's words and
-    their counts in the training documents (lang not null) of each language.
+    """Kind 0: documents (doc_ids, digests, their lengths and local word numbers), many to a row.
+    Kind 1: a block's words and their counts in the training documents (lang not null) of each
+    language.
 
     ``docs`` has doc_id, digest, text and lang.
     """
     at = {lang: i for i, lang in enumerate(languages)}
     counts = [f"n{i}" for i in range(len(languages))]
-    fields = [("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary())]
-    fields += [("ids", pa.binary()), ("word", pa.string()), ("local", pa.int32())]
+    fields = [("kind", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))]
+    fields += [("lengths", pa.binary()), ("ids", pa.binary()), ("word", pa.string()), ("local", pa.int32())]
     schema = pa.schema([*fields, *((name, pa.int64()) for name in counts)])
 
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
@@ -77,10 +91,22 @@ def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index, rows, tokens = TaskContext.get().partitionId() << 32, {}, [], 0
 
+        def packed(part: list[tuple]) -> pa.RecordBatch:
+            ids = np.concatenate([r[3] for r in part])
+            lengths = np.array([len(r[3]) for r in part], np.int32)
+            names, digests = [[r[0] for r in part]], [[r[1] for r in part]]
+            return batch_of(1, kind=[0], block=[block], doc_ids=names, digests=digests, lengths=[squeeze(lengths)], ids=[squeeze(ids)])
+
         def flush() -> Iterator[pa.RecordBatch]:
-            n, numbers = len(rows), {"kind": np.zeros(len(rows), np.int32), "block": np.full(len(rows), block)}
-            ids, names, keys = [r[3].tobytes() for r in rows], [r[0] for r in rows], [r[1] for r in rows]
-            yield batch_of(n, **numbers, doc_id=names, digest=keys, ids=ids)
+            part, held = [], 0
+            for row in rows:
+                part.append(row)
+                held += len(row[3]) + 1
+                if held >= PACKED_TOKENS:
+                    yield packed(part)
+                    part, held = [], 0
+            if part:
+                yield packed(part)
             words, sums = list(index), {}
             for name, lang in zip(counts, languages):
                 trained = [r[3] for r in rows if r[2] == at[lang]]
@@ -88,8 +114,8 @@ def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
             for i in range(0, len(words), WORDS_AT_ONCE):
                 some = words[i : i + WORDS_AT_ONCE]
                 numbers = {"kind": np.ones(len(some), np.int32), "block": np.full(len(some), block)}
-                part = {name: x[i : i + len(some)] for name, x in sums.items()}
-                yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)), **part)
+                more = {name: x[i : i + len(some)] for name, x in sums.items()}
+                yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)), **more)
 
         for batch in batches:
             for doc_id, digest, text, lang in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -103,7 +129,7 @@ def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
         if rows:
             yield from flush()
 
-    names = "kind int, block bigint, doc_id bigint, digest binary, ids binary, word string, local int"
+    names = "kind int, block bigint, doc_ids array<bigint>, digests array<binary>, lengths binary, ids binary, word string, local int"
     return docs.mapInArrow(run, ", ".join([names, *(f"{name} bigint" for name in counts)]))
 
 
@@ -127,7 +153,7 @@ class Spelled:
 
 
 def gram_counts(words: DataFrame, kinds: int) -> DataFrame:
-    """(size, gram, n0 ...) of the n-grams by key, from the distinct words' counts."""
+    """(size, gram, n0 ...) of the n-grams by key, from the blocks' words with their counts."""
     names = [f"n{i}" for i in range(kinds)]
     schema = pa.schema([("size", pa.int32()), ("gram", pa.int64()), *((name, pa.int64()) for name in names)])
 
@@ -168,14 +194,13 @@ class Model:
 
     languages: list[str]
     totals: np.ndarray
-    kinds: np.ndarray
     keys: list[np.ndarray]
     values: list[np.ndarray]
     floor: np.ndarray
 
     def known(self, n: np.ndarray) -> np.ndarray:
-        """Scores of words with counts ``n`` by language."""
-        return log_shares(n, self.totals, self.kinds)
+        """Scores of words with counts ``n`` by language: logs of (n + 1/2) / (total + 1)."""
+        return np.log((n + 0.5) / (self.totals + 1))
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words by the longest known n-gram at each position but the last."""
@@ -197,7 +222,7 @@ class Model:
 
 
 def learn(words: DataFrame, languages: list[str]) -> Model:
-    """The model of distinct words with their counts; what comes to the driver is bounded, see above."""
+    """The model of the blocks' words with their counts; what comes to the driver is bounded, see above."""
     k = range(len(languages))
     sums = [x for i in k for x in (F.sum(f"n{i}").alias(f"t{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}"))]
 
@@ -220,7 +245,7 @@ def learn(words: DataFrame, languages: list[str]) -> Model:
         keys.append(known.gram.to_numpy(np.int64))
         values.append(log_shares(known[[f"n{i}" for i in k]].to_numpy(float), totals, kinds))
     least = min((v.min() for v in values if len(v)), default=0.0)
-    return Model(languages, of(whole, "t"), of(whole, "k"), keys, values, np.full(len(languages), least))
+    return Model(languages, of(whole, "t"), keys, values, np.full(len(languages), least))
 
 
 def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
@@ -230,25 +255,28 @@ def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, rows = shipped.value, {}, 0
-        record = np.dtype([("local", "<i4"), ("score", "<f4", (len(here.languages),))])
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b"".join(x) for x in held.values()], pa.binary())], schema=schema)
+            parts = []
+            for x in held.values():
+                rows = np.concatenate(x)
+                parts.append(squeeze(rows[np.argsort(rows[:, 0].view(np.int32), kind="stable")].T))
+            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(parts, pa.binary())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = np.stack([batch.column(3 + i).to_numpy() for i in range(len(here.languages))], axis=1)
-            packed = np.empty(batch.num_rows, record)
-            packed["local"] = batch.column(2).to_numpy()
-            packed["score"] = here.known(n)
+            packed = np.empty((batch.num_rows, 1 + len(here.languages)), np.float32)
+            packed[:, 0] = batch.column(2).to_numpy().view(np.float32)  # the number's bits, as it is
+            packed[:, 1:] = here.known(n)
             new = np.flatnonzero(~n.any(axis=1))
             if len(new):
-                packed["score"][new] = here.unseen(batch.column(0).take(pa.array(new)).to_pylist())
+                packed[new, 1:] = here.unseen(batch.column(0).take(pa.array(new)).to_pylist())
             block = batch.column(1).to_numpy()
             order = np.argsort(block, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                held.setdefault(int(block[part[0]]), []).append(packed[part].tobytes())
+                held.setdefault(int(block[part[0]]), []).append(packed[part])
             rows += batch.num_rows
             if rows > 1_000_000:
                 yield flush()
@@ -268,32 +296,32 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = [f"n{i}" for i in range(len(languages))]
     rows = encoded.filter("kind = 1").select("word", "block", "local", *counts)
     found = F.greatest(F.lit(0), F.lit(0), *counts) > 0
-    distinct = materialize(rows.filter(found).groupBy("word").agg(*(F.sum(c).alias(c) for c in counts))) if languages else rows
-    model = learn(distinct, languages)
+    model = learn(rows.filter(found).select("word", *counts) if languages else rows, languages)
     summed = [F.sum(c).over(Window.partitionBy("word")).alias(c) for c in counts]
     packed = _scores_by_block(rows.select("word", "block", "local", *summed), model) if languages else None
 
     def sum_up(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        record = np.dtype([("local", "<i4"), ("score", "<f4", (len(languages),))])
-        read = np.concatenate([np.frombuffer(x, record) for x in words.words]) if len(words) else np.empty(0, record)
-        table = np.empty((len(read), len(languages)))
-        table[read["local"]] = read["score"]
-        names, shares = [], []
-        for raw in texts.ids:
-            ids = np.frombuffer(raw, np.int32)
-            if not len(ids):
-                names.append(UNKNOWN_LANGUAGE)
-                shares.append(0.0)
-                continue
-            mean = table[ids].mean(axis=0)
-            best = int(np.argmax(mean))
-            names.append(languages[best])
-            shares.append(float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum()))
-        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "digest": texts.digest, "lang_pred": names, "score": shares})
-
-    texts = encoded.filter("kind = 0").select("block", "doc_id", "digest", "ids")
+        read = [unsqueeze(x, "<f4").reshape(1 + len(languages), -1) for x in words.words]
+        table = np.empty((sum(x.shape[1] for x in read), len(languages)))
+        for x in read:
+            table[x[0].view(np.int32)] = x[1:].T
+        out: list[tuple] = []
+        for names, digests, lengths, ids in zip(texts.doc_ids, texts.digests, texts.lengths, texts.ids):
+            lengths, ids = unsqueeze(lengths, "<i4"), unsqueeze(ids, "<i4")
+            for doc_id, digest, part in zip(names, digests, np.split(ids, np.cumsum(lengths)[:-1])):
+                name, share = UNKNOWN_LANGUAGE, 0.0
+                if len(part):
+                    mean = table[part].mean(axis=0)
+                    best = int(np.argmax(mean))
+                    name, share = languages[best], float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum())
+                out.append((None if pd.isna(doc_id) else int(doc_id), digest, name, share))
+        found = pd.DataFrame(out, columns=["doc_id", "digest", "lang_pred", "score"], dtype="object")
+        return found.astype({"doc_id": "Int64", "score": "float64"})
+
+    texts = encoded.filter("kind = 0").select("block", "doc_ids", "digests", "lengths", "ids")
     if not languages:
-        return texts.select("doc_id", "digest", F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"))
+        each = texts.select(F.explode(F.arrays_zip("doc_ids", "digests")).alias("x"))
+        return each.select("x.doc_ids", "x.digests", F.lit(UNKNOWN_LANGUAGE), F.lit(0.0)).toDF("doc_id", "digest", "lang_pred", "score")
     schema = "doc_id bigint, digest binary, lang_pred string, score double"
     return texts.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(sum_up, schema)
 
