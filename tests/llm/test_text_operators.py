@@ -174,7 +174,7 @@ def brute_languages(rows: list[tuple]) -> dict:
 
     def score(word: str) -> np.ndarray:
         if any(words[lang][word] for lang in languages):
-            return shares([words[lang] for lang in languages], word)
+            return np.array([math.log((words[lang][word] + 0.5) / (sum(words[lang].values()) + 1)) for lang in languages])
         spelled, found = f"<{word}>", []
         for i in range(len(spelled) - 1):
             fits = [spelled[i:j] for j in range(min(i + 5, len(spelled)), i, -1) if spelled[i:j] in known]
@@ -210,6 +210,7 @@ def test_language_id_of_whole_tables_equals_brute_force(spark, monkeypatch):
     """The registered query; small blocks, and a short gram model so that backoff shows."""
     monkeypatch.setattr(language_id, "BLOCK_TOKENS", 3000)
     monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 500)
+    monkeypatch.setattr(language_id, "PACKED_TOKENS", 700)
     monkeypatch.setattr(language_id, "GRAM_SHARE", 400)
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
