@@ -58,7 +58,9 @@ TAIL_CLASSES = 2048
 BLOCK_TOKENS = 3_000_000
 STATES = 6
 ITERATIONS = 6
-CHUNK_TOKENS = 512
+CHUNK_TOKENS = 1024
+#: Steps after which products of chances are brought back to the size of one.
+RESCALE = 8
 #: Tokens that are taken through a recursion together.
 BATCH_TOKENS = 1 << 19
 #: A class's prior weight in each state, in tokens, spread by the classes' frequencies.
@@ -260,8 +262,11 @@ def carried(layout: Layout, p: Params, b: np.ndarray) -> tuple[np.ndarray, np.nd
         k = np.searchsorted(some, layout.active[t])
         if not k:
             break
-        longer = product[:k] @ p.move * b[layout.offset[t] + some[:k]][:, None, :]
-        product[:k] = longer / longer.max(axis=(1, 2), keepdims=True)
+        longer = (product[:k].reshape(-1, states) @ p.move).reshape(k, states, states)
+        longer *= b[layout.offset[t] + some[:k]][:, None, :]
+        if t % RESCALE == 0:
+            longer /= longer.max(axis=(1, 2), keepdims=True)
+        product[:k] = longer
     place = np.searchsorted(some, np.arange(n))
     for chain in layout.chains:
         x = p.start
