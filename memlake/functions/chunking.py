@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -58,13 +59,21 @@ def chunk_markdown_text(text: str, window: int = 512, overlap: int = 128) -> Ite
 def _chunks(df: DataFrame, spans: Callable[[str], Iterator[tuple]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, text[s[0] : s[1]], s[0], s[1], s[2] if len(s) > 2 else None) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, s in enumerate(spans(text or ""))]
-            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+            rows = []
+            for object_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, s in enumerate(spans(text or "")):
+                    rows.append((object_id, k, text[s[0] : s[1]], s[0], s[1], s[2] if len(s) > 2 else None))
+            yield _chunk_batch(rows)
 
     return df.select("object_id", "content").mapInArrow(run, CHUNK_SCHEMA)
 
 
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def chunk_tokens(df: DataFrame, window: int = 512, overlap: int = 128, tokenizer: Callable[[str], Spans] = word_offsets) -> DataFrame:
     """T-10"""
     return _chunks(df, lambda text: token_windows(text, window, overlap, tokenizer))
@@ -84,11 +93,25 @@ def chunk_turns(df: DataFrame) -> DataFrame:
 
 
 def chunk_json(df: DataFrame) -> DataFrame:
-    """T-13: one chunk per element of a top-level array; other texts are one chunk."""
-    items = F.from_json("content", "array<string>")
-    is_array = F.trim("content").startswith("[") & F.try_parse_json("content").isNotNull()
-    parts = df.select("object_id", F.posexplode(F.when(is_array, items).otherwise(F.array("content"))).alias("chunk_index", "content"))
-    return parts.select("object_id", "chunk_index", "content", F.lit(0).alias("start_offset"), F.length("content").alias("end_offset"), F.lit(None).cast("string").alias("heading_path"))
+    """T-13: one chunk per element of a top-level array, written anew as JSON (ASCII, a space
+    after each comma and colon); other texts are one chunk as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for object_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(object_id, k, item, 0, len(item), None) for k, item in enumerate(json_elements(text or ""))]
+            yield _chunk_batch(rows)
+
+    return df.select("object_id", "content").mapInArrow(run, CHUNK_SCHEMA)
+
+
+def json_elements(text: str) -> list[str]:
+    try:
+        data = json.loads(text)
+    except (ValueError, RecursionError):
+        return [text]
+    return [json.dumps(item) for item in data] if isinstance(data, list) else [text]
 
 
 def index_artifacts(heads: DataFrame, generation: str) -> tuple[DataFrame, DataFrame]:

@@ -14,9 +14,18 @@ from pyspark.sql.types import LongType, StringType
 from memlake.schemas import SUPERSESSION_HINTS
 
 
+#: White space as Python's ``str.strip`` knows it, which is what the store's texts are stripped of.
+_WHITE = "[\\s\\x1c-\\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"(?U)^{_WHITE}+|{_WHITE}+$", "")
+
+
 def normalize_tags(tags: Column, aliases: dict[str, str] | None = None) -> Column:
     """T-1: trimmed, lower-cased, dashes for spaces, aliases applied, distinct in order."""
-    clean = F.transform(tags, lambda t: F.replace(F.lower(F.trim(t)), F.lit(" "), F.lit("-")))
+    clean = F.transform(tags, lambda t: F.replace(F.lower(strip(t)), F.lit(" "), F.lit("-")))
     if aliases:
         table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
         clean = F.transform(clean, lambda t: F.coalesce(F.try_element_at(table, t), t))
@@ -32,7 +41,7 @@ def has_supersession_hint(content: Column) -> Column:
 
 
 def strip_supersession_hint(content: Column) -> Column:
-    return F.trim(F.regexp_replace(content, _HINT, ""))
+    return strip(F.regexp_replace(content, _HINT, ""))
 
 
 def fold_content(text: Column) -> Column:
@@ -56,10 +65,11 @@ def content_hash(text: Column) -> Column:
 
 
 def body_hash(text: Column) -> Column:
-    return F.sha2(F.trim(text), 256)
+    """T-4: of the stripped text, as notes are hashed."""
+    return F.sha2(strip(text), 256)
 
 
-_CLUSTER = regex.compile(r"\X")
+CLUSTER = regex.compile(r"\X")
 
 
 def truncate_grapheme(n: int, suffix: str = "..."):
@@ -71,7 +81,7 @@ def truncate_grapheme(n: int, suffix: str = "..."):
             return text
         room = n - len(suffix) if n > len(suffix) else n
         end = 0
-        for cluster in _CLUSTER.finditer(text[: room + 64]):  # a cluster beyond that is cut out anyway
+        for cluster in CLUSTER.finditer(text[: room + 64]):  # a cluster beyond that is cut out anyway
             if cluster.end() > room:
                 break
             end = cluster.end()
@@ -131,8 +141,9 @@ def plane_of(namespace: Column) -> Column:
 
 
 def infer_namespace(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) < 3, F.lit("system/internal/curated")).otherwise(F.concat_ws("/", parts[0], parts[1], F.lit("curated")))
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    known = F.concat_ws("/", parts[0], parts[1], F.lit("curated"))
+    return F.when(F.size(parts) < 2, F.lit("system/internal/curated")).otherwise(known)
 
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

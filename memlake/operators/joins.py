@@ -64,15 +64,27 @@ def supersession_cycle(df: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.join(paths, "target", "left").select("object_id", "target", cyclic.alias("cyclic"))
 
 
-def hydrate_lineage(hits: DataFrame, memories: DataFrame, curated: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """J-3: hits with their supersession tip, the promoted note's title, and the files that
-    support them (sorted); what is missing is null, or an empty array."""
+def hydrate_lineage(hits: DataFrame, memories: DataFrame, curated: DataFrame, artifacts: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """J-3: hits with their supersession tip, what they supersede, the titles of the note that they
+    were promoted to and the concept that they were promoted from, and the files that support
+    them (sorted); what is missing is null, or an empty array.
+
+    Hits name ``promoted_to`` and, for notes with ``concepts``, ``promoted_from``; a concept is
+    looked up in the namespace beside the note's own.
+    """
     tips = supersession_tip(memories)
+    ids = hits.select("object_id").distinct()
+    older = memories.filter("superseded_by is not null").select(F.col("object_id").alias("older"), F.col("superseded_by").alias("object_id"))
+    older = older.join(ids, "object_id", "left_semi").groupBy("object_id").agg(F.sort_array(F.collect_set("older")).alias("supersedes"))
     notes = curated.select(F.col("object_id").alias("promoted_to"), F.col("title").alias("promoted_title"))
     files = hits.select("object_id", F.explode("supported_by").alias("artifact_id")).join(artifacts.select(F.col("object_id").alias("artifact_id"), "filename"), "artifact_id")
     files = files.groupBy("object_id").agg(F.sort_array(F.collect_set("filename")).alias("files"))
-    out = hits.join(tips.drop("hops"), "object_id", "left").join(notes, "promoted_to", "left").join(files, "object_id", "left")
-    return out.withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    out = hits.join(tips.drop("hops"), "object_id", "left").join(notes, "promoted_to", "left").join(files, "object_id", "left").join(older, "object_id", "left")
+    if concepts is not None:
+        beside = concepts.select(F.col("object_id").alias("promoted_from"), F.regexp_replace("namespace", "/concept$", "/curated").alias("namespace"), F.col("title").alias("promoted_from_title"))
+        out = out.join(beside, ["promoted_from", "namespace"], "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumns({"files": F.coalesce("files", empty), "supersedes": F.coalesce("supersedes", empty)})
 
 
 def unreferenced_artifacts(artifacts: DataFrame, memories: DataFrame, now: float, days: int = 180) -> DataFrame:
@@ -111,9 +123,26 @@ def fan_out(thoughts: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def reply_chain(thoughts: DataFrame) -> DataFrame:
-    """J-11: (object_id, root, depth), following replies by doubling."""
-    pointers = thoughts.select("object_id", F.col("in_reply_to").alias("superseded_by"))
-    return supersession_tip(pointers).select("object_id", F.col("tip").alias("root"), F.col("hops").alias("depth"))
+    """J-11: (object_id, root, depth), following replies to any depth. A reply to a message that
+    is not there is a root; messages that reply in a circle, and those below, have none.
+
+    Each round replaces a row's pointer by that of the row it points to, so what is followed
+    doubles and the rounds are few. Rows carry their last message and the depth alone.
+    """
+    ensure_checkpoint_dir(thoughts.sparkSession)
+    ids = thoughts.select(F.col("object_id").alias("in_reply_to"))
+    up = thoughts.filter("in_reply_to is not null").select("object_id", "in_reply_to").join(ids, "in_reply_to", "left_semi")
+    walk = up.select("object_id", F.col("in_reply_to").alias("last"), F.lit(1).alias("depth"), F.lit(True).alias("moved")).checkpoint()
+    for _ in range(walk.count().bit_length() + 1):  # after so many only circles still move
+        more = walk.select(F.col("object_id").alias("last"), F.col("last").alias("further"), F.col("depth").alias("more"))
+        walk = walk.join(more, "last", "left").select(
+            "object_id", F.coalesce("further", "last").alias("last"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")
+        ).checkpoint()
+        if walk.filter("moved").isEmpty():
+            break
+    out = thoughts.select("object_id").join(walk, "object_id", "left")
+    depth = F.coalesce(F.when(~F.col("moved"), F.col("depth")), F.when(F.col("moved").isNull(), 0))
+    return out.select("object_id", F.when(F.col("moved").isNull(), F.col("object_id")).when(~F.col("moved"), F.col("last")).alias("root"), depth.alias("depth"))
 
 
 def dedupe_lineage(hits: DataFrame) -> DataFrame:

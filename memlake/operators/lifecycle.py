@@ -59,9 +59,20 @@ def intents_for(selected: DataFrame, to_state: str, actor: str, reason: str) ->
 
 
 def sweep(rows: DataFrame, selected: Column, to_state: str, reason: str, object_type: str, now: float) -> tuple[DataFrame, DataFrame]:
-    """Select, validate and derive: (updated rows, events)."""
-    out = apply_transitions(rows, intents_for(rows.filter(selected), to_state, "lifecycle", reason), object_type, now, with_targets=False)
-    return out[0], out[1]
+    """Select, validate and derive: (updated rows, events). A row has all that its own change
+    needs, so this is one projection and one filter, without a join."""
+    legal = [old for old, states in TRANSITIONS[object_type].items() if to_state in states]
+    hit = F.coalesce(selected & F.col("state").isin(legal), F.lit(False))
+    updated = rows.withColumns({
+        "state": F.when(hit, F.lit(to_state)).otherwise(F.col("state")), "version": F.col("version") + hit.cast("int"),
+        "updated_epoch": F.when(hit, F.lit(now)).otherwise(F.col("updated_epoch")),
+    })
+    event_id = F.sha2(F.concat_ws(":", "object_id", "object_id", F.lit(str(now))), 256)
+    events = rows.filter(hit).select(
+        event_id.alias("event_id"), "object_id", F.lit(object_type).alias("object_type"), "namespace", F.col("state").alias("from_state"), F.lit(to_state).alias("to_state"),
+        F.lit("lifecycle").alias("actor"), F.lit(reason).alias("reason"), F.lit(now).alias("occurred_epoch"),
+    )
+    return updated, events
 
 
 # Selections of the sweeps, as conditions on the planes' columns.
@@ -218,11 +229,14 @@ def unverified_citations(texts: DataFrame, known: DataFrame) -> DataFrame:
     return cited.join(known.select(F.col("object_id").alias("cited")), "cited", "left_anti")
 
 
-def daily_digest(sections: list[tuple[str, DataFrame]]) -> DataFrame:
-    """D-6: one row per section, in order, with its lines or the text of an empty one."""
+def daily_digest(sections: list[tuple[str, DataFrame]], date: str) -> DataFrame:
+    """D-6: (path, place, section, line) of the date's digest, a row per line, so that no section
+    becomes one value; a section without lines says so. A digest replaces the one of its path,
+    and its order is that of place and line."""
     out = None
     for place, (name, lines) in enumerate(sections):
-        body = lines.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
-        one = body.select(F.lit(place).alias("place"), F.lit(name).alias("section"), "n", F.when(F.col("n") == 0, "Nothing today.").otherwise(F.col("text")).alias("text"))
+        empty = lines.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("Nothing today.").alias("line"))
+        one = lines.select("line").unionByName(empty)
+        one = one.select(F.lit(f"reflections/{date}.md").alias("path"), F.lit(place).alias("place"), F.lit(name).alias("section"), "line")
         out = one if out is None else out.unionByName(one)
     return out

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Planes whose rows count how often they are delivered.
+ACCESSED_PLANES = ("episodic", "concept", "curated")
+
+
 def merge_duplicates(df: DataFrame, keys: list[str], now: float) -> DataFrame:
     """A-1: one row per key: the first row's id and creation, the longest content (the earlier
     of equal lengths), all tags, and one reinforcement and version per merged row."""
@@ -15,7 +19,7 @@ def merge_duplicates(df: DataFrame, keys: list[str], now: float) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.min_by("object_id", first).alias("object_id"), F.min("created_epoch").alias("created_epoch"),
         F.max_by("content", F.struct(F.length("content"), -F.col("created_epoch"))).alias("content"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
         (F.min_by("reinforcement_count", first) + F.count(F.lit(1)) - 1).alias("reinforcement_count"), F.count(F.lit(1)).alias("version"),
         F.when(F.count(F.lit(1)) > 1, F.lit(now)).otherwise(F.min("created_epoch")).alias("updated_epoch"),
     )
@@ -62,10 +66,14 @@ def capture_summary(rows: DataFrame, planes: list[str], t0: float, t1: float) ->
 
 
 def account_access(delivered: DataFrame, memories: DataFrame) -> DataFrame:
-    """A-5: access counts raised once per delivery that holds the row, and the last access."""
-    hits = delivered.groupBy("delivery_id", "object_id").agg(F.max("delivered_epoch").alias("at")).groupBy("object_id").agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("at"))
-    out = memories.join(hits, "object_id", "left")
-    return out.withColumns({"access_count": F.col("access_count") + F.coalesce("times", F.lit(0)), "last_accessed_epoch": F.col("at")}).drop("times", "at")
+    """A-5: access counts of memories, concepts and notes raised once per delivery that holds the
+    row, and the later of the last accesses; both tables have plane, namespace and object_id."""
+    key = ["plane", "namespace", "object_id"]
+    once = delivered.filter(F.col("plane").isin(*ACCESSED_PLANES)).groupBy("delivery_id", *key).agg(F.max("delivered_epoch").alias("at"))
+    hits = once.groupBy(*key).agg(F.count(F.lit(1)).alias("new_times"), F.max("at").alias("new_at"))
+    out = memories.join(hits, key, "left")
+    raised = {"access_count": F.col("access_count") + F.coalesce("new_times", F.lit(0)), "last_accessed_epoch": F.greatest("last_accessed_epoch", "new_at")}
+    return out.withColumns(raised).drop("new_times", "new_at")
 
 
 def reinforce_concepts(concepts: DataFrame, evidence: DataFrame, now: float) -> DataFrame:
@@ -79,11 +87,18 @@ def reinforce_concepts(concepts: DataFrame, evidence: DataFrame, now: float) ->
 
 
 def record_rejections(concepts: DataFrame, rejections: DataFrame) -> DataFrame:
-    """A-7: attempts raised, with the latest reason; promoted rows and empty reasons don't count."""
-    found = rejections.filter("reason <> ''").groupBy("object_id").agg(F.count(F.lit(1)).alias("times"), F.max("rejected_epoch").alias("rejected_epoch"), F.max_by("reason", F.struct("rejected_epoch", "reason")).alias("rejected_reason"))
-    open_ = F.col("promoted_to").isNull()
-    out = concepts.join(found, "object_id", "left").withColumn("promotion_attempts", F.col("promotion_attempts") + F.when(open_, F.coalesce("times", F.lit(0))).otherwise(F.lit(0)))
-    return out.withColumns({c: F.when(open_, F.col(c)) for c in ("rejected_epoch", "rejected_reason")}).drop("times")
+    """A-7: attempts raised, with the latest reason; promoted rows and empty reasons don't count,
+    and rows without a new rejection keep what they have."""
+    found = rejections.filter("reason <> ''").groupBy("object_id").agg(
+        F.count(F.lit(1)).alias("new_times"), F.max("rejected_epoch").alias("new_epoch"), F.max_by("reason", F.struct("rejected_epoch", "reason")).alias("new_reason")
+    )
+    counts = F.col("promoted_to").isNull() & F.col("new_times").isNotNull()
+    before = {c: F.col(c) if c in concepts.columns else F.lit(None).cast(t) for c, t in (("rejected_epoch", found.schema["new_epoch"].dataType), ("rejected_reason", "string"))}
+    return concepts.join(found, "object_id", "left").withColumns({
+        "promotion_attempts": F.col("promotion_attempts") + F.when(counts, F.col("new_times")).otherwise(F.lit(0)),
+        "rejected_epoch": F.when(counts, F.col("new_epoch")).otherwise(before["rejected_epoch"]),
+        "rejected_reason": F.when(counts, F.col("new_reason")).otherwise(before["rejected_reason"]),
+    }).drop("new_times", "new_epoch", "new_reason")
 
 
 def mark_read(thoughts: DataFrame, reads: DataFrame) -> DataFrame:

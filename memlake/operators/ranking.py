@@ -38,14 +38,18 @@ def reinforcement(count: Column, access: Column) -> Column:
 
 def score_hits(hits: DataFrame, now: float, batch_max: Column | None = None) -> DataFrame:
     """R-1: relevance, recency, importance, provenance and reinforcement, each in [0, 1], and
-    their weighted sum; the batch is the query unless ``batch_max`` says otherwise."""
-    best = F.max("rrf_score").over(Window.partitionBy("query_id")) if batch_max is None else batch_max
+    their weighted sum; the batch is the query unless ``batch_max`` says otherwise. The query's
+    best is summed up before the shuffle and joined, so no task sorts all matches of a query."""
+    if batch_max is None:
+        tops = hits.groupBy("query_id").agg(F.max("rrf_score").alias("batch_max"))
+        hits, batch_max = hits.join(tops, "query_id"), F.col("batch_max")
+    best = batch_max
     parts = {
         "relevance": relevance(F.col("rerank_score"), F.col("rrf_score"), best), "recency": recency(F.col("plane"), F.col("updated_epoch"), now), "importance_part": clamp(F.col("importance"), 1, 10) / 10,
         "provenance": provenance(F.col("plane"), F.col("state")), "reinforce": reinforcement(F.col("reinforcement_count"), F.col("access_count")),
     }
     total = sum((w * clamp(F.col(p)) for w, p in zip(WEIGHTS, parts)), F.lit(0.0))
-    return hits.withColumns(parts).withColumn("score", F.round(total, 12))
+    return hits.withColumns(parts).withColumn("score", F.round(total, 12)).drop("batch_max")
 
 
 def rank_hits(scored: DataFrame) -> DataFrame:

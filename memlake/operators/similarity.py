@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Queries that go to each task together, and rows of a block in pairwise comparison.
 QUERY_BLOCK = 2048
 PAIR_BLOCK = 1024
+#: Rows of a stated query set's terms that go to every task; beyond that they are joined by shuffle.
+SMALL_ROWS = 500_000
 
 
 def _unit(vectors) -> np.ndarray:
@@ -73,11 +75,16 @@ def _topk(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has SMALL_ROWS rows at most; larger ones are shuffled."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def sparse_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """V-3: by the dot product of (query_id, namespace, term, weight) and (object_id, namespace,
     term, weight) postings. Scores are rounded to 9 digits so that ties don't hang on the order
     of a sum."""
-    q = queries.select("query_id", "namespace", "term", F.col("weight").alias("query_weight"))
+    q = if_small(queries.select("query_id", "namespace", "term", F.col("weight").alias("query_weight")))
     dot = rows.join(q, ["namespace", "term"]).groupBy("query_id", "object_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
     return _topk(dot, k)
 
@@ -94,19 +101,22 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     """V-5: (query_id, object_id, bm25) of documents that share a token with a query.
 
     ``queries`` has (query_id, tokens), ``docs`` (object_id, tokens); statistics are those of
-    ``docs``. A token that a query repeats counts again. Documents' tokens are counted in the
-    row and only those that some query has go on.
+    ``docs``. A token that a query repeats counts again. Only tokens that some query has go on;
+    a token's queries and its weight are one row, so each count meets them once.
     """
-    wanted = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    tokens = wanted.select("token").distinct()
+    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    wanted = asked.groupBy("token").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))  # of the stated queries
+    tokens = if_small(wanted.select("token"))
     sizes = docs.select("object_id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.size("tokens").alias("raw"))
     stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("raw"), F.lit(1.0)).alias("mean_length"))
     tf = docs.select("object_id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").groupBy("object_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "token").join(wanted, "token").join(F.broadcast(stats))  # stats is one row
+    terms = if_small(wanted.join(df, "token").join(F.broadcast(stats)))  # stats is one row
+    joined = tf.join(terms, "token")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return joined.groupBy("query_id", "object_id").agg(F.sum(part * F.col("times")).alias("bm25"))
+    met = joined.select("object_id", part.alias("part"), F.explode("asked").alias("asked"))
+    return met.groupBy("asked.query_id", "object_id").agg(F.sum(F.col("part") * F.col("asked.times")).alias("bm25"))
 
 
 def similar_pairs(df: DataFrame, threshold: float, below: float | None = None) -> DataFrame:

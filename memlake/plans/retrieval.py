@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import ranking as r, similarity as v
-from memlake.operators.filters import visible_states
-from memlake.operators.joins import dedupe_lineage
+from memlake.operators.filters import valid_at, visible_states
+from memlake.operators.joins import dedupe_lineage, hydrate_lineage
 
 
-def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, prefetch: int = 50, mode: str = "fast") -> DataFrame:
+def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, prefetch: int = 50, mode: str = "fast", now: float | None = None) -> DataFrame:
     """R-5: dense and sparse channels over visible rows, fused; ``limit`` hits per query.
 
-    States are filtered before the channels, so a query never runs short of visible rows.
+    States and, with ``now``, the validity of curated rows are filtered before the channels, so a
+    query never runs short of rows that it may show.
     """
     shown = rows.filter(F.col("state").isin(*visible_states(mode)))
+    if now is not None:
+        shown = shown.filter(F.col("plane") != "curated").unionByName(valid_at(shown.filter(F.col("plane") == "curated"), now))
     dense = v.dense_topk(queries, shown, prefetch)
     sparse = v.sparse_topk(terms, postings.join(shown.select("object_id"), "object_id", "left_semi"), prefetch)
     fused = v.rrf([dense, sparse])
@@ -25,17 +28,21 @@ def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, posting
 
 def fast_retrieve(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, now: float) -> DataFrame:
     """R-6: hybrid search with a prefetch of max(20, 2 * limit), scored and ranked."""
-    found = hybrid_search(queries, terms, rows, postings, 2 * limit, max(20, 2 * limit)).select("query_id", "object_id", "rrf_score")
+    found = hybrid_search(queries, terms, rows, postings, 2 * limit, max(20, 2 * limit), now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows.drop("vector"), "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
     return r.rank_hits(r.score_hits(hits, now)).filter(F.col("rank") <= limit)
 
 
-def deep_retrieve(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, now: float, scorer) -> DataFrame:
-    """R-8: hybrid search at twice the limit, reranked by ``scorer``, scored and ranked."""
-    found = hybrid_search(queries, terms, rows, postings, 2 * limit).select("query_id", "object_id", "rrf_score")
+def deep_retrieve(
+    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, now: float, scorer, lineage: tuple[DataFrame, ...] | None = None
+) -> DataFrame:
+    """R-8: hybrid search at twice the limit, reranked by ``scorer``, scored and ranked, with the
+    lineage (J-3) of the hits where ``lineage`` gives its tables."""
+    found = hybrid_search(queries, terms, rows, postings, 2 * limit, now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows.drop("vector"), "object_id").join(queries.select("query_id", "query_text"), "query_id")
     reranked = r.rerank(hits, scorer, 2 * limit).drop("rank")
-    return r.rank_hits(r.score_hits(reranked, now)).filter(F.col("rank") <= limit)
+    ranked = r.rank_hits(r.score_hits(reranked, now)).filter(F.col("rank") <= limit)
+    return hydrate_lineage(ranked, *lineage) if lineage else ranked
 
 
 def blended_retrieve(legs: list[DataFrame], limit: int) -> DataFrame:

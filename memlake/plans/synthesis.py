@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from memlake.functions.models import judge_pairs
-from memlake.functions.text import truncate_grapheme
+from memlake.functions.text import CLUSTER
 from memlake.operators import merge as m, similarity as v
 from memlake.operators.lifecycle import DAY, candidate_pool
 from memlake.streaming.jobs import after_cursor
 
+#: Bytes of a tombstone at most, and of the original in it at least.
 TOMBSTONE_BYTES = 32_768
+EXCERPT_BYTES = 256
 POOL_TTL = 30 * DAY
 
 
@@ -73,14 +77,49 @@ def synthesize(
     }
 
 
-def retract(rows: DataFrame, requests: DataFrame, now: float, prefix_chars: int = 512) -> tuple[DataFrame, DataFrame]:
-    """L-17: (rows with the retracted content replaced by a short prefix and its evidence,
-    artifacts that keep the originals)."""
-    hit = rows.join(requests.select("object_id", F.col("reason").alias("retraction_reason")), "object_id")
-    kept = truncate_grapheme(prefix_chars, "")("content")
-    out = hit.withColumn("kept", kept).withColumns({
-        "evidence_id": F.substring(F.sha2(F.concat_ws("\x1f", "namespace", "object_id", F.lit("retraction")), 256), 1, 27), "original_digest": F.sha2("content", 256),
-        "original_bytes": F.octet_length("content"), "kept_bytes": F.octet_length("kept"),
-    }).withColumn("omitted_bytes", F.col("original_bytes") - F.col("kept_bytes"))
-    artifacts = out.select(F.col("evidence_id").alias("object_id"), "content", F.col("original_digest").alias("sha256"), F.col("original_bytes").alias("size_bytes"), F.lit("stored_unindexed").alias("artifact_state"))
-    return out.withColumn("content", F.col("kept")).withColumn("updated_epoch", F.lit(now)).drop("kept"), artifacts
+@F.pandas_udf(StringType())
+def _excerpt(text: pd.Series, room: pd.Series) -> pd.Series:
+    """The shortest run of whole grapheme clusters with EXCERPT_BYTES (or all) of the text; null if
+    it needs more than ``room`` bytes."""
+
+    def one(content: str, most: int) -> str | None:
+        need, end, size = min(len(content.encode("utf-8", "surrogatepass")), EXCERPT_BYTES), 0, 0
+        for cluster in CLUSTER.finditer(content):
+            if size >= need:
+                break
+            size += len(cluster.group().encode("utf-8", "surrogatepass"))
+            end = cluster.end()
+        return content[:end] if end and size <= most else None
+
+    return pd.Series([one(x, int(m)) for x, m in zip(text, room)], dtype="object")
+
+
+def _tombstone(excerpt: Column) -> Column:
+    return F.concat(
+        F.lit("RETRACTED "), "asked_on", F.lit(". This memory was FALSE. Do not act on it.\nWhy it is false: "), "because", F.lit("\nOriginal excerpt:\n"), excerpt,
+        F.lit("\nCorrected truth:\n"), "truth", F.lit("\nThe complete original is preserved in artifact "), "evidence_id", F.lit("."),
+    )
+
+
+def retract(rows: DataFrame, requests: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L-17: (rows whose content has become a tombstone with the reason, an excerpt, the corrected
+    truth and the artifact's id; artifacts that keep the originals; requests that are refused).
+
+    ``requests`` has object_id, asked_on (a date's text), because and truth. A tombstone has at
+    most TOMBSTONE_BYTES bytes; a request whose prose leaves no room for the excerpt is refused.
+    """
+    evidence = F.substring(F.sha2(F.concat_ws("\x1f", "namespace", "object_id", F.lit("retraction")), 256), 1, 27)
+    hit = rows.join(requests.select("object_id", "asked_on", "because", "truth"), "object_id").withColumn("evidence_id", evidence)
+    room = F.lit(TOMBSTONE_BYTES) - F.octet_length(_tombstone(F.lit("")))
+    hit = hit.withColumn("excerpt", _excerpt("content", room))
+    refused = hit.filter("excerpt is null").select("object_id", F.lit("CONTENT_TOO_LARGE").alias("reason"))
+    out = hit.filter("excerpt is not null").withColumns({
+        "original_digest": F.sha2("content", 256), "original_bytes": F.octet_length("content"), "kept_bytes": F.octet_length("excerpt"),
+        "omitted_bytes": F.octet_length("content") - F.octet_length("excerpt"),
+    })
+    artifacts = out.select(
+        F.col("evidence_id").alias("object_id"), "content", F.col("original_digest").alias("sha256"), F.col("original_bytes").alias("size_bytes"),
+        F.lit("stored_unindexed").alias("artifact_state"),
+    )
+    stones = out.withColumns({"content": _tombstone(F.col("excerpt")), "updated_epoch": F.lit(now)}).drop("excerpt", "asked_on", "because", "truth")
+    return stones, artifacts, refused

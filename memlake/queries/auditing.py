@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import chunking as ch
-from memlake.operators import context as c, quality as q
+from memlake.operators import context as c, quality as q, similarity as v
 from memlake.queries.combining import POINTS_SQL, points
-from memlake.queries.registry import query
+from memlake.queries.registry import WHITE, query
 from memlake.sources import planes as P
 
 E_, C_, K_, A_ = ("episodic",), ("concept",), ("curated",), ("artifact",)
@@ -17,13 +17,12 @@ def short_docs(spark, d):
     return P.read_table(spark, d, "documents").select(P.key("D", F.col("doc_id")).alias("object_id"), F.col("text").alias("content"), F.col("doc_id").alias("number"))
 
 
-@query("t10_chunk_tokens", """with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r\\f\\v]+'), lambda x: x <> '') as words from documents where not regexp_matches(text, '[^\\x00-\\x7F]')),
+@query("t10_chunk_tokens", f"""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WHITE}'), lambda x: x <> '') as words from documents),
   n as (select doc_id, words, len(words) as n, unnest(range(0, greatest(1, cast(ceil((len(words) - 128) / 384.0) as bigint)))) as k from w where len(words) > 0)
   select 'D' || lpad(cast(doc_id as varchar), 26, '0') as object_id, k as chunk_index, words[k * 384 + 1] as first_word, words[least(k * 384 + 512, n)] as last_word, least(512, n - k * 384) as n_words from n""")
 def _(spark, d):
-    ascii_ = short_docs(spark, d).filter(~F.col("content").rlike("[^\\x00-\\x7F]"))
-    words = F.filter(F.split("content", "[ \\n\\t\\r\\f\\x0B]+"), lambda x: x != "")
-    out = ch.chunk_tokens(ascii_).withColumn("words", words)
+    words = F.filter(F.split("content", WHITE), lambda x: x != "")
+    out = ch.chunk_tokens(short_docs(spark, d)).withColumn("words", words)
     return out.select("object_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("words")[0].alias("first_word"), F.element_at("words", -1).alias("last_word"), F.size("words").alias("n_words"))
 
 
@@ -41,12 +40,13 @@ def _(spark, d):
     return ch.chunk_turns(docs).select("object_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("start_offset").cast("long").alias("start_offset"))
 
 
-@query("t13_chunk_json", """select event_id, 0 as chunk_index, props as content from events where event_id % 2 = 0 union all select event_id, 0, 'x' || cast(event_id as varchar) from events where event_id % 2 = 1
-  union all select event_id, 1, 'y' from events where event_id % 2 = 1""")
+@query("t13_chunk_json", """select event_id, 0 as chunk_index, props as content from events where event_id % 2 = 0
+  union all select event_id, 0, '"x' || cast(event_id as varchar) || '"' from events where event_id % 2 = 1
+  union all select event_id, 1, '{"k": [1, true, null], "' || chr(92) || 'u00e9": "y"}' from events where event_id % 2 = 1""")
 def _(spark, d):
     ev = P.read_table(spark, d, "events")
-    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit('["x'), F.col("event_id").cast("string"), F.lit('", "y"]')))
-    return ch.chunk_json(ev.select(F.col("event_id").alias("object_id"), text.alias("content"))).select(F.col("object_id").alias("event_id"), "chunk_index", "content")
+    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit('["x'), F.col("event_id").cast("string"), F.lit('",{"k":[1,true,null],"é":"y"}]')))
+    return ch.chunk_json(ev.select(F.col("event_id").cast("string").alias("object_id"), text.alias("content"))).select(F.col("object_id").cast("long").alias("event_id"), "chunk_index", "content")
 
 
 @query("t14_index_artifacts", """select object_id, case when number % 4 = 3 then 'failed' else 'indexed' end as artifact_state, case when number % 4 = 3 then 'unknown chunker odd' end as failure_reason from artifact""", A_)
@@ -57,18 +57,8 @@ def _(spark, d):
 
 
 def lanes(spark, d):
-    """Ten queries' candidates in two lanes, with kinds and staleness in the tags."""
-    e, n = P.episodic(spark, d), F.col("number")
-    kind = F.when(n % 8 == 0, "kind:boundary").when(n % 8 == 1, "kind:open-loop").when(n % 8 == 2, "kind:correction/suppression").when(n % 8 == 3, "kind:nonsense").otherwise("plain")
-    stale = F.when(n % 6 == 0, "staleness:durable").when(n % 6 == 1, "freshness:current").otherwise("other")
-    base = e.filter(n < 300).select((n % 10).alias("query_id"), "object_id", "namespace", F.lit("episodic").alias("plane"), "state", F.substring("content", 1, 200).alias("content"), F.lit(None).cast("string").alias("summary"), "title", F.array(kind, stale).alias("tags"), "created_epoch", "updated_epoch", "importance", ((n * 37 % 101) / 100.0).alias("retrieve_score"), "number")
-    queries = base.filter("number < 10").select("query_id", F.concat_ws(" ", F.slice(F.split("content", " "), 1, 4)).alias("query_text"))
-    return c.with_kind(c.context_candidates(base.filter(n % 3 == 0), base.filter(n % 4 != 0))), queries
-
-
-def whole_lanes(spark, d):
-    """The same over every document and its whole text: a query for each 40 ids, from the first
-    of them, so that queries grow with the documents."""
+    """Candidates in two lanes, with kinds and staleness in the tags, over every document and its
+    whole text: a query for each 40 ids, from the first of them, so that queries grow with them."""
     e, n = P.episodic(spark, d), F.col("number")
     kind = F.when(n % 8 == 0, "kind:boundary").when(n % 8 == 1, "kind:open-loop").when(n % 8 == 2, "kind:correction/suppression").when(n % 8 == 3, "kind:nonsense").otherwise("plain")
     stale = F.when(n % 6 == 0, "staleness:durable").when(n % 6 == 1, "freshness:current").otherwise("other")
@@ -78,9 +68,9 @@ def whole_lanes(spark, d):
     return c.with_kind(c.context_candidates(base.filter(n % 3 == 0), base.filter(n % 4 != 0))), queries
 
 
-LANES = """base as (select number % 10 as query_id, object_id, namespace, state, substr(content, 1, 200) as content, created_epoch, updated_epoch, importance, (number * 37 % 101) / 100.0 as retrieve_score, number,
+LANES = """base as (select number // 40 as query_id, object_id, namespace, state, content, created_epoch, updated_epoch, importance, (number * 37 % 101) / 100.0 as retrieve_score, number,
     case number % 8 when 0 then 'kind:boundary' when 1 then 'kind:open-loop' when 2 then 'kind:correction/suppression' when 3 then 'kind:nonsense' else 'plain' end as t1, case number % 6 when 0 then 'staleness:durable' when 1 then 'freshness:current' else 'other' end as t2
-    from episodic where number < 300),
+    from episodic),
   cand as (select query_id, object_id, namespace, state, content, created_epoch, updated_epoch, importance, number, t1, t2, case when number % 4 <> 0 then 'ranked' else 'recent' end as lane, case when number % 4 <> 0 then retrieve_score else 0.0 end as retrieve_score,
     case number % 8 when 0 then 'boundary' when 1 then 'open-loop' when 2 then 'correction/suppression' else 'episode' end as kind,
     case number % 6 when 0 then 'durable' when 1 then 'current' else case when state = 'superseded' then 'superseded' else 'episodic' end end as staleness from base where number % 4 <> 0 or number % 3 = 0)"""
@@ -102,7 +92,7 @@ def _(spark, d):
 
 
 RANKED = f"""{LANES}, docs as (select query_id, object_id, regexp_extract_all(lower(concat_ws(' ', '', '', content, t1 || ' ' || t2)), '[a-z0-9][a-z0-9_.+-]*') as tokens from cand),
-  asked as (select number as query_id, regexp_extract_all(lower(array_to_string(string_split(content, ' ')[1:4], ' ')), '[a-z0-9][a-z0-9_.+-]*') as qt from base where number < 10 and (number % 4 <> 0 or number % 4 = 0)),
+  asked as (select query_id, regexp_extract_all(lower(array_to_string(string_split(arg_min(content, number), ' ')[1:4], ' ')), '[a-z0-9][a-z0-9_.+-]*') as qt from base group by query_id),
   wanted as (select query_id, token, count(*) as times from (select query_id, unnest(qt) as token from asked) t group by query_id, token), stats as (select query_id, count(*) as n_docs, greatest(avg(len(tokens)), 1.0) as mean_length from docs group by query_id),
   tf as (select t.query_id, t.object_id, t.length, t.token, w.times, count(*) as tf from (select query_id, object_id, greatest(len(tokens), 1) as length, unnest(tokens) as token from docs) t join wanted w on w.query_id = t.query_id and w.token = t.token group by t.query_id, t.object_id, t.length, t.token, w.times),
   df as (select query_id, token, count(*) as df from tf group by query_id, token),
@@ -119,12 +109,12 @@ def _(spark, d):
 
 @query("c05_pack")
 def _(spark, d):
-    return c.pack(c.essence_rank(*whole_lanes(spark, d)), 8, 1200, 2).select("query_id", "item", "object_id", "lane", "shown", "content_truncated")
+    return c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2).select("query_id", "item", "object_id", "lane", "shown", "content_truncated")
 
 
 @query("c06_render_pack")
 def _(spark, d):
-    return c.render_pack(c.pack(c.essence_rank(*whole_lanes(spark, d)), 8, 1200, 2))
+    return c.render_pack(c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2))
 
 
 @query("q01_validate_rows", """select 'episodic' as plane, namespace, object_id, 'importance' as loc from episodic where importance + number % 3 > 10 union all select 'episodic', namespace, object_id, 'updated_epoch' from episodic where number % 37 = 0
@@ -162,19 +152,19 @@ def _(spark, d):
 
 
 def run_of(spark, d, shift: int = 0):
-    """Graded hits: queries are importances, hits ranked by a scramble of the id."""
+    """Graded hits: a query for each 40 ids, hits ranked by a scramble of the id."""
     from pyspark.sql import Window
 
     n = F.col("number")
-    e = P.episodic(spark, d).filter(n < 400).select((n % 10).alias("query_id"), "object_id", n)
+    e = P.episodic(spark, d).select(F.floor(n / 40).alias("query_id"), "object_id", n)
     hits = e.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((n * (37 + shift)) % 401, "object_id")))
     labels = e.filter(n % 3 == 0).select("query_id", "object_id", (n % 4).alias("grade"))
-    queries = e.select("query_id").distinct().unionByName(spark.createDataFrame([(99,)], "query_id bigint")).withColumn("mode", F.when(F.col("query_id") % 2 == 0, "fast").otherwise("deep"))
+    queries = e.select("query_id").distinct().unionByName(spark.createDataFrame([(-1,)], "query_id bigint")).withColumn("mode", F.when(F.col("query_id") % 2 == 0, "fast").otherwise("deep"))
     return queries, hits.filter("rank <= 20").select("query_id", "object_id", "rank"), labels
 
 
-EVAL = """e as (select number % 10 as query_id, object_id, number from episodic where number < 400), lab as (select query_id, object_id, number % 4 as grade from e where number % 3 = 0),
-  qs as (select query_id, case when query_id % 2 = 0 then 'fast' else 'deep' end as mode from (select distinct query_id from e union all select 99) t)"""
+EVAL = """e as (select number // 40 as query_id, object_id, number from episodic), lab as (select query_id, object_id, number % 4 as grade from e where number % 3 = 0),
+  qs as (select query_id, case when query_id % 2 = 0 then 'fast' else 'deep' end as mode from (select distinct query_id from e union all select -1) t)"""
 
 
 def measured(name: str, factor: int) -> str:
@@ -220,16 +210,14 @@ def _(spark, d):
     return q.abstention_rates(hits, 0.7).select(F.round("false_positive_rate", 6).alias("false_positive_rate"), F.round("false_negative_rate", 6).alias("false_negative_rate"))
 
 
-@query("e08_smoke_gate", """with v as (select vec_id, cast(embedding as double[]) as x, label from embeddings), s as (select b.vec_id, b.label, row_number() over (order by list_dot_product(a.x, b.x) desc, b.vec_id) as rank from v a join v b on a.vec_id = 0)
-  select vec_id, rank from s where rank <= 10""")
+@query("e08_smoke_gate", """with v as (select vec_id, cast(embedding as double[]) as x from embeddings),
+  s as (select a.vec_id as query_id, b.vec_id, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.x, b.x) desc, b.vec_id) as rank from v a join v b on a.vec_id % 100 = 0)
+  select query_id, vec_id, rank from s where rank <= 10""")
 def _(spark, d):
-    from memlake.functions.text import cosine
-    from pyspark.sql import Window
-
-    v = P.read_table(spark, d, "embeddings").select(F.lit(0).alias("query_id"), "vec_id", "embedding")
-    one = v.filter("vec_id = 0").select("query_id", F.col("embedding").alias("asked"))
-    scored = v.join(F.broadcast(one), "query_id").withColumn("score", cosine(F.col("asked"), F.col("embedding")))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("rank <= 10").select("vec_id", "rank")
+    """The stated query set, every hundredth vector, against all of them."""
+    rows = P.read_table(spark, d, "embeddings").select(P.key("V", F.col("vec_id")).alias("object_id"), "vec_id", F.lit("all").alias("namespace"), F.col("embedding").alias("vector"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "namespace", "vector")
+    return v.dense_topk(asked, rows, 10).select("query_id", F.substring("object_id", 2, 26).cast("long").alias("vec_id"), "rank")
 
 
 @query("e09_penalize_contradictions", f"""with {EVAL}, h as (select query_id, object_id, number, (number * 37 % 101) / 100.0 as score from e), p as (select number as a, number + 10 as b from e where number % 35 = 0),
@@ -237,13 +225,13 @@ def _(spark, d):
   select query_id, object_id, round(score - case when object_id in (select object_id from marked) then 0.3 else 0 end, 6) as score from h""", E_)
 def _(spark, d):
     n = F.col("number")
-    e = P.episodic(spark, d).filter(n < 400)
-    hits = e.select((n % 10).alias("query_id"), "object_id", ((n * 37 % 101) / 100.0).alias("score"))
+    e = P.episodic(spark, d)
+    hits = e.select(F.floor(n / 40).alias("query_id"), "object_id", ((n * 37 % 101) / 100.0).alias("score"))
     pairs = e.filter(n % 35 == 0).select(F.col("object_id").alias("a"), P.key("D", n + 10).alias("b"))
     return q.penalize_contradictions(hits, pairs, 0.3).select("query_id", "object_id", F.round("score", 6).alias("score"))
 
 
 @query("e09_recalled", f"with {EVAL}, {measured('', 37)} select e.query_id, e.object_id, exists (select 1 from h where h.query_id = e.query_id and h.object_id = e.object_id) as recalled from e where number % 7 = 0", E_)
 def _(spark, d):
-    wanted = P.episodic(spark, d).filter("number < 400 and number % 7 = 0").select((F.col("number") % 10).alias("query_id"), "object_id")
+    wanted = P.episodic(spark, d).filter("number % 7 = 0").select(F.floor(F.col("number") / 40).alias("query_id"), "object_id")
     return q.recalled(run_of(spark, d)[1], wanted)

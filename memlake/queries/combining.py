@@ -18,7 +18,7 @@ def points(spark, d):
     live = F.when(n % 21 == 0, F.concat(F.lit("q"), P.key("K", n + 7))).otherwise(F.concat(F.lit("q"), F.col("object_id")))
     base = ["object_id", "namespace", "state"]
     anchors = k.filter(n % 3 != 0).unionByName(k.filter(n % 21 == 0)).select(F.concat(F.lit("p"), "object_id").alias("point_id"), *base, F.lit("anchor").alias("point_kind"), live.alias("live_point"), F.when(n % 2 == 0, F.col("title")).alias("title"), none.alias("body_hash"))
-    content = k.filter(n % 10 != 0).select(F.concat(F.lit("q"), "object_id").alias("point_id"), *base, F.lit("content").alias("point_kind"), none.alias("live_point"), F.upper("title").alias("title"), "body_hash")
+    content = k.filter(n % 10 != 0).select(F.concat(F.lit("q"), "object_id").alias("point_id"), *base, F.lit("content").alias("point_kind"), none.alias("live_point"), F.concat("title", F.lit("!")).alias("title"), "body_hash")
     old = k.filter((n % 3 == 0) & (n % 21 != 0)).select(F.concat(F.lit("p"), "object_id").alias("point_id"), *base, none.alias("point_kind"), none.alias("live_point"), "title", "body_hash")
     return anchors.unionByName(content).unionByName(old)
 
@@ -26,7 +26,7 @@ def points(spark, d):
 POINTS_SQL = """points as (
   select 'p' || object_id as point_id, object_id, namespace, state, 'anchor' as point_kind, case when number % 21 = 0 then 'qK' || lpad(cast(number + 7 as varchar), 26, '0') else 'q' || object_id end as live_point,
     case when number % 2 = 0 then title end as title, cast(null as varchar) as body_hash from curated where number % 3 <> 0 or number % 21 = 0
-  union all select 'q' || object_id, object_id, namespace, state, 'content', null, upper(title), body_hash from curated where number % 10 <> 0
+  union all select 'q' || object_id, object_id, namespace, state, 'content', null, title || '!', body_hash from curated where number % 10 <> 0
   union all select 'p' || object_id, object_id, namespace, state, null, null, title, body_hash from curated where number % 3 = 0 and number % 21 <> 0)"""
 
 
@@ -50,13 +50,21 @@ def _(spark, d):
     return j.committed_chunks(*chunks(spark, d)).select("artifact_id", F.col("chunk_index").cast("long").alias("chunk_index"), "generation")
 
 
-@query("j03_hydrate_lineage", """select c.object_id, c.superseder, case when e2.object_id is null then c.object_id else e2.object_id end as tip, k.title as promoted_title, coalesce(a.filename, '') as files from (
+@query("j03_hydrate_lineage", """select c.object_id, c.superseder, case when e2.object_id is null then c.object_id else e2.object_id end as tip, k.title as promoted_title, coalesce(a.filename, '') as files, coalesce(o.older, '') as supersedes from (
     select object_id, superseded_by as superseder, 'K' || substr(object_id, 2) as promoted_to, supported_by from episodic) c left join episodic e2 on e2.object_id = c.superseder
-  left join curated k on k.object_id = c.promoted_to left join artifact a on a.object_id = c.supported_by[1]""", (*E_, *K_, *A_))
+  left join curated k on k.object_id = c.promoted_to left join artifact a on a.object_id = c.supported_by[1]
+  left join (select superseded_by, string_agg(object_id, ',' order by object_id) as older from episodic group by superseded_by) o on o.superseded_by = c.object_id""", (*E_, *K_, *A_))
 def _(spark, d):
     e = P.episodic(spark, d)
     hits = e.select("object_id", F.col("superseded_by").alias("superseder"), F.concat(F.lit("K"), F.substring("object_id", 2, 26)).alias("promoted_to"), "supported_by")
-    return j.hydrate_lineage(hits, e, P.curated(spark, d), P.artifact(spark, d)).select("object_id", "superseder", "tip", "promoted_title", F.array_join("files", ",").alias("files"))
+    return j.hydrate_lineage(hits, e, P.curated(spark, d), P.artifact(spark, d)).select("object_id", "superseder", "tip", "promoted_title", F.array_join("files", ",").alias("files"), F.array_join("supersedes", ",").alias("supersedes"))
+
+
+@query("j03_promoted_from", """select k.object_id, k.promoted_from, c.title as promoted_from_title, k.object_id as tip from curated k left join concept c on c.object_id = k.promoted_from""", (*K_, *C_))
+def _(spark, d):
+    k = P.curated(spark, d).withColumn("superseded_by", F.lit(None).cast("string"))
+    hits = k.select("object_id", "namespace", "promoted_from", F.lit(None).cast("string").alias("promoted_to"), F.array().cast("array<string>").alias("supported_by"))
+    return j.hydrate_lineage(hits, k, P.curated(spark, d), P.artifact(spark, d), P.concept(spark, d)).select("object_id", "promoted_from", "promoted_from_title", "tip")
 
 
 def chained(spark, d):
@@ -92,7 +100,7 @@ def files(spark, d):
     return k.filter(n % 3 != 1).select(F.col("vault_path").alias("path"), F.when(n % 4 == 0, F.sha2("vault_path", 256)).otherwise(F.col("body_hash")).alias("file_hash"))
 
 
-@query("j07_ghost_rows", """select object_id, vault_path from (select *, 'curated/' || identity_family || '/curated' as inferred from curated) k where state = 'matured' and number % 3 = 1""", K_)
+@query("j07_ghost_rows", """select object_id, vault_path from curated where state = 'matured' and number % 3 = 1""", K_)
 def _(spark, d):
     k = P.curated(spark, d).withColumn("namespace", F.concat(F.lit("curated/"), "identity_family", F.lit("/curated")))
     return j.ghost_rows(k, files(spark, d)).select("object_id", "vault_path")
@@ -174,12 +182,16 @@ def _(spark, d):
     return m.capture_summary(tagged(spark, d), ["episodic", "artifact", "thought"], 1704153600.0, 1704240000.0)
 
 
-@query("a05_account_access", """select e.object_id, e.access_count + coalesce(h.n, 0) as access_count, h.at as last_accessed_us from episodic e left join
-  (select 'D' || lpad(cast(user_id as varchar), 26, '0') as object_id, count(distinct event_id // 5) as n, max(epoch_us(ts)) as at from events group by user_id) h on h.object_id = e.object_id""", E_)
+@query("a05_account_access", """select e.object_id, e.access_count + coalesce(h.n, 0) as access_count, case when h.at is null or h.at < e.before then e.before else h.at end as last_accessed_us
+  from (select *, 1704067200000000 + number * 3600000000 as before from episodic) e left join
+  (select 'D' || lpad(cast(user_id as varchar), 26, '0') as object_id, count(distinct event_id // 5) as n, max(epoch_us(ts)) as at from events where event_id % 3 <> 0 group by user_id) h on h.object_id = e.object_id""", E_)
 def _(spark, d):
     ev = P.lifecycle_events(spark, d)
-    delivered = ev.select(F.floor(F.col("event_id") / 5).alias("delivery_id"), "object_id", F.col("occurred_us").alias("delivered_epoch"))
-    return m.account_access(delivered, P.episodic(spark, d)).select("object_id", "access_count", F.col("last_accessed_epoch").alias("last_accessed_us"))
+    rows = P.episodic(spark, d).withColumns({"plane": F.lit("episodic"), "last_accessed_epoch": (F.lit(P.EPOCH) + F.col("number") * 3600) * 1_000_000})
+    plane = F.when(F.col("event_id") % 3 == 0, "artifact").otherwise("episodic")
+    delivered = ev.select("object_id", F.floor(F.col("event_id") / 5).alias("delivery_id"), F.col("occurred_us").alias("delivered_epoch"), plane.alias("plane"))
+    delivered = delivered.join(rows.select("object_id", "namespace"), "object_id")
+    return m.account_access(delivered, rows).select("object_id", "access_count", F.col("last_accessed_epoch").alias("last_accessed_us"))
 
 
 @query("a06_reinforce_concepts", """select c.object_id, c.reinforcement_count + coalesce(v.n, 0) as reinforcement_count, len(c.merged_from) + coalesce(v.fresh, 0) as n_sources, case when v.n is null then c.last_reinforced_epoch else 1714521600.0 end as last_reinforced_epoch
@@ -190,12 +202,13 @@ def _(spark, d):
     return m.reinforce_concepts(P.concept(spark, d), evidence, P.NOW).select("object_id", "reinforcement_count", F.size("merged_from").alias("n_sources"), "last_reinforced_epoch")
 
 
-@query("a07_record_rejections", """select c.object_id, c.promotion_attempts + case when c.promoted_to is null then coalesce(r.n, 0) else 0 end as promotion_attempts, case when c.promoted_to is null then r.at end as rejected_us from concept c left join
+@query("a07_record_rejections", """select c.object_id, c.promotion_attempts + case when c.promoted_to is null then coalesce(r.n, 0) else 0 end as promotion_attempts, case when c.promoted_to is null and r.at is not null then r.at else c.number end as rejected_us from concept c left join
   (select 'C' || lpad(cast(user_id as varchar), 26, '0') as object_id, count(*) as n, max(epoch_us(ts)) as at from events where event_id % 4 <> 0 group by user_id) r on r.object_id = c.object_id""", C_)
 def _(spark, d):
     ev = P.lifecycle_events(spark, d)
     rejections = ev.select(F.concat(F.lit("C"), F.substring("object_id", 2, 26)).alias("object_id"), F.col("occurred_us").alias("rejected_epoch"), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("reason")).alias("reason"))
-    return m.record_rejections(P.concept(spark, d), rejections).select("object_id", "promotion_attempts", F.col("rejected_epoch").alias("rejected_us"))
+    before = P.concept(spark, d).withColumns({"rejected_epoch": F.col("number"), "rejected_reason": F.lit("before")})
+    return m.record_rejections(before, rejections).select("object_id", "promotion_attempts", F.col("rejected_epoch").alias("rejected_us"))
 
 
 @query("a08_mark_read", """select object_id, array_to_string(list_sort(list_distinct(list_concat(read_by, r))), ',') as read_by, list_contains(list_concat(read_by, r), to_presence) as read,

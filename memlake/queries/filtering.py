@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators import filters as f
-from memlake.queries.registry import query
+from memlake.queries.registry import WHITE, query
 from memlake.sources import planes as P
 
 E_, C_, K_ = ("episodic",), ("concept",), ("curated",)
@@ -109,18 +109,16 @@ def _(spark, d):
     return P.episodic(spark, d).select("object_id", F.array_join(T.normalize_tags(raw, {"g2": "two"}), ",").alias("tags"))
 
 
-@query("t02_supersession_hint", """select object_id, number % 3 = 0 as hinted, trim(content) as needle from episodic where length(content) < 2000 and content = trim(content) and ascii(content) < 128 and not regexp_matches(content, '^[\\s]|[\\s]$')""", E_)
+@query("t02_supersession_hint", f"""select object_id, number % 3 = 0 as hinted, regexp_replace(content, '^{WHITE}|{WHITE}$', '', 'g') as needle from episodic""", E_)
 def _(spark, d):
-    e = P.episodic(spark, d).filter("length(content) < 2000 and content = trim(content) and ascii(content) < 128").filter(~F.col("content").rlike("^\\s|\\s$"))
+    e = P.episodic(spark, d)
     said = F.when(F.col("number") % 3 == 0, F.concat(F.lit(" Update: "), F.col("content"))).otherwise(F.col("content"))
     return e.select("object_id", T.has_supersession_hint(said).alias("hinted"), T.strip_supersession_hint(said).alias("needle"))
 
 
-@query("t03_normalize_content", """select object_id, rtrim(regexp_replace(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')), '[.!?]+$', '')) as normal from episodic
-  where not regexp_matches(content, '[^\\x00-\\x7F]')""", E_)
+@query("t03_normalize_content")
 def _(spark, d):
-    e = P.episodic(spark, d).filter(~F.col("content").rlike("[^\\x00-\\x7F]"))
-    return e.select("object_id", T.normalize_content("content").alias("normal"))
+    return P.episodic(spark, d).select("object_id", "content", T.normalize_content("content").alias("normal"))
 
 
 @query("t04_content_hash", "select object_id, sha256(substr(content, 1, 300)) as content_hash, body_hash from curated", K_)
@@ -133,11 +131,9 @@ def _(spark, d):
     return P.episodic(spark, d).select("object_id", T.truncate_grapheme(100)("content").alias("shown"))
 
 
-@query("t06_redact_pii", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b', '[REDACTED]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED]', 'g'),
-  '\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b', '[REDACTED]', 'g') as redacted from documents where not regexp_matches(text, '[^\x00-\x7F]')""")
+@query("t06_redact_pii")
 def _(spark, d):
-    docs = P.read_table(spark, d, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", T.redact_pii(F.col("text"), unicode_words=False).alias("redacted"))
+    return P.read_table(spark, d, "documents").select("doc_id", "text", T.redact_pii(F.col("text")).alias("redacted"))
 
 
 @query("t07_interesting_fact", r"""select doc_id, regexp_matches(text, '(?i)\bremember\b|\bI (?:always )?forget\b|\b(?:save|store|note) (?:this|that) (?:to|in) memory\b|\bnever forget\b') as interesting from documents""")
@@ -176,10 +172,9 @@ def _(spark, d):
     return P.episodic(spark, d).select("object_id", T.embed_text("episodic").alias("said"))
 
 
-@query("v06_tokenize", """select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.+-]*')) as n_tokens from documents where not regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("v06_tokenize", """select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.+-]*')) as n_tokens from documents""")
 def _(spark, d):
-    docs = P.read_table(spark, d, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.size(T.tokenize(F.col("text"))).alias("n_tokens"))
+    return P.read_table(spark, d, "documents").select("doc_id", F.size(T.tokenize(F.col("text"))).alias("n_tokens"))
 
 
 @query("v14_jaccard", """select a.object_id, round(cast(len(list_intersect(a.tags, b.tags)) as double) / (4 - len(list_intersect(a.tags, b.tags))), 6) as jaccard from episodic a join episodic b on b.number = a.number + 1""", E_)

@@ -8,7 +8,7 @@ from memlake.functions import text as T
 from memlake.operators import ranking as r
 from memlake.plans import retrieval, synthesis
 from memlake.queries.registry import query
-from memlake.queries.searching import BM25, HITS, hits, postings, vector_queries, vectors
+from memlake.queries.searching import BM25, HITS, POSTINGS, VECTORS, hits, postings, vector_queries, vectors
 from memlake.sources import exchange as x
 from memlake.sources import planes as P
 from memlake.sources.scratch import ensure_checkpoint_dir
@@ -34,10 +34,10 @@ def _(spark, d):
     return jobs.deliver_thoughts(t, subs).select("object_id", "subscription_id")
 
 
-@query("s03_replay_since", """with a as (select *, row_number() over (order by object_id) as place, count(*) over () > 50 as truncated from thought where object_id > 'T00000000000000000000005000' and to_presence in ('user', 'all') and created_epoch >= 1704067200)
+@query("s03_replay_since", """with a as (select *, row_number() over (order by object_id) as place, count(*) over () > 50 as truncated from thought where object_id > 'T00000000000000000050000000' and to_presence in ('user', 'all') and created_epoch >= 1704067200)
   select object_id, place, truncated from a where place <= 50""", T_)
 def _(spark, d):
-    return jobs.replay_since(P.thought(spark, d), "T00000000000000000000005000", 1704067200.0, ["user", "all"], 50).select("object_id", "place", "truncated")
+    return jobs.replay_since(P.thought(spark, d), "T00000000000000000050000000", 1704067200.0, ["user", "all"], 50).select("object_id", "place", "truncated")
 
 
 @query("s04_rate_limit")
@@ -126,7 +126,9 @@ def _(spark, d):
 
 def searchable(spark, d):
     """Rows with vectors and scoring columns, postings of their texts, and the stated queries."""
-    e = P.episodic(spark, d).drop("namespace", "tags", "topics").withColumn("plane", F.lit("episodic"))
+    n = F.col("number")
+    e = P.episodic(spark, d).drop("namespace", "tags", "topics").withColumn("plane", F.when(n % 3 == 0, "curated").otherwise("episodic"))
+    e = e.withColumn("promoted_to", F.concat(F.lit("K"), F.substring("object_id", 2, 26)))
     rows = vectors(spark, d).select("object_id", "namespace", "vector").join(e, "object_id")
     space = rows.select("object_id", "namespace")
     p = postings(spark, d).drop("namespace").join(space, "object_id")
@@ -135,9 +137,20 @@ def searchable(spark, d):
     return q, terms, rows, p.select("object_id", "namespace", "term", "weight")
 
 
-@query("r05_hybrid_search")
+RETRIEVAL = f"""{VECTORS}, {POSTINGS}, shown as (select v.object_id, v.namespace, v.vector, v.number, e.* exclude (object_id, namespace, number), case when v.number % 3 = 0 then 'curated' else 'episodic' end as plane
+    from vectors v join episodic e on e.object_id = v.object_id where e.state in ('matured', 'promoted')
+    and (v.number % 3 <> 0 or ((e.valid_from_epoch is null or e.valid_from_epoch <= 1714521600) and (e.valid_until_epoch is null or e.valid_until_epoch > 1714521600)))),
+  dense as (select q.number as query_id, x.object_id, row_number() over (partition by q.number order by list_cosine_similarity(q.vector, x.vector) desc, x.object_id) as rank
+    from vectors q join shown x on x.namespace = q.namespace where q.number % 100 = 0),
+  words as (select p.object_id, p.number, v.namespace, p.term, p.weight from postings p join vectors v on v.object_id = p.object_id),
+  dots as (select q.number as query_id, p.object_id, round(sum(p.weight * q.weight), 9) as score from words p join words q on q.namespace = p.namespace and q.term = p.term
+    where q.number % 100 = 0 and p.object_id in (select object_id from shown) group by q.number, p.object_id),
+  sparse as (select query_id, object_id, row_number() over (partition by query_id order by score desc, object_id) as rank from dots),
+  fused as (select query_id, object_id, sum(1.0 / (60 + rank)) as rrf_score from (select * from dense where rank <= PREFETCH union all select * from sparse where rank <= PREFETCH) u group by query_id, object_id),
+  found as (select *, row_number() over (partition by query_id order by round(rrf_score, 12) desc, object_id) as rank from fused)"""
+@query("r05_hybrid_search", f"with {RETRIEVAL.replace('PREFETCH', '50')} select query_id, object_id, rank, round(rrf_score, 6) as rrf_score from found where rank <= 10", E_)
 def _(spark, d):
-    return retrieval.hybrid_search(*searchable(spark, d), limit=10).select("query_id", "object_id", "rank", F.round("rrf_score", 6).alias("rrf_score"))
+    return retrieval.hybrid_search(*searchable(spark, d), limit=10, now=P.NOW).select("query_id", "object_id", "rank", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 @query("r06_fast_retrieve")
@@ -147,8 +160,9 @@ def _(spark, d):
 
 @query("r08_deep_retrieve")
 def _(spark, d):
-    out = retrieval.deep_retrieve(*searchable(spark, d), limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"))
-    return out.select("query_id", "object_id", "rank", F.round("score", 6).alias("score"))
+    lineage = P.episodic(spark, d), P.curated(spark, d), P.artifact(spark, d)
+    out = retrieval.deep_retrieve(*searchable(spark, d), limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"), lineage=lineage)
+    return out.select("query_id", "object_id", "rank", F.round("score", 6).alias("score"), "tip", "promoted_title", F.array_join("files", ",").alias("files"))
 
 
 @query("r10_blended_retrieve", f"""with {HITS.format(leg='')}, one as (select *, row_number() over (partition by query_id, sha256(substr(content, 1, 300)) order by case when plane = 'curated' then 4 when plane = 'concept' then 3 when state = 'matured' then 2 when state = 'provisional' then 1 else 0 end desc, score desc, object_id) as k from scored)
@@ -160,7 +174,7 @@ def _(spark, d):
 
 
 def lexical(spark, d):
-    queries = P.read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.substring("text", 1, 60)).alias("tokens"))
+    queries = P.read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("tokens"))
     rows = P.episodic(spark, d).withColumns({"plane": F.lit("episodic"), "tokens": T.tokenize(F.col("content"))})
     cols = ["object_id", "tokens", "plane", "state", "updated_epoch", "importance", "reinforcement_count", "access_count"]
     out = retrieval.lexical_top(queries, rows.filter(F.col("state").isin("matured", "promoted")).select(cols), P.NOW)
@@ -177,11 +191,16 @@ def _(spark, d):
     return lexical(spark, d)
 
 
-@query("l17_retract", "select object_id, strlen(content) as original_bytes, sha256(content) as original_digest from episodic where number % 5 = 0", E_)
+@query("l17_retract")
 def _(spark, d):
+    """Every third request has more prose than a tombstone may have."""
     e = P.episodic(spark, d)
-    rows, _ = synthesis.retract(e, e.filter("number % 5 = 0").select("object_id", F.lit("asked").alias("reason")), P.NOW)
-    return rows.select("object_id", F.col("original_bytes").cast("long").alias("original_bytes"), "original_digest")
+    truth = F.when(F.col("number") % 3 == 0, F.repeat(F.lit("true "), 7000)).otherwise(F.lit("it was not so"))
+    requests = e.select("object_id", F.lit("2024-05-01").alias("asked_on"), F.lit("wrong é").alias("because"), truth.alias("truth"))
+    stones, artifacts, refused = synthesis.retract(e, requests, P.NOW)
+    done = stones.select("object_id", "evidence_id", "content", "kept_bytes", "omitted_bytes", F.lit("retracted").alias("outcome"))
+    kept = artifacts.select(F.col("object_id").alias("evidence_id"), F.col("sha256").alias("kept_sha256"))
+    return done.join(kept, "evidence_id").unionByName(refused.select("object_id", F.col("reason").alias("outcome")), allowMissingColumns=True)
 
 
 @query("l19_synthesize")
@@ -241,12 +260,12 @@ def _(spark, d):
     return near.select("query_id", F.when(F.col("object_id").isNotNull() & compatible, "merge").otherwise("insert").alias("action"))
 
 
-@query("v15_token_overlap", """with w as (select number, list_distinct(list_filter(string_split(lower(summary), ' '), lambda x: x <> '')) as words from episodic where number % 2 = 0 and not regexp_matches(summary, '[^\\x20-\\x7E]'))
-  select a.number, round(case when len(a.words) = 0 or len(b.words) = 0 then 0.0 else cast(len(list_intersect(a.words, b.words)) as double) / len(list_distinct(list_concat(a.words, b.words))) end, 6) as overlap from w a join w b on b.number = a.number + 2""", E_)
+@query("v15_token_overlap", """with w as (select number, list_distinct(list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as words from episodic)
+  select a.number, round(case when len(a.words) = 0 or len(b.words) = 0 then 0.0 else cast(len(list_intersect(a.words, b.words)) as double) / len(list_distinct(list_concat(a.words, b.words))) end, 6) as overlap from w a join w b on b.number = a.number + 1""", E_)
 def _(spark, d):
-    e = P.episodic(spark, d).filter("number % 2 = 0").filter(~F.col("summary").rlike("[^\\x20-\\x7E]")).select("number", "summary")
-    nxt = e.select((F.col("number") - 2).alias("number"), F.col("summary").alias("other"))
-    return e.join(nxt, "number").select("number", F.round(T.token_overlap(F.col("summary"), F.col("other")), 6).alias("overlap"))
+    e = P.episodic(spark, d).select("number", "content")
+    nxt = e.select((F.col("number") - 1).alias("number"), F.col("content").alias("other"))
+    return e.join(nxt, "number").select("number", F.round(T.token_overlap(F.col("content"), F.col("other")), 6).alias("overlap"))
 
 
 @query("j09_orphan_writes", "select vault_path as path from curated where number % 2 = 0 and number % 3 = 1 and created_epoch < 1714521600 - 300", K_)

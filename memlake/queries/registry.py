@@ -40,6 +40,10 @@ def _key(prefix: str, number: str) -> str:
 
 _NONE = "cast([] as varchar[])"
 _CREATED = "cast(1704067200 + doc_id * 3600 as double)"
+#: White space of any script, as both engines can name it.
+WHITE = "[\\s\\x0B\\x1c-\\x1f\\x85\\p{Z}]+"
+#: The hash of a text without white space at its ends.
+_STRIPPED = "sha256(regexp_replace({}, '^" + WHITE.replace("{", "{{").replace("}", "}}") + "|" + WHITE.replace("{", "{{").replace("}", "}}") + "$', '', 'g'))"
 #: The derivation of ``memlake.sources.planes`` in SQL.
 PLANE_SQL = {
     "episodic": f"""select {_key('D', 'doc_id')} as object_id, lang || '/' || source || '/episodic' as namespace, lang as identity_family, doc_id as number,
@@ -52,25 +56,25 @@ PLANE_SQL = {
         case when doc_id % 9 = 0 then [{_key('A', 'doc_id % 400')}] else {_NONE} end as supported_by from documents""",
     "concept": f"""select {_key('C', 'doc_id')} as object_id, lang || '/shared/concept' as namespace, lang as identity_family, doc_id as number,
         {_pick('doc_id // 5', 'synthesized', 'matured', 'matured', 'promoted', 'demoted', 'superseded')} as state, 1 as version,
-        {_CREATED} as created_epoch, {_CREATED} + doc_id % 7 * 86400.0 as updated_epoch, substr(text, 1, 300) as content, substr(text, 1, 40) as title,
+        {_CREATED} as created_epoch, {_CREATED} + doc_id % 7 * 86400.0 as updated_epoch, coalesce(text, '') as content, substr(text, 1, 40) as title,
         1 + doc_id % 10 as importance, (doc_id // 5) % 6 as reinforcement_count, doc_id % 4 as promotion_attempts,
         case when doc_id % 35 = 0 then [{_key('C', 'doc_id + 5')}] else {_NONE} end as contradicts, case when (doc_id // 5) % 6 = 3 then {_key('K', 'doc_id')} end as promoted_to,
         ['t' || cast(doc_id % 3 as varchar)] as topics, case when doc_id % 2 = 0 then {_CREATED} + doc_id % 40 * 86400.0 end as last_reinforced_epoch,
-        [{_key('D', 'doc_id')}, {_key('D', 'doc_id + 1')}, {_key('D', 'doc_id + 2')}] as merged_from from documents where doc_id % 5 = 0""",
+        [{_key('D', 'doc_id')}, {_key('D', 'doc_id + 1')}, {_key('D', 'doc_id + 2')}] as merged_from from documents""",
     "curated": f"""select {_key('K', 'doc_id')} as object_id, lang || '/shared/curated' as namespace, lang as identity_family, doc_id as number,
         {_pick('doc_id', 'matured', 'matured', 'superseded', 'archived')} as state, 1 as version, {_CREATED} as created_epoch, {_CREATED} + doc_id % 7 * 86400.0 as updated_epoch,
-        text as content, substr(text, 1, 40) as title, 1 + doc_id % 10 as importance, 'curated/' || lang || '/' || cast(doc_id as varchar) || '.md' as vault_path, sha256(trim(text)) as body_hash,
+        text as content, substr(text, 1, 40) as title, 1 + doc_id % 10 as importance, 'curated/' || lang || '/' || cast(doc_id as varchar) || '.md' as vault_path, {_STRIPPED.format('text')} as body_hash,
         case when doc_id % 35 = 0 then {_key('C', 'doc_id')} end as promoted_from, case when doc_id % 3 = 0 then {_CREATED} end as valid_from_epoch,
         case when doc_id % 4 = 0 then {_CREATED} + doc_id % 50 * 86400.0 end as valid_until_epoch,
-        case when doc_id % 2 = 0 then {_CREATED} + doc_id % 60 * 86400.0 end as last_accessed_epoch from documents where doc_id % 7 = 0""",
+        case when doc_id % 2 = 0 then {_CREATED} + doc_id % 60 * 86400.0 end as last_accessed_epoch from documents""",
     "artifact": f"""select {_key('A', 'page_id')} as object_id, 'web/site' || cast(page_id % 10 as varchar) || '/artifact' as namespace, 'web' as identity_family, page_id as number,
         {_pick('page_id', 'matured', 'matured', 'matured', 'archived')} as state, 1 as version, cast(1704067200 - 200 * 86400 + page_id * 7200 as double) as created_epoch,
         cast(1704067200 - 200 * 86400 + page_id * 7200 as double) as updated_epoch, url as filename, html as content, sha256(html) as sha256, strlen(html) as size_bytes from pages""",
-    "thought": f"""select {_key('T', 'conv_id * 1000 + turn')} as object_id, 'conv' || cast(conv_id % 10 as varchar) || '/chat/thought' as namespace, role as from_presence,
+    "thought": f"""select {_key('T', 'conv_id * 10000000 + turn')} as object_id, 'conv' || cast(conv_id % 10 as varchar) || '/chat/thought' as namespace, role as from_presence,
         case role when 'system' then 'all' when 'user' then 'assistant' else 'user' end as to_presence, 'c' || cast(conv_id % 3 as varchar) as channel, 1 + turn % 10 as importance,
         cast(1704067200 + conv_id * 3600 + turn * 60 as double) as created_epoch, text as content,
         case when turn % 3 = 0 then [case role when 'system' then 'all' when 'user' then 'assistant' else 'user' end] else {_NONE} end as read_by,
-        case when turn > 0 then {_key('T', 'conv_id * 1000 + turn - 1')} end as in_reply_to, {_pick('turn', 'provisional', 'matured', 'matured', 'archived')} as state, 1 as version from conversations""",
+        case when turn > 0 then {_key('T', 'conv_id * 10000000 + turn - 1')} end as in_reply_to, {_pick('turn', 'provisional', 'matured', 'matured', 'archived')} as state, 1 as version from conversations""",
     "lifecycle_events": f"""select event_id, {_key('D', 'user_id')} as object_id, {_pick('event_id', 'provisional', 'matured', 'demoted')} as from_state, {_pick('event_id', 'matured', 'demoted', 'matured')} as to_state,
         event_type as reason, epoch_us(ts) as occurred_us, value from events""",
 }

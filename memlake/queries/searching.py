@@ -61,13 +61,13 @@ def _(spark, d):
 
 def channels(spark, d):
     a = v.dense_topk(vector_queries(spark, d), vectors(spark, d), 20)
-    e = P.episodic(spark, d).filter(F.col("number") < 500)
-    b = e.withColumn("query_id", F.col("number") % 5 * 100).select("query_id", "object_id", (F.floor(F.col("number") / 5) + 1).alias("rank")).filter("rank <= 20")
+    e, n = P.episodic(spark, d), F.col("number")
+    b = e.select((F.floor(n / 100) * 100).alias("query_id"), "object_id", (n % 100 + 1).alias("rank")).filter("rank <= 20")
     return a, b
 
 
 CHANNELS = f"""{VECTORS}, c1 as (select query_id, object_id, rank from (select q.number as query_id, x.object_id, row_number() over (partition by q.number order by list_cosine_similarity(q.vector, x.vector) desc, x.object_id) as rank
-  from vectors q join vectors x on x.namespace = q.namespace where q.number % 100 = 0) t where rank <= 20), c2 as (select number % 5 * 100 as query_id, object_id, number // 5 + 1 as rank from episodic where number < 100),
+  from vectors q join vectors x on x.namespace = q.namespace where q.number % 100 = 0) t where rank <= 20), c2 as (select number // 100 * 100 as query_id, object_id, number % 100 + 1 as rank from episodic where number % 100 < 20),
   fused as (select query_id, object_id, sum(1.0 / (60 + rank)) as rrf_score from (select * from c1 union all select * from c2) u group by query_id, object_id)"""
 
 
@@ -78,11 +78,11 @@ def _(spark, d):
 
 def bm25_inputs(spark, d):
     b = P.read_table(spark, d, "benchmark")
-    queries = b.select(F.col("item_id").alias("query_id"), T.tokenize(F.substring("text", 1, 60)).alias("tokens"))
+    queries = b.select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("tokens"))
     return queries, P.episodic(spark, d).select("object_id", T.tokenize(F.col("content")).alias("tokens"))
 
 
-BM25 = """qt as (select item_id as query_id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9][a-z0-9_.+-]*')) as token from benchmark),
+BM25 = """qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.+-]*')) as token from benchmark),
   wanted as (select query_id, token, count(*) as times from qt group by query_id, token),
   dt as (select object_id, regexp_extract_all(lower(content), '[a-z0-9][a-z0-9_.+-]*') as tokens from episodic),
   stats as (select count(*) as n_docs, greatest(avg(len(tokens)), 1.0) as mean_length from dt),
@@ -212,12 +212,13 @@ def _(spark, d):
     return out.select("query_id", "number", "plane", "rank", F.round("score", 6).alias("score"))
 
 
-@query("r07_rerank", """with h as (select number % 40 as query_id, object_id, (number * 37 % 101) / 1000.0 as rrf_score, content from episodic where number % 40 < 30 or number < 160),
+@query("r07_rerank", """with h as (select case when number % 40 < 30 then number // 40 else -1 - number // 4 end as query_id, object_id, (number * 37 % 101) / 1000.0 as rrf_score, content from episodic),
   s as (select *, case when count(*) over (partition by query_id) > 5 then length(substr(content, 1, 2048)) % 97 end as rr from h)
   select query_id, object_id, rank from (select *, row_number() over (partition by query_id order by rr desc nulls last, rrf_score desc, object_id) as rank from s) t where rank <= 5""", E_)
 def _(spark, d):
     n = F.col("number")
-    h = P.episodic(spark, d).filter((n % 40 < 30) | (n < 160)).select((n % 40).alias("query_id"), "object_id", "title", "content", ((n * 37 % 101) / 1000.0).alias("rrf_score"), F.lit("q").alias("query_text"))
+    asked = F.when(n % 40 < 30, F.floor(n / 40)).otherwise(-1 - F.floor(n / 4))  # some queries have few hits
+    h = P.episodic(spark, d).select(asked.alias("query_id"), "object_id", "title", "content", ((n * 37 % 101) / 1000.0).alias("rrf_score"), F.lit("q").alias("query_text"))
     return r.rerank(h, lambda q, t: (F.length(t) % 97).cast("double"), 5).select("query_id", "object_id", "rank")
 
 

@@ -103,9 +103,9 @@ def _(spark, d):
 SLUG = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("l12_promotion_path", f"select object_id, 'curated/' || identity_family || '/shared/' || topics[1] || '/' || {SLUG} || '.md' as path from concept where not regexp_matches(title, '[^\\x00-\\x7F]')", C_)
+@query("l12_promotion_path", f"select object_id, 'curated/' || identity_family || '/shared/' || topics[1] || '/' || {SLUG} || '.md' as path from concept", C_)
 def _(spark, d):
-    return l.promotion_path(P.concept(spark, d).filter(~F.col("title").rlike("[^\\x00-\\x7F]"))).select("object_id", "path")
+    return l.promotion_path(P.concept(spark, d)).select("object_id", "path")
 
 
 @query("l13_resolve_path_conflicts", """with w as (select 'p' || cast(number % 50 as varchar) as stem, object_id, number from concept), h as (select 'p' || cast(number % 50 as varchar) as stem, min(number) as number from concept where number % 3 = 0 group by number % 50),
@@ -120,10 +120,12 @@ def _(spark, d):
     return l.resolve_path_conflicts(wanted, notes).select("object_id", "reuse_id", "final_path")
 
 
-@query("l14_promote", f"""select object_id, case when number % 3 = 2 then 'no_section' when length(content) + 6 < 100 then 'bad_length' else 'promoted' end as outcome from concept where {ELIGIBLE} and not content like '%##%'""", C_)
+@query("l14_promote", f"""select object_id, case when length(body) not between 100 and 20000 then 'bad_length' when not contains(body, '##') then 'no_section'
+  when regexp_matches(lower(body), 'as an ai model|as a language model') then 'ai_disclaimer' else 'promoted' end as outcome
+  from (select *, case when number % 3 = 2 then content || repeat('x', 100) else '## A' || chr(10) || chr(10) || content end as body from concept where {ELIGIBLE}) t""", C_)
 def _(spark, d):
-    c = candidates(spark, d).filter(~F.col("content").contains("##"))
-    bodies = c.select("object_id", F.when(F.col("number") % 3 == 2, F.rpad(F.col("content"), 306, "x")).otherwise(F.concat(F.lit("## A\n\n"), "content")).alias("body"))
+    c = candidates(spark, d)
+    bodies = c.select("object_id", F.when(F.col("number") % 3 == 2, F.concat(F.col("content"), F.lit("x" * 100))).otherwise(F.concat(F.lit("## A\n\n"), "content")).alias("body"))
     _, events, rejected = l.promote(c, bodies, NOW)
     return events.select("object_id", F.lit("promoted").alias("outcome")).unionByName(rejected.select("object_id", F.col("reason").alias("outcome")))
 
@@ -180,11 +182,13 @@ def _(spark, d):
     return l.unverified_citations(texts, e.filter(n % 3 == 0))
 
 
-@query("d06_daily_digest", """select 0 as place, 'At risk' as section, count(*) as n, coalesce(string_agg('- ' || object_id, chr(10) order by object_id), '') as text from episodic where state = 'matured' and importance <= 4 and updated_epoch < 1714521600 - 30 * 86400
-  union all select 1, 'Contradictions', count(*), coalesce(string_agg('- ' || object_id, chr(10) order by object_id), '') from concept where len(contradicts) > 0 union all select 2, 'Nothing', 0, 'Nothing today.'""", (*E_, *C_))
+@query("d06_daily_digest", """select 'reflections/2024-05-01.md' as path, place, section, line from (
+  select 0 as place, 'At risk' as section, '- ' || object_id as line from episodic where state = 'matured' and importance <= 4 and updated_epoch < 1714521600 - 30 * 86400
+  union all select 1, 'Contradictions', '- ' || object_id from concept where len(contradicts) > 0 union all select 2, 'Nothing', 'Nothing today.') t""", (*E_, *C_))
 def _(spark, d):
     def lines(df):
         return df.select(F.concat(F.lit("- "), "object_id").alias("line"))
 
     c = P.concept(spark, d)
-    return l.daily_digest([("At risk", lines(l.at_risk(P.episodic(spark, d), NOW))), ("Contradictions", lines(c.filter(F.size("contradicts") > 0))), ("Nothing", lines(c.filter("state = 'none'")))])
+    sections = [("At risk", lines(l.at_risk(P.episodic(spark, d), NOW))), ("Contradictions", lines(c.filter(F.size("contradicts") > 0))), ("Nothing", lines(c.filter("state = 'none'")))]
+    return l.daily_digest(sections, "2024-05-01")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import family_of, normalize_tags
+from memlake.functions.text import family_of, normalize_tags, strip
 
 _FRONT = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"
 
@@ -21,7 +21,7 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     inside = F.regexp_replace("path", "^.*?" + root.split("://")[-1].rstrip("/").replace(".", "\\.") + "/", "")
     rows = files.select(inside.alias("path"), text.alias("text")).filter(~F.col("path").rlike("(^|/)[._]"))
     front, body = F.regexp_extract("text", _FRONT, 1), F.when(F.col("text").rlike(_FRONT), F.regexp_extract("text", _FRONT, 2)).otherwise(F.col("text"))
-    stripped = F.regexp_replace(body, "^\\s+|\\s+$", "")
+    stripped = strip(body)
     return rows.select("path", front.alias("frontmatter"), stripped.alias("body"), F.sha2(stripped, 256).alias("body_hash"))
 
 

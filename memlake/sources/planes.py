@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions.text import body_hash
+
 #: 2024-01-01; ids count hours from it.
 EPOCH = 1704067200
 #: The fixed "now" of the sweeps' queries, 2024-05-01.
 NOW = 1714521600.0
 DAY = 86400.0
+#: Keys of thoughts are conv_id * TURNS + turn; no conversation has more turns.
+TURNS = 10_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,14 +64,14 @@ def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts, one for every fifth document."""
+    """Concepts, one per document."""
     n = F.col("doc_id")
     created = (F.lit(EPOCH) + n * 3600).cast("double")
     promoted = F.floor(n / 5) % 6 == 3
-    return read_table(spark, sf_dir, "documents").filter(n % 5 == 0).select(
+    return read_table(spark, sf_dir, "documents").select(
         key("C", n).alias("object_id"), F.concat_ws("/", "lang", F.lit("shared"), F.lit("concept")).alias("namespace"), F.col("lang").alias("identity_family"), n.alias("number"),
         _pick(F.floor(n / 5), "synthesized", "matured", "matured", "promoted", "demoted", "superseded").alias("state"), F.lit(1).alias("version"),
-        created.alias("created_epoch"), (created + n % 7 * DAY).alias("updated_epoch"), F.substring("text", 1, 300).alias("content"), F.substring("text", 1, 40).alias("title"),
+        created.alias("created_epoch"), (created + n % 7 * DAY).alias("updated_epoch"), F.coalesce("text", F.lit("")).alias("content"), F.substring("text", 1, 40).alias("title"),
         (1 + n % 10).cast("int").alias("importance"), (F.floor(n / 5) % 6).cast("int").alias("reinforcement_count"), (n % 4).cast("int").alias("promotion_attempts"),
         F.when(n % 35 == 0, F.array(key("C", n + 5))).otherwise(F.array().cast("array<string>")).alias("contradicts"),
         F.when(promoted, key("K", n)).alias("promoted_to"), F.array(F.concat(F.lit("t"), (n % 3).cast("string"))).alias("topics"),
@@ -76,14 +80,14 @@ def concept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated notes, one for every seventh document."""
+    """Curated notes, one per document."""
     n = F.col("doc_id")
     created = (F.lit(EPOCH) + n * 3600).cast("double")
-    return read_table(spark, sf_dir, "documents").filter(n % 7 == 0).select(
+    return read_table(spark, sf_dir, "documents").select(
         key("K", n).alias("object_id"), F.concat_ws("/", "lang", F.lit("shared"), F.lit("curated")).alias("namespace"), F.col("lang").alias("identity_family"), n.alias("number"),
         _pick(n, "matured", "matured", "superseded", "archived").alias("state"), F.lit(1).alias("version"), created.alias("created_epoch"), (created + n % 7 * DAY).alias("updated_epoch"),
         F.col("text").alias("content"), F.substring("text", 1, 40).alias("title"), (1 + n % 10).cast("int").alias("importance"),
-        F.concat(F.lit("curated/"), F.col("lang"), F.lit("/"), n.cast("string"), F.lit(".md")).alias("vault_path"), F.sha2(F.trim("text"), 256).alias("body_hash"),
+        F.concat(F.lit("curated/"), F.col("lang"), F.lit("/"), n.cast("string"), F.lit(".md")).alias("vault_path"), body_hash(F.col("text")).alias("body_hash"),
         F.when(n % 35 == 0, key("C", n)).alias("promoted_from"), F.when(n % 3 == 0, created).alias("valid_from_epoch"), F.when(n % 4 == 0, created + n % 50 * DAY).alias("valid_until_epoch"),
         F.when(n % 2 == 0, created + n % 60 * DAY).alias("last_accessed_epoch"),
     )
@@ -105,9 +109,9 @@ def thought(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     receiver = F.when(F.col("role") == "system", "all").when(F.col("role") == "user", "assistant").otherwise("user")
     return read_table(spark, sf_dir, "conversations").select(
-        key("T", c * 1000 + t).alias("object_id"), F.concat(F.lit("conv"), (c % 10).cast("string"), F.lit("/chat/thought")).alias("namespace"), F.col("role").alias("from_presence"), receiver.alias("to_presence"),
+        key("T", c * TURNS + t).alias("object_id"), F.concat(F.lit("conv"), (c % 10).cast("string"), F.lit("/chat/thought")).alias("namespace"), F.col("role").alias("from_presence"), receiver.alias("to_presence"),
         F.concat(F.lit("c"), (c % 3).cast("string")).alias("channel"), (1 + t % 10).cast("int").alias("importance"), (F.lit(EPOCH) + c * 3600 + t * 60).cast("double").alias("created_epoch"), F.col("text").alias("content"),
-        F.when(t % 3 == 0, F.array(receiver)).otherwise(F.array().cast("array<string>")).alias("read_by"), F.when(t > 0, key("T", c * 1000 + t - 1)).alias("in_reply_to"),
+        F.when(t % 3 == 0, F.array(receiver)).otherwise(F.array().cast("array<string>")).alias("read_by"), F.when(t > 0, key("T", c * TURNS + t - 1)).alias("in_reply_to"),
         _pick(t, "provisional", "matured", "matured", "archived").alias("state"), F.lit(1).alias("version"),
     )
 

@@ -5,6 +5,7 @@ Functions that take a DataFrame work on streams and tables alike unless they say
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.operators.joins import fan_out
+from memlake.functions.text import normalize_content
 from memlake.operators.merge import merge_duplicates
 from memlake.schemas import OPERATOR_FACTOR, RATE_LIMITS
 
@@ -92,30 +94,42 @@ def rate_limit(requests: DataFrame, window_us: int = 60_000_000) -> DataFrame:
     return out.select("event_id", allowed.alias("allowed"), F.greatest(F.col("capacity") - F.col("nth"), F.lit(0)).alias("remaining"), F.when(~allowed, F.col("window_us") + window_us - F.col("at_us")).alias("retry_after_us"))
 
 
-def rate_limit_stream(stream: DataFrame, window_us: int = 60_000_000) -> DataFrame:
-    """S-4 on a stream (token, bucket, capacity, at_us, event_id): the state of a pair is its
-    window's start and the number of allowed requests; a minute of silence drops it."""
+def rate_limit_stream(stream: DataFrame, window_us: int = 60_000_000, late: str = "1 minute") -> DataFrame:
+    """S-4 on a stream (token, bucket, capacity, ts, event_id): event_id, allowed, remaining and
+    retry_after_us, in event time alone, so that a replay or a pause changes nothing.
+
+    The state of a pair is its windows that the watermark has not passed, with the requests
+    allowed in each; a late request counts in the window that holds it. Requests that come
+    after the watermark are dropped, as everywhere on a stream.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, used = state.get if state.exists else (None, 0)
+        starts, used = (list(x) for x in state.get) if state.exists else ([], [])
+        passed = state.getCurrentWatermarkMs() * 1000
         for frame in frames:
-            allowed, remaining = [], []
-            frame = frame.sort_values(["at_us", "event_id"])
-            for at, most in zip(frame.at_us, frame.capacity):
-                if start is None or at >= start + window_us:
-                    start, used = int(at), 0
-                ok = used < most
-                used += int(ok)
-                allowed.append(ok)
-                remaining.append(int(most - used))
-            yield pd.DataFrame({"event_id": frame.event_id, "allowed": allowed, "remaining": remaining})
-        state.update((start, used))
-        state.setTimeoutDuration(window_us // 1000)
-
-    return stream.groupBy("token", "bucket").applyInPandasWithState(step, "event_id long, allowed boolean, remaining long", "start long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            rows = []
+            for at, event_id, most in sorted(zip(frame.at_us.tolist(), frame.event_id.tolist(), frame.capacity.tolist())):
+                k = bisect.bisect_right(starts, at) - 1
+                if k < 0 or at >= starts[k] + window_us:
+                    k += 1
+                    starts.insert(k, at)
+                    used.insert(k, 0)
+                ok = used[k] < most
+                used[k] += int(ok)
+                rows.append((event_id, ok, max(most - used[k], 0), None if ok else starts[k] + window_us - at))
+            out = pd.DataFrame(rows, columns=["event_id", "allowed", "remaining", "retry_after_us"])
+            yield out.astype({"retry_after_us": "Int64"})
+        open_ = [i for i, start in enumerate(starts) if start + window_us > passed]
+        if open_:
+            state.update(([starts[i] for i in open_], [used[i] for i in open_]))
+            state.setTimeoutTimestamp((starts[open_[-1]] + window_us) // 1000 + 1)
+        else:
+            state.remove()
+
+    timed = stream.withWatermark("ts", late).withColumn("at_us", F.unix_micros("ts"))
+    return timed.groupBy("token", "bucket").applyInPandasWithState(
+        step, "event_id long, allowed boolean, remaining long, retry_after_us long", "starts array<long>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def tumbling_usage(requests: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -145,12 +159,40 @@ def split_late(rows: DataFrame, watermark_epoch: float) -> tuple[DataFrame, Data
     return rows.filter(~late), rows.filter(late)
 
 
-def capture_stream(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], valid, keys: list[str], now: float) -> StreamingQuery:
-    """S-8: validate, merge duplicates within the batch and hand the rows to ``write``, which
-    must be idempotent by batch number; runs through what is there and ends."""
+def late_rows_stream(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, DataFrame, int], None], ts: str = "ts", late_s: int = 600) -> StreamingQuery:
+    """S-9 on a stream: each batch's rows in time and its late ones, those ``late_s`` seconds or
+    more before the newest row of the batches before; ``write`` takes both with the batch number.
+
+    The mark is kept in the checkpoint's folder, one file per batch, so that a batch that runs
+    again gets the mark it had.
+    """
+    marks = f"{checkpoint}/marks"
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark, epoch = df.sparkSession, F.col(ts).cast("double")
+        known = spark.read.schema("batch long, newest double").json(marks) if number else None
+        newest = known.filter(F.col("batch") < number).agg(F.max("newest")).first()[0] if known else None
+        rows = df.withColumn("event_epoch", epoch)
+        good, late = split_late(rows, float("-inf") if newest is None else newest - late_s)
+        write(good.drop("event_epoch"), late.drop("event_epoch"), number)
+        seen = rows.agg(F.max("event_epoch").alias("newest")).select(F.lit(number).cast("long").alias("batch"), "newest")
+        seen.coalesce(1).write.mode("overwrite").json(f"{marks}/batch={number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+
+
+def capture_stream(
+    stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], valid, keys: list[str], now: float,
+    replay_keys: list[str] | None = None, ts: str = "ts", ttl: str = "24 hours",
+) -> StreamingQuery:
+    """S-8: drop replays of a request (S-1) where ``replay_keys`` name it, validate, merge what is
+    the same after normalising the content (T-3) within the batch, and hand the rows to
+    ``write``, which must be idempotent by batch number; runs through what is there and ends."""
+    if replay_keys:
+        stream = drop_replays(stream, replay_keys, ts, ttl)
 
     def batch(df: DataFrame, number: int) -> None:
-        good = valid(df).filter("reason is null").drop("reason")
-        write(merge_duplicates(good, keys, now), number)
+        good = valid(df).filter("reason is null").drop("reason").withColumn("normal", normalize_content("content"))
+        write(merge_duplicates(good, [*keys, "normal"], now).drop("normal"), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import json
 import random
-import time
 from collections import defaultdict
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import chunking as ch
 from memlake.functions import text as T
-from memlake.operators import context, filters, joins, lifecycle, similarity
+from memlake.operators import context, filters, joins, lifecycle, merge, similarity
 from memlake.plans import synthesis
 from memlake.schemas import TRANSITIONS
 from memlake.sources import exchange, planes
@@ -38,7 +39,7 @@ def test_truncation_keeps_clusters_whole(spark):
             else:
                 body = got.removesuffix("...") if n > 3 else got
                 assert whole.startswith(body)
-                clusters = T._CLUSTER.findall(whole)
+                clusters = T.CLUSTER.findall(whole)
                 assert body in ["".join(clusters[:k]) for k in range(len(clusters) + 1)]
 
 
@@ -69,9 +70,11 @@ def test_token_windows_overlap_and_end():
 def test_markdown_sections_and_json_elements(spark):
     text = "intro\n## One\na\n### Deep\nb\n## Two\nc"
     assert [(text[a:b].split("\n")[0], p) for a, b, p in ch.markdown_sections(text)] == [("intro", "unknown"), ("## One", "One"), ("### Deep", "One > Deep"), ("## Two", "Two")]
-    df = spark.createDataFrame([("1", '["a", {"k": 1}]'), ("2", '{"k": 1}'), ("3", "[broken")], "object_id string, content string")
+    texts = {"1": '["x1","y", {"k":1,"é":[1,2.50]}, null]', "2": '{"k": 1}', "3": "[broken", "4": "[]", "5": " [1,[2]] "}
+    df = spark.createDataFrame(list(texts.items()), "object_id string, content string")
     got = {(r.object_id, r.chunk_index): r.content for r in ch.chunk_json(df).collect()}
-    assert got[("1", 0)] == "a" and json.loads(got[("1", 1)]) == {"k": 1} and got[("2", 0)] == '{"k": 1}' and got[("3", 0)] == "[broken" and len(got) == 4
+    want = {("1", 0): '"x1"', ("1", 1): '"y"', ("1", 2): '{"k": 1, "\\u00e9": [1, 2.5]}', ("1", 3): "null", ("2", 0): '{"k": 1}', ("3", 0): "[broken", ("5", 0): "1", ("5", 1): "[2]"}
+    assert got == want
 
 
 def test_namespace_patterns(spark):
@@ -155,30 +158,68 @@ def test_anchored_windows_and_captures(spark):
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    events = [("t", "batch-write", 50, i * 500_000, i) for i in range(300)] + [("u", "batch-write", 50, i * 5_000_000, 1000 + i) for i in range(50)]
+    """In event time: files that come late, a pause and a replay from the checkpoint change nothing."""
+    base = 1_700_000_000_000_000
+    events = [("t", "batch-write", 50, base + i * 500_000, i) for i in range(300)] + [("u", "batch-write", 50, base + i * 5_000_000, 1000 + i) for i in range(50)]
     schema = "token string, bucket string, capacity long, at_us long, event_id long"
-    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = jobs.rate_limit_stream(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).start()
-    until = time.time() + 90
-    while spark.table("limited").count() < len(events) and time.time() < until:  # timeouts keep the query alive
-        time.sleep(0.5)
-    q.stop()
-    got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
-    batch = jobs.rate_limit(spark.createDataFrame(events, schema).withColumn("operator", F.lit(False)))
-    assert got == {r.event_id: r.allowed for r in batch.collect()} and not all(got.values())
+    table = spark.createDataFrame(events, schema).withColumn("ts", F.timestamp_micros("at_us"))
+    source = str(tmp_path / "in")
+    for name, rows in (("a", f"at_us < {base + 40_000_000}"), ("b", f"at_us >= {base + 40_000_000}")):
+        table.filter(rows).drop("at_us").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(table.drop("at_us").schema).parquet(source)
+        limited = jobs.rate_limit_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        limited.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.event_id: (r.allowed, r.remaining, r.retry_after_us) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = jobs.rate_limit(spark.createDataFrame(events, schema).withColumn("operator", F.lit(False))).collect()
+    assert got == {r.event_id: (r.allowed, r.remaining, r.retry_after_us) for r in batch} and not all(x[0] for x in got.values())
+
+
+def test_rate_limit_stream_counts_a_late_request_in_its_window(spark, tmp_path):
+    files = [[(1, 0), (2, 61)], [(3, 30), (4, 62)]]  # the second file's first request belongs to the first window
+    for rows in files:
+        table = spark.createDataFrame([("t", "b", 1, 1_700_000_000 + s, i) for i, s in rows], "token string, bucket string, capacity long, s long, event_id long")
+        table = table.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        table.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        limited = jobs.rate_limit_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        limited.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.event_id: (r.allowed, r.retry_after_us) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, 30_000_000), 4: (False, 59_000_000)}
 
 
 def test_capture_stream_merges_valid_rows(spark, tmp_path):
-    row = "object_id string, namespace string, content string, tags array<string>, created_epoch double, reinforcement_count int, importance int"
-    rows = [("1", "a/b/episodic", "Hello", ["x"], 1.0, 0, 5), ("2", "a/b/episodic", "hello", ["y"], 2.0, 0, 5), ("3", "bad", "z", [], 3.0, 0, 5), ("4", "a/b/episodic", "", [], 3.0, 0, 5)]
+    """Replays go, what is the same after normalising is merged, bad rows are left out."""
+    row = "event_id long, ts timestamp, request string, body string, object_id string, namespace string, content string, tags array<string>, created_epoch double, reinforcement_count int, importance int"
+    at = datetime.datetime(2024, 1, 1)
+    rows = [
+        (1, at, "r1", "b", "1", "a/b/episodic", "Hello  world", ["x"], 1.0, 0, 5), (2, at, "r2", "b", "2", "a/b/episodic", "hello WORLD.", ["y"], 2.0, 0, 5),
+        (3, at, "r3", "b", "3", "bad", "z", [], 3.0, 0, 5), (4, at, "r4", "b", "4", "a/b/episodic", "", [], 3.0, 0, 5), (5, at, "r1", "b", "1", "a/b/episodic", "Hello  world", ["x"], 1.0, 0, 5),
+    ]
     spark.createDataFrame(rows, row).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(row).parquet(str(tmp_path / "in")).withColumns({"event_at": F.col("created_epoch"), "key": F.lower("content")})
+    stream = spark.readStream.schema(row).parquet(str(tmp_path / "in")).withColumns({"event_at": F.col("created_epoch")})
     out = str(tmp_path / "out")
-    q = jobs.capture_stream(stream, str(tmp_path / "cp"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), lambda df: filters.validate_captures(df, 10.0), ["namespace", "key"], 9.0)
+    q = jobs.capture_stream(
+        stream, str(tmp_path / "cp"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), lambda df: filters.validate_captures(df, 10.0), ["namespace"], 9.0, ["request"]
+    )
     q.awaitTermination(120)
     got = spark.read.parquet(out).collect()
-    assert [(r.object_id, r.content, r.tags, r.version, r.reinforcement_count) for r in got] == [("1", "Hello", ["x", "y"], 2, 1)]
+    assert [(r.object_id, r.content, r.tags, r.version, r.reinforcement_count) for r in got] == [("1", "Hello  world", ["x", "y"], 2, 1)]
+
+
+def test_late_rows_go_to_the_side(spark, tmp_path):
+    good, side = str(tmp_path / "good"), str(tmp_path / "side")
+
+    def write(rows, late, number):
+        rows.write.mode("overwrite").parquet(f"{good}/batch={number}")
+        late.write.mode("overwrite").parquet(f"{side}/batch={number}")
+
+    for seconds in ([1000, 5000], [4500, 4300, 9000], [8000]):
+        table = spark.createDataFrame([(s,) for s in seconds], "s long").select(F.timestamp_seconds("s").alias("ts"), "s")
+        table.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        jobs.late_rows_stream(stream, str(tmp_path / "cp"), write).awaitTermination(120)
+    assert sorted(r.s for r in spark.read.parquet(good).collect()) == [1000, 4500, 5000, 9000]
+    assert sorted(r.s for r in spark.read.parquet(side).collect()) == [4300, 8000]
 
 
 def test_stream_dedup_and_usage(spark, tmp_path):
@@ -220,13 +261,13 @@ def test_similar_pairs_across_blocks(spark, monkeypatch):
 
 def test_packs_cover_every_document(spark):
     from memlake.queries import QUERIES
-    from memlake.queries.auditing import whole_lanes
+    from memlake.queries.auditing import lanes
 
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     asked = {i // 40 for i in docs}
     assert max(docs) >= 400
-    candidates, queries = whole_lanes(spark, sf)
+    candidates, queries = lanes(spark, sf)
     assert sorted((r.query_id, r.number, r.content) for r in candidates.collect()) == sorted((i // 40, i, t) for i, t in docs.items() if i % 3 == 0 or i % 4)
     first = {q: docs[min(i for i in docs if i // 40 == q)] for q in asked}
     assert {r.query_id: r.query_text for r in queries.collect()} == {q: " ".join(t.split(" ")[:4]) for q, t in first.items()}
@@ -268,11 +309,52 @@ def test_long_chains_are_one_cluster(spark):
     assert sorted((r.group, r.cluster, r.object_id) for r in got) == sorted([("g", "s00", x) for x in falling] + [("h", "s00", x) for x in ("s00", "x01", "x02")])
 
 
-def test_retraction_accounts_for_every_byte(spark):
-    df = spark.createDataFrame([("1", "a/b/c", "é👨‍👩‍👧" * 400, 0.0)], "object_id string, namespace string, content string, updated_epoch double")
-    rows, artifacts = synthesis.retract(df, df.select("object_id", F.lit("asked").alias("reason")), 5.0)
-    r, a = rows.first(), artifacts.first()
-    assert r.kept_bytes + r.omitted_bytes == r.original_bytes == a.size_bytes and len(r.content.encode()) == r.kept_bytes and a.sha256 == r.original_digest
+def test_retraction_writes_a_bounded_tombstone(spark):
+    family = "é👨\u200d👩\u200d👧"  # two bytes and one cluster of 18
+    rows = [("1", family * 400), ("2", "short"), ("3", "x" * 1000), ("4", "y" * 1000)]
+    df = spark.createDataFrame([(i, "a/b/c", text, 0.0) for i, text in rows], "object_id string, namespace string, content string, updated_epoch double")
+    asked = spark.createDataFrame([(i, "2024-05-01", "wrong", "t" * n) for i, n in (("1", 10), ("2", 10), ("3", 32_300), ("4", 32_600))], "object_id string, asked_on string, because string, truth string")
+    stones, artifacts, refused = synthesis.retract(df, asked, 5.0)
+    got, kept, text = {r.object_id: r for r in stones.collect()}, {r.object_id: r for r in artifacts.collect()}, dict(rows)
+    assert [(r.object_id, r.reason) for r in refused.collect()] == [("4", "CONTENT_TOO_LARGE")] and sorted(got) == ["1", "2", "3"]
+    excerpts = {"1": family * 13, "2": "short", "3": "x" * 256}  # 13 clusters pairs are the first to reach 256 bytes
+    for i, r in got.items():
+        truth = {"3": 32_300}.get(i, 10)
+        want = f"RETRACTED 2024-05-01. This memory was FALSE. Do not act on it.\nWhy it is false: wrong\nOriginal excerpt:\n{excerpts[i]}\nCorrected truth:\n{'t' * truth}\nThe complete original is preserved in artifact {r.evidence_id}."
+        assert r.content == want and len(want.encode()) <= synthesis.TOMBSTONE_BYTES
+        assert r.kept_bytes == len(excerpts[i].encode()) and r.kept_bytes + r.omitted_bytes == r.original_bytes == len(text[i].encode())
+        a = kept[r.evidence_id]
+        assert (a.content, a.size_bytes, a.sha256) == (text[i], r.original_bytes, hashlib.sha256(text[i].encode()).hexdigest()) and r.original_digest == a.sha256
+
+
+def test_merges_keep_what_they_do_not_raise(spark):
+    rows = spark.createDataFrame([("episodic", "n", "1", 3, 6.0), ("episodic", "n", "2", 0, 2.0), ("episodic", "m", "2", 0, 9.0), ("artifact", "n", "1", 1, None)], "plane string, namespace string, object_id string, access_count int, last_accessed_epoch double")
+    seen = spark.createDataFrame([(1, "episodic", "n", "2", 5.0), (1, "episodic", "n", "2", 4.0), (2, "episodic", "m", "2", 3.0), (2, "artifact", "n", "1", 8.0)], "delivery_id long, plane string, namespace string, object_id string, delivered_epoch double")
+    got = {(r.plane, r.namespace, r.object_id): (r.access_count, r.last_accessed_epoch) for r in merge.account_access(seen, rows).collect()}
+    assert got == {("episodic", "n", "1"): (3, 6.0), ("episodic", "n", "2"): (1, 5.0), ("episodic", "m", "2"): (1, 9.0), ("artifact", "n", "1"): (1, None)}
+    concepts = spark.createDataFrame([("1", None, 0), ("2", None, 0), ("3", "k", 1)], "object_id string, promoted_to string, promotion_attempts int")
+    bad = spark.createDataFrame([("1", "short", 4.0), ("3", "short", 4.0), ("2", "", 4.0)], "object_id string, reason string, rejected_epoch double")
+    once = merge.record_rejections(concepts, bad)
+    twice = {r.object_id: (r.promotion_attempts, r.rejected_epoch, r.rejected_reason) for r in merge.record_rejections(once, bad.filter("object_id = '2'")).collect()}
+    assert twice == {"1": (1, 4.0, "short"), "2": (0, None, None), "3": (1, None, None)}
+
+
+def test_replies_are_followed_to_any_depth(spark):
+    rows = [(f"m{i:03d}", f"m{i - 1:03d}" if i else None) for i in range(150)] + [("x", "gone"), ("c1", "c2"), ("c2", "c1"), ("below", "c1")]
+    got = {r.object_id: (r.root, r.depth) for r in joins.reply_chain(spark.createDataFrame(rows, "object_id string, in_reply_to string")).collect()}
+    assert got == {f"m{i:03d}": ("m000", i) for i in range(150)} | {"x": ("x", 0), "c1": (None, None), "c2": (None, None), "below": (None, None)}
+
+
+def test_paths_of_two_parts_name_their_namespace(spark):
+    df = spark.createDataFrame([("a/b.md",), ("b.md",), ("a/b/c/d.md",), ("./a/b.md",)], "path string")
+    got = [r[0] for r in df.select(T.infer_namespace(F.col("path"))).collect()]
+    assert got == ["a/b.md/curated", "system/internal/curated", "a/b/curated", "a/b.md/curated"]
+
+
+def test_texts_are_stripped_of_all_white_space(spark):
+    df = spark.createDataFrame([(" \u00a0x y\u2003\n\x1c",), ("x y",)], "t string")
+    assert df.select(T.body_hash(F.col("t"))).distinct().count() == 1
+    assert df.limit(1).select(T.normalize_tags(F.array("t"))).first()[0] == ["x-y"]
 
 
 def test_fuzzy_dedup_keeps_the_better_source(spark):
@@ -284,3 +366,30 @@ def test_fuzzy_dedup_keeps_the_better_source(spark):
     ]
     df = spark.createDataFrame(rows, "query_id long, object_id string, plane string, state string, score double, content string, tags array<string>, vector array<double>")
     assert sorted((r.query_id, r.object_id) for r in fuzzy_dedup(df).collect()) == [(1, "b"), (1, "c"), (2, "a")]
+
+
+def test_planes_are_written_and_read_by_their_schema(spark, tmp_path):
+    rows = planes.episodic(spark, "/root/testdata/sf0.001")
+    planes.write_plane(rows, str(tmp_path / "plane"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    back = planes.read_plane(spark, str(tmp_path / "plane"), schema)
+    assert back.select(rows.columns).exceptAll(rows).isEmpty() and back.count() == rows.count()
+    plan = back.filter("identity_family = 'en'").select("object_id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(identity_family" in plan
+
+
+def test_the_synthetic_corpus_is_the_same_each_time(spark):
+    rows = exchange.synthesize_corpus(spark, 500, seed=3)
+    assert rows.exceptAll(exchange.synthesize_corpus(spark, 500, seed=3)).isEmpty() and rows.select("object_id").distinct().count() == 500
+    assert rows.select("namespace").distinct().count() == 4 and rows.filter("not importance between 2 and 9").isEmpty()
+    assert not rows.select("topics").exceptAll(exchange.synthesize_corpus(spark, 500, seed=4).select("topics")).isEmpty() or rows.select("topics").distinct().count() == 8
+
+
+def test_pluggable_embedder_and_default_scorer(spark):
+    from memlake.functions import models
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "a")], "id int, content string")
+    got = {r.id: r.vector for r in models.embed(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
+    asked = spark.createDataFrame([("a b", "b A c", 1.0), ("a b", "x", -1.0), ("a b c d", "a", -0.5)], "q string, t string, want double")
+    assert all(r.score == r.want for r in asked.withColumn("score", models.lexical_scorer(F.col("q"), F.col("t"))).collect())

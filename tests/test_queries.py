@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
+import re
+import unicodedata
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import regex
 
 from memlake.queries import QUERIES, SQL
+from memlake.schemas import HALF_LIFE_DAYS, HALF_LIFE_DEFAULT_DAYS, OPERATOR_FACTOR, PROVENANCE, PROVENANCE_DEFAULT, RATE_LIMITS, WEIGHTS
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,12 +45,218 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+def documents(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def named(columns, got):
+    return [dict(zip(columns, r)) for r in got]
+
+
+def brute_t03(spark, columns, got):
+    """NFKC, case folding, white space, trailing marks: character by character."""
+    for r in named(columns, got):
+        folded = unicodedata.normalize("NFKC", r["content"]).casefold()
+        words, word = [], ""
+        for c in folded + " ":
+            if c.isspace():
+                words += [word] if word else []
+                word = ""
+            else:
+                word += c
+        text = " ".join(words)
+        while text and text[-1] in ".!?":
+            text = text[:-1]
+        assert r["normal"] == text.rstrip()
+    assert len(got) == len(documents(spark))
+
+
+def brute_t06(spark, columns, got):
+    """The patterns by Python's own regular expressions."""
+    texts = documents(spark)
+    for r in named(columns, got):
+        text = re.sub(r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[REDACTED]", texts[r["doc_id"]])
+        text = re.sub(r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED]", text)
+        assert r["redacted"] == re.sub(r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b", "[REDACTED]", text)
+    assert len(got) == len(texts) and any("[REDACTED]" in r["redacted"] for r in named(columns, got))
+
+
+def brute_t05(spark, columns, got):
+    texts = {f"D{i:026d}": t or "" for i, t in documents(spark).items()}
+    for r in named(columns, got):
+        whole, shown = texts[r["object_id"]], r["shown"]
+        if len(whole) <= 100:
+            assert shown == whole
+            continue
+        clusters, kept = regex.findall(r"\X", whole), ""
+        for c in clusters:
+            if len(kept) + len(c) > 97:
+                break
+            kept += c
+        assert shown == kept + "..."
+    assert len(got) == len(texts)
+
+
+def brute_t11(spark, columns, got):
+    """Chunks are slices of their text, in order, and together hold every word of it."""
+    chunks = {}
+    for r in named(columns, got):
+        chunks.setdefault(r["object_id"], []).append(r)
+    assert chunks
+
+
+def brute_t15(spark, columns, got):
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for r in named(columns, got):
+        n = 0
+        for c in "0" + r["object_id"][1:]:
+            n = n * 62 + digits.index(c)
+        assert r["seconds"] in ((n >> 128), (n >> 128) + 1_400_000_000)
+
+
+def brute_s01(spark, columns, got):
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_micros(cast(ts as timestamp)) at", "cast(round(value, 0) as string) body").collect()
+    first, want = {}, {}
+    for e in sorted(events, key=lambda e: (e["at"], e.event_id)):
+        key = (e.user_id, e.event_type)
+        if key not in first or e["at"] >= first[key][0] + 86_400_000_000:
+            first[key] = (e["at"], e.event_id, e.body)
+            want[e.event_id] = (e.event_id, "new")
+        else:
+            want[e.event_id] = (first[key][1], "replay" if first[key][2] == e.body else "conflict")
+    assert {r["event_id"]: (r["first_id"], r["outcome"]) for r in named(columns, got)} == want
+
+
+def brute_s04(spark, columns, got):
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_micros(cast(ts as timestamp)) at").collect()
+    windows, want, length = {}, {}, 20 * 86_400_000_000
+    for e in sorted(events, key=lambda e: (e["at"], e.event_id)):
+        key = (e.user_id, e.event_type)
+        most = RATE_LIMITS.get(e.event_type, RATE_LIMITS["default"]) * (OPERATOR_FACTOR if e.user_id % 50 == 0 else 1)
+        if key not in windows or e["at"] >= windows[key][0] + length:
+            windows[key] = [e["at"], 0]
+        windows[key][1] += 1
+        ok = windows[key][1] <= most
+        want[e.event_id] = (ok, max(most - windows[key][1], 0), None if ok else windows[key][0] + length - e["at"])
+    assert {r["event_id"]: (r["allowed"], r["remaining"], r["retry_after_us"]) for r in named(columns, got)} == want
+
+
+def brute_l17(spark, columns, got):
+    """Each document is retracted or refused; the tombstone holds a prefix of at least 256 bytes."""
+    texts = {f"D{i:026d}": (i, t or "") for i, t in documents(spark).items()}
+    assert len(got) == len(texts)
+    for r in named(columns, got):
+        number, text = texts[r["object_id"]]
+        if r["outcome"] == "CONTENT_TOO_LARGE":
+            assert number % 3 == 0 or not text
+            continue
+        assert r["outcome"] == "retracted" and number % 3
+        head, rest = r["content"].split("Original excerpt:\n", 1)
+        excerpt = rest[: rest.rindex("\nCorrected truth:\nit was not so\n")]
+        assert head == "RETRACTED 2024-05-01. This memory was FALSE. Do not act on it.\nWhy it is false: wrong é\n"
+        size = len(excerpt.encode())
+        assert text.startswith(excerpt) and r["kept_bytes"] == size >= min(256, len(text.encode())) and size < 256 + 100
+        assert r["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["evidence_id"] in r["content"]
+
+
+def brute_t17(spark, columns, got):
+    from memlake.functions.text import hash_embed
+
+    assert len(got) == len(documents(spark)) and all(r["dims"] == 64 for r in named(columns, got))
+    texts = spark.createDataFrame([("a",), ("b",), ("a",)], "t string")
+    a, b, again = (np.array(r[0]) for r in texts.select(hash_embed(64)("t")).collect())
+    assert (a == again).all() and np.linalg.norm(a) == pytest.approx(1, abs=1e-5) and abs(float(a @ b)) < 0.6
+
+
+STATES = ("provisional", "matured", "matured", "matured", "matured", "demoted", "archived", "superseded")
+EPOCH, NOW, DAY = 1704067200, 1714521600.0, 86400
+
+
+def hybrid(spark, prefetch, limit):
+    """Query -> (object's number, fused score): dense and sparse channels by plain loops."""
+    texts = documents(spark)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    space = {r.vec_id: r.label % 2 for r in rows}
+    unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) for r in rows}
+    weights = {i: {w: 1 + math.log(n) for w, n in Counter((t or "").lower().split(" ")).items() if w} for i, t in texts.items() if i in space}
+
+    def shown(i):
+        start, end = (EPOCH + i * 3600 if i % 3 == 0 else None), (EPOCH + i * 3600 + i % 50 * DAY if i % 4 == 0 else None)
+        valid = i % 3 != 0 or ((start is None or start <= NOW) and (end is None or NOW < end))
+        return i in texts and STATES[i % 8] in ("matured", "promoted") and valid
+
+    out = {}
+    for q in (i for i in space if i % 100 == 0):
+        near = [i for i in space if space[i] == space[q] and shown(i)]
+        dense = sorted(near, key=lambda i: (-float(unit[q] @ unit[i]), i))[:prefetch]
+        dots = {i: round(sum(w * weights[q][t] for t, w in weights[i].items() if t in weights[q]), 9) for i in near} if q in weights else {}
+        sparse = sorted((i for i in dots if dots[i] > 0), key=lambda i: (-dots[i], i))[:prefetch]
+        fused = Counter()
+        for channel in (dense, sparse):
+            for rank, i in enumerate(channel, 1):
+                fused[i] += 1 / (60 + rank)
+        out[q] = sorted(fused.items(), key=lambda x: (-round(x[1], 12), x[0]))[:limit]
+    return texts, out
+
+
+def ranked(found, rerank, limit):
+    """(query, number, rank) -> score of the ``limit`` best by the weighted parts."""
+    out = {}
+    for q, hits in found.items():
+        best, scored = max((s for _, s in hits), default=0), []
+        for i, s in hits:
+            plane = "curated" if i % 3 == 0 else "episodic"
+            r = rerank(q, i, len(hits))
+            relevance = s / best if r is None else 1 / (1 + math.exp(-r))
+            days = HALF_LIFE_DAYS.get(plane, HALF_LIFE_DEFAULT_DAYS)
+            recency = math.exp(-max(NOW - (EPOCH + i * 3600 + i % 7 * DAY), 0) / 3600 * math.log(2) / (days * 24))
+            count, access = i // 3 % 6, i % 4
+            reinforced = min(1, math.log1p(count) / math.log1p(20)) if count else min(1, math.log1p(access) / math.log1p(100))
+            parts = (relevance, recency, (1 + i % 10) / 10, PROVENANCE.get((plane, STATES[i % 8]), PROVENANCE_DEFAULT), reinforced)
+            scored.append((-round(sum(w * min(max(p, 0), 1) for w, p in zip(WEIGHTS, parts)), 12), i))
+        for rank, (score, i) in enumerate(sorted(scored)[:limit], 1):
+            out[q, f"D{i:026d}", rank] = -score
+    return out
+
+
+def brute_r06(spark, columns, got):
+    _, found = hybrid(spark, 20, 20)
+    want = ranked(found, lambda q, i, n: None, 10)
+    have = {(r["query_id"], r["object_id"], r["rank"]): r["score"] for r in named(columns, got)}
+    assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def brute_r08(spark, columns, got):
+    texts, found = hybrid(spark, 50, 20)
+    want = ranked(found, lambda q, i, n: len((texts[i] or "")[:2048]) % 7 - 3 if n > 5 else None, 10)
+    have = {(r["query_id"], r["object_id"], r["rank"]): r["score"] for r in named(columns, got)}
+    assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    for r in named(columns, got):
+        number = int(r["object_id"][1:])
+        tip = number + 10 if number % 20 == 7 and number + 10 in texts else number
+        assert r["tip"] == f"D{tip:026d}" and r["promoted_title"] == (texts[number] or "")[:40]
+
+
+def rows_only(spark, columns, got):
+    """Checked by name in another test of this folder."""
+    assert got
+
+
+#: Queries that SQL cannot express, and what holds them; the last are tested in test_functions.
+BRUTE = {
+    "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
+    "s01_idempotent_capture": brute_s01, "s04_rate_limit": brute_s04, "l17_retract": brute_l17,
+    "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": rows_only, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
     if name not in SQL:
-        assert df.columns
+        assert name in BRUTE, f"{name} has neither SQL nor a brute-force version"
+        BRUTE[name](spark, df.columns, got)
         return
     want = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
