@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import joins, lifecycle as l
+from memlake.plans import maturation
 from memlake.queries.combining import TAGGED, tagged
 from memlake.queries.registry import query
 from memlake.sources import planes as P
+from memlake.sources.scratch import ensure_checkpoint_dir
 
 E_, C_, K_, A_ = ("episodic",), ("concept",), ("curated",), ("artifact",)
 NOW = P.NOW
@@ -48,6 +50,26 @@ def _(spark, d):
     return moved(l.sweep(P.episodic(spark, d), l.to_mature(NOW), "matured", "matured", "episodic", NOW))
 
 
+@query("l03_mature_enriched", """with e as (select *, number % 8 = 0 and created_epoch < 1714521600 - 3600 as ripe from episodic)
+  select object_id, case when ripe then 'matured' when number % 16 = 1 and (number - 1) % 5 <> 0 and exists (select 1 from e n where n.number = e.number - 1 and n.ripe) then 'superseded' else state end as state,
+    case when ripe then array_to_string([tags[1], case when tags[2] = 'g2' then 'two' else tags[2] end], ',') else array_to_string(tags, ',') end as tags,
+    case when ripe and number % 3 = 0 then 10 else importance end as importance, case when ripe and number % 5 = 0 then 'found' else 'pair' || cast(number // 2 as varchar) end as topics,
+    case when ripe and number % 16 = 0 and number % 5 <> 0 and exists (select 1 from e n where n.number = e.number + 1) then 'D' || lpad(cast(number + 1 as varchar), 26, '0') else '' end as supersedes,
+    case when number % 16 = 1 and (number - 1) % 5 <> 0 and exists (select 1 from e n where n.number = e.number - 1 and n.ripe) then 'D' || lpad(cast(number - 1 as varchar), 26, '0') end as superseded_by from e""", E_)
+def _(spark, d):
+    """Two neighbours share a topic and a vector; every second ripe row says that it is an update."""
+    ensure_checkpoint_dir(spark)
+    n = F.col("number")
+    e = bare(P.episodic(spark, d)).withColumn("namespace", F.lit("a/b/episodic"))
+    e = e.withColumn("content", F.when(n % 16 == 0, F.concat(F.lit("Update: "), "content")).otherwise(F.concat(F.lit("x "), "content")))
+    e = e.withColumns({"topics": F.array(F.concat(F.lit("pair"), F.floor(n / 2).cast("string"))), "vector": F.array(F.lit(1.0), F.lit(0.0))})
+    out, _ = maturation.mature(
+        e, NOW, {"g2": "two"}, lambda rows: {i: 99 for i, _, _ in rows if int(i[1:]) % 3 == 0}, lambda i, content, tags: ["found"] if int(i[1:]) % 5 == 0 else []
+    )
+    lists = [F.array_join(c, ",").alias(c) for c in ("tags", "topics", "supersedes")]
+    return out.select("object_id", "state", "importance", "superseded_by", *lists)
+
+
 @query("l04_archive_stale_provisional", swept("episodic", "(state = 'provisional' and created_epoch < 1714521600 - 7 * 86400)", "archived", "provisional-ttl"), E_)
 def _(spark, d):
     return moved(l.sweep(P.episodic(spark, d), l.stale_provisional(NOW), "archived", "provisional-ttl", "episodic", NOW))
