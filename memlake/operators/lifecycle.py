@@ -174,8 +174,17 @@ def promote(concepts: DataFrame, bodies: DataFrame, now: float) -> tuple[DataFra
     return curated, events, ready.filter("reason is not null").select("object_id", "reason", F.lit(now).alias("rejected_epoch"))
 
 
-def retention_expired(rows: DataFrame, policy: dict[str, float], now: float) -> DataFrame:
-    """L-15: rows past their plane's time to live, in seconds; planes without one never expire."""
+#: Seconds after which rows of a plane expire, where the caller says nothing else.
+RETENTION = {"thought": 30 * DAY}
+
+
+def retention_expired(rows: DataFrame, now: float, policy: dict[str, float] | None = None) -> DataFrame:
+    """L-15: rows past their plane's time to live, in seconds; planes without one never expire, nor
+    do artifacts that only keep evidence (``stored_unindexed``)."""
+    policy = RETENTION if policy is None else policy
+    if "artifact_state" in rows.columns:
+        kept = (F.col("plane") == "artifact") & (F.col("artifact_state") == "stored_unindexed")
+        rows = rows.filter(~F.coalesce(kept, F.lit(False)))
     ttl = F.coalesce(*(F.when(F.col("plane") == p, F.lit(t)) for p, t in policy.items() if t > 0), F.lit(None).cast("double"))
     return rows.filter(ttl.isNotNull() & (F.col("updated_epoch") < F.lit(now) - ttl))
 

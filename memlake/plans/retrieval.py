@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import ranking as r, similarity as v
@@ -45,12 +47,33 @@ def deep_retrieve(
     return hydrate_lineage(ranked, *lineage) if lineage else ranked
 
 
+def _leg(plane: str) -> Callable[[Column], Column]:
+    return lambda namespace: F.struct(F.lit(plane).alias("plane"), namespace.alias("namespace"))
+
+
+def expand_namespaces(queries: DataFrame, planes: tuple[str, ...], presences: tuple[str, ...]) -> DataFrame:
+    """R-10: (query_id, plane, namespace), the legs of a query's namespace. ``tenant/blended`` stands
+    for the tenant's shared namespace of each plane and, of memories, for those of the presences;
+    any other name for the planes' namespaces beside it."""
+    parts = F.split("namespace", "/")
+    base = F.when(F.size(parts) >= 3, F.concat_ws("/", parts[0], parts[1])).otherwise(F.col("namespace"))
+    legs = []
+    for plane in planes:
+        of = presences if plane == "episodic" else ("_shared",)
+        blended = F.array(*(F.concat_ws("/", parts[0], F.lit(p), F.lit(plane)) for p in of))
+        beside = F.array(F.concat_ws("/", base, F.lit(plane)))
+        found = F.when(F.col("namespace").endswith("/blended"), blended).otherwise(beside)
+        legs.append(F.transform(found, _leg(plane)))
+    return queries.select("query_id", F.explode(F.flatten(F.array(*legs))).alias("leg")).select("query_id", "leg.plane", "leg.namespace")
+
+
 def blended_retrieve(legs: list[DataFrame], limit: int) -> DataFrame:
-    """R-10: the legs' scored hits as one list: content and lineage duplicates dropped, the best
-    of each id, ranked."""
-    every = legs[0]
-    for leg in legs[1:]:
-        every = every.unionByName(leg, allowMissingColumns=True)
+    """R-10: the best 2 * limit scored hits of each leg as one list: content and lineage duplicates
+    dropped, the best of each id, ranked."""
+    every = None
+    for leg in legs:
+        best = r.rank_hits(leg).filter(F.col("rank") <= 2 * limit).drop("rank")
+        every = best if every is None else every.unionByName(best, allowMissingColumns=True)
     kept = dedupe_lineage(r.content_dedup(every))
     return r.merge_best(kept, limit)
 

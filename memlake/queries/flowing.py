@@ -165,7 +165,8 @@ def _(spark, d):
     return out.select("query_id", "object_id", "rank", F.round("score", 6).alias("score"), "tip", "promoted_title", F.array_join("files", ",").alias("files"))
 
 
-@query("r10_blended_retrieve", f"""with {HITS.format(leg='')}, one as (select *, row_number() over (partition by query_id, sha256(substr(content, 1, 300)) order by case when plane = 'curated' then 4 when plane = 'concept' then 3 when state = 'matured' then 2 when state = 'provisional' then 1 else 0 end desc, score desc, object_id) as k from scored)
+@query("r10_blended_retrieve", f"""with {HITS.format(leg='')}, one as (select *, row_number() over (partition by query_id, sha256(substr(content, 1, 300)) order by case when plane = 'curated' then 4 when plane = 'concept' then 3 when state = 'matured' then 2 when state = 'provisional' then 1 else 0 end desc, score desc, object_id) as k
+    from (select * from (select *, row_number() over (partition by query_id, plane order by score desc, object_id) as leg_rank from scored) s where leg_rank <= 40) l)
   select query_id, object_id, rank from (select query_id, object_id, row_number() over (partition by query_id order by score desc, object_id, plane) as rank from one where k = 1) t where rank <= 20""", (*E_, *C_, *K_))
 def _(spark, d):
     none = F.lit(None).cast("string")
@@ -173,6 +174,16 @@ def _(spark, d):
     return retrieval.blended_retrieve([scored.filter(F.col("plane") == p) for p in ("episodic", "concept", "curated")], 20).select("query_id", "object_id", "rank")
 
 
+@query("r10_expand_namespaces", """with q as (select number as query_id, case when number % 2 = 0 then identity_family || '/blended' else namespace end as namespace, identity_family, split_part(namespace, '/', 2) as source from episodic)
+  select query_id, 'curated' as plane, identity_family || case when query_id % 2 = 0 then '/_shared/curated' else '/' || source || '/curated' end as namespace from q
+  union all select query_id, 'episodic', identity_family || '/' || p || '/episodic' from (select *, unnest(['desk', 'car']) as p from q where query_id % 2 = 0) t
+  union all select query_id, 'episodic', identity_family || '/' || source || '/episodic' from q where query_id % 2 = 1""", E_)
+def _(spark, d):
+    e = P.episodic(spark, d)
+    asked = F.when(F.col("number") % 2 == 0, F.concat("identity_family", F.lit("/blended"))).otherwise(F.col("namespace"))
+    return retrieval.expand_namespaces(e.select(F.col("number").alias("query_id"), asked.alias("namespace")), ("curated", "episodic"), ("desk", "car"))
+
+
 def lexical(spark, d):
     queries = P.read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("tokens"))
     rows = P.episodic(spark, d).withColumns({"plane": F.lit("episodic"), "tokens": T.tokenize(F.col("content"))})

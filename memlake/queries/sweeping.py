@@ -152,10 +152,11 @@ def _(spark, d):
     return events.select("object_id", F.lit("promoted").alias("outcome")).unionByName(rejected.select("object_id", F.col("reason").alias("outcome")))
 
 
-@query("l15_retention_expired", f"with {TAGGED} select plane, object_id from tagged where (plane = 'episodic' and created_epoch < 1714521600 - 90 * 86400) or (plane = 'artifact' and created_epoch < 1714521600 - 300 * 86400)", (*E_, *C_, *K_, *A_))
+@query("l15_retention_expired", f"with {TAGGED} select plane, object_id from tagged where (plane = 'episodic' and created_epoch < 1714521600 - 90 * 86400) or (plane = 'artifact' and created_epoch < 1714521600 - 300 * 86400 and substr(object_id, 27, 1) <> '7')", (*E_, *C_, *K_, *A_))
 def _(spark, d):
-    rows = tagged(spark, d).withColumn("updated_epoch", F.col("created_epoch"))
-    return l.retention_expired(rows, {"episodic": 90 * l.DAY, "artifact": 300 * l.DAY, "curated": 0.0}, NOW).select("plane", "object_id")
+    held = F.when(F.col("object_id").endswith("7"), "stored_unindexed").otherwise("indexed")
+    rows = tagged(spark, d).withColumns({"updated_epoch": F.col("created_epoch"), "artifact_state": held})
+    return l.retention_expired(rows, NOW, {"episodic": 90 * l.DAY, "artifact": 300 * l.DAY, "curated": 0.0}).select("plane", "object_id")
 
 
 @query("l16_cleanup_tombstones", "select object_id from episodic where state = 'archived' and updated_epoch < 1714521600 - 30 * 86400", E_)
