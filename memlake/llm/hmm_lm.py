@@ -62,7 +62,7 @@ CHUNK_TOKENS = 1024
 #: Steps after which products of chances are brought back to the size of one.
 RESCALE = 8
 #: Tokens that are taken through a recursion together.
-BATCH_TOKENS = 1 << 19
+BATCH_TOKENS = 1 << 20
 #: A class's prior weight in each state, in tokens, spread by the classes' frequencies.
 PRIOR = 10.0
 END = b""  # no word is empty
@@ -284,7 +284,7 @@ def carried(layout: Layout, p: Params, b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def forward(layout: Layout, p: Params, keep: bool) -> tuple[np.ndarray, np.ndarray | None, tuple]:
     """Scales of all tokens, whose logs sum to a sequence's log likelihood, to ``keep`` the scaled
-    state chances, and what the chunks begin and end with."""
+    state chances, and the emissions with what the chunks begin and end with."""
     b = p.emit[layout.classes]
     begin, end = carried(layout, p, b)
     scales, kept = np.empty(len(b)), np.empty_like(b) if keep else None
@@ -297,26 +297,27 @@ def forward(layout: Layout, p: Params, keep: bool) -> tuple[np.ndarray, np.ndarr
         scales[o : o + n] = s
         if keep:
             kept[o : o + n] = alpha
-    return scales, kept, (begin, end)
+    return scales, kept, (b, begin, end)
 
 
 def expected(layout: Layout, p: Params) -> tuple[Params, float]:
     """Expected counts (not yet chances) of a batch of sequences, and its log likelihood."""
-    scales, alpha, (begin, end) = forward(layout, p, True)
-    b, states = p.emit[layout.classes], len(p.start)
+    scales, alpha, (b, begin, end) = forward(layout, p, True)
+    states = len(p.start)
+    weighed = b / scales[:, None]
     gamma, moves = np.empty_like(alpha), np.zeros_like(p.move)
     beta = np.ones((0, states))
     active = [*layout.active.tolist(), 0]
     for t in range(len(active) - 2, -1, -1):
         o, n, m = layout.offset[t], active[t], active[t + 1]
-        closing = end[m:n] / (alpha[o + m : o + n] * end[m:n]).sum(axis=1, keepdims=True)
         if m:
             o2 = layout.offset[t + 1]
-            after = b[o2 : o2 + m] * beta / scales[o2 : o2 + m, None]
+            after = weighed[o2 : o2 + m] * beta
             moves += alpha[o : o + m].T @ after
-            beta = np.concatenate([after @ p.move.T, closing])
-        else:
-            beta = closing
+            beta = after @ p.move.T
+        if n > m:  # chunks that end here
+            closing = end[m:n] / (alpha[o + m : o + n] * end[m:n]).sum(axis=1, keepdims=True)
+            beta = np.concatenate([beta, closing]) if m else closing
         gamma[o : o + n] = alpha[o : o + n] * beta
     first, later = gamma[: active[0]], layout.before >= 0
     moves += alpha[layout.last[layout.before[later]]].T @ (first[later] / begin[later])

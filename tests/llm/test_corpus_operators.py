@@ -446,3 +446,43 @@ def test_pipeline_equals_its_parts(spark):
     assert stay == set(want.values())
     packed = corpus_pipeline.run(spark, sf).toPandas()
     assert set(packed.doc_id) == stay and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+CONTRACTS = {
+    "op1_token_count": {},
+    "op2_chat_format": {},
+    "op3_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op4_toxicity": {},
+    "op5_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op6_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op7_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op8_near_dedup": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op9_hmm_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_registered_queries_meet_their_contract(spark, name):
+    sf = "/root/testdata/sf0.001"
+    out = __spark_entry__.queries()[name](spark, sf)
+    types = dict(out.dtypes)
+    assert {c: types.get(c) for c in CONTRACTS[name]} == CONTRACTS[name]
+    ids = Counter(r[0] for r in out.select(out.columns[0]).collect())
+    if name not in ("op2_chat_format", "op3_packing"):
+        assert ids == Counter(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
+    """Nulls, repeated rows, missing ids and clashing names go through every stage, and so does nothing."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.materialize(stage(spark, docs, sf))
+            assert out.columns == docs.columns, name
+            assert out.exceptAll(docs).isEmpty(), name  # a stage keeps rows as they are
+            docs = odd_docs if name == "quality rules" and docs is not no_docs else out
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, sf)
+        assert pieces.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
