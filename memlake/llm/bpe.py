@@ -2,7 +2,8 @@
 
 A null text counts as empty and gives no tokens. Every document gives one row, repeated ones
 too; columns beyond doc_id and text are not read. Texts of any length are encoded whole: long
-ones are cut at safe boundaries first, so the pattern never runs over more than a piece.
+ones are cut at safe boundaries first, so the pattern runs over a piece at a time; a stretch
+without a safe boundary is one piece, whatever its length.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Rendering gives parts of ``PART_TURNS`` turns at most, so no conversation, howev
 one value; the parts in order concatenate to the conversation's markup.
 
 Defined cases: a null role or text is an empty string; turns are ordered by (turn, role, text),
-null turns first; rows repeated in every column count once; rows with a null conv_id belong to
+null turns first; turns that share a number are ordered in one task, so numbers are expected to
+be shared by few turns; a very long turn is one value, as it is in the table; rows repeated in every column count once; rows with a null conv_id belong to
 no conversation and are left out; an empty table gives an empty result; extra columns are not
 read. Everything runs on built-in Spark expressions.
 """

@@ -3,7 +3,9 @@
 A document's tokens are its ids and one end id. Only documents longer than a sequence are cut:
 into full pieces, of which the first may be shorter. A null text is an empty one and has the
 end id alone. Every row is packed, repeated ones too; columns beyond doc_id and text are not
-read; an empty table gives an empty result.
+read; an empty table gives an empty result. Pieces of one length are alike to the plan and take
+its places in the order of the input, and of equal gaps the plan takes the one made first: ties
+never change the number of sequences. A very long text is encoded piece by piece at safe cuts.
 
 How the packing is spread. Only a piece's length matters to a packing, and there are at most
 ``capacity`` lengths. So the pieces are counted by length, the packing is computed on the

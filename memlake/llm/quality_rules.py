@@ -9,7 +9,9 @@ expression over the statistics.
 Defined cases: a null or empty text has zero in every count, so it fails the base rule; every
 input row gives one row, repeated rows too; documents without a label, with a null id or with
 labels that disagree are not learned from; without labelled documents of both kinds the list
-is empty and only the base rule decides. Extra columns of documents are not read, so their
+is empty and only the base rule decides; of conditions with the same gain the first stands, by
+feature, then threshold, then above before below, and a value that equals a threshold meets
+neither of its conditions; very long texts are read whole. Extra columns of documents are not read, so their
 names can't clash.
 """
 

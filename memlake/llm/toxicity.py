@@ -9,13 +9,17 @@ least as many words of the toxic lexicon as the median toxic document with any d
 than one, else 1; the lexicon is the features in the training sample with a smoothed log odds of
 ``LEXICON_ODDS`` or more for toxic documents.
 
+So the second cut is set by construction, from the lexicon's words, which are features too: it
+orders documents by how much of the lexicon they hold, and no label checks it.
+
 Features are presence of lower-cased words (letters only) and of their beginnings, of those
 that ``MIN_DOCS`` sampled documents or more hold: a whole text's length does not dilute a word. The fit is proximal gradient
 descent with an L1 penalty, which leaves words without evidence at exactly 0.
 
 Defined cases: a null or empty text has no features and gets the intercepts' severity; labels
 that are null, disagree or lack their document are not learned from; without both kinds of
-labels every severity is 0; rows are never merged; columns beyond doc_id and text are not read.
+labels every severity is 0; of equally likely grades the lowest is given; very long texts are
+read whole; rows are never merged; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
