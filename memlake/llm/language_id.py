@@ -48,8 +48,8 @@ GRAM_SHARE = 1 << 14
 LONGEST = 5
 SHARPNESS = 8.0
 #: A block ends at that many tokens, or at that many counts (words times languages).
-BLOCK_TOKENS = 3_000_000
-BLOCK_COUNTS = 8_000_000
+BLOCK_TOKENS = 1_500_000
+BLOCK_COUNTS = 3_000_000
 #: Tokens of the documents that are packed together.
 PACKED_TOKENS = 200_000
 #: Words that are taken apart together.
