@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,13 @@ def join_hot(rows: DataFrame, side: DataFrame, key: list[str], by: str, hot: Dat
     return left.join(right, [*key, "salt"]).drop("salt")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[tuple]:
+    """The batches' rows as tuples, a few at a time, so that long texts are not all held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, at_once):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, at_once).columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

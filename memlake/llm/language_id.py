@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import SALTS, materialize
+from memlake.llm.common import SALTS, materialize, rows_of
 from memlake.llm.shingles import _mix
 
 GRAM_SHARE = 1 << 14
@@ -53,7 +53,9 @@ BLOCK_COUNTS = 3_000_000
 #: Tokens of the documents that are packed together.
 PACKED_TOKENS = 200_000
 #: Words that are taken apart together.
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 50_000
+#: N-grams that a task sums up before it sends them on.
+GRAMS_HELD = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN_LANGUAGE = "und"
 
@@ -117,15 +119,14 @@ def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
                 more = {name: x[i : i + len(some)] for name, x in sums.items()}
                 yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)), **more)
 
-        for batch in batches:
-            for doc_id, digest, text, lang in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = words_of(text)
-                ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))
-                rows.append((doc_id, digest, None if lang is None else at[lang], ids))
-                tokens += len(ids) + 1
-                if tokens >= BLOCK_TOKENS or len(index) * len(languages) >= BLOCK_COUNTS:
-                    yield from flush()
-                    block, index, rows, tokens = block + 1, {}, [], 0
+        for doc_id, digest, text, lang in rows_of(batches):
+            words = words_of(text)
+            ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))
+            rows.append((doc_id, digest, None if lang is None else at[lang], ids))
+            tokens += len(ids) + 1
+            if tokens >= BLOCK_TOKENS or len(index) * len(languages) >= BLOCK_COUNTS:
+                yield from flush()
+                block, index, rows, tokens = block + 1, {}, [], 0
         if rows:
             yield from flush()
 
@@ -159,24 +160,34 @@ def gram_counts(words: DataFrame, kinds: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        sums = {size: (np.empty(0, np.int64), np.empty((kinds, 0), np.int64)) for size in range(1, LONGEST + 1)}
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def add() -> None:
+            """Take the held words apart and add their n-grams to the sums."""
             table = pa.Table.from_batches(held)
             spelled = Spelled(table.column(0).to_pylist())
             n = np.stack([table.column(1 + i).to_numpy() for i in range(kinds)])
-            for size in range(1, LONGEST + 1):
-                places, keys = spelled.grams(size)
-                some, which = np.unique(keys, return_inverse=True)
-                sums = [np.bincount(which, x[spelled.owner[places]], len(some)).astype(np.int64) for x in n]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(some), size, np.int32), some, *sums)], schema=schema)
+            for size, (keys, values) in sums.items():
+                places, found = spelled.grams(size)
+                some, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                more = np.concatenate([values, n[:, spelled.owner[places]]], axis=1)
+                sums[size] = some, np.stack([np.bincount(which, x, len(some)) for x in more]).astype(np.int64)
             held.clear()
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            for size, (keys, values) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(keys), size, np.int32), keys, *values)], schema=schema)
+                sums[size] = (keys[:0], values[:, :0])
+
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= WORDS_AT_ONCE:
-                yield from flush()
+                add()
+                if sum(len(keys) for keys, _ in sums.values()) >= GRAMS_HELD:
+                    yield from flush()
         if sum(b.num_rows for b in held):
-            yield from flush()
+            add()
+        yield from flush()
 
     parts = words.mapInArrow(run, ", ".join(["size int, gram bigint", *(f"{name} bigint" for name in names)]))
     return parts.groupBy("size", "gram").agg(*(F.sum(name).alias(name) for name in names))

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import hot_from_counts, hot_keys, join_hot, kept_table, materialize, scratch
+from memlake.llm.common import hot_from_counts, hot_keys, join_hot, kept_table, materialize, rows_of, scratch
 from memlake.llm.shingles import MinHash, ascii_lower_words, jaccard, shingle_set
 
 ROWS = 5
@@ -179,7 +179,7 @@ def compare(
         held = 0
         for batch in batches:
             out: list[tuple] = []
-            for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for a, b, text_a, text_b in rows_of(iter([batch])):
                 if text_a not in known:
                     if held > CACHE_SHINGLES:
                         known, held = {}, 0
