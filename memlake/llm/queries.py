@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chat_format, exact_dedup, hmm_lm, language_id, near_dedup, packing, quality_rules, token_count, toxicity
+from memlake.llm import bpe, chat_format, exact_dedup, hard_negatives, hmm_lm, language_id, lexical_search, near_dedup, packing, quality_rules, secret_scan, token_count, toxicity
 from memlake.llm.common import bucket_of, table
 
 
@@ -61,6 +61,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, ~held_out).withColumn("held_out", held_out)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh row has another label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_count": op1_token_count,
@@ -73,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_hmm_lm": op9_hmm_lm,
         "op10_language_id": op10_language_id,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
@@ -106,5 +124,52 @@ from d join g using (text_sha256)
 """
 
 
+OP11_SQL = r"""
+with word as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+), tf as (select doc_id, term, count(*) as tf from word group by doc_id, term
+), doc as (select doc_id, cast(sum(tf) as bigint) as n from tf group by doc_id
+), whole as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from doc
+), item as (
+  select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weight as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, whole group by term, n_docs
+), score as (
+  select i.item_id, tf.doc_id,
+    cast(sum(w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * doc.n * n_docs) // n_terms)))) as bigint) as score
+  from item i join tf using (term) join weight using (term) join doc using (doc_id), whole
+  group by i.item_id, tf.doc_id
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from score where score > 0
+)
+select * from ranked where rank <= 20
+"""
+
+OP12_SQL = """
+with part as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    cast(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) as bigint) as score
+  from part a join part b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positive as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+), band as (
+  select p.*, s.other_id as negative_id, s.score as negative_score,
+    cast(row_number() over (partition by anchor_id, positive_id order by s.score desc, s.other_id) as integer) as rank
+  from positive p join scored s using (anchor_id)
+  where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from band where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_chat_format": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
