@@ -1,75 +1,19 @@
-"""Vector and similarity operators (V-2 to V-18).
-
-Vectors are compared in double precision. A batch of queries is split into blocks of bounded
-size, so that a task holds one block of queries and streams over its rows; groups are split
-into blocks of bounded size, and each pair of blocks is one matrix product in its own task.
-"""
+"""Similarity operators (V-2 to V-18); vectors are compared in double precision."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to each task together, and rows of a block in pairwise comparison.
-QUERY_BLOCK = 2048
-PAIR_BLOCK = 1024
+from memlake.operators.near_pairs import similar_pairs
+from memlake.operators.nearest import dense_topk
+from memlake.schemas import DUPLICATE_THRESHOLDS
+from memlake.sources.scratch import ensure_checkpoint_dir
+
 #: Rows of a stated query set's terms that go to every task; beyond that they are joined by shuffle.
 SMALL_ROWS = 500_000
 
 
-def _unit(vectors) -> np.ndarray:
-    m = np.array([np.asarray(v, np.float64) for v in vectors])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-def _block_topk(packed: list, rows: DataFrame, k: int) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(packed)  # QUERY_BLOCK queries at most
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            space, ids, unit = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist()), _unit(batch.column(2).to_pylist())
-            for name, query_ids, q in shipped.value:
-                at = np.flatnonzero(space == name)
-                if not len(at):
-                    continue
-                scores = q @ unit[at].T
-                order = np.lexsort((np.broadcast_to(ids[at], scores.shape), -scores), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(ids[at][order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "object_id", "score"])
-
-    return rows.select("namespace", "object_id", "vector").mapInArrow(best, "query_id bigint, object_id string, score double")
-
-
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """V-2: (query_id, object_id, score, rank): the k rows of the query's namespace with the
-    largest cosine, ties by object_id.
-
-    ``queries`` (query_id, namespace, vector) is a stated set, taken in blocks: each is one pass
-    over the rows, whose batches keep their k best per query before the shuffle.
-    """
-    block = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)
-    found, packed, last = None, {}, 0
-
-    def close() -> DataFrame:
-        one = _block_topk([(name, [q.query_id for q in qs], _unit([q.vector for q in qs])) for name, qs in packed.items()], rows, k)
-        return one if found is None else found.unionByName(one)
-
-    for q in queries.select("query_id", "namespace", "vector").withColumn("block", block).orderBy("query_id").toLocalIterator():
-        if q.block != last:
-            found, packed, last = close(), {}, q.block
-        packed.setdefault(q.namespace, []).append(q)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "object_id"))
-    return close().withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def _topk(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "object_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -119,38 +63,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     return met.groupBy("asked.query_id", "object_id").agg(F.sum(F.col("part") * F.col("asked.times")).alias("bm25"))
 
 
-def similar_pairs(df: DataFrame, threshold: float, below: float | None = None) -> DataFrame:
-    """V-7, V-12: (group, a, b, cosine) with a < b and cosine in [threshold, below).
-
-    Rows of a group are dealt into blocks of about PAIR_BLOCK rows by a hash; each pair of
-    blocks is a task of its own, so a large group is spread over many tasks.
-    """
-    counts = df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
-    dealt = df.select("group", "object_id", "vector").join(counts, "group").withColumn("block", F.pmod(F.xxhash64("object_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        x, y = part[part.block == i], part[part.block == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"group": [], "a": [], "b": [], "cosine": []})
-        scores = _unit(x.vector) @ _unit(y.vector).T
-        hit = scores >= threshold
-        if below is not None:
-            hit &= scores < below
-        p, q = np.nonzero(hit)
-        a, b = x.object_id.to_numpy()[p], y.object_id.to_numpy()[q]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
-        return pd.DataFrame({"group": key[0], "a": low, "b": high, "cosine": scores[p, q][keep]})
-
-    return spread.groupBy("group", "i", "j").applyInPandas(run, "group string, a string, b string, cosine double")
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(group, node, label): the smallest node of each component within its group, by
     large-star and small-star steps until no edge changes."""
+    ensure_checkpoint_dir(pairs.sparkSession)
     edges = pairs.select("group", F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct().checkpoint()
     mark = None
     while True:
@@ -191,25 +107,46 @@ def cap_cluster(members: DataFrame, most: int = 20) -> DataFrame:
 
 
 def best_match(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
-    """V-11, V-13: the nearest existing row of each new one in its namespace, or null below
+    """V-11: the nearest existing row of each new one in its namespace, or null below
     the threshold: (query_id, object_id, score)."""
     top = dense_topk(new, existing, 1).filter(F.col("score") >= threshold).drop("rank")
     return new.select("query_id").join(top, "query_id", "left")
 
 
+def duplicate_candidate(new: DataFrame, existing: DataFrame, plane: str, match_on: list[str]) -> DataFrame:
+    """V-13: (query_id, action, object_id, score): what to do with each new row of a plane.
+
+    The nearest live row of its namespace is a candidate from the plane's threshold on
+    (DUPLICATE_THRESHOLDS; planes without one never probe). The new row is merged into it only if
+    both agree in ``match_on`` (A-1's key), else it is inserted beside it.
+    """
+    least = DUPLICATE_THRESHOLDS.get(plane)
+    if least is None:
+        return new.select("query_id", F.lit("insert").alias("action"), F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("double").alias("score"))
+    found = best_match(new, existing, least)
+    theirs = existing.select("object_id", *(F.col(c).alias(f"their_{c}") for c in match_on))
+    met = new.select("query_id", *match_on).join(found, "query_id").join(theirs, "object_id", "left")
+    agrees = F.col("object_id").isNotNull()
+    for c in match_on:
+        agrees &= F.col(c).eqNullSafe(F.col(f"their_{c}"))
+    return met.select("query_id", F.when(agrees, "merge").otherwise("insert").alias("action"), "object_id", "score")
+
+
 def max_pool_sparse(postings: DataFrame) -> DataFrame:
     """V-16: the largest weight of each (object_id, term) over chunks."""
     return postings.groupBy("object_id", "term").agg(F.max("weight").alias("weight"))
 
 
-def supersession_candidate(new: DataFrame, matured: DataFrame, threshold: float, similarity) -> DataFrame:
+def supersession_candidate(new: DataFrame, matured: DataFrame, threshold: float) -> DataFrame:
     """V-17: the only matured row of the namespace that shares a topic and is similar enough;
-    none if there are several. ``similarity(a, b)`` gives the cosine of two vector columns."""
-    left = new.select("object_id", "namespace", F.col("vector").alias("v1"), F.explode("topics").alias("topic"))
-    right = matured.select(F.col("object_id").alias("candidate"), "namespace", F.col("vector").alias("v2"), F.explode("topics").alias("topic"))
-    met = left.join(right, ["namespace", "topic"]).filter("object_id <> candidate").dropDuplicates(["object_id", "candidate"])
-    near = met.withColumn("score", similarity(F.col("v1"), F.col("v2"))).filter(F.col("score") >= threshold)
-    return near.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("candidate"), F.min("score").alias("score")).filter("n = 1").drop("n")
+    none if there are several. Pairs are searched within each namespace and topic."""
+
+    def by_topic(df: DataFrame) -> DataFrame:
+        return df.select("object_id", "vector", "namespace", F.explode("topics").alias("topic")).withColumn("group", F.concat_ws("\x1f", "namespace", "topic"))
+
+    near = similar_pairs(by_topic(new), threshold, other=by_topic(matured)).filter("a <> b")
+    alone = near.groupBy(F.col("a").alias("object_id")).agg(F.min("b").alias("candidate"), F.max("b").alias("last"), F.min("cosine").alias("score"))
+    return alone.filter("candidate = last").drop("last")
 
 
 def cross_plane_max(legs: DataFrame, weights: dict[str, float]) -> DataFrame:

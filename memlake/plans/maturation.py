@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import models
-from memlake.functions.text import cosine, has_supersession_hint, normalize_tags
+from memlake.functions.text import has_supersession_hint, normalize_tags
 from memlake.operators import lifecycle as l, similarity as v
+from memlake.sources.scratch import ensure_checkpoint_dir
 
 REASON, BACK_REASON = "maturation-sweep", "maturation-sweep-supersession"
 
@@ -27,11 +28,12 @@ def mature(
     """
     if "supersedes" not in memories.columns:
         memories = memories.withColumn("supersedes", F.array().cast("array<string>"))
+    ensure_checkpoint_dir(memories.sparkSession)
     ripe = F.coalesce(l.to_mature(now), F.lit(False))
     chosen, others = memories.filter(ripe), memories.filter(~ripe)
     enriched = models.infer_topics(models.score_importance(chosen, scorer), inferrer).withColumn("tags", normalize_tags(F.col("tags"), aliases))
     hinted = enriched.filter(has_supersession_hint(F.col("content")))
-    found = v.supersession_candidate(hinted, others.filter("state = 'matured'"), threshold, cosine)
+    found = v.supersession_candidate(hinted, others.filter("state = 'matured'"), threshold)
     pairs = found.groupBy("candidate").agg(F.min("object_id").alias("object_id")).checkpoint()
     matured, events = l.sweep(enriched, F.lit(True), "matured", REASON, "episodic", now)
     new = matured.join(pairs, "object_id", "left").withColumn("supersedes", F.when(F.col("candidate").isNull(), F.col("supersedes")).otherwise(F.array_union("supersedes", F.array("candidate"))))

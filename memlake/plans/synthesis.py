@@ -13,6 +13,7 @@ from memlake.functions.models import judge_pairs
 from memlake.functions.text import CLUSTER
 from memlake.operators import merge as m, similarity as v
 from memlake.operators.lifecycle import DAY, candidate_pool
+from memlake.sources.scratch import ensure_checkpoint_dir
 from memlake.streaming.jobs import after_cursor
 
 #: Bytes of a tombstone at most, and of the original in it at least.
@@ -40,6 +41,7 @@ def synthesize(
     new concept. Concepts of this run with a similarity in [low, match) are judged, and those
     that contradict are linked. ``existing`` may have null vectors; these match nothing.
     """
+    ensure_checkpoint_dir(memories.sparkSession)
     new, marks = after_cursor(memories, cursors)
     waiting = memories.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
     chosen = new.unionByName(waiting).dropDuplicates(["family", "object_id"])

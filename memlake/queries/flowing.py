@@ -260,15 +260,24 @@ def _(spark, d):
     return models.render(P.concept(spark, d)).select("object_id", "body")
 
 
-@query("v13_near_duplicate_candidate", """with v as (select 'D' || lpad(cast(vec_id as varchar), 26, '0') as object_id, vec_id as number, 'ns' || cast(label % 2 as varchar) as namespace, cast(embedding as double[]) as vector from embeddings),
-  best as (select q.number as query_id, x.number as found, row_number() over (partition by q.number order by list_cosine_similarity(q.vector, x.vector) desc, x.object_id) as k, list_cosine_similarity(q.vector, x.vector) as score from v q join v x on x.namespace = q.namespace and x.number % 100 <> 0 where q.number % 100 = 0)
-  select query_id, case when found % 2 = query_id % 2 then 'merge' else 'insert' end as action from best where k = 1 and score >= 0.3 union all select query_id, 'insert' from best where k = 1 and score < 0.3""")
+_MOVED = "list_concat([q.vector[1] + cast(q.number % 8 as double) / 10], q.vector[2:])"
+
+
+@query("v13_near_duplicate_candidate", f"""with v as (select 'D' || lpad(cast(vec_id as varchar), 26, '0') as object_id, vec_id as number, 'ns' || cast(label % 2 as varchar) as namespace, cast(embedding as double[]) as vector, vec_id % 20 as content,
+    'p' || cast(vec_id % 3 as varchar) as who from embeddings),
+  q as (select number as query_id, namespace, {_MOVED} as vector, content, case when number % 15 = 0 then 'other' else who end as who from v q where number % 5 = 0),
+  scored as (select q.query_id, x.object_id, list_cosine_similarity(q.vector, x.vector) as score, x.content = q.content and x.who = q.who as agrees from q join v x on x.namespace = q.namespace),
+  best as (select *, row_number() over (partition by query_id order by score desc, object_id) as k from scored qualify k = 1)
+  select query_id, case when score >= 0.92 and agrees then 'merge' else 'insert' end as action, case when score >= 0.92 then object_id end as object_id, case when score >= 0.92 then round(score, 6) end as score from best""")
 def _(spark, d):
+    """New captures are every fifth row, moved away from it by steps, some of other participants."""
     from memlake.operators import similarity as v
 
-    near = v.best_match(vector_queries(spark, d), vectors(spark, d).filter(F.col("number") % 100 != 0), 0.3)
-    compatible = F.substring("object_id", 2, 26).cast("long") % 2 == F.col("query_id") % 2
-    return near.select("query_id", F.when(F.col("object_id").isNotNull() & compatible, "merge").otherwise("insert").alias("action"))
+    n = F.col("number")
+    rows = vectors(spark, d).withColumns({"vector": F.col("vector").cast("array<double>"), "content": n % 20, "who": F.concat(F.lit("p"), (n % 3).cast("string"))})
+    moved = F.concat(F.array(F.element_at("vector", 1) + n % 8 / 10), F.slice("vector", 2, F.greatest(F.size("vector") - 1, F.lit(0))))
+    new = rows.filter(n % 5 == 0).select(n.alias("query_id"), "namespace", moved.alias("vector"), "content", F.when(n % 15 == 0, "other").otherwise(F.col("who")).alias("who"))
+    return v.duplicate_candidate(new, rows, "episodic", ["content", "who"]).withColumn("score", F.round("score", 6))
 
 
 @query("v15_token_overlap", """with w as (select number, list_distinct(list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as words from episodic)

@@ -111,16 +111,9 @@ def _(spark, d):
   labels as (select "group", node as object_id, min(root) as cluster from walk group by "group", node)
   select "group", cluster, object_id from labels l where (select count(*) from labels m where m."group" = l."group" and m.cluster = l.cluster) >= 3""")
 def _(spark, d):
-    _set_checkpoint(spark)
     return v.clusters(v.similar_pairs(vectors(spark, d), 0.3))
 
 
-def _set_checkpoint(spark):
-    from memlake.sources.scratch import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-
-
 @query("v09_cluster_groups", """select object_id, unnest(case when len(topics) > 0 then topics else tags end) as "group" from episodic""", E_)
 def _(spark, d):
     return v.cluster_groups(P.episodic(spark, d)).select("object_id", "group")
@@ -155,7 +148,7 @@ def _(spark, d):
 def _(spark, d):
     x = vectors(spark, d).withColumn("topics", F.array(F.concat(F.lit("t"), (F.col("number") % 7).cast("string"))))
     n = F.col("number")
-    return v.supersession_candidate(x.filter(n % 4 == 0), x.filter(n % 4 != 0), 0.3, T.cosine).select("object_id", "candidate")
+    return v.supersession_candidate(x.filter(n % 4 == 0), x.filter(n % 4 != 0), 0.3).select("object_id", "candidate")
 
 
 @query("v18_cross_plane_max", """select query_id, object_id, round(max(score), 6) as score, case when count(distinct plane) = 2 then 'curated,episodic' else max(plane) end as planes from (

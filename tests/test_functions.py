@@ -247,18 +247,6 @@ def test_vault(spark, tmp_path):
     assert (a.title, a.importance, a.tags, a.reason) == ("A note", 3, ["x-y"], None) and got["plain.md"].reason == "bad_title"
 
 
-def test_similar_pairs_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "PAIR_BLOCK", 7)
-    rng = random.Random(2)
-    rows = [("g", f"o{i:02d}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
-    got = {(r.a, r.b) for r in similarity.similar_pairs(spark.createDataFrame(rows, "group string, object_id string, vector array<double>"), 0.6).collect()}
-
-    def cos(x, y):
-        return sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
-
-    assert got == {(a[1], b[1]) for k, a in enumerate(rows) for b in rows[k + 1 :] if cos(a[2], b[2]) >= 0.6}
-
-
 def test_packs_cover_every_document(spark):
     from memlake.queries import QUERIES
     from memlake.queries.auditing import lanes
