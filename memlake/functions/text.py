@@ -72,24 +72,26 @@ def body_hash(text: Column) -> Column:
 CLUSTER = regex.compile(r"\X")
 
 
+def truncated(text: str, n: int, suffix: str = "") -> str:
+    """At most ``n`` code points of a text in whole grapheme clusters; the suffix, if it has room
+    at all, stands for what was cut."""
+    if len(text) <= n:
+        return text
+    room = n - len(suffix) if n > len(suffix) else n
+    end = 0
+    for cluster in CLUSTER.finditer(text[: room + 64]):  # a cluster beyond that is cut out anyway
+        if cluster.end() > room:
+            break
+        end = cluster.end()
+    return text[:end] + (suffix if n > len(suffix) else "")
+
+
 def truncate_grapheme(n: int, suffix: str = "..."):
-    """T-5: a UDF that keeps at most ``n`` code points in whole grapheme clusters; the suffix,
-    if it has room at all, stands for what was cut."""
-
-    def one(text: str | None) -> str | None:
-        if text is None or len(text) <= n:
-            return text
-        room = n - len(suffix) if n > len(suffix) else n
-        end = 0
-        for cluster in CLUSTER.finditer(text[: room + 64]):  # a cluster beyond that is cut out anyway
-            if cluster.end() > room:
-                break
-            end = cluster.end()
-        return text[:end] + (suffix if n > len(suffix) else "")
+    """T-5: a UDF of ``truncated``."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series) -> pd.Series:
-        return text.map(one)
+        return text.map(lambda x: None if x is None else truncated(x, n, suffix))
 
     return cut
 

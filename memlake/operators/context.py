@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import tokenize
+from memlake.functions.text import strip, tokenize, truncated
 from memlake.schemas import GROUP_ORDER, KIND_GROUP, KIND_PRIORITY, STALENESS_PRIORITY
 
 
@@ -13,22 +14,27 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in table.items()))
 
 
-def context_candidates(recent: DataFrame, ranked: DataFrame) -> DataFrame:
+def context_candidates(recent: DataFrame, ranked: DataFrame, recent_limit: int = 10) -> DataFrame:
     """C-1: both lanes, one row per (query, namespace, plane, object), the ranked lane's first;
-    recent hits carry the score 0."""
-    both = ranked.withColumn("lane", F.lit("ranked")).unionByName(recent.withColumns({"lane": F.lit("recent"), "retrieve_score": F.lit(0.0)}))
+    the newest ``recent_limit`` recent hits of each query, with the score 0."""
+    newest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_epoch"), "object_id"))
+    few = recent.withColumn("k", newest).filter(F.col("k") <= recent_limit).drop("k")
+    both = ranked.withColumn("lane", F.lit("ranked")).unionByName(few.withColumns({"lane": F.lit("recent"), "retrieve_score": F.lit(0.0)}))
     w = Window.partitionBy("query_id", "namespace", "plane", "object_id").orderBy("lane")
     return both.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
-def _tagged(prefix: str) -> Column:
-    found = F.filter("tags", lambda t: t.startswith(prefix))
-    return F.trim(F.substring(F.try_element_at(found, F.lit(1)), len(prefix) + 1, 1000))
+def _said(df: DataFrame, key: str) -> Column:
+    """What a row says of itself: in the column ``extra``, a map, where it has the key, else in the
+    first tag with the key as its prefix."""
+    found = F.try_element_at(F.filter("tags", lambda t: t.startswith(f"{key}:")), F.lit(1))
+    tagged = strip(F.substr(found, F.lit(len(key) + 2)))
+    return F.coalesce(strip(F.try_element_at("extra", F.lit(key))), tagged) if "extra" in df.columns else tagged
 
 
 def with_kind(df: DataFrame) -> DataFrame:
-    """C-2: kind and staleness from the tags, else the defaults."""
-    kind, stale = _tagged("kind:"), F.coalesce(F.when(_tagged("staleness:") != "", _tagged("staleness:")), _tagged("freshness:"))
+    """C-2: kind and staleness from ``extra`` or the tags, else the defaults."""
+    kind, stale = _said(df, "kind"), F.coalesce(F.when(_said(df, "staleness") != "", _said(df, "staleness")), _said(df, "freshness"))
     return df.withColumns({
         "kind": F.when(kind.isin(*KIND_PRIORITY), kind).otherwise("episode"),
         "staleness": F.when(stale.isin(*STALENESS_PRIORITY), stale).when(F.col("state") == "superseded", "superseded").otherwise("episodic"),
@@ -36,10 +42,11 @@ def with_kind(df: DataFrame) -> DataFrame:
 
 
 def hidden_reason(include_history: bool = False) -> Column:
-    """C-3: why a candidate is not shown, or null."""
+    """C-3: why a candidate is not shown, or null. Low relevance shows only in packing."""
     if include_history:
         return F.lit(None).cast("string")
-    return F.when(F.col("staleness") == "superseded", "superseded").when(F.col("kind") == "correction/suppression", "suppressed")
+    superseded = (F.col("staleness") == "superseded") | F.coalesce(F.col("state") == "superseded", F.lit(False))
+    return F.when(superseded, "superseded").when(F.col("kind") == "correction/suppression", "correction/suppression")
 
 
 def essence_rank(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -75,37 +82,87 @@ def _bm25_within(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float =
     return joined.groupBy("query_id", "object_id").agg(F.sum(part * F.col("times")).alias("bm25"))
 
 
+def _fold(ranked: DataFrame, max_items: int, max_chars: int, recent_reserve: int) -> DataFrame:
+    """The items of each query's pack, and a row with ``item`` 0 whose ``stop`` is the place in the
+    ranked lane after which nothing was looked at (null: all was).
+
+    A lane's item is taken, or ends the lane, so only the first max_items of each lane can matter,
+    fillers aside: these are dropped before, and each query's rows are few.
+    """
+    filler = is_filler()
+    lane = Window.partitionBy("query_id", "lane")
+    newest = F.row_number().over(lane.orderBy(F.desc("created_epoch"), "place"))
+    turn = F.when(F.col("lane") == "recent", newest).otherwise(F.row_number().over(lane.orderBy("place")))
+    every = Window.partitionBy("query_id")
+    has = {f"has_{x}": F.max(F.col("lane") == x).over(every) for x in ("recent", "ranked")}  # of all that is visible, fillers too
+    rows = ranked.withColumns(has).filter((F.col("lane") == "recent") | ~filler).withColumn("turn", turn).filter(F.col("turn") <= max_items)
+    text = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.col("content")).alias("text")
+    rows = rows.select("query_id", "lane", "turn", "place", "object_id", "namespace", "kind", text, "has_recent", "has_ranked")
+
+    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("turn")
+        both = bool(part.has_recent.iloc[0]) and bool(part.has_ranked.iloc[0])
+        third = max_chars // 3 if both and max_items >= 2 else max_chars
+        most = min(recent_reserve if part.has_ranked.iloc[0] else max_items, max_items)
+        out, used, stop = [], 0, None
+        for lane_name, items, room in (("recent", most, third), ("ranked", max_items, max_chars)):
+            if lane_name == "ranked" and len(out) >= max_items:
+                stop = 0
+            for row in part[part.lane == lane_name].itertuples():
+                if len(out) >= items:
+                    break
+                whole = " ".join((row.text or "").split())
+                content = truncated(whole, room - used, "...") if room > used else ""
+                if content:
+                    out.append((key[0], len(out) + 1, row.object_id, row.namespace, row.kind, lane_name, content, len(whole) > room - used, len(whole), None))
+                    used += len(content)
+                if lane_name == "ranked" and (not content or used >= max_chars or len(out) >= items):
+                    stop = int(row.place)
+                if not content or used >= max_chars:
+                    break
+        out.append((key[0], 0, None, None, None, None, None, None, None, stop))
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        return pd.DataFrame(out, columns=names).astype({"content_length": "Int64", "stop": "Int64"})
+
+    return rows.groupBy("query_id").applyInPandas(fold, PACKED)
+
+
+PACKED = "query_id long, item long, object_id string, namespace string, kind string, lane string, content string, content_truncated boolean, content_length long, stop long"
+
+
+def is_filler() -> Column:
+    """Off-topic episodes, which don't fill a pack up."""
+    return (F.size("query_tokens") > 0) & (F.col("overlap") == 0) & ~F.col("staleness").isin("durable", "current") & (F.col("kind") == "episode")
+
+
 def pack(ranked: DataFrame, max_items: int, max_chars: int, recent_reserve: int = 0) -> DataFrame:
-    """C-5: the items that fit, in order, with the characters that each may show.
+    """C-5: the items that fit, in order, with what each may show; ``ranked`` holds visible rows.
 
     The recent lane comes first, newest first: at most ``recent_reserve`` items unless it is
     the only lane, and at most a third of the characters when both lanes exist and two items
-    or more fit. The ranked lane follows without off-topic episodes. The item that meets the
-    budget's end is cut; what follows is left out.
+    or more fit; off-topic episodes count as a lane. The ranked lane follows without these. An
+    item that meets the end of its room is cut at a grapheme cluster, with ``...`` where there
+    is room for it. An item without text ends its lane.
     """
-    display = F.regexp_replace(F.trim(F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.col("content"))), "\\s+", " ")
-    filler = (F.size("query_tokens") > 0) & (F.col("overlap") == 0) & ~F.col("staleness").isin("durable", "current") & (F.col("kind") == "episode")
-    rows = ranked.filter(hidden_reason().isNull()).withColumn("display", display).filter((F.col("lane") == "recent") | ~filler)
-    by_query = Window.partitionBy("query_id")
-    both = (F.max(F.col("lane") == "ranked").over(by_query)) & (F.max(F.col("lane") == "recent").over(by_query))
-    rows = rows.withColumn("both", both)
-    newest = F.row_number().over(Window.partitionBy("query_id", "lane").orderBy(F.desc("created_epoch"), "object_id"))
-    lane_order = F.when(F.col("lane") == "recent", newest).otherwise(F.row_number().over(Window.partitionBy("query_id", "lane").orderBy("place")))
-    rows = rows.withColumn("lane_order", lane_order).filter((F.col("lane") == "ranked") | ~F.col("both") | (F.col("lane_order") <= recent_reserve))
-    lane = Window.partitionBy("query_id", "lane").orderBy("lane_order").rowsBetween(Window.unboundedPreceding, -1)
-    third = F.when((F.col("lane") == "recent") & F.col("both") & F.lit(max_items >= 2), F.lit(max_chars // 3)).otherwise(F.lit(max_chars))
-    rows = rows.withColumn("room", F.greatest(third - F.coalesce(F.sum(F.length("display")).over(lane), F.lit(0)), F.lit(0))).withColumn("shown", F.least(F.length("display"), "room")).filter("shown > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("lane"), "lane_order")  # recent before ranked
-    rows = rows.withColumns({"item": F.row_number().over(order), "used": F.coalesce(F.sum("shown").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rows = rows.withColumn("shown", F.least(F.col("shown"), F.greatest(F.lit(max_chars) - F.col("used"), F.lit(0))))
-    return rows.filter((F.col("item") <= max_items) & (F.col("shown") > 0)).withColumn("content_truncated", F.col("shown") < F.length("display"))
+    return _fold(ranked, max_items, max_chars, recent_reserve).filter("item > 0").drop("stop")
+
+
+def suppressed(candidates: DataFrame, ranked: DataFrame, max_items: int, max_chars: int, recent_reserve: int = 0) -> DataFrame:
+    """C-3: (query_id, reason, n): candidates that were hidden, and fillers that packing skipped
+    before it ended (``low_relevance``)."""
+    hidden = candidates.withColumn("reason", hidden_reason()).filter("reason is not null").select("query_id", "reason")
+    stops = _fold(ranked, max_items, max_chars, recent_reserve).filter("item = 0").select("query_id", "stop")
+    skipped = ranked.filter((F.col("lane") == "ranked") & is_filler()).join(stops, "query_id", "left").filter("stop is null or place < stop")
+    every = hidden.unionByName(skipped.select("query_id", F.lit("low_relevance").alias("reason")))
+    return every.groupBy("query_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def render_pack(packed: DataFrame) -> DataFrame:
-    """C-6: one text per query: groups in fixed order, a line per item."""
+    """C-6: one text per query: groups in fixed order, a line for its title and one per item."""
     group = _lookup(F.col("kind"), KIND_GROUP)
     place = _lookup(group, {g: i for i, g in enumerate(GROUP_ORDER)})
-    line = F.concat(F.lit("- ["), "kind", F.lit("; "), "namespace", F.lit("/"), "object_id", F.lit("] "), F.substring(F.col("display"), F.lit(1), F.col("shown")))
-    items = packed.groupBy("query_id", group.alias("section"), place.alias("section_place")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    sections = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("section_place", F.concat(F.lit("## "), "section", F.lit("\n"), "lines").alias("text")))).alias("parts"))
-    return sections.select("query_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))
+    line = F.concat(F.lit("- ["), "kind", F.lit("; "), "namespace", F.lit("/"), "object_id", F.lit("] "), "content")
+    lines = packed.select("query_id", place.alias("place"), "item", line.alias("line"))
+    titles = packed.select("query_id", place.alias("place"), F.lit(0).cast("long").alias("item"), F.concat(group, F.lit(":")).alias("line")).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("place", "item", "line")))  # max_items lines and their titles
+    return lines.unionByName(titles).groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.text import truncate_grapheme
 from memlake.schemas import ARCHIVE_STATES, RANKED_STATES, RECENT_STATES
 
 
@@ -86,11 +87,12 @@ def identity_rows(df: DataFrame) -> DataFrame:
 def with_snippet(df: DataFrame, n: int) -> DataFrame:
     """F-10: the text to show, its whole length in code points, and whether it is cut.
 
-    The cut keeps ``n`` code points; ``memlake.functions.text.truncate_grapheme`` is the form
-    that spares grapheme clusters.
+    The cut keeps at most ``n`` code points, in whole grapheme clusters. Only texts that are
+    longer go through Python.
     """
     text = F.coalesce(F.when(F.col("content") != "", F.col("content")), F.col("title"), F.lit(""))
-    return df.withColumns({"snippet": F.substring(text, 1, n), "content_length": F.length(text), "content_truncated": F.length(text) > n})
+    cut = truncate_grapheme(n, "")(F.substring(text, 1, n + 64))  # no cluster that fits reaches further
+    return df.withColumns({"snippet": F.when(F.length(text) > n, cut).otherwise(text), "content_length": F.length(text), "content_truncated": F.length(text) > n})
 
 
 def with_lineage_summary(df: DataFrame, columns: tuple[str, ...] = ("promoted_to", "promoted_from", "supersedes", "superseded_by")) -> DataFrame:
@@ -111,6 +113,7 @@ def contradictions(df: DataFrame, namespace: str | None = None) -> DataFrame:
     return out if namespace is None else in_namespace(out, namespace)
 
 
+#: Fixed value: what a namespace looks like.
 NAMESPACE = "^[a-z0-9][a-z0-9_-]*/[a-z0-9][a-z0-9_-]*/[a-z0-9][a-z0-9_-]*$"
 
 

@@ -57,23 +57,31 @@ def _(spark, d):
 
 
 def lanes(spark, d):
-    """Candidates in two lanes, with kinds and staleness in the tags, over every document and its
-    whole text: a query for each 40 ids, from the first of them, so that queries grow with them."""
+    """Candidates in two lanes, with kinds and staleness in the tags or, for some, in ``extra``, over
+    every document and its whole text: a query for each 40 ids, from the first of them, so that
+    queries grow with them. Every id is in a lane, some in both; a query has more than ten recent ones."""
     e, n = P.episodic(spark, d), F.col("number")
     kind = F.when(n % 8 == 0, "kind:boundary").when(n % 8 == 1, "kind:open-loop").when(n % 8 == 2, "kind:correction/suppression").when(n % 8 == 3, "kind:nonsense").otherwise("plain")
     stale = F.when(n % 6 == 0, "staleness:durable").when(n % 6 == 1, "freshness:current").otherwise("other")
-    base = e.select(F.floor(n / 40).alias("query_id"), "object_id", "namespace", F.lit("episodic").alias("plane"), "state", "content", F.lit(None).cast("string").alias("summary"), "title", F.array(kind, stale).alias("tags"), "created_epoch", "updated_epoch", "importance", ((n * 37 % 101) / 100.0).alias("retrieve_score"), "number")
+    base = e.select(F.floor(n / 40).alias("query_id"), "object_id", "namespace", F.lit("episodic").alias("plane"), "state", "content", F.lit(None).cast("string").alias("summary"), "title", F.array(kind, stale).alias("tags"), F.when(n % 50 == 3, F.create_map(F.lit("kind"), F.lit(" identity-principle "))).alias("extra"), "created_epoch", "updated_epoch", "importance", ((n * 37 % 101) / 100.0).alias("retrieve_score"), "number")
     first = base.groupBy("query_id").agg(F.min_by("content", "number").alias("content"))
     queries = first.select("query_id", F.concat_ws(" ", F.slice(F.split("content", " "), 1, 4)).alias("query_text"))
-    return c.with_kind(c.context_candidates(base.filter(n % 3 == 0), base.filter(n % 4 != 0))), queries
+    return c.with_kind(c.context_candidates(base.filter((n % 4 == 0) | (n % 12 == 3)), base.filter(n % 4 != 0))), queries
+
+
+def shown(spark, d):
+    """The visible candidates, ranked."""
+    candidates, queries = lanes(spark, d)
+    return c.essence_rank(candidates.filter(c.hidden_reason().isNull()), queries)
 
 
 LANES = """base as (select number // 40 as query_id, object_id, namespace, state, content, created_epoch, updated_epoch, importance, (number * 37 % 101) / 100.0 as retrieve_score, number,
     case number % 8 when 0 then 'kind:boundary' when 1 then 'kind:open-loop' when 2 then 'kind:correction/suppression' when 3 then 'kind:nonsense' else 'plain' end as t1, case number % 6 when 0 then 'staleness:durable' when 1 then 'freshness:current' else 'other' end as t2
     from episodic),
+  newest as (select object_id from base where number % 4 = 0 or number % 12 = 3 qualify row_number() over (partition by query_id order by created_epoch desc, object_id) <= 10),
   cand as (select query_id, object_id, namespace, state, content, created_epoch, updated_epoch, importance, number, t1, t2, case when number % 4 <> 0 then 'ranked' else 'recent' end as lane, case when number % 4 <> 0 then retrieve_score else 0.0 end as retrieve_score,
-    case number % 8 when 0 then 'boundary' when 1 then 'open-loop' when 2 then 'correction/suppression' else 'episode' end as kind,
-    case number % 6 when 0 then 'durable' when 1 then 'current' else case when state = 'superseded' then 'superseded' else 'episodic' end end as staleness from base where number % 4 <> 0 or number % 3 = 0)"""
+    case when number % 50 = 3 then 'identity-principle' else case number % 8 when 0 then 'boundary' when 1 then 'open-loop' when 2 then 'correction/suppression' else 'episode' end end as kind,
+    case number % 6 when 0 then 'durable' when 1 then 'current' else case when state = 'superseded' then 'superseded' else 'episodic' end end as staleness from base where number % 4 <> 0 or object_id in (select object_id from newest))"""
 
 
 @query("c01_context_candidates", f"with {LANES} select query_id, object_id, lane, retrieve_score from cand", E_)
@@ -86,7 +94,7 @@ def _(spark, d):
     return lanes(spark, d)[0].select("object_id", "kind", "staleness")
 
 
-@query("c03_hidden_reasons", f"with {LANES} select query_id, reason, count(*) as n from (select *, case when staleness = 'superseded' then 'superseded' when kind = 'correction/suppression' then 'suppressed' end as reason from cand) t where reason is not null group by query_id, reason", E_)
+@query("c03_hidden_reasons", f"with {LANES} select query_id, reason, count(*) as n from (select *, case when staleness = 'superseded' or state = 'superseded' then 'superseded' when kind = 'correction/suppression' then 'correction/suppression' end as reason from cand) t where reason is not null group by query_id, reason", E_)
 def _(spark, d):
     return lanes(spark, d)[0].withColumn("reason", c.hidden_reason()).filter("reason is not null").groupBy("query_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -98,7 +106,7 @@ RANKED = f"""{LANES}, docs as (select query_id, object_id, regexp_extract_all(lo
   df as (select query_id, token, count(*) as df from tf group by query_id, token),
   bm as (select tf.query_id, tf.object_id, sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) as bm25 from tf join df on df.query_id = tf.query_id and df.token = tf.token join stats on stats.query_id = tf.query_id group by tf.query_id, tf.object_id),
   met as (select k.*, coalesce(bm.bm25, 0.0) as bm25, max(coalesce(bm.bm25, 0.0)) over (partition by k.query_id) as top, bm.bm25 is not null as meets from cand k left join bm on bm.query_id = k.query_id and bm.object_id = k.object_id),
-  ranked as (select *, case kind when 'boundary' then 10.0 when 'open-loop' then 6.0 when 'correction/suppression' then 4.0 else 1.0 end as kp, case staleness when 'durable' then 4.0 when 'current' then 3.0 when 'episodic' then 1.0 else -8.0 end as sp from met),
+  ranked as (select *, case kind when 'boundary' then 10.0 when 'identity-principle' then 8.0 when 'open-loop' then 6.0 when 'correction/suppression' then 4.0 else 1.0 end as kp, case staleness when 'durable' then 4.0 when 'current' then 3.0 when 'episodic' then 1.0 else -8.0 end as sp from met),
   essence as (select *, round(kp + sp + case when top > 0 then 2.0 * bm25 / top else 0 end + 0.6 * least(greatest(retrieve_score, 0), 1) + 0.5 * importance / 10.0 + least(0.5, log10(updated_epoch) / 20) - case when not meets and staleness not in ('durable', 'current') then 2.0 else 0 end, 9) as essence from ranked)"""
 
 
@@ -107,14 +115,20 @@ def _(spark, d):
     return c.essence_rank(*lanes(spark, d)).select("query_id", "object_id", F.round("essence", 6).alias("essence"), "place")
 
 
+@query("c03_suppressed")
+def _(spark, d):
+    """With what packing skips."""
+    return c.suppressed(lanes(spark, d)[0], shown(spark, d), 8, 1200, 2)
+
+
 @query("c05_pack")
 def _(spark, d):
-    return c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2).select("query_id", "item", "object_id", "lane", "shown", "content_truncated")
+    return c.pack(shown(spark, d), 8, 1200, 2)
 
 
 @query("c06_render_pack")
 def _(spark, d):
-    return c.render_pack(c.pack(c.essence_rank(*lanes(spark, d)), 8, 1200, 2))
+    return c.render_pack(c.pack(shown(spark, d), 8, 1200, 2))
 
 
 @query("q01_validate_rows", """select 'episodic' as plane, namespace, object_id, 'importance' as loc from episodic where importance + number % 3 > 10 union all select 'episodic', namespace, object_id, 'updated_epoch' from episodic where number % 37 = 0

@@ -73,7 +73,8 @@ def _(spark, d):
     return f.identity_rows(k.unionByName(k.withColumn("point_kind", F.lit("content"))))
 
 
-@query("f10_snippet", """select object_id, substr(content, 1, 200) as snippet, length(content) as content_length, length(content) > 200 as content_truncated from episodic""", E_)
+@query("f10_snippet", """select object_id, case when length(content) > 200 then left_grapheme(content, cast(list_max(list_filter(range(201), lambda k: length(left_grapheme(content, cast(k as bigint))) <= 200)) as bigint)) else content end as snippet,
+  length(content) as content_length, length(content) > 200 as content_truncated from episodic""", E_)
 def _(spark, d):
     return f.with_snippet(P.episodic(spark, d), 200).select("object_id", "snippet", "content_length", "content_truncated")
 

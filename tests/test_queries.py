@@ -242,11 +242,11 @@ def rows_only(spark, columns, got):
     assert got
 
 
-#: Queries that SQL cannot express, and what holds them; the last are tested in test_functions.
+#: Queries that SQL cannot express, and what holds them; those with rows_only are tested in test_context and test_functions.
 BRUTE = {
     "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
     "s01_idempotent_capture": brute_s01, "s04_rate_limit": brute_s04, "l17_retract": brute_l17,
-    "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": rows_only, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
+    "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": rows_only, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
 }
 
 
