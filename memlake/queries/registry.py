@@ -43,7 +43,7 @@ _CREATED = "cast(1704067200 + doc_id * 3600 as double)"
 #: White space of any script, as both engines can name it.
 WHITE = "[\\s\\x0B\\x1c-\\x1f\\x85\\p{Z}]+"
 #: The hash of a text without white space at its ends.
-_STRIPPED = "sha256(regexp_replace({}, '^" + WHITE.replace("{", "{{").replace("}", "}}") + "|" + WHITE.replace("{", "{{").replace("}", "}}") + "$', '', 'g'))"
+STRIPPED = "sha256(regexp_replace({}, '^" + WHITE.replace("{", "{{").replace("}", "}}") + "|" + WHITE.replace("{", "{{").replace("}", "}}") + "$', '', 'g'))"
 #: The derivation of ``memlake.sources.planes`` in SQL.
 PLANE_SQL = {
     "episodic": f"""select {_key('D', 'doc_id')} as object_id, lang || '/' || source || '/episodic' as namespace, lang as identity_family, doc_id as number,
@@ -63,7 +63,7 @@ PLANE_SQL = {
         [{_key('D', 'doc_id')}, {_key('D', 'doc_id + 1')}, {_key('D', 'doc_id + 2')}] as merged_from from documents""",
     "curated": f"""select {_key('K', 'doc_id')} as object_id, lang || '/shared/curated' as namespace, lang as identity_family, doc_id as number,
         {_pick('doc_id', 'matured', 'matured', 'superseded', 'archived')} as state, 1 as version, {_CREATED} as created_epoch, {_CREATED} + doc_id % 7 * 86400.0 as updated_epoch,
-        text as content, substr(text, 1, 40) as title, 1 + doc_id % 10 as importance, 'curated/' || lang || '/' || cast(doc_id as varchar) || '.md' as vault_path, {_STRIPPED.format('text')} as body_hash,
+        text as content, substr(text, 1, 40) as title, 1 + doc_id % 10 as importance, 'curated/' || lang || '/' || cast(doc_id as varchar) || '.md' as vault_path, {STRIPPED.format('text')} as body_hash,
         case when doc_id % 35 = 0 then {_key('C', 'doc_id')} end as promoted_from, case when doc_id % 3 = 0 then {_CREATED} end as valid_from_epoch,
         case when doc_id % 4 = 0 then {_CREATED} + doc_id % 50 * 86400.0 end as valid_until_epoch,
         case when doc_id % 2 = 0 then {_CREATED} + doc_id % 60 * 86400.0 end as last_accessed_epoch from documents""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memlake.operators import joins, lifecycle as l
 from memlake.plans import maturation
 from memlake.queries.combining import TAGGED, tagged
-from memlake.queries.registry import query
+from memlake.queries.registry import STRIPPED, query
 from memlake.sources import planes as P
 from memlake.sources.scratch import ensure_checkpoint_dir
 
@@ -29,20 +29,55 @@ def bare(df):
     return df.withColumn("superseded_by", F.lit(None).cast("string"))
 
 
-@query("l01_apply_transitions", """with i as (select object_id, number, case number % 5 when 0 then 'matured' when 1 then 'demoted' when 2 then 'superseded' when 3 then 'archived' else 'promoted' end as to_state, case when number % 17 = 0 then '' else 'r' end as reason,
-    case when number % 13 = 0 then 9 end as expected, state from episodic),
-  all_i as (select object_id || '-a' as intent_id, * from i union all select object_id || '-b', * from i where number % 19 = 0 union all select 'ghost', 'nobody', 1, 'matured', 'r', null, null)
-  select intent_id, object_id, coalesce(case when reason = '' then 'missing_reason' when object_id = 'nobody' then 'not_found' when intent_id like '%-b' or expected is not null then 'version_fence_violation'
-    when not ((state = 'provisional' and to_state in ('matured', 'archived')) or (state = 'matured' and to_state in ('demoted', 'superseded')) or (state in ('demoted', 'archived') and to_state = 'matured')) then 'illegal_transition' end, 'ok') as code from all_i""", E_)
+LEGAL = """(s.state = 'provisional' and t.to_state in ('matured', 'archived')) or (s.state = 'matured' and t.to_state in ('demoted', 'superseded'))
+  or (s.state in ('demoted', 'archived') and t.to_state = 'matured')"""
+TO_STATE = "case ({}) % 5 when 0 then 'matured' when 1 then 'demoted' when 2 then 'superseded' when 3 then 'archived' else 'promoted' end"
+INTENTS = f"""i as (select object_id || '-a' as intent_id, object_id, number, {TO_STATE.format("number")} as to_state, case when number % 17 = 0 then '' else 'r' end as reason, case when number % 13 = 0 then 9 end as expected, 0 as asked_at,
+    case when number % 20 = 17 then 'D' || lpad(cast(number - 10 as varchar), 26, '0') when number % 5 = 2 then 'D' || lpad(cast(number + 1 as varchar), 26, '0') end as target from episodic),
+  all_i as (select * from i union all select object_id || '-b', object_id, number, {TO_STATE.format("number + 1")}, 'r', case when number % 2 = 0 then 2 end, 1, null from i where number % 3 = 0
+    union all select object_id || '-c', object_id, number, {TO_STATE.format("number")}, 'r', null, 2, null from i where number % 3 = 0 union all select 'ghost', 'nobody', 1, 'matured', 'r', null, 0, null),
+  turns as (select a.*, row_number() over (partition by a.object_id order by asked_at, intent_id) as turn, e.state as row_state, e.version as row_version, e.namespace is not null as found,
+      coalesce(target = a.object_id or t.superseded_by = a.object_id, false) as cyclic
+    from all_i a left join episodic e on e.object_id = a.object_id left join episodic t on t.object_id = a.target)"""
+
+
+@query("l01_apply_transitions", f"""with recursive {INTENTS}, step as (
+    select object_id, cast(0 as bigint) as turn, cast('' as varchar) as intent_id, row_state as state, row_version as version, cast(null as varchar) as code, cast(null as varchar) as target from turns where turn = 1
+    union all select j.object_id, j.turn, j.intent_id, case when j.code is null then j.to_state else j.state end, case when j.code is null then j.version + 1 else j.version end, coalesce(j.code, 'ok'), j.target
+    from (select t.object_id, t.turn, t.intent_id, t.to_state, t.target, s.state, s.version, case when t.reason = '' then 'missing_reason' when not t.found then 'not_found' when t.expected is not null and t.expected <> s.version then 'version_fence_violation'
+        when not ({LEGAL}) then 'illegal_transition' when t.cyclic then 'circular_supersession' end as code
+      from step s join turns t on t.object_id = s.object_id and t.turn = s.turn + 1) j)
+  select intent_id, object_id, code, state, version from step where turn > 0""", E_)
 def _(spark, d):
-    e, n = P.episodic(spark, d), F.col("number")
-    to = F.when(n % 5 == 0, "matured").when(n % 5 == 1, "demoted").when(n % 5 == 2, "superseded").when(n % 5 == 3, "archived").otherwise("promoted")
-    none = F.lit(None)
-    one = e.select(F.concat("object_id", F.lit("-a")).alias("intent_id"), "object_id", to.alias("to_state"), F.when(n % 13 == 0, 9).alias("expected_version"), F.when(n % 17 == 0, "").otherwise("r").alias("reason"), F.lit("x").alias("actor"), none.cast("string").alias("target"), F.lit(0.0).alias("requested_at"), n)
-    ghost = one.limit(1).withColumns({"intent_id": F.lit("ghost"), "object_id": F.lit("nobody"), "to_state": F.lit("matured"), "expected_version": none.cast("int"), "reason": F.lit("r")})
-    intents = one.unionByName(one.filter(n % 19 == 0).withColumns({"intent_id": F.concat("object_id", F.lit("-b")), "requested_at": F.lit(1.0)})).unionByName(ghost).drop("number")
-    _, events, errors = l.apply_transitions(e, intents, "episodic", NOW)
-    return errors.unionByName(events.select(F.concat("object_id", F.lit("-a")).alias("intent_id"), "object_id", F.lit("ok").alias("code")))
+    e = P.episodic(spark, d)
+    return l.transition_log(e, _intents(spark, d), "episodic").select("intent_id", "object_id", "code", "state", "version")
+
+
+def _intents(spark, d):
+    """Up to three intents for an object, some with fences, some with targets that close a circle."""
+    e, n, none = P.episodic(spark, d), F.col("number"), F.lit(None)
+
+    def to(k):
+        return F.when(k % 5 == 0, "matured").when(k % 5 == 1, "demoted").when(k % 5 == 2, "superseded").when(k % 5 == 3, "archived").otherwise("promoted")
+
+    target = F.when(n % 20 == 17, P.key("D", n - 10)).when(n % 5 == 2, P.key("D", n + 1))
+    one = e.select(F.concat("object_id", F.lit("-a")).alias("intent_id"), "object_id", to(n).alias("to_state"), F.when(n % 13 == 0, 9).alias("expected_version"), F.when(n % 17 == 0, "").otherwise("r").alias("reason"), F.lit("x").alias("actor"), target.alias("target"), F.lit(0.0).alias("requested_at"), n)
+    third = one.filter(n % 3 == 0).withColumns({"reason": F.lit("r"), "target": none.cast("string")})
+    two = third.withColumns({"intent_id": F.concat("object_id", F.lit("-b")), "to_state": to(n + 1), "expected_version": F.when(n % 2 == 0, 2), "requested_at": F.lit(1.0)})
+    three = third.withColumns({"intent_id": F.concat("object_id", F.lit("-c")), "expected_version": none.cast("int"), "requested_at": F.lit(2.0)})
+    ghost = one.limit(1).withColumns({"intent_id": F.lit("ghost"), "object_id": F.lit("nobody"), "to_state": F.lit("matured"), "expected_version": none.cast("int"), "reason": F.lit("r"), "target": none.cast("string")})
+    return one.unionByName(two).unionByName(three).unionByName(ghost).drop("number")
+
+
+@query("l01_transition_result", f"""with recursive {INTENTS}, step as (
+    select object_id, cast(0 as bigint) as turn, row_state as state, row_version as version from turns where turn = 1
+    union all select t.object_id, t.turn, case when t.ok and ({LEGAL}) and (t.expected is null or t.expected = s.version) then t.to_state else s.state end,
+      case when t.ok and ({LEGAL}) and (t.expected is null or t.expected = s.version) then s.version + 1 else s.version end
+    from step s join (select *, reason <> '' and found and not cyclic as ok from turns) t on t.object_id = s.object_id and t.turn = s.turn + 1)
+  select e.object_id, arg_max(s.state, s.turn) as state, max(s.version) as version from episodic e join step s on s.object_id = e.object_id group by e.object_id""", E_)
+def _(spark, d):
+    """The rows after all intents of ``l01_apply_transitions``."""
+    return l.apply_transitions(P.episodic(spark, d), _intents(spark, d), "episodic", NOW)[0].select("object_id", "state", "version")
 
 
 @query("l03_mature_episodic", swept("episodic", "(state = 'provisional' and created_epoch < 1714521600 - 3600)", "matured", "matured"), E_)
@@ -131,25 +166,57 @@ def _(spark, d):
 
 
 @query("l13_resolve_path_conflicts", """with w as (select 'p' || cast(number % 50 as varchar) as stem, object_id, number from concept), h as (select 'p' || cast(number % 50 as varchar) as stem, min(number) as number from concept where number % 3 = 0 group by number % 50),
-  f as (select w.object_id, case when h.number is null then w.stem when h.number % 2 = 0 and h.number = w.number then w.stem when h.number % 2 = 0 then w.stem || '-v2' when h.number = w.number then w.stem else w.stem || '-promoted-' || lower(substr(w.object_id, 20, 8)) end as stem,
-    case when h.number = w.number then 'K' || substr(w.object_id, 2) end as reuse_id from w left join h on h.stem = w.stem)
-  select object_id, reuse_id, stem || case when k > 1 then '-' || cast(k as varchar) else '' end || '.md' as final_path from (select *, row_number() over (partition by stem order by object_id) as k from f) t""", C_)
+  f as (select w.object_id, case when h.number is null then w.stem when h.number % 2 = 0 and h.number = w.number then w.stem when h.number % 2 = 0 then w.stem || '-v2' else w.stem || '-promoted-' || substr(w.object_id, 1, 8) end as stem,
+    case when h.number % 2 = 0 and h.number = w.number then 'K' || substr(w.object_id, 2) end as reuse_id from w left join h on h.stem = w.stem),
+  held as (select stem from h union select stem || '-2' from h union select stem || '-v2' from h where number % 4 = 0),
+  asked as (select *, row_number() over (partition by stem order by object_id) as j, count(*) over (partition by stem) as m from f where reuse_id is null),
+  round as (select *, stem || case when j > 1 then '-' || cast(j as varchar) else '' end in (select stem from held) as lost from asked),
+  given as (select *, case when not lost then j when m > 1 then m + sum(cast(lost as integer)) over (partition by stem order by object_id) when stem || '-2' in (select stem from held) then 3 else 2 end as k from round)
+  select object_id, reuse_id, stem || '.md' as final_path from f where reuse_id is not null
+  union all select object_id, null, stem || case when k > 1 then '-' || cast(cast(k as bigint) as varchar) else '' end || '.md' from given""", C_)
 def _(spark, d):
+    """Fifty stems for all concepts; notes hold many of them, their second names and some ``-v2``."""
     c, n = P.concept(spark, d), F.col("number")
     wanted = c.select(F.concat(F.lit("p"), (n % 50).cast("string"), F.lit(".md")).alias("path"), "object_id")
     held = c.filter(n % 3 == 0).groupBy((n % 50).alias("k")).agg(F.min("number").alias("number"))
-    notes = held.select(F.concat(F.lit("p"), F.col("k").cast("string"), F.lit(".md")).alias("vault_path"), P.key("C", n).alias("promoted_from"), (n % 2 == 0).alias("managed"), P.key("K", n).alias("object_id"))
-    return l.resolve_path_conflicts(wanted, notes).select("object_id", "reuse_id", "final_path")
+    stem, none = F.concat(F.lit("p"), F.col("k").cast("string")), F.lit(None).cast("string")
+    notes = held.select(F.concat(stem, F.lit(".md")).alias("vault_path"), P.key("C", n).alias("promoted_from"), (n % 2 == 0).alias("managed"), P.key("K", n).alias("object_id"))
+    more = held.select(F.concat(stem, F.lit("-2.md")).alias("vault_path"), none.alias("promoted_from"), F.lit(False).alias("managed"), F.lit("X").alias("object_id"))
+    third = held.filter(n % 4 == 0).select(F.concat(stem, F.lit("-v2.md")).alias("vault_path"), none.alias("promoted_from"), F.lit(True).alias("managed"), F.lit("Y").alias("object_id"))
+    return l.resolve_path_conflicts(wanted, notes.unionByName(more).unionByName(third)).select("object_id", "reuse_id", "final_path")
 
 
-@query("l14_promote", f"""select object_id, case when length(body) not between 100 and 20000 then 'bad_length' when not contains(body, '##') then 'no_section'
-  when regexp_matches(lower(body), 'as an ai model|as a language model') then 'ai_disclaimer' else 'promoted' end as outcome
-  from (select *, case when number % 3 = 2 then content || repeat('x', 100) else '## A' || chr(10) || chr(10) || content end as body from concept where {ELIGIBLE}) t""", C_)
-def _(spark, d):
+BODIES = f"""bodies as (select *, case when number % 3 = 2 then content || repeat('x', 100) else '## A' || chr(10) || chr(10) || content || chr(10) end as body from concept),
+  outcome as (select *, case when length(body) not between 100 and 20000 then 'bad_length' when not contains(body, '##') then 'no_section'
+    when regexp_matches(lower(body), 'as an ai model|as a language model') then 'ai_disclaimer' else 'promoted' end as outcome from bodies where {ELIGIBLE})"""
+
+
+def promotion(spark, d):
     c = candidates(spark, d)
-    bodies = c.select("object_id", F.when(F.col("number") % 3 == 2, F.concat(F.col("content"), F.lit("x" * 100))).otherwise(F.concat(F.lit("## A\n\n"), "content")).alias("body"))
-    _, events, rejected = l.promote(c, bodies, NOW)
-    return events.select("object_id", F.lit("promoted").alias("outcome")).unionByName(rejected.select("object_id", F.col("reason").alias("outcome")))
+    body = F.when(F.col("number") % 3 == 2, F.concat(F.col("content"), F.lit("x" * 100))).otherwise(F.concat(F.lit("## A\n\n"), "content", F.lit("\n")))
+    return l.promote(c, c.select("object_id", body.alias("body")), NOW)
+
+
+@query("l14_promote", f"with {BODIES} select object_id, outcome from outcome", C_)
+def _(spark, d):
+    out = promotion(spark, d)
+    return out["events"].select("object_id", F.lit("promoted").alias("outcome")).unionByName(out["rejections"].select("object_id", F.col("reason").alias("outcome")))
+
+
+@query("l14_promoted_rows", f"""with {BODIES}, stems as (select *, 'curated/' || identity_family || '/shared/' || topics[1] || '/' || {SLUG} as stem from outcome where outcome = 'promoted'),
+  named as (select *, row_number() over (partition by stem order by object_id) as nth from stems)
+  select object_id as promoted_from, identity_family || '/shared/curated' as namespace, title, stem || case when nth > 1 then '-' || cast(nth as varchar) else '' end || '.md' as vault_path,
+    {STRIPPED.format('body')} as body_hash, substr(sha256('promotion' || chr(31) || object_id), 1, 27) as object_id, importance + 5 as importance, 1714521600.0 as promoted_at from named""", C_)
+def _(spark, d):
+    return promotion(spark, d)["curated"].select("promoted_from", "namespace", "title", "vault_path", "body_hash", "object_id", "importance", "promoted_at")
+
+
+@query("l14_concepts_after", f"""with {BODIES}, of as (select b.object_id, o.outcome, b.state, b.reinforcement_count, b.promotion_attempts, b.promoted_to, b.version from bodies b left join outcome o on o.object_id = b.object_id)
+  select object_id, case when outcome = 'promoted' then 'promoted' else state end as state, case when outcome = 'promoted' then substr(sha256('promotion' || chr(31) || object_id), 1, 27) else promoted_to end as promoted_to,
+    promotion_attempts + case when outcome <> 'promoted' then 1 else 0 end as promotion_attempts, case when outcome <> 'promoted' then outcome end as rejected_reason,
+    version + case when outcome = 'promoted' then 1 else 0 end as version from of""", C_)
+def _(spark, d):
+    return promotion(spark, d)["concepts"].select("object_id", "state", "promoted_to", "promotion_attempts", "rejected_reason", "version")
 
 
 @query("l15_retention_expired", f"with {TAGGED} select plane, object_id from tagged where (plane = 'episodic' and created_epoch < 1714521600 - 90 * 86400) or (plane = 'artifact' and created_epoch < 1714521600 - 300 * 86400 and substr(object_id, 27, 1) <> '7')", (*E_, *C_, *K_, *A_))

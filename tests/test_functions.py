@@ -383,3 +383,52 @@ def test_pluggable_embedder_and_default_scorer(spark):
     assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
     asked = spark.createDataFrame([("a b", "b A c", 1.0), ("a b", "x", -1.0), ("a b c d", "a", -0.5)], "q string, t string, want double")
     assert all(r.score == r.want for r in asked.withColumn("score", models.lexical_scorer(F.col("q"), F.col("t"))).collect())
+
+
+def test_paths_that_meet_get_names_of_their_own(spark):
+    def final(wanted, notes):
+        w = spark.createDataFrame(wanted, "path string, object_id string")
+        n = spark.createDataFrame(notes, "vault_path string, promoted_from string, managed boolean, object_id string")
+        return {r.object_id: (r.final_path, r.reuse_id, r.conflict) for r in lifecycle.resolve_path_conflicts(w, n).collect()}
+
+    assert final([("a.md", "x1"), ("a.md", "x2")], [("a-2.md", None, False, "h")]) == {"x1": ("a.md", None, None), "x2": ("a-3.md", None, None)}
+    assert final([("a.md", "x1"), ("a-2.md", "x2"), ("a.md", "x3")], []) == {"x1": ("a.md", None, None), "x2": ("a-2.md", None, None), "x3": ("a-3.md", None, None)}
+    held = [("a.md", "x1", True, "K1"), ("b.md", None, False, None), ("b-promoted-UPPERid8.md", None, True, "K3"), ("c.md", "x9", True, "K4"), ("c-v2.md", "x8", True, "K5")]
+    assert final([("a.md", "x1"), ("b.md", "UPPERid89"), ("c.md", "x7"), ("d.md", "x6")], held) == {
+        "x1": ("a.md", "K1", None), "UPPERid89": ("b-promoted-UPPERid8-2.md", None, "human"), "x7": ("c-v2-2.md", None, "managed"), "x6": ("d.md", None, None),
+    }
+
+
+def test_promotion_gives_rows_notes_messages_and_rejections(spark):
+    rows = [(i, "t/s/concept", f"Title {i}", [], ["Linked One"], "matured", 4, 8, 0.0, 0.0, 1, [], None, 1) for i in ("c1", "c2", "c3")]
+    concepts = spark.createDataFrame(rows, "object_id string, namespace string, title string, topics array<string>, linked_to_topics array<string>, state string, reinforcement_count int, importance int, created_epoch double, updated_epoch double, promotion_attempts int, contradicts array<string>, promoted_to string, version int")
+    bodies = spark.createDataFrame([("c1", "## A\n" + "text " * 30 + "\n "), ("c2", "short"), ("c3", "## B\n" + "text " * 30)], "object_id string, body string")
+    notes = spark.createDataFrame([("curated/t/s/linked-one/title-3.md", "c3", True, "old-id"), ("curated/t/s/linked-one/title-1.md", None, False, None)], "vault_path string, promoted_from string, managed boolean, object_id string")
+    out = lifecycle.promote(concepts, bodies, 1e9, notes)
+    curated = {r.promoted_from: r for r in out["curated"].collect()}
+    assert curated["c3"].object_id == "old-id" and curated["c3"].vault_path == "curated/t/s/linked-one/title-3.md"
+    assert curated["c1"].vault_path == "curated/t/s/linked-one/title-1-promoted-c1.md" and curated["c1"].namespace == "t/s/curated"
+    assert curated["c1"].body_hash == hashlib.sha256(curated["c1"].content.strip().encode()).hexdigest()
+    after = {r.object_id: r for r in out["concepts"].collect()}
+    assert [(after[i].state, after[i].promoted_to, after[i].promotion_attempts, after[i].version, after[i].rejected_reason) for i in ("c1", "c2", "c3")] == [
+        ("promoted", curated["c1"].object_id, 1, 2, None), ("matured", None, 2, 1, "bad_length"), ("promoted", "old-id", 1, 2, None),
+    ]
+    assert sorted((r.title, r.object_id) for r in out["thoughts"].collect()) == [("Concept promoted", "c1"), ("Concept promoted", "c3"), ("Path conflict", "c1")]
+    assert {(r.path, r.object_id) for r in out["notes"].collect()} == {(r.vault_path, r.object_id) for r in curated.values()}
+    assert [r.object_id for r in out["rejections"].collect()] == ["c2"] and {r.object_id for r in out["events"].collect()} == {"c1", "c3"}
+
+
+def test_intents_of_one_object_apply_in_order(spark):
+    rows = spark.createDataFrame([("a", "n", "provisional", 1, None, 0.0), ("b", "n", "matured", 1, "c", 0.0), ("c", "n", "matured", 1, None, 0.0)], "object_id string, namespace string, state string, version int, superseded_by string, updated_epoch double")
+    steps = [("1", "a", "matured", None), ("2", "a", "demoted", 2), ("3", "a", "matured", 2), ("4", "a", "matured", None), ("5", "a", "archived", None), ("6", "a", "superseded", 4)]
+    intents = [(i, o, to, v, "r", "x", "b" if i == "6" else None, float(i)) for i, o, to, v in steps] + [("7", "c", "superseded", None, "r", "x", "b", 1.0), ("8", "c", "demoted", 1, "r", "x", None, 2.0)]
+    table = spark.createDataFrame(intents, "intent_id string, object_id string, to_state string, expected_version int, reason string, actor string, target string, requested_at double")
+    log = {r.intent_id: (r.code, r.state, r.version) for r in lifecycle.transition_log(rows, table, "episodic").collect()}
+    assert log == {
+        "1": ("ok", "matured", 2), "2": ("ok", "demoted", 3), "3": ("version_fence_violation", "demoted", 3), "4": ("ok", "matured", 4), "5": ("illegal_transition", "matured", 4),
+        "6": ("ok", "superseded", 5), "7": ("circular_supersession", "matured", 1), "8": ("ok", "demoted", 2),
+    }
+    updated, events, errors = lifecycle.apply_transitions(rows, table, "episodic", 9.0)
+    assert {(r.object_id, r.state, r.version, r.superseded_by, r.updated_epoch) for r in updated.collect()} == {("a", "superseded", 5, "b", 9.0), ("b", "matured", 1, "c", 0.0), ("c", "demoted", 2, None, 9.0)}
+    assert sorted((r.object_id, r.from_state, r.to_state) for r in events.collect()) == [("a", "demoted", "matured"), ("a", "matured", "demoted"), ("a", "matured", "superseded"), ("a", "provisional", "matured"), ("c", "matured", "demoted")]
+    assert {r.intent_id for r in errors.collect()} == {"3", "5", "7"}
