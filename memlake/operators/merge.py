@@ -25,6 +25,25 @@ def merge_duplicates(df: DataFrame, keys: list[str], now: float) -> DataFrame:
     )
 
 
+def merge_into(existing: DataFrame, new: DataFrame, keys: list[str], now: float) -> DataFrame:
+    """A-1 against rows that are there: the existing row's id and creation stay, its content if it is
+    no shorter, and each new row counts once in reinforcement and version. ``new`` has been through
+    ``merge_duplicates``; ``existing`` has one row per key."""
+    columns = ["object_id", "created_epoch", "content", "tags", "reinforcement_count", "version", "updated_epoch"]
+    e = existing.select(*keys, F.struct(*columns).alias("e"))
+    n = new.select(*keys, F.struct(*columns).alias("n"))
+    both = F.col("e").isNotNull() & F.col("n").isNotNull()
+    longer = F.length("n.content") > F.length("e.content")
+    joined = {
+        "content": F.when(longer, F.col("n.content")).otherwise(F.col("e.content")), "tags": F.array_sort(F.array_union("e.tags", "n.tags")),
+        "reinforcement_count": F.col("e.reinforcement_count") + F.col("n.version"), "version": F.col("e.version") + F.col("n.version"), "updated_epoch": F.lit(now),
+    }
+    either = {c: F.coalesce(f"e.{c}", f"n.{c}") for c in columns}
+    same = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    met = e.alias("l").join(n.alias("r"), same, "full_outer").select(*(F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys), "e", "n")
+    return met.select(*keys, *(F.when(both, joined[c]).otherwise(either[c]).alias(c) if c in joined else either[c].alias(c) for c in columns))
+
+
 def upsert_curated(new: DataFrame, existing: DataFrame) -> DataFrame:
     """A-2: what to do for each (namespace, vault_path): noop, update, supersede, insert, or
     keep where nothing new came; with the id, hash and version that result."""

@@ -10,54 +10,97 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from memlake.operators.joins import fan_out
 from memlake.functions.text import normalize_content
-from memlake.operators.merge import merge_duplicates
+from memlake.operators.joins import fan_out
+from memlake.operators.lifecycle import candidate_pool
+from memlake.operators.merge import merge_duplicates, merge_into
 from memlake.schemas import OPERATOR_FACTOR, RATE_LIMITS
+from memlake.sources.committed import CommittedTable
 
 DAY_US = 86_400_000_000
 
 
 def anchored_windows(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
-    """Batch: ``events`` (keys, at_us, event_id) with ``window_us``, the start of its window.
+    """Batch: ``events`` (keys, at_us, event_id, ...) with ``window_us``, the start of its window.
 
     A key's window starts at its first event and the next one at the first event after its end.
-    Rows stream through in order with one number of state, so no key's rows are held.
+    Rows stream through in order with one number of state, so no key's rows are held; those of one
+    key are in one task.
     """
-    columns = [f"{k} string" for k in keys]
+    schema = StructType([*events.schema.fields, StructField("window_us", LongType())])
+    names = events.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start = None, 0
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, at = row[:-2], row[-2]
+            for *key, at in zip(*(batch.column(names.index(k)).to_pylist() for k in (*keys, "at_us"))):
                 if key != last or at >= start + length_us:
                     last, start = key, at
                 out.append(start)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "window_us"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "window_us"])
 
-    ordered = events.select(*(F.col(k).cast("string").alias(k) for k in keys), "at_us", "event_id").repartition(*keys).sortWithinPartitions(*keys, "at_us", "event_id")
-    return ordered.mapInArrow(run, ", ".join([*columns, "at_us bigint", "event_id bigint", "window_us bigint"]))
+    ordered = events.repartition(*keys).sortWithinPartitions(*keys, "at_us", "event_id")
+    return ordered.mapInArrow(run, schema)
 
 
 def idempotent_capture(requests: DataFrame, keys: list[str], ttl_us: int = DAY_US) -> DataFrame:
     """S-1, batch twin: each request's outcome in its time to live: ``new``, a ``replay`` of the
     first one's body, or a ``conflict`` with it; and the first one's event_id."""
-    runs = anchored_windows(requests, keys, ttl_us).select("event_id", "window_us")
     w = Window.partitionBy(*keys, "window_us").orderBy("at_us", "event_id")
-    first = requests.join(runs, "event_id").withColumns({"first_id": F.first("event_id").over(w), "first_body": F.first("body").over(w)})
-    outcome = F.when(F.col("first_id") == F.col("event_id"), "new").when(F.col("first_body").eqNullSafe(F.col("body")), "replay").otherwise("conflict")
+    first = anchored_windows(requests, keys, ttl_us).withColumns({"place": F.row_number().over(w), "first_id": F.first("event_id").over(w), "first_body": F.first("body").over(w)})
+    outcome = F.when(F.col("place") == 1, "new").when(F.col("first_body").eqNullSafe(F.col("body")), "replay").otherwise("conflict")
     return first.select("event_id", "first_id", outcome.alias("outcome"))
 
 
+def capture_outcomes_stream(stream: DataFrame, keys: list[str], ttl_us: int = DAY_US, late: str = "10 minutes") -> DataFrame:
+    """S-1 on a stream (keys, ts, event_id, body): the rows of ``idempotent_capture``, in event time.
+
+    A request is judged when the watermark has passed it, as none that came before it can still
+    arrive; until then it waits in its key's state, beside the key's open window: its start and
+    its first request's id and body (as a hash). So neither the order of arrival nor a restart
+    changes an outcome. Requests that come after the watermark are dropped, as everywhere on a stream.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, ids, bodies, start, first_id, first_body = state.get if state.exists else ([], [], [], None, None, None)
+        waiting = list(zip(at, ids, bodies))
+        for frame in frames:
+            waiting += zip(frame.at_us.tolist(), frame.event_id.tolist(), frame.digest.tolist())
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting.sort()
+        ripe = bisect.bisect_right(waiting, passed, key=lambda x: x[0])
+        for when, event_id, body in waiting[:ripe]:
+            if start is None or when >= start + ttl_us:
+                start, first_id, first_body = when, event_id, body
+                out.append((event_id, event_id, "new"))
+            else:
+                out.append((event_id, first_id, "replay" if body == first_body else "conflict"))
+        yield pd.DataFrame(out, columns=["event_id", "first_id", "outcome"])
+        waiting = waiting[ripe:]
+        over = start is None or start + ttl_us <= passed
+        if over and not waiting:
+            state.remove()
+            return
+        state.update((*([list(x) for x in zip(*waiting)] or [[], [], []]), start, first_id, first_body))
+        state.setTimeoutTimestamp((waiting[0][0] if waiting else start + ttl_us) // 1000 + 1)
+
+    digest = F.coalesce(F.sha2("body", 256), F.lit(""))
+    timed = stream.withWatermark("ts", late).withColumns({"at_us": F.unix_micros("ts"), "digest": digest})
+    return timed.groupBy(*keys).applyInPandasWithState(
+        step, "event_id long, first_id long, outcome string", "at array<long>, ids array<long>, bodies array<string>, start long, first_id long, first_body string",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def drop_replays(stream: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
-    """S-1 on a stream: one row per key and body within the time to live."""
+    """One row per key and body within the time to live, without outcomes."""
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([*keys, "body"])
 
 
@@ -87,9 +130,8 @@ def rate_limit(requests: DataFrame, window_us: int = 60_000_000) -> DataFrame:
     """S-4, batch twin: event_id, allowed, remaining and retry_after_us for requests (token,
     bucket, operator, at_us, event_id). Windows hold from a pair's first request on; denied
     requests don't count."""
-    starts = anchored_windows(requests, ["token", "bucket"], window_us).select("event_id", "window_us")
     nth = F.row_number().over(Window.partitionBy("token", "bucket", "window_us").orderBy("at_us", "event_id"))
-    out = requests.join(starts, "event_id").withColumns({"nth": nth, "capacity": capacity_of(F.col("bucket"), F.col("operator"))})
+    out = anchored_windows(requests, ["token", "bucket"], window_us).withColumns({"nth": nth, "capacity": capacity_of(F.col("bucket"), F.col("operator"))})
     allowed = F.col("nth") <= F.col("capacity")
     return out.select("event_id", allowed.alias("allowed"), F.greatest(F.col("capacity") - F.col("nth"), F.lit(0)).alias("remaining"), F.when(~allowed, F.col("window_us") + window_us - F.col("at_us")).alias("retry_after_us"))
 
@@ -163,36 +205,97 @@ def late_rows_stream(stream: DataFrame, checkpoint: str, write: Callable[[DataFr
     """S-9 on a stream: each batch's rows in time and its late ones, those ``late_s`` seconds or
     more before the newest row of the batches before; ``write`` takes both with the batch number.
 
-    The mark is kept in the checkpoint's folder, one file per batch, so that a batch that runs
-    again gets the mark it had.
+    The newest time is a committed table of one row and the batch before's, so that a batch that
+    runs again gets the mark it had, and neither reading nor keeping it grows with the batches.
     """
-    marks = f"{checkpoint}/marks"
+    spark = stream.sparkSession
+    marks = CommittedTable(spark, f"{checkpoint}/marks", "batch long, newest double", ["batch"], 1)
 
     def batch(df: DataFrame, number: int) -> None:
-        spark, epoch = df.sparkSession, F.col(ts).cast("double")
-        known = spark.read.schema("batch long, newest double").json(marks) if number else None
-        newest = known.filter(F.col("batch") < number).agg(F.max("newest")).first()[0] if known else None
-        rows = df.withColumn("event_epoch", epoch)
+        before = {r.batch: r.newest for r in marks.read().collect() if r.batch < number}  # two rows at most
+        newest = max((x for x in before.values() if x is not None), default=None)
+        rows = df.withColumn("event_epoch", F.col(ts).cast("double"))
         good, late = split_late(rows, float("-inf") if newest is None else newest - late_s)
         write(good.drop("event_epoch"), late.drop("event_epoch"), number)
-        seen = rows.agg(F.max("event_epoch").alias("newest")).select(F.lit(number).cast("long").alias("batch"), "newest")
-        seen.coalesce(1).write.mode("overwrite").json(f"{marks}/batch={number}")
+        seen = rows.agg(F.max("event_epoch")).first()[0]
+        top = max((x for x in (newest, seen) if x is not None), default=None)
+        keep = [(max(before), newest)] if before else []
+        marks.commit(spark.createDataFrame([*keep, (number, top)], marks.schema), [0], "marks", number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
+PLANE = "object_id string, created_epoch double, content string, tags array<string>, reinforcement_count long, version long, updated_epoch double, normal string"
+
+
+def captured_plane(spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> CommittedTable:
+    """A plane that captures are merged into: one row for each of ``keys`` and normal content."""
+    return CommittedTable(spark, path, ", ".join([*(f"{k} string" for k in keys), PLANE]), [*keys, "normal"], buckets)
+
+
+def capture_batch(plane: CommittedTable, df: DataFrame, number: int, stream: str, valid: Callable[[DataFrame], DataFrame], keys: list[str], now: float) -> bool:
+    """S-8, one batch: valid captures, merged (A-1) with one another and with the rows of the plane that
+    say the same after normalising (T-3), committed with the batch's number. Only the
+    buckets that the batch touches are read and written. False if the batch was there already."""
+    if plane.done(stream, number):
+        return False
+    good = valid(df).filter("reason is null").drop("reason").withColumn("normal", normalize_content("content"))
+    new = merge_duplicates(good, [*keys, "normal"], now)
+    touched = plane.touched(new)
+    return plane.commit(merge_into(plane.read(touched), new, [*keys, "normal"], now), touched, stream, number)
+
+
 def capture_stream(
-    stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], valid, keys: list[str], now: float,
-    replay_keys: list[str] | None = None, ts: str = "ts", ttl: str = "24 hours",
+    stream: DataFrame, checkpoint: str, plane: CommittedTable, valid: Callable[[DataFrame], DataFrame], keys: list[str], now: float,
+    replay_keys: list[str] | None = None, ts: str = "ts", ttl: str = "24 hours", name: str = "captures",
 ) -> StreamingQuery:
-    """S-8: drop replays of a request (S-1) where ``replay_keys`` name it, validate, merge what is
-    the same after normalising the content (T-3) within the batch, and hand the rows to
-    ``write``, which must be idempotent by batch number; runs through what is there and ends."""
+    """S-8: captures into a plane: replays of a request go where ``replay_keys`` name it, and each
+    batch is ``capture_batch``. A batch that runs again, or that died half-way, changes nothing
+    twice. ``name`` tells the plane's streams apart. Runs through what is there and ends."""
     if replay_keys:
         stream = drop_replays(stream, replay_keys, ts, ttl)
 
     def batch(df: DataFrame, number: int) -> None:
-        good = valid(df).filter("reason is null").drop("reason").withColumn("normal", normalize_content("content"))
-        write(merge_duplicates(good, [*keys, "normal"], now).drop("normal"), number)
+        capture_batch(plane, df.persist(), number, name, valid, keys, now)
+        df.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+POOL = "family string, object_id string, first_seen double, attempts int, cursor double"
+
+
+def pool_batch(state: CommittedTable, df: DataFrame, number: int, stream: str, cluster: Callable[[DataFrame], DataFrame], now: float, payload: list[str]) -> bool:
+    """S-7 and L-20, one batch: rows above their family's cursor and those that wait go to ``cluster``,
+    which returns the (family, object_id) that it has taken; the others wait on.
+
+    ``state`` holds both: a family's cursor is a row without object_id, a waiting row carries its
+    ``payload`` columns, so the batch needs no other table. One commit changes both.
+    """
+    if state.done(stream, number):
+        return False
+    touched = state.touched(df.select("family"))
+    held = state.read(touched)
+    new, marks = after_cursor(df.select("family", "object_id", "updated_epoch", *payload), held.filter("object_id is null").select("family", "cursor"))
+    waiting = held.filter("object_id is not null")
+    chosen = new.unionByName(waiting.select("family", "object_id", F.lit(None).cast("double").alias("updated_epoch"), *payload)).dropDuplicates(["family", "object_id"])
+    taken = cluster(chosen).select("family", "object_id").distinct()
+    pool = candidate_pool(waiting.select("family", "object_id", "first_seen", "attempts"), chosen.select("family", "object_id"), taken, now)
+    rows = pool.withColumn("cursor", F.lit(None).cast("double")).join(chosen.select("family", "object_id", *payload), ["family", "object_id"])
+    nothing = [F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in payload]
+    lines = marks.select("family", F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("double").alias("first_seen"), F.lit(None).cast("int").alias("attempts"), "cursor", *nothing)
+    return state.commit(rows.select(lines.columns).unionByName(lines), touched, stream, number)
+
+
+def pool_state(spark: SparkSession, path: str, payload: str, buckets: int = 64) -> CommittedTable:
+    """The state of ``pool_stream``; ``payload`` is the DDL of the columns that waiting rows carry."""
+    return CommittedTable(spark, path, f"{POOL}, {payload}", ["family"], buckets)
+
+
+def pool_stream(stream: DataFrame, checkpoint: str, state: CommittedTable, cluster: Callable[[DataFrame], DataFrame], now: float, payload: list[str], name: str = "pool") -> StreamingQuery:
+    """S-7 and L-20 on a stream: ``pool_batch`` for each batch, through what is there."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        pool_batch(state, df, number, name, cluster, now, payload)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
