@@ -3,7 +3,10 @@
 A null text counts as empty and gives no tokens. Every document gives one row, repeated ones
 too; columns beyond doc_id and text are not read. Texts of any length are encoded whole: long
 ones are cut at safe boundaries first, so the pattern runs over a piece at a time; a stretch
-without a safe boundary is one piece, whatever its length.
+without a safe boundary is one piece, whatever its length. Runs of RUN_CHARS white-space
+characters and more, of any length, are encoded without the pattern, which would go back over
+them character by character until its stack ends: such a run is one match of the pattern, but
+for its last character where something else follows.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ PIECE_CHARS = 1 << 16
 #: Before a space between two letters or digits the pattern always starts a match: every
 #: alternative takes a space at its start only, or in a run of white space, and no such run
 #: covers a space that follows a letter or digit and precedes another.
+#: White space as the pattern takes it, in runs that it need not see.
+RUN_CHARS = 4096
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
 _SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
@@ -47,9 +53,20 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
 
 
 def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+    """The ids of a whole text."""
+    if len(text) < RUN_CHARS:
         return enc.encode_ordinary(text)
-    return [token for piece in safe_pieces(text) for token in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last one may belong to what follows
+        for piece in safe_pieces(text[at : run.start()]):
+            out += enc.encode_ordinary(piece)
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    for piece in safe_pieces(text[at:]):
+        out += enc.encode_ordinary(piece)
+    return out
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -5,16 +5,15 @@ language) come counts of words and of the words' character n-grams by language.
 a training document has is *known*: it scores the log of its smoothed frequency in each
 language. Another word is scored by its n-grams: at each position the longest known one of
 n = 5 to 1 counts, by the log of its smoothed frequency in each language; an n-gram is known if
-it makes up at least 1/GRAM_SHARE of the n-grams of its length in some language. So the n-gram
-model has at most 5 * GRAM_SHARE entries per language, whatever the corpus's size: that bound
-is what lets it go to every task. The words have no bound, and are joined by shuffles:
+any training word has it. Neither words nor n-grams have a bound, and both are joined by shuffles:
 
 1. Blocks of some million tokens number their own words: documents as local numbers, many to a
    packed row, and (block, word, local number, count in each language's training documents).
-2. The n-gram model is counted from the blocks' words.
-3. Counts are summed over the blocks by word (a word is one row per block, so a hot word is
-   spread thin), turned to scores and sent back to the blocks in packed form.
-4. Each block sums up its documents' scores.
+2. Counts are summed up by word over the blocks. The n-grams are counted from the words known.
+3. The words that are not known are dealt into blocks; each asks once for every n-gram that its
+   words have, gets the counts of those that are known, and scores its words.
+4. The words' scores go back to the blocks in packed form (a word is one row per block, so a hot
+   word is spread thin), and each block sums up its documents' scores.
 
 A document takes the language of the largest mean over its words; equal means take the first
 name. ``score`` is that language's share after normalising (softmax) the mean log frequencies
@@ -38,13 +37,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import SALTS, materialize, rows_of
 from memlake.llm.shingles import _mix
 
-GRAM_SHARE = 1 << 14
 LONGEST = 5
 SHARPNESS = 8.0
 #: A block ends at that many tokens, or at that many counts (words times languages).
@@ -56,6 +54,8 @@ PACKED_TOKENS = 200_000
 WORDS_AT_ONCE = 50_000
 #: N-grams that a task sums up before it sends them on.
 GRAMS_HELD = 1_000_000
+#: Words of a block of unknown ones.
+UNSEEN_BLOCK = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN_LANGUAGE = "und"
 
@@ -200,31 +200,30 @@ def log_shares(n: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> np.ndarr
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in name order, the totals of words, and the known n-grams: keys of each size in
-    order, with log frequencies by language; ``floor`` stands for a position without any."""
+    """Languages in name order, the totals of words, and, by size of n-gram, the totals and the numbers
+    of kinds in each language; ``floor`` stands for a position without any known one."""
 
     languages: list[str]
     totals: np.ndarray
-    keys: list[np.ndarray]
-    values: list[np.ndarray]
+    gram_totals: dict[int, np.ndarray]
+    gram_kinds: dict[int, np.ndarray]
     floor: np.ndarray
 
-    def known(self, n: np.ndarray) -> np.ndarray:
-        """Scores of words with counts ``n`` by language: logs of (n + 1/2) / (total + 1)."""
-        return np.log((n + 0.5) / (self.totals + 1))
-
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """Scores of words by the longest known n-gram at each position but the last."""
+    def unseen(self, words: list[str], size: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Scores of words by the longest known n-gram at each position but the last; ``size``,
+        ``keys`` and ``n`` are those of the known n-grams that the words have."""
         spelled = Spelled(words)
         scores = np.tile(self.floor, (len(spelled.codes), 1))
         open_ = np.ones(len(spelled.codes), bool)
-        for size in range(LONGEST, 0, -1):
-            keys, values = self.keys[size - 1], self.values[size - 1]
-            if not len(keys):
+        for k in range(LONGEST, 0, -1):
+            own = np.flatnonzero(size == k)
+            if not len(own):
                 continue
-            places, found = spelled.grams(size)
-            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            hit = (keys[at] == found) & open_[places]
+            own = own[np.argsort(keys[own])]
+            values = log_shares(n[own], self.gram_totals[k], self.gram_kinds[k])
+            places, found = spelled.grams(k)
+            at = np.minimum(np.searchsorted(keys[own], found), len(own) - 1)
+            hit = (keys[own][at] == found) & open_[places]
             scores[places[hit]] = values[at[hit]]
             open_[places[hit]] = False
         inner = spelled.left > 1
@@ -232,40 +231,51 @@ class Model:
         return sums / np.bincount(spelled.owner[inner], minlength=len(words))[:, None]
 
 
-def learn(words: DataFrame, languages: list[str]) -> Model:
-    """The model of the blocks' words with their counts; what comes to the driver is bounded, see above."""
+def learn(known: DataFrame, grams: DataFrame, languages: list[str]) -> Model:
+    """The model's sums, one row of each size of n-gram, from all words and n-grams known."""
     k = range(len(languages))
-    sums = [x for i in k for x in (F.sum(f"n{i}").alias(f"t{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}"))]
+    sums = [x for i in k for x in (F.sum(f"n{i}").alias(f"t{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}"), F.min(f"n{i}").alias(f"m{i}"))]
 
     def of(row, name: str) -> np.ndarray:
         return np.array([row[f"{name}{i}"] or 0 if row else 0 for i in k], float)
 
-    whole = words.agg(*sums).first() if languages else None
-    grams = materialize(gram_counts(words, len(languages))) if languages else None
-    by_size = {r["size"]: r for r in grams.groupBy("size").agg(*sums).collect()} if languages else {}
-    keys, values = [], []
-    for size in range(1, LONGEST + 1):
-        row = by_size.get(size)
-        totals, kinds = of(row, "t"), of(row, "k")
-        if row is None:
-            keys.append(np.empty(0, np.int64))
-            values.append(np.empty((0, len(languages))))
-            continue
-        often = [(F.col(f"n{i}") > 0) & (F.col(f"n{i}") * GRAM_SHARE >= int(totals[i])) for i in k]
-        known = grams.filter((F.col("size") == size) & F.greatest(F.lit(False), F.lit(False), *often)).toPandas().sort_values("gram")
-        keys.append(known.gram.to_numpy(np.int64))
-        values.append(log_shares(known[[f"n{i}" for i in k]].to_numpy(float), totals, kinds))
-    least = min((v.min() for v in values if len(v)), default=0.0)
-    return Model(languages, of(whole, "t"), keys, values, np.full(len(languages), least))
-
-
-def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
-    """(block, words): packed local numbers and scores of the words (word, block, local, n0 ...)."""
-    shipped = words.sparkSession.sparkContext.broadcast(model)  # bounded, see above
+    whole = known.agg(*sums).first()
+    by_size = {r["size"]: r for r in grams.groupBy("size").agg(*sums).collect()}
+    totals, kinds = {size: of(r, "t") for size, r in by_size.items()}, {size: of(r, "k") for size, r in by_size.items()}
+    least = min((log_shares(of(r, "m"), totals[size], kinds[size]).min() for size, r in by_size.items()), default=0.0)
+    return Model(languages, of(whole, "t"), totals, kinds, np.full(len(languages), least))
+
+
+def _unseen_scores(unseen: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
+    """(word, s0 ...) of words that no training document has."""
+    names, scored = [f"n{i}" for i in range(len(model.languages))], [f"s{i}" for i in range(len(model.languages))]
+    blocks = max(1, -(-unseen.count() // UNSEEN_BLOCK))
+    dealt = unseen.select("word", F.pmod(F.xxhash64("word"), F.lit(blocks)).alias("part"))
+
+    def ask(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        spelled = Spelled(part.word.tolist())
+        found = [np.unique(spelled.grams(size)[1]) for size in range(1, LONGEST + 1)]
+        size = np.repeat(np.arange(1, LONGEST + 1, dtype=np.int32), [len(x) for x in found])
+        return pd.DataFrame({"part": key[0], "size": size, "gram": np.concatenate(found)})
+
+    def answer(words: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(words):
+            return pd.DataFrame({c: [] for c in ("word", *scored)})
+        values = model.unseen(words.word.tolist(), part["size"].to_numpy(), part.gram.to_numpy(), part[names].to_numpy(float).reshape(-1, len(names)))
+        return pd.DataFrame({"word": words.word.to_numpy(object), **{c: values[:, i] for i, c in enumerate(scored)}})
+
+    met = dealt.groupBy("part").applyInPandas(ask, "part bigint, size int, gram bigint").join(grams, ["size", "gram"])
+    schema = ", ".join(["word string", *(f"{c} double" for c in scored)])
+    met = met.select(*(F.col(c).alias(c) for c in ("part", "size", "gram", *names)))
+    return dealt.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(answer, schema)
+
+
+def _scores_by_block(words: DataFrame, languages: int) -> DataFrame:
+    """(block, words): packed local numbers and scores of the rows (block, local, s0 ...)."""
     schema = pa.schema([("block", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, rows = shipped.value, {}, 0
+        held, rows = {}, 0
 
         def flush() -> pa.RecordBatch:
             parts = []
@@ -277,14 +287,11 @@ def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = np.stack([batch.column(3 + i).to_numpy() for i in range(len(here.languages))], axis=1)
-            packed = np.empty((batch.num_rows, 1 + len(here.languages)), np.float32)
-            packed[:, 0] = batch.column(2).to_numpy().view(np.float32)  # the number's bits, as it is
-            packed[:, 1:] = here.known(n)
-            new = np.flatnonzero(~n.any(axis=1))
-            if len(new):
-                packed[new, 1:] = here.unseen(batch.column(0).take(pa.array(new)).to_pylist())
-            block = batch.column(1).to_numpy()
+            packed = np.empty((batch.num_rows, 1 + languages), np.float32)
+            packed[:, 0] = batch.column(1).to_numpy().view(np.float32)  # the number's bits, as it is
+            for i in range(languages):
+                packed[:, 1 + i] = batch.column(2 + i).to_numpy()
+            block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
                 held.setdefault(int(block[part[0]]), []).append(packed[part])
@@ -298,6 +305,20 @@ def _scores_by_block(words: DataFrame, model: Model) -> DataFrame:
     return words.mapInArrow(run, "block bigint, words binary")
 
 
+def _scored_words(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """(block, local, s0 ...) of the rows (word, block, local, n0 ...)."""
+    counts, scored = [f"n{i}" for i in range(len(languages))], [f"s{i}" for i in range(len(languages))]
+    words = materialize(rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in counts)))
+    found = F.greatest(F.lit(0), F.lit(0), *counts) > 0
+    known = words.filter(found)
+    grams = materialize(gram_counts(known.select("word", *counts), len(languages)))
+    model = learn(known, grams, languages)
+    log = [F.log((F.col(c) + 0.5) / (float(model.totals[i]) + 1)).alias(scored[i]) for i, c in enumerate(counts)]
+    unseen = _unseen_scores(words.filter(~found).select("word"), grams, model)
+    every = known.select("word", *log).unionByName(unseen).select("word", *(F.col(c).cast("float").alias(c) for c in scored))
+    return rows.select("word", "block", "local").join(every, "word").select("block", "local", *scored)
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, digest, lang_pred and score of every whole text of ``docs`` (doc_id, digest, text,
     lang), learned from the rows whose lang is not null."""
@@ -306,10 +327,7 @@ def scores(docs: DataFrame) -> DataFrame:
     encoded = materialize(encode_blocks(docs.select("doc_id", "digest", "text", F.when(F.col("text").isNotNull(), F.col("lang"))), languages), ["kind"])
     counts = [f"n{i}" for i in range(len(languages))]
     rows = encoded.filter("kind = 1").select("word", "block", "local", *counts)
-    found = F.greatest(F.lit(0), F.lit(0), *counts) > 0
-    model = learn(rows.filter(found).select("word", *counts) if languages else rows, languages)
-    summed = [F.sum(c).over(Window.partitionBy("word")).alias(c) for c in counts]
-    packed = _scores_by_block(rows.select("word", "block", "local", *summed), model) if languages else None
+    packed = _scores_by_block(_scored_words(rows, languages), len(languages)) if languages else None
 
     def sum_up(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         read = [unsqueeze(x, "<f4").reshape(1 + len(languages), -1) for x in words.words]

@@ -36,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.bpe import safe_pieces
+from memlake.llm import bpe
 from memlake.llm.common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of each of the two generations of a worker's cache of encoded words.
-CACHE_WORDS = 250_000
+#: Characters of the words in each of the two generations of a worker's cache, each word counting
+#: WORD_COST more; words of more than LONG_WORD characters are never kept.
+CACHE_CHARS, WORD_COST, LONG_WORD = 20_000_000, 60, 64
 _RUN = re.compile(r"^\s|\s\s|\s\Z")
 
 PIECES_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local_rank bigint"
@@ -95,9 +96,10 @@ class WordEncoder:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._held = 0
 
     def _whole(self, text: str) -> bytes:
-        return np.array([i for piece in safe_pieces(text) for i in self._bpe.encode_ordinary(piece)], "<u4").tobytes()
+        return np.array(bpe.encode(self._bpe, text), "<u4").tobytes()
 
     def _add(self, words: list[str]) -> None:
         """Encode words at once: each begins with its one white-space character."""
@@ -119,14 +121,20 @@ class WordEncoder:
                 if w not in young:
                     if (known := old.get(w)) is not None:
                         young[w] = known
+                        self._held += len(w) + WORD_COST
                     else:
                         missing[w] = None
         if missing:
             self._add(list(missing))
         line_end = 4 * len(self._bpe.encode_ordinary("\n"))
         out = [self._whole(x) if words is None else b"".join(map(young.__getitem__, words))[line_end:] for x, words in zip(texts, parts)]
-        if len(young) > CACHE_WORDS:
-            self._old, self._young = young, {}
+        for word in missing:
+            if len(word) > LONG_WORD:
+                del young[word]
+            else:
+                self._held += len(word) + WORD_COST
+        if self._held > CACHE_CHARS:
+            self._old, self._young, self._held = young, {}, 0
         return out
 
     def document_ids(self, texts: list[str]) -> list[bytes]:

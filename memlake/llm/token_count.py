@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 250_000
+#: Characters of the words in each of the two generations of a worker's cache, each word counting
+#: WORD_COST more; words of more than LONG_WORD characters are never kept.
+CACHE_CHARS, WORD_COST, LONG_WORD = 30_000_000, 90, 64
 #: A word with the spaces before it.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -63,6 +65,7 @@ class Unigram:
         self._byte_pieces, self._unknown = byte_pieces, min(scores.values()) - UNKNOWN_PENALTY
         self._young: dict[str, tuple[int, float]] = {}
         self._old: dict[str, tuple[int, float]] = {}
+        self._held = 0
 
     def solve(self, word: str) -> tuple[int, float]:
         """Piece count and score of the best segmentation."""
@@ -115,11 +118,14 @@ class Unigram:
         for word in words:
             found = young.get(word)
             if found is None:
-                found = young[word] = old.get(word) or self.solve(SPACE + word)
+                found = old.get(word) or self.solve(SPACE + word)
+                if len(word) <= LONG_WORD:
+                    young[word] = found
+                    self._held += len(word) + WORD_COST
             pieces += found[0]
             score += found[1]
-        if len(young) > CACHE_WORDS:
-            self._old, self._young = young, {}
+        if self._held > CACHE_CHARS:
+            self._old, self._young, self._held = young, {}, 0
         return pieces, score
 
 

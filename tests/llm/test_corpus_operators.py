@@ -101,6 +101,16 @@ def test_packing_is_gapless_and_whole(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, BPE).collect() == []
 
 
+@pytest.mark.parametrize("n", [5000, 10**6, 10**7])
+def test_ids_of_long_white_space_are_those_of_tokenizers(n):
+    reference, encoder = Tokenizer.from_file(BPE), packing.WordEncoder(BPE)
+    mixed = "".join(random.Random(3).choices(" \n\t\u3000", k=n))
+    for run in (" " * n, "\n" * n, mixed) if n < 10**7 else ("\n" * n,):
+        texts = [run, run + "end", "start" + run + " and"] if n < 10**7 else [run + "end"]
+        for text, ids in zip(texts, encoder.document_ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 3000])
 def test_perfect_hash_is_minimal_and_perfect(n):
     digests = np.frombuffer(os.urandom(32 * n), np.uint8).reshape(-1, 32)

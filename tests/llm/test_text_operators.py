@@ -62,6 +62,35 @@ def test_bpe_cuts_long_texts_at_safe_boundaries():
         assert [t for p in pieces for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def long_runs(n: int) -> list[str]:
+    mixed = "".join(random.Random(3).choices(" \n\t\r\u3000\xa0", k=n))
+    return [x for run in (" " * n, "\n" * n, mixed) for x in (run, run + "end", "start" + run, "mid" + run + " dle", "a b" + run + "1 2" + run + "!")]
+
+
+def test_bpe_of_long_white_space_equals_the_pattern():
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in long_runs(bpe.RUN_CHARS + 3):
+        assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+
+
+def test_bpe_of_ten_million_white_space_characters(spark):
+    texts = [x for x in long_runs(10**7) if not x.startswith("a b")]
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in texts:
+        assert enc.decode_bytes(bpe.encode(enc, text)) == text.encode()
+    rows = spark.createDataFrame([(1, " " * 10**6), (2, "x" + "\n" * 10**6 + "y")], "doc_id bigint, text string")
+    assert all(r.round_trip for r in bpe.encode_documents(rows, RANKS, public_tokenizers.PATTERN).collect())
+
+
+def test_caches_are_bounded_by_characters():
+    rng = random.Random(1)
+    model = token_count._model(UNIGRAM)
+    unspaced = "".join(rng.choices("日本語漢字", k=5000))
+    before = len(model._young)
+    model.count(unspaced)
+    assert len(model._young) == before and all(len(w) <= token_count.LONG_WORD for w in model._young)
+
+
 def test_bpe_round_trip(spark, odd_docs, no_docs):
     got = bpe.encode_documents(odd_docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
     texts = Counter((i, t or "") for i, t, _ in ROWS)
@@ -168,8 +197,7 @@ def brute_languages(rows: list[tuple]) -> dict:
     for size in range(1, 6):
         counts = [grams[lang][size] for lang in languages]
         for c in counts:
-            total = sum(c.values())
-            known.update({g: shares(counts, g) for g, n in c.items() if n * language_id.GRAM_SHARE >= total and g not in known})
+            known.update({g: shares(counts, g) for g in c if g not in known})
     floor = np.full(len(languages), min((v.min() for v in known.values()), default=0.0))
 
     def score(word: str) -> np.ndarray:
@@ -207,11 +235,11 @@ def same_languages(got, want) -> None:
 
 
 def test_language_id_of_whole_tables_equals_brute_force(spark, monkeypatch):
-    """The registered query; small blocks, and a short gram model so that backoff shows."""
+    """The registered query, with small blocks."""
     monkeypatch.setattr(language_id, "BLOCK_TOKENS", 3000)
     monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 500)
     monkeypatch.setattr(language_id, "PACKED_TOKENS", 700)
-    monkeypatch.setattr(language_id, "GRAM_SHARE", 400)
+    monkeypatch.setattr(language_id, "UNSEEN_BLOCK", 300)
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
