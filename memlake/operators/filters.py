@@ -27,9 +27,14 @@ def in_states(df: DataFrame, mode: str, include_archived: bool = False) -> DataF
     return df.filter(F.col("state").isin(*visible_states(mode, include_archived)))
 
 
+def holds_at(t: float) -> Column:
+    """F-3: whether a row's half-open validity interval holds ``t``."""
+    return (F.col("valid_from_epoch").isNull() | (F.col("valid_from_epoch") <= t)) & (F.col("valid_until_epoch").isNull() | (F.lit(t) < F.col("valid_until_epoch")))
+
+
 def valid_at(df: DataFrame, t: float, state: str | None = None) -> DataFrame:
-    """F-3: rows whose half-open validity interval holds ``t``."""
-    out = df.filter((F.col("valid_from_epoch").isNull() | (F.col("valid_from_epoch") <= t)) & (F.col("valid_until_epoch").isNull() | (F.lit(t) < F.col("valid_until_epoch"))))
+    """F-3: rows that are valid at ``t``."""
+    out = df.filter(holds_at(t))
     return out.filter(F.col("state") == state) if state else out
 
 

@@ -64,29 +64,6 @@ def supersession_cycle(df: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.join(paths, "target", "left").select("object_id", "target", cyclic.alias("cyclic"))
 
 
-def hydrate_lineage(hits: DataFrame, memories: DataFrame, curated: DataFrame, artifacts: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
-    """J-3: hits with their supersession tip, what they supersede, the titles of the note that they
-    were promoted to and the concept that they were promoted from, and the files that support
-    them (sorted); what is missing is null, or an empty array.
-
-    Hits name ``promoted_to`` and, for notes with ``concepts``, ``promoted_from``; a concept is
-    looked up in the namespace beside the note's own.
-    """
-    tips = supersession_tip(memories)
-    ids = hits.select("object_id").distinct()
-    older = memories.filter("superseded_by is not null").select(F.col("object_id").alias("older"), F.col("superseded_by").alias("object_id"))
-    older = older.join(ids, "object_id", "left_semi").groupBy("object_id").agg(F.sort_array(F.collect_set("older")).alias("supersedes"))
-    notes = curated.select(F.col("object_id").alias("promoted_to"), F.col("title").alias("promoted_title"))
-    files = hits.select("object_id", F.explode("supported_by").alias("artifact_id")).join(artifacts.select(F.col("object_id").alias("artifact_id"), "filename"), "artifact_id")
-    files = files.groupBy("object_id").agg(F.sort_array(F.collect_set("filename")).alias("files"))
-    out = hits.join(tips.drop("hops"), "object_id", "left").join(notes, "promoted_to", "left").join(files, "object_id", "left").join(older, "object_id", "left")
-    if concepts is not None:
-        beside = concepts.select(F.col("object_id").alias("promoted_from"), F.regexp_replace("namespace", "/concept$", "/curated").alias("namespace"), F.col("title").alias("promoted_from_title"))
-        out = out.join(beside, ["promoted_from", "namespace"], "left")
-    empty = F.array().cast("array<string>")
-    return out.withColumns({"files": F.coalesce("files", empty), "supersedes": F.coalesce("supersedes", empty)})
-
-
 def unreferenced_artifacts(artifacts: DataFrame, memories: DataFrame, now: float, days: int = 180) -> DataFrame:
     """J-6: matured artifacts over the age that no memory of any state names as support."""
     named = memories.select(F.explode("supported_by").alias("object_id"))

@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import ranking as r, similarity as v
-from memlake.operators.filters import valid_at, visible_states
-from memlake.operators.joins import dedupe_lineage, hydrate_lineage
+from memlake.operators.filters import holds_at, visible_states
+from memlake.operators.joins import dedupe_lineage
+from memlake.operators.lineage import hydrate_lineage
 
 
 def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, prefetch: int = 50, mode: str = "fast", now: float | None = None) -> DataFrame:
     """R-5: dense and sparse channels over visible rows, fused; ``limit`` hits per query.
 
     States and, with ``now``, the validity of curated rows are filtered before the channels, so a
-    query never runs short of rows that it may show.
+    query never runs short of rows that it may show. Rows without a vector compete in the sparse
+    channel alone.
     """
-    shown = rows.filter(F.col("state").isin(*visible_states(mode)))
+    visible = F.col("state").isin(*visible_states(mode))
     if now is not None:
-        shown = shown.filter(F.col("plane") != "curated").unionByName(valid_at(shown.filter(F.col("plane") == "curated"), now))
-    dense = v.dense_topk(queries, shown, prefetch)
+        visible &= (F.col("plane") != "curated") | holds_at(now)
+    shown = rows.filter(visible)
+    dense = v.dense_topk(queries, shown.filter("vector is not null"), prefetch)
     sparse = v.sparse_topk(terms, postings.join(shown.select("object_id"), "object_id", "left_semi"), prefetch)
     fused = v.rrf([dense, sparse])
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "object_id")
@@ -36,15 +39,15 @@ def fast_retrieve(queries: DataFrame, terms: DataFrame, rows: DataFrame, posting
 
 
 def deep_retrieve(
-    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, now: float, scorer, lineage: tuple[DataFrame, ...] | None = None
+    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, now: float, scorer, lineage: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """R-8: hybrid search at twice the limit, reranked by ``scorer``, scored and ranked, with the
-    lineage (J-3) of the hits where ``lineage`` gives its tables."""
+    lineage (J-3) of the hits where ``lineage`` gives the planes."""
     found = hybrid_search(queries, terms, rows, postings, 2 * limit, now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows.drop("vector"), "object_id").join(queries.select("query_id", "query_text"), "query_id")
     reranked = r.rerank(hits, scorer, 2 * limit).drop("rank")
     ranked = r.rank_hits(r.score_hits(reranked, now)).filter(F.col("rank") <= limit)
-    return hydrate_lineage(ranked, *lineage) if lineage else ranked
+    return hydrate_lineage(ranked, lineage) if lineage else ranked
 
 
 def _leg(plane: str) -> Callable[[Column], Column]:

@@ -19,11 +19,18 @@ def short_docs(spark, d):
 
 @query("t10_chunk_tokens", f"""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WHITE}'), lambda x: x <> '') as words from documents),
   n as (select doc_id, words, len(words) as n, unnest(range(0, greatest(1, cast(ceil((len(words) - 128) / 384.0) as bigint)))) as k from w where len(words) > 0)
-  select 'D' || lpad(cast(doc_id as varchar), 26, '0') as object_id, k as chunk_index, words[k * 384 + 1] as first_word, words[least(k * 384 + 512, n)] as last_word, least(512, n - k * 384) as n_words from n""")
+  select 'D' || lpad(cast(doc_id as varchar), 26, '0') as object_id, k as chunk_index, words[k * 384 + 1] as first_word, words[least(k * 384 + 512, n)] as last_word, least(512, n - k * 384) as n_words from n
+  union all select 'D' || lpad(cast(doc_id as varchar), 26, '0'), 0, null, null, 0 from w join documents using (doc_id) where len(words) = 0 and text <> ''""")
 def _(spark, d):
     words = F.filter(F.split("content", WHITE), lambda x: x != "")
     out = ch.chunk_tokens(short_docs(spark, d)).withColumn("words", words)
-    return out.select("object_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("words")[0].alias("first_word"), F.element_at("words", -1).alias("last_word"), F.size("words").alias("n_words"))
+    return out.select("object_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.get("words", F.lit(0)).alias("first_word"), F.try_element_at("words", F.lit(-1)).alias("last_word"), F.size("words").alias("n_words"))
+
+
+@query("t10_sentence_windows")
+def _(spark, d):
+    """The same windows, ending at sentences."""
+    return ch.chunk_tokens(short_docs(spark, d), 60, 15, at_sentences=True).select("object_id", "chunk_index", "start_offset", "end_offset")
 
 
 @query("t11_chunk_markdown")

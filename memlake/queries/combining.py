@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import joins as j, merge as m
+from memlake.operators import joins as j, lineage, merge as m
 from memlake.queries.registry import query
 from memlake.sources import planes as P
 
@@ -50,21 +50,41 @@ def _(spark, d):
     return j.committed_chunks(*chunks(spark, d)).select("artifact_id", F.col("chunk_index").cast("long").alias("chunk_index"), "generation")
 
 
-@query("j03_hydrate_lineage", """select c.object_id, c.superseder, case when e2.object_id is null then c.object_id else e2.object_id end as tip, k.title as promoted_title, coalesce(a.filename, '') as files, coalesce(o.older, '') as supersedes from (
-    select object_id, superseded_by as superseder, 'K' || substr(object_id, 2) as promoted_to, supported_by from episodic) c left join episodic e2 on e2.object_id = c.superseder
-  left join curated k on k.object_id = c.promoted_to left join artifact a on a.object_id = c.supported_by[1]
-  left join (select superseded_by, string_agg(object_id, ',' order by object_id) as older from episodic group by superseded_by) o on o.superseded_by = c.object_id""", (*E_, *K_, *A_))
+def lineage_planes(spark, d):
+    """Memories in chains of up to four, twenty ids apart, and artifacts in the memories' namespaces."""
+    n = F.col("number")
+    e = P.episodic(spark, d).withColumn("superseded_by", F.when(F.floor(n / 20) % 4 != 3, P.key("D", n + 20)))
+    beside = e.select("number", F.replace("namespace", F.lit("/episodic"), F.lit("/artifact")).alias("namespace"))
+    a = P.artifact(spark, d).drop("namespace").join(beside, "number")
+    return {"episodic": e, "concept": P.concept(spark, d), "curated": P.curated(spark, d), "artifact": a}
+
+
+def page_of(df, plane):
+    """All rows of a plane as hits."""
+    nothing = {"promoted_to": "string", "promoted_from": "string", "supported_by": "array<string>"}
+    more = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in nothing.items()]
+    return df.select(F.lit(plane).alias("plane"), "namespace", "object_id", *more)
+
+
+@query("j03_hydrate_lineage", """with recursive chain as (select object_id, namespace, number, title, state, supported_by, case when number // 20 % 4 <> 3 then 'D' || lpad(cast(number + 20 as varchar), 26, '0') end as nxt from episodic),
+  walk as (select object_id, namespace, nxt, cast(null as varchar) as tip, 0 as hop from chain union all select w.object_id, w.namespace, c.nxt, c.object_id, w.hop + 1 from walk w join chain c on c.object_id = w.nxt and c.namespace = w.namespace),
+  older as (select nxt as object_id, namespace, string_agg(object_id, ',' order by object_id) as supersedes from chain where nxt is not null group by nxt, namespace),
+  files as (select a.object_id, replace(e.namespace, '/episodic', '/artifact') as namespace, a.filename from artifact a join episodic e on e.number = a.number),
+  tips as (select object_id, arg_max(tip, hop) filter (where hop > 0) as tip from walk group by object_id)
+  select c.object_id, t.tip, s.state as tip_state, coalesce(o.supersedes, '') as supersedes, coalesce(f.filename, '') as files from chain c join tips t on t.object_id = c.object_id left join chain s on s.object_id = t.tip
+    left join older o on o.object_id = c.object_id and o.namespace = c.namespace left join files f on f.object_id = c.supported_by[1] and f.namespace = replace(c.namespace, '/episodic', '/artifact')""", (*E_, *A_))
 def _(spark, d):
-    e = P.episodic(spark, d)
-    hits = e.select("object_id", F.col("superseded_by").alias("superseder"), F.concat(F.lit("K"), F.substring("object_id", 2, 26)).alias("promoted_to"), "supported_by")
-    return j.hydrate_lineage(hits, e, P.curated(spark, d), P.artifact(spark, d)).select("object_id", "superseder", "tip", "promoted_title", F.array_join("files", ",").alias("files"), F.array_join("supersedes", ",").alias("supersedes"))
+    planes = lineage_planes(spark, d)
+    out = lineage.hydrate_lineage(page_of(planes["episodic"], "episodic"), planes)
+    return out.select("object_id", "tip", "tip_state", F.array_join("supersedes", ",").alias("supersedes"), F.array_join("files", ",").alias("files"))
 
 
-@query("j03_promoted_from", """select k.object_id, k.promoted_from, c.title as promoted_from_title, k.object_id as tip from curated k left join concept c on c.object_id = k.promoted_from""", (*K_, *C_))
+@query("j03_promoted", """select 'curated' as plane, k.object_id, c.title as promoted_from_title, cast(null as varchar) as promoted_title from curated k left join concept c on c.object_id = k.promoted_from and c.namespace = replace(k.namespace, '/curated', '/concept')
+  union all select 'concept', c.object_id, null, k.title from concept c left join curated k on k.object_id = c.promoted_to and k.namespace = replace(c.namespace, '/concept', '/curated')""", (*K_, *C_))
 def _(spark, d):
-    k = P.curated(spark, d).withColumn("superseded_by", F.lit(None).cast("string"))
-    hits = k.select("object_id", "namespace", "promoted_from", F.lit(None).cast("string").alias("promoted_to"), F.array().cast("array<string>").alias("supported_by"))
-    return j.hydrate_lineage(hits, k, P.curated(spark, d), P.artifact(spark, d), P.concept(spark, d)).select("object_id", "promoted_from", "promoted_from_title", "tip")
+    planes = lineage_planes(spark, d)
+    hits = page_of(planes["curated"], "curated").unionByName(page_of(planes["concept"], "concept"))
+    return lineage.hydrate_lineage(hits, planes).select("plane", "object_id", "promoted_from_title", "promoted_title")
 
 
 def chained(spark, d):
@@ -81,10 +101,10 @@ def _(spark, d):
 
 
 @query("j05_supersession_cycle", """select object_id, 'D' || lpad(cast(case when number % 10 = 9 then number - 5 else number + 12 end as varchar), 26, '0') as target, number % 10 = 9 as cyclic
-  from episodic where number % 10 in (3, 9) and number >= 50""", E_)
+  from episodic""", E_)
 def _(spark, d):
     n = F.col("number")
-    proposed = P.episodic(spark, d).filter((n % 10).isin(3, 9) & (n >= 50)).select("object_id", P.key("D", F.when(n % 10 == 9, n - 5).otherwise(n + 12)).alias("target"))
+    proposed = P.episodic(spark, d).select("object_id", P.key("D", F.when(n % 10 == 9, n - 5).otherwise(n + 12)).alias("target"))
     return j.supersession_cycle(chained(spark, d), proposed)
 
 

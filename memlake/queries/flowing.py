@@ -125,26 +125,28 @@ def _(spark, d):
 
 
 def searchable(spark, d):
-    """Rows with vectors and scoring columns, postings of their texts, and the stated queries."""
+    """All memories with scoring columns, with a vector where there is one, postings of their texts,
+    and the stated queries. Every tenth memory is superseded by the one thirty ids on."""
     n = F.col("number")
     e = P.episodic(spark, d).drop("namespace", "tags", "topics").withColumn("plane", F.when(n % 3 == 0, "curated").otherwise("episodic"))
-    e = e.withColumn("promoted_to", F.concat(F.lit("K"), F.substring("object_id", 2, 26)))
-    rows = vectors(spark, d).select("object_id", "namespace", "vector").join(e, "object_id")
-    space = rows.select("object_id", "namespace")
-    p = postings(spark, d).drop("namespace").join(space, "object_id")
+    e = e.withColumns({"promoted_to": F.lit(None).cast("string"), "promoted_from": P.key("C", n + 1), "superseded_by": F.when(n % 10 == 7, P.key("D", n + 30))})
+    v = vectors(spark, d).select("object_id", "namespace", "vector")
+    rows = e.join(v, "object_id", "left").withColumn("namespace", F.coalesce("namespace", F.concat(F.lit("ns"), n % 2)))
+    p = postings(spark, d).drop("namespace").join(rows.select("object_id", "namespace"), "object_id")
     q = vector_queries(spark, d).withColumn("query_text", F.lit("q"))
-    terms = p.filter(F.col("number") % 100 == 0).select(F.col("number").alias("query_id"), "namespace", "term", "weight")
+    terms = p.join(q.select(F.col("query_id").alias("number")), "number").select(F.col("number").alias("query_id"), "namespace", "term", "weight")
     return q, terms, rows, p.select("object_id", "namespace", "term", "weight")
 
 
-RETRIEVAL = f"""{VECTORS}, {POSTINGS}, shown as (select v.object_id, v.namespace, v.vector, v.number, e.* exclude (object_id, namespace, number), case when v.number % 3 = 0 then 'curated' else 'episodic' end as plane
-    from vectors v join episodic e on e.object_id = v.object_id where e.state in ('matured', 'promoted')
-    and (v.number % 3 <> 0 or ((e.valid_from_epoch is null or e.valid_from_epoch <= 1714521600) and (e.valid_until_epoch is null or e.valid_until_epoch > 1714521600)))),
+RETRIEVAL = f"""{VECTORS}, {POSTINGS}, spaces as (select e.object_id, e.number, coalesce(v.namespace, 'ns' || cast(e.number % 2 as varchar)) as namespace, v.vector from episodic e left join vectors v on v.object_id = e.object_id),
+  shown as (select s.object_id, s.namespace, s.vector, s.number, e.* exclude (object_id, namespace, number), case when s.number % 3 = 0 then 'curated' else 'episodic' end as plane
+    from spaces s join episodic e on e.object_id = s.object_id where e.state in ('matured', 'promoted')
+    and (s.number % 3 <> 0 or ((e.valid_from_epoch is null or e.valid_from_epoch <= 1714521600) and (e.valid_until_epoch is null or e.valid_until_epoch > 1714521600)))),
   dense as (select q.number as query_id, x.object_id, row_number() over (partition by q.number order by list_cosine_similarity(q.vector, x.vector) desc, x.object_id) as rank
-    from vectors q join shown x on x.namespace = q.namespace where q.number % 100 = 0),
-  words as (select p.object_id, p.number, v.namespace, p.term, p.weight from postings p join vectors v on v.object_id = p.object_id),
+    from vectors q join shown x on x.namespace = q.namespace where q.number % 100 = 0 and x.vector is not null),
+  words as (select p.object_id, p.number, s.namespace, p.term, p.weight from postings p join spaces s on s.object_id = p.object_id),
   dots as (select q.number as query_id, p.object_id, round(sum(p.weight * q.weight), 9) as score from words p join words q on q.namespace = p.namespace and q.term = p.term
-    where q.number % 100 = 0 and p.object_id in (select object_id from shown) group by q.number, p.object_id),
+    where q.number % 100 = 0 and q.number in (select number from vectors) and p.object_id in (select object_id from shown) group by q.number, p.object_id),
   sparse as (select query_id, object_id, row_number() over (partition by query_id order by score desc, object_id) as rank from dots),
   fused as (select query_id, object_id, sum(1.0 / (60 + rank)) as rrf_score from (select * from dense where rank <= PREFETCH union all select * from sparse where rank <= PREFETCH) u group by query_id, object_id),
   found as (select *, row_number() over (partition by query_id order by round(rrf_score, 12) desc, object_id) as rank from fused)"""
@@ -160,9 +162,14 @@ def _(spark, d):
 
 @query("r08_deep_retrieve")
 def _(spark, d):
-    lineage = P.episodic(spark, d), P.curated(spark, d), P.artifact(spark, d)
-    out = retrieval.deep_retrieve(*searchable(spark, d), limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"), lineage=lineage)
-    return out.select("query_id", "object_id", "rank", F.round("score", 6).alias("score"), "tip", "promoted_title", F.array_join("files", ",").alias("files"))
+    """With the lineage of the hits, in the namespaces of the rows."""
+    q, terms, rows, p = searchable(spark, d)
+    spaces, n = rows.select("number", "namespace"), F.col("number")
+    planes = {x: rows.filter(F.col("plane") == x) for x in ("episodic", "curated")}
+    planes["concept"] = P.concept(spark, d).drop("namespace").join(spaces, "number")
+    planes["artifact"] = P.artifact(spark, d).withColumn("namespace", F.concat(F.lit("ns"), n % 2))
+    out = retrieval.deep_retrieve(q, terms, rows, p, limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"), lineage=planes)
+    return out.select("query_id", "object_id", "rank", F.round("score", 6).alias("score"), "tip", "promoted_from_title", F.array_join("files", ",").alias("files"), F.array_join("supersedes", ",").alias("supersedes"))
 
 
 @query("r10_blended_retrieve", f"""with {HITS.format(leg='')}, one as (select *, row_number() over (partition by query_id, sha256(substr(content, 1, 300)) order by case when plane = 'curated' then 4 when plane = 'concept' then 3 when state = 'matured' then 2 when state = 'provisional' then 1 else 0 end desc, score desc, object_id) as k

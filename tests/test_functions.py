@@ -64,12 +64,12 @@ def test_token_windows_overlap_and_end():
     spans = list(ch.token_windows(text, 512, 128))
     chunks = [text[a:b].split() for a, b in spans]
     assert [c[0] for c in chunks] == ["w0", "w384", "w768"] and chunks[-1][-1] == "w999" and [len(c) for c in chunks] == [512, 512, 232]
-    assert list(ch.token_windows("", 5, 1)) == [] and len(list(ch.token_windows("a b c", 2, 2))) == 2
+    assert list(ch.token_windows("", 5, 1)) == [] and len(list(ch.token_windows("a b c", 2, 1))) == 2
 
 
 def test_markdown_sections_and_json_elements(spark):
     text = "intro\n## One\na\n### Deep\nb\n## Two\nc"
-    assert [(text[a:b].split("\n")[0], p) for a, b, p in ch.markdown_sections(text)] == [("intro", "unknown"), ("## One", "One"), ("### Deep", "One > Deep"), ("## Two", "Two")]
+    assert [(text[a:b].split("\n")[0], p) for a, b, p in ch.markdown_sections(text)] == [("intro", "unknown"), ("## One", "One"), ("### Deep", "Deep"), ("## Two", "Two")]
     texts = {"1": '["x1","y", {"k":1,"é":[1,2.50]}, null]', "2": '{"k": 1}', "3": "[broken", "4": "[]", "5": " [1,[2]] "}
     df = spark.createDataFrame(list(texts.items()), "object_id string, content string")
     got = {(r.object_id, r.chunk_index): r.content for r in ch.chunk_json(df).collect()}
@@ -413,3 +413,26 @@ def test_intents_of_one_object_apply_in_order(spark):
     assert {(r.object_id, r.state, r.version, r.superseded_by, r.updated_epoch) for r in updated.collect()} == {("a", "superseded", 5, "b", 9.0), ("b", "matured", 1, "c", 0.0), ("c", "demoted", 2, None, 9.0)}
     assert sorted((r.object_id, r.from_state, r.to_state) for r in events.collect()) == [("a", "demoted", "matured"), ("a", "matured", "demoted"), ("a", "matured", "superseded"), ("a", "provisional", "matured"), ("c", "matured", "demoted")]
     assert {r.intent_id for r in errors.collect()} == {"3", "5", "7"}
+
+
+def test_windows_end_at_sentences():
+    text = " ".join(" ".join(f"s{s}w{w}" for w in range(30)) + "." for s in range(20))
+    ends = [len(text[:b].split()) for _, b in ch.token_windows(text, 100, 20, at_sentences=True)]
+    assert ends == [90, 150, 210, 270, 330, 390, 450, 510, 570, 600]
+    assert [len(text[a:b].split()) for a, b in ch.token_windows(text, 100, 20)][:3] == [100, 100, 100]
+    quoted = 'one two three four (five.") six seven'
+    assert [quoted[a:b] for a, b in ch.token_windows(quoted, 6, 1, at_sentences=True)] == ['one two three four (five.")', '(five.") six seven']
+    assert list(ch.token_windows(" \n ")) == [(3, 3)] and list(ch.token_windows("")) == []
+    for window, overlap in ((100, 100), (0, 0), (100, -1)):
+        with pytest.raises(ValueError):
+            list(ch.token_windows("x", window, overlap))
+
+
+def test_markdown_sections_and_oversize_ones():
+    big = " ".join(f"big{i}" for i in range(800))
+    text = f"## Big Section\n\n{big}\n\n### Small Section\n\nshort section body\n"
+    got = [(h, text[a:b]) for a, b, h in ch.chunk_markdown_text(text)]
+    assert [h for h, _ in got] == ["Big Section", "Big Section", "Small Section"] and got[2][1] == "### Small Section\n\nshort section body"
+    assert len(got[0][1].split()) == 512 and got[0][1].startswith("## Big Section") and got[1][1].endswith("big799")
+    assert [(h, a, b) for a, b, h in ch.chunk_markdown_text("plain text with no headings at all")] == [("unknown", 0, 34)]
+    assert list(ch.chunk_markdown_text("\n \n")) == [] and [h for _, _, h in ch.chunk_markdown_text("  \n## A\nx")] == ["A"]

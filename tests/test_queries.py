@@ -97,12 +97,50 @@ def brute_t05(spark, columns, got):
     assert len(got) == len(texts)
 
 
+def sentence_windows(text, window, overlap):
+    """(start, end) of windows: every end is looked for by reading the text before it."""
+    words, out, start = [m.span() for m in re.finditer(r"\S+", text)], [], 0
+    if text and not words:
+        return [(len(text), len(text))]
+    while start < len(words):
+        end = min(start + window, len(words))
+        if end < len(words):
+            for k in range(end, start + overlap + 1, -1):
+                if re.search(r"[.!?。？！][\"')\]]*$", text[: words[k - 1][1]]):
+                    end = k
+                    break
+        out.append((words[start][0], words[end - 1][1]))
+        if end == len(words):
+            break
+        start = max(end - overlap, start + 1)
+    return out
+
+
+def brute_t10_sentences(spark, columns, got):
+    have = {}
+    for r in sorted(named(columns, got), key=lambda r: r["chunk_index"]):
+        have.setdefault(int(r["object_id"][1:]), []).append((r["start_offset"], r["end_offset"]))
+    want = {i: sentence_windows(t or "", 60, 15) for i, t in documents(spark).items()}
+    assert have == {i: spans for i, spans in want.items() if spans} and any(len(x) > 3 for x in want.values())
+
+
 def brute_t11(spark, columns, got):
-    """Chunks are slices of their text, in order, and together hold every word of it."""
-    chunks = {}
-    for r in named(columns, got):
-        chunks.setdefault(r["object_id"], []).append(r)
-    assert chunks
+    """Sections by splitting at heading lines, oversize ones in windows that end at sentences."""
+    have = {}
+    for r in sorted(named(columns, got), key=lambda r: r["chunk_index"]):
+        have.setdefault(int(r["object_id"][1:]), []).append((r["content"], r["heading_path"]))
+    for i, content in documents(spark).items():
+        text = f"intro words\n## {(content or '')[:20]}\n{content or ''}\n### tail\nlast"
+        sections, heading = [["unknown", ""]], re.compile(r"#{2,3}\s+(.+)")
+        at = [m.start() for m in re.finditer(r"(?m)^#{2,3}\s+(.+)$", text)]
+        sections = [("unknown", text[: at[0]])] + [(heading.match(text[a:b]).group(1).strip(), text[a:b]) for a, b in zip(at, [*at[1:], len(text)])]
+        want = []
+        for name, part in sections:
+            if len(part.split()) <= 512:
+                want += [(part.strip(), name)] if part.strip() else []
+            else:
+                want += [(part[a:b], name) for a, b in sentence_windows(part, 512, 128)]
+        assert have[i] == want
 
 
 def brute_t15(spark, columns, got):
@@ -176,9 +214,10 @@ def hybrid(spark, prefetch, limit):
     """Query -> (object's number, fused score): dense and sparse channels by plain loops."""
     texts = documents(spark)
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
-    space = {r.vec_id: r.label % 2 for r in rows}
+    space = {i: i % 2 for i in texts} | {r.vec_id: r.label % 2 for r in rows}
+    asked = [r.vec_id for r in rows if r.vec_id % 100 == 0]
     unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) for r in rows}
-    weights = {i: {w: 1 + math.log(n) for w, n in Counter((t or "").lower().split(" ")).items() if w} for i, t in texts.items() if i in space}
+    weights = {i: {w: 1 + math.log(n) for w, n in Counter((t or "").lower().split(" ")).items() if w} for i, t in texts.items()}
 
     def shown(i):
         start, end = (EPOCH + i * 3600 if i % 3 == 0 else None), (EPOCH + i * 3600 + i % 50 * DAY if i % 4 == 0 else None)
@@ -186,9 +225,9 @@ def hybrid(spark, prefetch, limit):
         return i in texts and STATES[i % 8] in ("matured", "promoted") and valid
 
     out = {}
-    for q in (i for i in space if i % 100 == 0):
+    for q in asked:
         near = [i for i in space if space[i] == space[q] and shown(i)]
-        dense = sorted(near, key=lambda i: (-float(unit[q] @ unit[i]), i))[:prefetch]
+        dense = sorted((i for i in near if i in unit), key=lambda i: (-float(unit[q] @ unit[i]), i))[:prefetch]
         dots = {i: round(sum(w * weights[q][t] for t, w in weights[i].items() if t in weights[q]), 9) for i in near} if q in weights else {}
         sparse = sorted((i for i in dots if dots[i] > 0), key=lambda i: (-dots[i], i))[:prefetch]
         fused = Counter()
@@ -231,10 +270,19 @@ def brute_r08(spark, columns, got):
     want = ranked(found, lambda q, i, n: len((texts[i] or "")[:2048]) % 7 - 3 if n > 5 else None, 10)
     have = {(r["query_id"], r["object_id"], r["rank"]): r["score"] for r in named(columns, got)}
     assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    label = {r.vec_id: r.label % 2 for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()}
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    space = {i: label.get(i, i % 2) for i in texts}
     for r in named(columns, got):
-        number = int(r["object_id"][1:])
-        tip = number + 10 if number % 20 == 7 and number + 10 in texts else number
-        assert r["tip"] == f"D{tip:026d}" and r["promoted_title"] == (texts[number] or "")[:40]
+        i = int(r["object_id"][1:])
+        tip = i
+        while tip % 10 == 7 and tip + 30 in texts and space[tip + 30] == space[i]:
+            tip += 30
+        assert r["tip"] == (f"D{tip:026d}" if tip != i else None)
+        assert r["supersedes"] == (f"D{i - 30:026d}" if i % 10 == 7 and i - 30 in texts and space[i - 30] == space[i] else "")
+        concept = i + 1 if i % 3 == 0 and i + 1 in texts and space[i + 1] == space[i] else None
+        assert r["promoted_from_title"] == (None if concept is None else (texts[concept] or "")[:40])
+        assert r["files"] == (pages[i % 400] if i % 9 == 0 and i % 400 in pages and i % 400 % 2 == space[i] else "")
 
 
 def rows_only(spark, columns, got):
@@ -244,7 +292,7 @@ def rows_only(spark, columns, got):
 
 #: Queries that SQL cannot express, and what holds them; those with rows_only are tested in test_context and test_functions.
 BRUTE = {
-    "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
+    "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t10_sentence_windows": brute_t10_sentences, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
     "s01_idempotent_capture": brute_s01, "s04_rate_limit": brute_s04, "l17_retract": brute_l17,
     "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": rows_only, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
 }
