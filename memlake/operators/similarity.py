@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.lexical import SMALL_ROWS, bm25
 from memlake.operators.near_pairs import similar_pairs
 from memlake.operators.nearest import dense_topk
 from memlake.schemas import DUPLICATE_THRESHOLDS
 from memlake.sources.scratch import ensure_checkpoint_dir
 
-#: Rows of a stated query set's terms that go to every task; beyond that they are joined by shuffle.
-SMALL_ROWS = 500_000
+
+__all__ = ["bm25", "dense_topk", "similar_pairs"]  # of modules of their own
 
 
 def _topk(scores: DataFrame, k: int) -> DataFrame:
@@ -41,28 +42,6 @@ def rrf(channels: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query_id", "object_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf_score"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """V-5: (query_id, object_id, bm25) of documents that share a token with a query.
-
-    ``queries`` has (query_id, tokens), ``docs`` (object_id, tokens); statistics are those of
-    ``docs``. A token that a query repeats counts again. Only tokens that some query has go on;
-    a token's queries and its weight are one row, so each count meets them once.
-    """
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.groupBy("token").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))  # of the stated queries
-    tokens = if_small(wanted.select("token"))
-    sizes = docs.select("object_id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.size("tokens").alias("raw"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("raw"), F.lit(1.0)).alias("mean_length"))
-    tf = docs.select("object_id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").groupBy("object_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    terms = if_small(wanted.join(df, "token").join(F.broadcast(stats)))  # stats is one row
-    joined = tf.join(terms, "token")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    met = joined.select("object_id", part.alias("part"), F.explode("asked").alias("asked"))
-    return met.groupBy("asked.query_id", "object_id").agg(F.sum(F.col("part") * F.col("asked.times")).alias("bm25"))
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(group, node, label): the smallest node of each component within its group, by
     large-star and small-star steps until no edge changes."""

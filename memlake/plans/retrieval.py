@@ -11,6 +11,7 @@ from memlake.operators import ranking as r, similarity as v
 from memlake.operators.filters import holds_at, visible_states
 from memlake.operators.joins import dedupe_lineage
 from memlake.operators.lineage import hydrate_lineage
+from memlake.sources.scratch import ensure_checkpoint_dir
 
 
 def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, prefetch: int = 50, mode: str = "fast", now: float | None = None) -> DataFrame:
@@ -84,6 +85,7 @@ def blended_retrieve(legs: list[DataFrame], limit: int) -> DataFrame:
 def lexical_top(queries: DataFrame, rows: DataFrame, now: float, k: int = 10) -> DataFrame:
     """Text queries against visible memories: BM25, scored with recency, importance, provenance
     and reinforcement, the best k per query."""
-    matched = v.bm25(queries, rows.select("object_id", "tokens")).withColumn("rrf_score", F.round("bm25", 9))
+    ensure_checkpoint_dir(rows.sparkSession)
+    matched = v.bm25(queries, rows.select("object_id", "tokens")).withColumn("rrf_score", F.round("bm25", 9)).checkpoint()  # read again for each query's best
     hits = matched.join(rows.drop("tokens"), "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
     return r.rank_hits(r.score_hits(hits, now)).filter(F.col("rank") <= k)
