@@ -10,7 +10,7 @@ taken from the bounded lists of tasks or cells.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
+def plain(vectors) -> np.ndarray:
+    """The vectors as rows, as they are."""
+    return np.array([np.asarray(v, np.float64) for v in vectors])
+
+
 def first_k(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores of each query, ties by id."""
     order = np.lexsort((ids, -score, query))
@@ -48,13 +53,13 @@ def first_k(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np
 class _Best:
     """The k best rows so far of each query of a namespace."""
 
-    def __init__(self, query_ids: list[int], unit_queries: np.ndarray, k: int):
-        self.query_ids, self.unit, self.k = np.array(query_ids), unit_queries, k
+    def __init__(self, query_ids: list[int], vectors: np.ndarray, k: int):
+        self.query_ids, self.vectors, self.k = np.array(query_ids), vectors, k
         self.query, self.score, self.ids = np.empty(0, int), np.empty(0), np.empty(0, object)
         self.floor = np.full(len(query_ids), -np.inf)
 
-    def add(self, ids: np.ndarray, unit_rows: np.ndarray) -> None:
-        scores = self.unit @ unit_rows.T
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        scores = self.vectors @ rows.T
         if scores.shape[1] > self.k:  # what is below a query's k-th best here can't be among its k best
             self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         query, row = np.nonzero(scores >= self.floor[:, None])
@@ -70,11 +75,11 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.query_ids[self.query], pa.int64()), pa.array(self.ids, pa.string()), pa.array(self.score)], ["query_id", "object_id", "score"])
 
 
-def _of_few(queries: list, rows: DataFrame, k: int) -> DataFrame:
+def _of_few(queries: list, rows: DataFrame, k: int, read: Callable) -> DataFrame:
     by_space: dict[str, list] = {}
     for q in queries:
         by_space.setdefault(q.namespace, []).append(q)
-    packed = {name: ([q.query_id for q in qs], unit([q.vector for q in qs])) for name, qs in by_space.items()}
+    packed = {name: ([q.query_id for q in qs], read([q.vector for q in qs])) for name, qs in by_space.items()}
     shipped = rows.sparkSession.sparkContext.broadcast(packed)  # FEW queries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +88,13 @@ def _of_few(queries: list, rows: DataFrame, k: int) -> DataFrame:
             spaces = np.array(batch.column(0).to_pylist(), object)
             for name in {*spaces} & best.keys():
                 at = pa.array(np.flatnonzero(spaces == name))
-                best[name].add(np.array(batch.column(1).take(at).to_pylist(), object), unit(batch.column(2).take(at).to_pylist()))
+                best[name].add(np.array(batch.column(1).take(at).to_pylist(), object), read(batch.column(2).take(at).to_pylist()))
         yield from (b.batch() for b in best.values())
 
     return rows.select("namespace", "object_id", "vector").mapInArrow(run, FOUND)
 
 
-def _in_cells(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def _in_cells(queries: DataFrame, rows: DataFrame, k: int, read: Callable) -> DataFrame:
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
@@ -102,8 +107,8 @@ def _in_cells(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def cell(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(part):
             return pd.DataFrame({"query_id": [], "object_id": [], "score": []})
-        best = _Best(asked.query_id.tolist(), unit(asked.vector), k)
-        best.add(part.object_id.to_numpy(), unit(part.vector))
+        best = _Best(asked.query_id.tolist(), read(asked.vector), k)
+        best.add(part.object_id.to_numpy(), read(part.vector))
         return best.batch().to_pandas()
 
     key = ["namespace", "query_block", "row_block"]
@@ -112,11 +117,13 @@ def _in_cells(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return asked.groupBy(key).cogroup(held.groupBy(key)).applyInPandas(cell, FOUND)
 
 
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int, cosine: bool = True) -> DataFrame:
     """V-2: (query_id, object_id, score, rank): the k rows of the query's namespace with the
-    largest cosine, ties by object_id. ``queries`` has query_id, namespace and vector."""
+    largest cosine, or inner product, ties by object_id. ``queries`` has query_id, namespace and
+    vector."""
+    read = unit if cosine else plain
     asked = queries.select("query_id", "namespace", "vector")
     few = asked.limit(FEW + 1).collect()  # FEW + 1 queries at most
-    best = _of_few(few, rows, k) if len(few) <= FEW else _in_cells(asked, rows, k)
+    best = _of_few(few, rows, k, read) if len(few) <= FEW else _in_cells(asked, rows, k, read)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "object_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.nearest import dense_topk
 from memlake.schemas import ALLOWED_STATES, METRIC_FLOORS
 
 
@@ -101,12 +102,37 @@ def gate_thresholds(per_query: DataFrame) -> DataFrame:
     return floors.join(means, ["mode", "metric"], "left").withColumn("passed", ok)
 
 
+#: The error of a quantile's rank, as a share of the rows.
+QUANTILE_ERROR = 1e-4
+
+
 def compare_runs(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """E-5: by mode, drops of ndcg (over 0.02) and mrr (over 0.03) and growth of p95 latency
-    (over a fifth)."""
-    b = base.groupBy("mode").agg(F.avg("ndcg_at_10").alias("n0"), F.avg("mrr").alias("m0"), F.percentile("latency", 0.95).alias("p0"))
-    c = candidate.groupBy("mode").agg(F.avg("ndcg_at_10").alias("n1"), F.avg("mrr").alias("m1"), F.percentile("latency", 0.95).alias("p1"))
-    return b.join(c, "mode", "full_outer").select("mode", (F.col("n0") - F.col("n1") > 0.02).alias("ndcg_drop"), (F.col("m0") - F.col("m1") > 0.03).alias("mrr_drop"), (F.col("p1") > 1.2 * F.col("p0")).alias("slower"))
+    (over a fifth). Quantiles come from mergeable sketches, whose ranks are off by QUANTILE_ERROR
+    of the rows at most; tasks send sketches, not latencies."""
+
+    def of(run: DataFrame, k: int) -> DataFrame:
+        p95 = F.approx_percentile("latency", 0.95, round(1 / QUANTILE_ERROR))
+        return run.groupBy("mode").agg(F.avg("ndcg_at_10").alias(f"n{k}"), F.avg("mrr").alias(f"m{k}"), p95.alias(f"p{k}"))
+
+    met = of(base, 0).join(of(candidate, 1), "mode", "full_outer")
+    return met.select("mode", (F.col("n0") - F.col("n1") > 0.02).alias("ndcg_drop"), (F.col("m0") - F.col("m1") > 0.03).alias("mrr_drop"), (F.col("p1") > 1.2 * F.col("p0")).alias("slower"))
+
+
+#: The least ndcg@10 of a smoke query, and how far it may fall below its baseline.
+SMOKE_FLOOR, SMOKE_TOLERANCE = 0.5, 0.02
+
+
+def smoke_gate(queries: DataFrame, rows: DataFrame, grades: DataFrame, baseline: DataFrame) -> DataFrame:
+    """E-8: (query_id, ndcg_at_10, baseline, passed): each query's rows by inner product, judged by
+    their grades. A query passes from SMOKE_FLOOR on, if its baseline (query_id, ndcg), where it
+    has one, is finite and no more than SMOKE_TOLERANCE above."""
+    hits = dense_topk(queries, rows, 10, cosine=False)
+    per_query = evaluate(queries.select("query_id").withColumn("mode", F.lit("smoke")), hits, grades)
+    ndcg, base = F.col("ndcg_at_10"), F.col("baseline")
+    sound = base.isNull() | (~F.isnan(base) & (F.abs(base) != float("inf")) & (ndcg >= base - SMOKE_TOLERANCE))
+    out = per_query.join(baseline.select("query_id", F.col("ndcg").alias("baseline")), "query_id", "left")
+    return out.select("query_id", "ndcg_at_10", "baseline", ((ndcg >= SMOKE_FLOOR) & sound).alias("passed"))
 
 
 def lost_top_hits(base: DataFrame, candidate: DataFrame) -> DataFrame:

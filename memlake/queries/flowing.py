@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from memlake.functions import text as T
 from memlake.operators import ranking as r
 from memlake.plans import retrieval, synthesis
-from memlake.queries.registry import query
+from memlake.queries.registry import STRIPPED, query
 from memlake.queries.searching import BM25, HITS, POSTINGS, VECTORS, hits, postings, vector_queries, vectors
-from memlake.sources import exchange as x
+from memlake.sources import exchange as x, notes
 from memlake.sources import planes as P
 from memlake.sources.scratch import ensure_checkpoint_dir
 from memlake.streaming import jobs
@@ -84,11 +84,12 @@ def _(spark, d):
     return out.select("path", "importance", F.array_join("tags", ",").alias("tags"), "reason")
 
 
-@query("io05_render_note", """select object_id, strlen('---' || chr(10) || 'object_id: ' || object_id || chr(10) || 'title: ["t"]' || chr(10) || '---' || chr(10) || chr(10) || content || chr(10)) as n_bytes from concept""", C_)
+@query("io05_render_note", f"""select object_id, sha256('---' || chr(10) || 'object_id: "' || object_id || '"' || chr(10) || 'title: "t"' || chr(10) || 'namespace: "' || namespace || '"' || chr(10) || 'importance: ' || importance || chr(10) || 'topics: ["' || topics[1] || '"]'
+  || chr(10) || '---' || chr(10) || chr(10) || {STRIPPED.format('content').removeprefix('sha256(')} as note_sha256 from concept""", C_)
 def _(spark, d):
     c = P.concept(spark, d)
-    out = x.render_note(c.select(F.col("object_id").alias("path"), "object_id", F.lit("t").alias("title"), F.col("content").alias("body")))
-    return out.select(F.col("path").alias("object_id"), F.octet_length("value").alias("n_bytes"))
+    out = x.render_note(c.select(F.col("object_id").alias("path"), "object_id", F.lit("t").alias("title"), "namespace", "importance", "topics", F.col("content").alias("body")))
+    return out.select(F.col("path").alias("object_id"), F.sha2("value", 256).alias("note_sha256"))
 
 
 @query("io06_append_events", "select event_id, strftime(ts, '%Y-%m-%d') as event_date from events where event_id % 3 <> 0")
@@ -101,7 +102,7 @@ def _(spark, d):
 def _(spark, d):
     a, n = P.artifact(spark, d).withColumn("path", F.col("filename")), F.col("number")
     found = a.filter(n % 4 != 1).select("path", F.when(n % 4 == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
-    return x.verify_manifest(found, a.filter(n % 4 != 2).select("path", "sha256"))
+    return notes.verify_manifest(found, a.filter(n % 4 != 2).select("path", "sha256"))
 
 
 @query("io08_migrate_memories", """select cast(doc_id as varchar) as object_id, 'old/legacy/episodic' as namespace, 'migrated from ' || case when doc_id % 2 = 0 then source else 'legacy' end as source_context, 1704067200.0 + doc_id % 28 * 86400 as created_epoch

@@ -1,11 +1,13 @@
-"""Sources and sinks besides the planes: vaults, ledgers, manifests, migrations (IO-3 to IO-11)."""
+"""Sources and sinks besides the planes: vaults, ledgers, migrations (IO-3 to IO-11)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.text import family_of, normalize_tags, strip
@@ -46,7 +48,9 @@ def parse_frontmatter(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "path string, body string, body_hash string, fields map<string,string>")
 
 
-KNOWN_FIELDS = ("title", "importance", "tags", "topics", "namespace", "object_id", "state", "created_at", "updated_at", "managed")
+#: The fields of a note's frontmatter, and those that are times.
+TIMES = ("created_at", "updated_at", "promoted_at", "valid_from", "valid_until")
+KNOWN_FIELDS = ("title", "importance", "tags", "topics", "namespace", "object_id", "state", "created_at", "updated_at", "managed", "promoted_from", "promoted_at", "valid_from", "valid_until")
 
 
 def frontmatter_to_curated(df: DataFrame) -> DataFrame:
@@ -56,23 +60,29 @@ def frontmatter_to_curated(df: DataFrame) -> DataFrame:
     importance = F.coalesce(F.try_element_at(f, F.lit("importance")).cast("int"), F.lit(7))
     lists = {c: F.coalesce(F.from_json(F.try_element_at(f, F.lit(c)), "array<string>"), F.array().cast("array<string>")) for c in ("tags", "topics")}
     strange = F.filter(F.map_keys("fields"), lambda k: ~k.isin(*KNOWN_FIELDS))
-    naive = F.coalesce(F.try_element_at(f, F.lit("created_at")), F.lit("Z"))
+    zoned = [F.coalesce(F.try_element_at(f, F.lit(c)), F.lit("Z")).rlike("(Z|[+-]\\d\\d:?\\d\\d)$") for c in TIMES]
     reason = (
         F.when(f.isNull(), "bad_frontmatter").when(F.array_contains(F.map_keys("fields"), "read_by"), "read_by").when(F.size(strange) > 0, "unknown_key")
-        .when(~F.length(F.coalesce(title, F.lit(""))).between(1, 200), "bad_title").when(~importance.between(1, 10), "bad_importance").when(~naive.rlike("(Z|[+-]\\d\\d:?\\d\\d)$"), "naive_time")
+        .when(~F.length(F.coalesce(title, F.lit(""))).between(1, 200), "bad_title").when(~importance.between(1, 10), "bad_importance").when(~reduce(and_, zoned), "naive_time")
     )
     return df.select("path", title.alias("title"), importance.alias("importance"), normalize_tags(lists["tags"]).alias("tags"), F.transform(lists["topics"], F.lower).alias("topics"), "body", "body_hash", reason.alias("reason"))
 
 
-def render_note(concepts: DataFrame) -> DataFrame:
-    """IO-5: one Markdown text per row."""
-    head = F.concat(F.lit("---\nobject_id: "), "object_id", F.lit("\ntitle: "), F.to_json(F.array("title")), F.lit("\n---\n\n"))
-    return concepts.select("path", F.concat(head, F.col("body"), F.lit("\n")).alias("value"))
+def _quoted(text: Column) -> Column:
+    """As a JSON string, which YAML reads as it is."""
+    whole = F.to_json(F.array(text))
+    return F.substr(whole, F.lit(2), F.length(whole) - 2)
 
 
-def export_notes(notes: DataFrame, root: str) -> None:
-    """IO-5: as text, in folders by a hash of the path."""
-    notes.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(256))).select("part", F.to_json(F.struct("path", "value")).alias("value")).write.partitionBy("part").text(root)
+def render_note(rows: DataFrame) -> DataFrame:
+    """IO-5: (path, value): one Markdown text per row (path, object_id, title, body): the frontmatter,
+    with those of namespace, state, importance, tags and topics that the rows have, and the
+    stripped body, as ``read_vault`` reads it back."""
+    lines = [F.concat(F.lit("object_id: "), _quoted(F.col("object_id"))), F.concat(F.lit("title: "), _quoted(F.col("title")))]
+    lines += [F.concat(F.lit(f"{c}: "), _quoted(F.col(c))) for c in ("namespace", "state") if c in rows.columns]
+    lines += [F.concat(F.lit("importance: "), F.col("importance").cast("string"))] if "importance" in rows.columns else []
+    lines += [F.concat(F.lit(f"{c}: "), F.to_json(c)) for c in ("tags", "topics") if c in rows.columns]
+    return rows.select("path", F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), strip(F.col("body"))).alias("value"))
 
 
 def append_events(new: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -80,16 +90,6 @@ def append_events(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return new.dropDuplicates(["event_id"]).join(ledger.select("event_id"), "event_id", "left_anti").withColumn("event_date", F.to_date(F.timestamp_micros("occurred_us")))
 
 
-def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """IO-7: files that drift from the manifest's checksum, miss, are extra or leave the folder."""
-    m = manifest.select("path", F.col("sha256").alias("pinned"))
-    problem = (
-        F.when(F.col("path").rlike("(^/)|(^|/)\\.\\.(/|$)"), "path_escape").when(F.col("sha256").isNull(), "missing").when(F.col("pinned").isNull(), "extra")
-        .when(F.col("sha256") != F.col("pinned"), "drift")
-    )
-    return found.join(m, "path", "full_outer").select("path", problem.alias("problem")).filter("problem is not null")
-
-
 def migrate_memories(old: DataFrame, migrated: DataFrame, namespace: str) -> DataFrame:
     """IO-8: legacy memories as matured rows; those without a creation time, and ids already
     migrated, are skipped."""
