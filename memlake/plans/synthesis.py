@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,21 +22,51 @@ EXCERPT_BYTES = 256
 POOL_TTL = 30 * DAY
 
 
-def summarize(members: DataFrame) -> DataFrame:
-    """K-3, default: the text of the most important member with its vector, all sources."""
-    best = F.struct("importance", F.col("place") * -1)
-    return members.groupBy("group", "cluster").agg(F.max_by("content", best).alias("content"), F.max_by("vector", best).alias("vector"), F.max("importance").alias("importance"), F.array_sort(F.collect_list("object_id")).alias("merged_from"))
+#: What a caller's summariser (K-3) takes and gives: the members (object_id, content, importance) of
+#: one cluster, most important first; and title, content and rationale, or None where it fails.
+Summarizer = Callable[[list[tuple[str, str, int]]], tuple[str, str, str] | None]
+SUMMARY = "group string, cluster string, title string, content string, rationale string, vector array<double>, importance int, merged_from array<string>"
+
+
+def representative(members: list[tuple[str, str, int]]) -> tuple[str, str, str]:
+    """K-3, default: the text of the most important member."""
+    return members[0][1][:80], members[0][1], f"{len(members)} similar memories"
+
+
+def summarize(members: DataFrame, summarizer: Summarizer = representative) -> DataFrame:
+    """K-3: a row per cluster (capped, so a few rows each) that the summariser made something of;
+    it has the most important member's vector. One that fails, or raises, leaves no row."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        try:
+            made = summarizer(list(zip(part.object_id, part.content, part.importance.astype(int))))
+        except Exception:  # a model's failure is the cluster's, which is tried again in the next run
+            made = None
+        rows = [(*key, *made, list(part.vector.iloc[0]), int(part.importance.iloc[0]), sorted(part.object_id))] if made else []
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SUMMARY.split(", ")])
+
+    wanted = members.select("group", "cluster", "object_id", "content", F.col("importance").cast("int").alias("importance"), "vector", "place")
+    return wanted.groupBy("group", "cluster").applyInPandas(run, SUMMARY)
+
+
+def decodes() -> Column:
+    """Whether a memory can take part: it has a text and a vector of finite numbers."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(F.col("content").isNotNull() & F.col("vector").isNotNull() & finite, F.lit(False))
 
 
 def synthesize(
     memories: DataFrame, cursors: DataFrame, pool: DataFrame, existing: DataFrame, now: float, judge: Callable[[str, str], bool],
-    threshold: float = 0.70, most: int = 20, low: float = 0.75, match: float = 0.85,
+    threshold: float = 0.70, most: int = 20, low: float = 0.75, match: float = 0.85, summarizer: Summarizer = representative,
 ) -> dict[str, DataFrame]:
     """L-19: clusters of similar memories, all families at once: ``concepts`` (all of them, with
     the members that they merge), ``cursors`` and ``pool`` after the run, and its ``report``.
 
     Memories above their family's cursor or in the pool are grouped by topic within the family,
-    similar pairs linked, components of three or more capped and summarised. A cluster
+    similar pairs linked, components of three or more capped and summarised (K-3). Memories that
+    don't decode take no part and are counted; the members of a cluster that the summariser fails
+    on wait in the pool, as do those beyond the cap. A cluster
     reinforces the family's nearest matured or promoted concept from ``match`` on, else it is a
     new concept. Concepts of this run with a similarity in [low, match) are judged, and those
     that contradict are linked. ``existing`` may have null vectors; these match nothing.
@@ -44,18 +74,22 @@ def synthesize(
     ensure_checkpoint_dir(memories.sparkSession)
     new, marks = after_cursor(memories, cursors)
     waiting = memories.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
-    chosen = new.unionByName(waiting).dropDuplicates(["family", "object_id"])
+    every = new.unionByName(waiting).dropDuplicates(["family", "object_id"]).withColumn("decodes", decodes())
+    failed, chosen = every.filter("not decodes"), every.filter("decodes").drop("decodes")
     grouped = v.cluster_groups(chosen).withColumn("group", F.concat_ws("\x1f", "family", "group"))
     linked = v.clusters(v.similar_pairs(grouped.select("group", "object_id", "vector"), threshold))
     members = v.cap_cluster(linked.join(chosen.select("object_id", "family", "importance", "content", "vector"), "object_id"), most)
-    made = summarize(members).withColumn("family", F.split("group", "\x1f")[0]).dropDuplicates(["family", "merged_from"])
+    sets = members.groupBy("family", "group", "cluster").agg(F.array_sort(F.collect_list("object_id")).alias("ids"))  # `most` at most
+    nth = F.row_number().over(Window.partitionBy("family", "ids").orderBy("group", "cluster"))  # the same members by another topic
+    members = members.join(sets.withColumn("nth", nth).filter("nth = 1").select("group", "cluster"), ["group", "cluster"], "left_semi")
+    made = summarize(members, summarizer).withColumn("family", F.split("group", "\x1f")[0])
     made = made.withColumns({"object_id": F.substring(F.sha2(F.array_join("merged_from", ","), 256), 1, 27), "query_id": F.monotonically_increasing_id()}).checkpoint()
     live = existing.filter(F.col("state").isin("matured", "promoted") & F.col("vector").isNotNull())
     nearest = v.best_match(made.select("query_id", F.col("family").alias("namespace"), "vector"), live.select(F.col("family").alias("namespace"), "object_id", "vector"), match)
     matched = made.join(nearest.select("query_id", F.col("object_id").alias("known")), "query_id").checkpoint()
     evidence = matched.filter("known is not null").select(F.col("known").alias("object_id"), F.explode("merged_from").alias("source_id"))
     created = matched.filter("known is null").join(existing.select("object_id"), "object_id", "left_anti").select(
-        "object_id", F.concat("family", F.lit("/shared/concept")).alias("namespace"), "family", F.lit("synthesized").alias("state"), F.substring("content", 1, 80).alias("title"), "content", "importance",
+        "object_id", F.concat("family", F.lit("/shared/concept")).alias("namespace"), "family", F.lit("synthesized").alias("state"), "title", "content", "rationale", "importance",
         "merged_from", "vector", F.lit(0).alias("reinforcement_count"), F.array().cast("array<string>").alias("contradicts"), F.lit(None).cast("double").alias("last_reinforced_epoch"), F.lit(1).alias("version"),
     )
     after = m.reinforce_concepts(existing, evidence, now).unionByName(created, allowMissingColumns=True)
@@ -64,10 +98,11 @@ def synthesize(
     for side in ("a", "b"):
         near = near.join(touched.select(F.col("object_id").alias(side), F.col("content").alias(f"text_{side}")), side)
     verdicts = judge_pairs(near, judge).select(F.col("group").alias("family"), "a", "b", "verdict").checkpoint()
-    done = members.select("family", "object_id").distinct()
+    done = matched.select("family", F.explode("merged_from").alias("object_id")).distinct()
     counted = {
         "selected": chosen, "clusters": matched, "created": created, "reinforced": matched.filter("known is not null"), "contradictions": verdicts.filter("verdict = 'contradictory'"),
         "pruned": pool.filter(F.col("first_seen") < now - POOL_TTL).join(done, ["family", "object_id"], "left_anti"), "carried": chosen.join(done, ["family", "object_id"], "left_anti"),
+        "decode_failed": failed,
     }
     steps = None
     for step, rows in counted.items():

@@ -222,16 +222,43 @@ def _(spark, d):
     return done.join(kept, "evidence_id").unionByName(refused.select("object_id", F.col("reason").alias("outcome")), allowMissingColumns=True)
 
 
-@query("l19_synthesize")
-def _(spark, d):
-    ensure_checkpoint_dir(spark)
-    e = P.episodic(spark, d).withColumn("family", F.col("identity_family"))
-    rows = vectors(spark, d).select("object_id", "vector").join(e, "object_id")
+def embedded(spark, d, rows):
+    """Rows with a vector: that of the embeddings, else one of the hashed text (T-17)."""
+    given = vectors(spark, d).select("number", F.col("vector").cast("array<double>").alias("given"))
+    hashed = T.hash_embed(64)("content").cast("array<double>")
+    return rows.join(given, "number", "left").withColumn("vector", F.coalesce("given", hashed)).drop("given")
+
+
+def synthesis_inputs(spark, d):
+    """All memories and concepts; every 97th memory doesn't decode."""
+    n = F.col("number")
+    rows = embedded(spark, d, P.episodic(spark, d).withColumn("family", F.col("identity_family")))
+    rows = rows.withColumn("vector", F.when(n % 97 != 5, F.col("vector")))
     cursors = rows.select("family").distinct().withColumn("cursor", F.lit(0.0))
     pool = rows.filter("number % 50 = 0").select("family", "object_id", F.lit(P.NOW - 86400.0).alias("first_seen"), F.lit(1).alias("attempts"))
-    concepts = P.concept(spark, d).withColumn("family", F.col("identity_family")).join(vectors(spark, d).select("number", "vector"), "number", "left")
-    out = synthesis.synthesize(rows, cursors, pool, concepts, P.NOW, lambda x, y: len(x) > len(y), threshold=0.30, low=0.30, match=0.37)
-    return out["concepts"].select("object_id", "family", "state", "importance", "reinforcement_count", F.size("merged_from").alias("n_sources"), F.size("contradicts").alias("n_contradicts"))
+    concepts = P.concept(spark, d).withColumn("family", F.col("identity_family")).join(vectors(spark, d).select("number", F.col("vector").cast("array<double>").alias("vector")), "number", "left")
+    return rows, cursors, pool, concepts
+
+
+def fails_at_times(members):
+    """A summariser that makes nothing of clusters whose first member's id ends in 3."""
+    first, content, _ = members[0]
+    return None if first.endswith("3") else (content[:10], content, f"{len(members)} members")
+
+
+def synthesized(spark, d):
+    out = synthesis_inputs(spark, d)
+    return synthesis.synthesize(*out, P.NOW, lambda x, y: len(x) > len(y), threshold=0.30, low=0.30, match=0.37, summarizer=fails_at_times)
+
+
+@query("l19_synthesize")
+def _(spark, d):
+    return synthesized(spark, d)["concepts"].select("object_id", "family", "state", "title", "importance", "reinforcement_count", "merged_from", "contradicts")
+
+
+@query("l19_report")
+def _(spark, d):
+    return synthesized(spark, d)["report"]
 
 
 @query("k01_score_importance", "select object_id, case when number % 4 = 0 then 10 else importance end as importance from episodic", E_)

@@ -250,6 +250,7 @@ def test_synthesis_reinforces_creates_and_links(spark):
     at = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.8, 0.6]}
     rows = [(f"{p}{i}", f, at[p], [], ["t"], 5, f"text {p}", 10.0) for f, ps in (("en", "abc"), ("de", "a")) for p in ps for i in (f + "1", f + "2", f + "3")]
     rows.append(("lone", "en", [0.0, 0.0, -1.0], [], ["t"], 5, "alone", 10.0))
+    rows.append(("odd", "en", [float("nan"), 0.0, 1.0], [], ["t"], 5, "no vector", 10.0))
     memories = spark.createDataFrame(rows, "object_id string, family string, vector array<double>, topics array<string>, tags array<string>, importance int, content string, updated_epoch double")
     cursors = spark.createDataFrame([("en", 0.0), ("de", 0.0)], "family string, cursor double")
     pool = spark.createDataFrame([("en", "old", -1e9, 4)], "family string, object_id string, first_seen double, attempts int")
@@ -265,9 +266,18 @@ def test_synthesis_reinforces_creates_and_links(spark):
     assert (b.contradicts, c.contradicts, de.contradicts, got["K1"].contradicts) == ([c.object_id], [b.object_id], [], [])
     report = {r.family: r.asDict() for r in out["report"].collect()}
     assert report == {
-        "en": {"family": "en", "selected": 10, "clusters": 3, "created": 2, "reinforced": 1, "contradictions": 1, "pruned": 1, "carried": 1},
-        "de": {"family": "de", "selected": 3, "clusters": 1, "created": 1, "reinforced": 0, "contradictions": 0, "pruned": 0, "carried": 0},
+        "en": {"family": "en", "selected": 10, "clusters": 3, "created": 2, "reinforced": 1, "contradictions": 1, "pruned": 1, "carried": 1, "decode_failed": 1},
+        "de": {"family": "de", "selected": 3, "clusters": 1, "created": 1, "reinforced": 0, "contradictions": 0, "pruned": 0, "carried": 0, "decode_failed": 0},
     }
+    def picky(members):
+        if members[0][1] == "text b":
+            raise ValueError("no summary")
+        return ("T " + members[0][1], "C", "R") if members[0][1] == "text a" else None
+
+    some = synthesis.synthesize(memories, cursors, pool, existing.limit(0), 20.0, lambda x, y: True, threshold=0.9, summarizer=picky)
+    assert sorted((r.title, r.content, r.rationale, len(r.merged_from)) for r in some["concepts"].collect()) == [("T text a", "C", "R", 3), ("T text a", "C", "R", 3)]
+    waiting = {r.object_id for r in some["pool"].collect() if r.family == "en"}
+    assert {"ben1", "ben2", "ben3", "cen1", "cen2", "cen3", "lone"} <= waiting and not waiting & {"aen1", "aen2", "aen3"}
     again = synthesis.synthesize(memories, cursors, pool, out["concepts"], 20.0, lambda x, y: False, threshold=0.9)["concepts"]
     assert again.count() == len(got)
 

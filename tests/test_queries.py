@@ -285,6 +285,93 @@ def brute_r08(spark, columns, got):
         assert r["files"] == (pages[i % 400] if i % 9 == 0 and i % 400 in pages and i % 400 % 2 == space[i] else "")
 
 
+def synthesis_by_hand(spark):
+    """(concepts by id, report by family) of the registered run, with plain loops over the rows."""
+    from memlake.queries.flowing import fails_at_times, synthesis_inputs
+
+    memories, _, pool, concepts = ([r.asDict() for r in df.collect()] for df in synthesis_inputs(spark, SF))
+
+    def cosine(a, b):
+        a, b = np.array(a, float), np.array(b, float)
+        return float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1)
+
+    pooled = {(r["family"], r["object_id"]) for r in pool}
+    out, report = {c["object_id"]: dict(c, merged_from=list(c["merged_from"]), contradicts=set(c["contradicts"])) for c in concepts}, {}
+    for family in {m["family"] for m in memories}:
+        own = [m for m in memories if m["family"] == family]
+        chosen = {m["object_id"]: m for m in own if m["vector"] is not None}
+        groups = {}
+        for i, m in chosen.items():
+            for key in m["topics"] or m["tags"][:2] or ["_no_tags_"]:
+                groups.setdefault(key, []).append(i)
+        clusters = []
+        for key, ids in groups.items():
+            left = set(ids)
+            while left:
+                part, edge = set(), {min(left)}
+                while edge:
+                    part |= edge
+                    edge = {j for j in left - part if any(cosine(chosen[i]["vector"], chosen[j]["vector"]) >= 0.30 for i in edge)}
+                left -= part
+                if len(part) >= 3:
+                    clusters.append((f"{family}\x1f{key}", sorted(part)))
+        clusters = [(g, p) for k, (g, p) in enumerate(sorted(clusters)) if p not in [x for _, x in sorted(clusters)[:k]]]
+        capped, seen = [], set()
+        for _, part in clusters:
+            top = sorted(part, key=lambda i: (-chosen[i]["importance"], i))[:20]
+            if frozenset(top) not in seen:
+                seen.add(frozenset(top))
+                capped.append(top)
+        live = [c for c in concepts if c["family"] == family and c["state"] in ("matured", "promoted") and c["vector"] is not None]
+        counts, touched, done = Counter(), {}, set()
+        for top in capped:
+            made = fails_at_times([(i, chosen[i]["content"], chosen[i]["importance"]) for i in top])
+            if made is None:
+                continue
+            done |= set(top)
+            counts["clusters"] += 1
+            vector = chosen[top[0]]["vector"]
+            near = max(live, key=lambda c: (round(cosine(vector, c["vector"]), 12), [-ord(x) for x in c["object_id"]]), default=None)
+            if near is not None and cosine(vector, near["vector"]) >= 0.37:
+                counts["reinforced"] += 1
+                c = out[near["object_id"]]
+                c.setdefault("new", set()).update(top)
+            else:
+                counts["created"] += 1
+                i = hashlib.sha256(",".join(sorted(top)).encode()).hexdigest()[:27]
+                c = out[i] = {"object_id": i, "family": family, "state": "synthesized", "title": made[0], "content": made[1], "importance": chosen[top[0]]["importance"], "reinforcement_count": 0, "merged_from": sorted(top), "contradicts": set(), "vector": vector}
+            touched[c["object_id"]] = c
+        for c in touched.values():
+            new = c.pop("new", set())
+            c["reinforcement_count"] += len(new)
+            c["merged_from"] += sorted(new - set(c["merged_from"]))
+        for a in sorted(touched):
+            for b in sorted(touched):
+                if a < b and 0.30 <= cosine(touched[a]["vector"], touched[b]["vector"]) < 0.37 and len(touched[a]["content"]) > len(touched[b]["content"]):
+                    counts["contradictions"] += 1
+                    touched[a]["contradicts"].add(b)
+                    touched[b]["contradicts"].add(a)
+        report[family] = {"selected": len(chosen), "decode_failed": len(own) - len(chosen), "carried": len(chosen) - len(done), "pruned": 0} | {k: counts[k] for k in ("clusters", "created", "reinforced", "contradictions")}
+    assert pooled
+    return out, report
+
+
+def brute_l19(spark, columns, got):
+    want, _ = synthesis_by_hand(spark)
+    have = {r["object_id"]: r for r in named(columns, got)}
+    assert have.keys() == want.keys()
+    for i, r in have.items():
+        w = want[i]
+        assert (r["family"], r["state"], r["title"], r["importance"], r["reinforcement_count"]) == tuple(w[k] for k in ("family", "state", "title", "importance", "reinforcement_count"))
+        assert list(r["merged_from"]) == w["merged_from"] and set(r["contradicts"]) == w["contradicts"]
+    assert any(w["state"] == "synthesized" for w in want.values()) or any(w["reinforcement_count"] > 5 for w in want.values())
+
+
+def brute_l19_report(spark, columns, got):
+    _, want = synthesis_by_hand(spark)
+    assert {r.pop("family"): r for r in named(columns, got)} == want
+
+
 def rows_only(spark, columns, got):
     """Checked by name in another test of this folder."""
     assert got
@@ -294,7 +381,7 @@ def rows_only(spark, columns, got):
 BRUTE = {
     "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t10_sentence_windows": brute_t10_sentences, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
     "s01_idempotent_capture": brute_s01, "s04_rate_limit": brute_s04, "l17_retract": brute_l17,
-    "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": rows_only, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
+    "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": brute_l19, "l19_report": brute_l19_report, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
 }
 
 
