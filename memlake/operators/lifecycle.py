@@ -354,12 +354,31 @@ def worth_revisiting(curated: DataFrame, now: float) -> DataFrame:
     return curated.filter((F.col("state") == "matured") & (F.col("importance") >= 8) & idle).withColumn("days", days.cast("long"))
 
 
+#: Fixed pattern: an id that a text cites.
+_CITED = "\\b([0-9A-Za-z]{27})\\b"
+
+
 def unverified_citations(texts: DataFrame, known: DataFrame) -> DataFrame:
     """D-5: (text_id, cited): 27-character ids in the text that are not known."""
-    cited = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit("\\b[0-9A-Za-z]{27}\\b"), F.lit(0))).alias("cited")).distinct()
+    cited = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(_CITED), F.lit(1))).alias("cited")).distinct()
     return cited.join(known.select(F.col("object_id").alias("cited")), "cited", "left_anti")
 
 
+def mark_citations(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """D-5: texts with `` (unverified)`` after each 27-character id that is not known.
+
+    A text falls into parts, each an id and what follows it; the parts meet the known ids in a
+    join and are put together again. So neither the ids nor a text's citations go to one place.
+    """
+    whole = F.regexp_replace("text", _CITED, "\x00$1\x00")
+    parts = texts.select("text_id", F.posexplode(F.split(whole, "\x00")).alias("place", "part"))  # every other part is an id
+    ids = known.select(F.col("object_id").alias("part"), F.lit(True).alias("known")).distinct()
+    told = parts.join(ids, "part", "left")
+    shown = F.when((F.col("place") % 2 == 1) & F.col("known").isNull(), F.concat("part", F.lit(" (unverified)"))).otherwise(F.col("part"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", shown.alias("shown"))))  # the parts of one text
+    return told.groupBy("text_id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "").alias("text"))
+
+
 def daily_digest(sections: list[tuple[str, DataFrame]], date: str) -> DataFrame:
     """D-6: (path, place, section, line) of the date's digest, a row per line, so that no section
     becomes one value; a section without lines says so. A digest replaces the one of its path,

@@ -2,32 +2,80 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators.nearest import dense_topk
-from memlake.schemas import ALLOWED_STATES, METRIC_FLOORS
-
-
-def invariants(plane: str) -> dict[str, Column]:
-    """The conditions that a good row meets, by name."""
-    out = {
-        "state": F.col("state").isin(*ALLOWED_STATES[plane]), "version": F.col("version") >= 1, "updated_epoch": F.col("updated_epoch") >= F.col("created_epoch"),
-        "importance": F.col("importance").between(1, 10),
-    }
+from memlake.schemas import ALLOWED_STATES, METRIC_FLOORS, TRANSITIONS
+
+
+Rule = tuple[str, Column, str]
+_HEX = "^[0-9a-f]{64}$"
+
+
+def invariants(plane: str) -> dict[str, Rule]:
+    """What a good row of a plane meets: by name, the column concerned, the condition and what is
+    said of a row that fails it."""
+    own = {c: F.col(c) for c in ("state", "version", "importance", "updated_epoch", "created_epoch")}
+    out: dict[str, Rule] = {}
+    if plane in ALLOWED_STATES:
+        out["state"] = ("state", own["state"].isin(*ALLOWED_STATES[plane]), f"no state of the plane {plane}")
+        out["version"] = ("version", own["version"] >= 1, "below 1")
+    if plane in ("episodic", "curated", "concept", "artifact"):
+        out["updated_epoch"] = ("updated_epoch", own["updated_epoch"] >= own["created_epoch"], "before created_epoch")
+    if plane in ("episodic", "curated", "concept", "thought"):
+        out["importance"] = ("importance", own["importance"].between(1, 10), "not in 1 to 10")
+        out["content"] = ("content", F.length("content") > 0, "empty")
     if plane == "episodic":
-        out["superseded_by"] = F.col("superseded_by").isNull() | (F.col("superseded_by") != F.col("object_id"))
+        out["superseded_by"] = ("superseded_by", F.col("superseded_by").isNull() | (F.col("superseded_by") != F.col("object_id")), "names the row itself")
     if plane in ("episodic", "curated"):
-        out["valid_until"] = F.col("valid_until_epoch").isNull() | F.col("valid_from_epoch").isNull() | (F.col("valid_until_epoch") >= F.col("valid_from_epoch"))
+        open_ = F.col("valid_until_epoch").isNull() | F.col("valid_from_epoch").isNull()
+        out["valid_until"] = ("valid_until_epoch", open_ | (F.col("valid_until_epoch") >= F.col("valid_from_epoch")), "before valid_from_epoch")
+    if plane == "curated":
+        out["body_hash"] = ("body_hash", F.col("body_hash").rlike(_HEX), "not 64 hexadecimal digits")
     if plane == "concept":
-        out |= {"promoted_to": (F.col("state") != "promoted") | F.col("promoted_to").isNotNull(), "merged_from": F.size("merged_from") >= 3}
+        out["promoted_to"] = ("promoted_to", (own["state"] != "promoted") | F.col("promoted_to").isNotNull(), "absent though promoted")
+        out["merged_from"] = ("merged_from", F.size("merged_from") >= 3, "fewer than three")
+    if plane == "artifact":
+        out["sha256"] = ("sha256", F.col("sha256").rlike(_HEX), "not 64 hexadecimal digits")
+        out["size_bytes"] = ("size_bytes", F.col("size_bytes") >= 0, "negative")
+        out["failure_reason"] = ("failure_reason", (F.col("artifact_state") != "failed") | F.col("failure_reason").isNotNull(), "absent though failed")
+        out["chunk_count"] = ("chunk_count", (F.col("artifact_state") != "indexed") | (F.coalesce("chunk_count", F.lit(0)) >= 1), "none though indexed")
+    if plane == "artifact_chunks":
+        out["chunk_index"] = ("chunk_index", F.col("chunk_index") >= 0, "negative")
+        out["end_offset"] = ("end_offset", F.col("end_offset") >= F.col("start_offset"), "before start_offset")
+    if plane == "thought":
+        out["from_presence"] = ("from_presence", F.length("from_presence") > 0, "empty")
+        out["to_presence"] = ("to_presence", F.length("to_presence") > 0, "empty")
+    if plane == "lifecycle_events":
+        legal = [f"{kind}:{old}:{new}" for kind, table in TRANSITIONS.items() for old, states in table.items() for new in states]
+        out["to_state"] = ("to_state", F.concat_ws(":", "object_type", "from_state", "to_state").isin(*legal), "no legal transition")
+        out["reason"] = ("reason", F.length("reason") > 0, "empty")
     return out
 
 
-def validate_rows(rows: DataFrame, plane: str, checks: dict[str, Column] | None = None) -> DataFrame:
-    """Q-1: one row per violation."""
-    problems = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in (checks or invariants(plane)).items()]
-    return rows.select(F.lit(plane).alias("plane"), "namespace", "object_id", F.explode(F.array_compact(F.array(*problems))).alias("loc"))
+#: Columns that may be null in a good row.
+OPTIONAL = ("superseded_by", "valid_until_epoch", "promoted_to", "failure_reason", "chunk_count")
+
+
+def validate_rows(rows: DataFrame, plane: str, checks: dict[str, Rule] | None = None) -> DataFrame:
+    """Q-1: (plane, namespace, object_id, loc, type, message): a row per violation, of type
+    ``missing`` where the value is null and may not be, else ``invalid``."""
+    problems = []
+    for name, (column, ok, message) in (checks or invariants(plane)).items():
+        missing = F.lit(False) if column in OPTIONAL else F.col(column).isNull()
+        said = F.struct(F.lit(name).alias("loc"), F.when(missing, "missing").otherwise("invalid").alias("type"), F.when(missing, "is null").otherwise(message).alias("message"))
+        problems.append(F.when(~F.coalesce(ok, F.lit(False)), said))
+    found = F.explode(F.array_compact(F.array(*problems))).alias("problem")
+    return rows.select(F.lit(plane).alias("plane"), "namespace", "object_id", found).select("plane", "namespace", "object_id", "problem.*")
+
+
+def validate_planes(planes: dict[str, DataFrame]) -> DataFrame:
+    """Q-1 over all planes that there are."""
+    found = [validate_rows(rows, plane) for plane, rows in planes.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def audit_pointers(points: DataFrame) -> DataFrame:

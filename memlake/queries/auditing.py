@@ -138,12 +138,53 @@ def _(spark, d):
     return c.render_pack(c.pack(shown(spark, d), 8, 1200, 2))
 
 
-@query("q01_validate_rows", """select 'episodic' as plane, namespace, object_id, 'importance' as loc from episodic where importance + number % 3 > 10 union all select 'episodic', namespace, object_id, 'updated_epoch' from episodic where number % 37 = 0
-  union all select 'episodic', namespace, object_id, 'state' from episodic where number % 41 = 0""", E_)
+def broken_planes(spark, d):
+    """All seven planes, with violations planted by number."""
+    n, none = F.col("number"), F.lit(None)
+    e = P.episodic(spark, d).withColumns({
+        "importance": F.col("importance") + n % 3, "updated_epoch": F.when(n % 37 == 0, F.col("created_epoch") - 1).otherwise(F.col("updated_epoch")),
+        "state": F.when(n % 41 == 0, "promoted").when(n % 43 == 0, none).otherwise(F.col("state")), "superseded_by": F.when(n % 47 == 0, F.col("object_id")).otherwise(F.col("superseded_by")),
+    })
+    k = P.curated(spark, d).withColumns({"body_hash": F.when(n % 31 == 0, "xyz").when(n % 37 == 0, none).otherwise(F.col("body_hash")), "version": n % 29})
+    c = P.concept(spark, d).withColumns({"promoted_to": F.when(n % 4 != 0, F.col("promoted_to")), "merged_from": F.slice("merged_from", 1, (3 - (n % 53 == 0).cast("int")))})
+    a = P.artifact(spark, d)
+    heads = a.withColumns({
+        "artifact_state": F.when(n % 3 == 0, "failed").when(n % 3 == 1, "indexed").otherwise("stored_unindexed"), "failure_reason": F.when(n % 2 == 0, "why"),
+        "chunk_count": F.when(n % 5 != 0, n % 4), "size_bytes": F.when(n % 19 == 0, -1).otherwise(F.col("size_bytes")),
+    })
+    chunks = a.select("namespace", "object_id", (n % 7 - 1).alias("chunk_index"), F.lit(5).alias("start_offset"), F.when(n % 11 != 0, n % 13).alias("end_offset"))
+    t = P.thought(spark, d).withColumn("to_presence", F.when(F.col("importance") == 3, "").otherwise(F.col("to_presence")))
+    ev = P.lifecycle_events(spark, d).select(F.lit("all/events/episodic").alias("namespace"), F.col("event_id").cast("string").alias("object_id"), F.lit("episodic").alias("object_type"), "from_state", "to_state", F.when(F.col("event_id") % 23 != 0, F.col("reason")).alias("reason"))
+    return {"episodic": e, "curated": k, "concept": c, "artifact": heads, "artifact_chunks": chunks, "thought": t, "lifecycle_events": ev}
+
+
+Q01 = """select 'episodic' as plane, namespace, object_id, 'importance' as loc, 'invalid' as type, 'not in 1 to 10' as message from episodic where importance + number % 3 > 10
+  union all select 'episodic', namespace, object_id, 'updated_epoch', 'invalid', 'before created_epoch' from episodic where number % 37 = 0
+  union all select 'episodic', namespace, object_id, 'state', 'invalid', 'no state of the plane episodic' from episodic where number % 41 = 0
+  union all select 'episodic', namespace, object_id, 'state', 'missing', 'is null' from episodic where number % 43 = 0 and number % 41 <> 0
+  union all select 'episodic', namespace, object_id, 'superseded_by', 'invalid', 'names the row itself' from episodic where number % 47 = 0
+  union all select 'episodic', namespace, object_id, 'content', 'invalid', 'empty' from episodic where content = ''
+  union all select 'curated', namespace, object_id, 'body_hash', 'invalid', 'not 64 hexadecimal digits' from curated where number % 31 = 0 and content is not null
+  union all select 'curated', namespace, object_id, 'body_hash', 'missing', 'is null' from curated where number % 37 = 0 and number % 31 <> 0
+  union all select 'curated', namespace, object_id, 'version', 'invalid', 'below 1' from curated where number % 29 = 0
+  union all select 'curated', namespace, object_id, 'content', 'invalid', 'empty' from curated where content = ''
+  union all select 'concept', namespace, object_id, 'promoted_to', 'invalid', 'absent though promoted' from concept where state = 'promoted' and (promoted_to is null or number % 4 = 0)
+  union all select 'concept', namespace, object_id, 'merged_from', 'invalid', 'fewer than three' from concept where number % 53 = 0
+  union all select 'concept', namespace, object_id, 'content', 'invalid', 'empty' from concept where content = ''
+  union all select 'artifact', namespace, object_id, 'failure_reason', 'invalid', 'absent though failed' from artifact where number % 3 = 0 and number % 2 = 1
+  union all select 'artifact', namespace, object_id, 'chunk_count', 'invalid', 'none though indexed' from artifact where number % 3 = 1 and (number % 5 = 0 or number % 4 = 0)
+  union all select 'artifact', namespace, object_id, 'size_bytes', 'invalid', 'negative' from artifact where number % 19 = 0
+  union all select 'artifact_chunks', namespace, object_id, 'chunk_index', 'invalid', 'negative' from artifact where number % 7 = 0
+  union all select 'artifact_chunks', namespace, object_id, 'end_offset', 'missing', 'is null' from artifact where number % 11 = 0
+  union all select 'artifact_chunks', namespace, object_id, 'end_offset', 'invalid', 'before start_offset' from artifact where number % 11 <> 0 and number % 13 < 5
+  union all select 'thought', namespace, object_id, 'to_presence', 'invalid', 'empty' from thought where importance = 3
+  union all select 'thought', namespace, object_id, 'content', case when content is null then 'missing' else 'invalid' end, case when content is null then 'is null' else 'empty' end from thought where coalesce(content, '') = ''
+  union all select 'lifecycle_events', 'all/events/episodic', cast(event_id as varchar), 'reason', 'missing', 'is null' from lifecycle_events where event_id % 23 = 0"""
+
+
+@query("q01_validate_rows", Q01, (*E_, *K_, "concept", *A_, "thought", "lifecycle_events"))
 def _(spark, d):
-    n = F.col("number")
-    bad = P.episodic(spark, d).withColumns({"importance": F.col("importance") + n % 3, "updated_epoch": F.when(n % 37 == 0, F.col("created_epoch") - 1).otherwise(F.col("updated_epoch")), "state": F.when(n % 41 == 0, "promoted").otherwise(F.col("state"))})
-    return q.validate_rows(bad, "episodic")
+    return q.validate_planes(broken_planes(spark, d))
 
 
 @query("q02_audit_pointers", f"""with {POINTS_SQL} select a.point_id, case when c.point_id is null then 'dangling_live_point' when c.object_id <> a.object_id or c.namespace <> a.namespace then 'pointer_identity_mismatch' end as problem

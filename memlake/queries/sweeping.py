@@ -265,11 +265,29 @@ def _(spark, d):
     return l.worth_revisiting(P.curated(spark, d), NOW).select("object_id", "days")
 
 
-@query("d05_unverified_citations", """select number as text_id, 'D' || lpad(cast(number + 5 as varchar), 26, '0') as cited from episodic e where number % 50 = 0 and not exists (select 1 from episodic k where k.number = e.number + 5 and k.number % 3 = 0)""", E_)
-def _(spark, d):
+def citing(spark, d):
+    """Every memory's text, citing three ids: one that is known for every third, one for every fifth, one that is none."""
     e, n = P.episodic(spark, d), F.col("number")
-    texts = e.filter(n % 50 == 0).select(n.alias("text_id"), F.concat(F.lit("see "), P.key("D", n + 5), F.lit(", and "), F.lit("short")).alias("text"))
-    return l.unverified_citations(texts, e.filter(n % 3 == 0))
+    text = F.concat(F.translate("content", "\x00", " "), F.lit(" see "), P.key("D", n + 5), F.lit(", "), P.key("C", n - n % 5), F.lit(". "), F.lit("x" * 27))
+    known = e.filter(n % 3 == 0).select("object_id").unionByName(P.concept(spark, d).filter(n % 5 == 0).select("object_id"))
+    return e.select(n.alias("text_id"), text.alias("text")), known
+
+
+CITING = """known as (select object_id from episodic where number % 3 = 0 union select object_id from concept where number % 5 = 0),
+  cites as (select number, 'D' || lpad(cast(number + 5 as varchar), 26, '0') as a, 'C' || lpad(cast(number - number % 5 as varchar), 26, '0') as b, repeat('x', 27) as c, replace(content, chr(0), ' ') as body from episodic),
+  own as (select number, unnest(regexp_extract_all(body, '\\b([0-9A-Za-z]{27})\\b', 1)) as cited from cites),
+  named as (select number, a as cited from cites union select number, b from cites union select number, c from cites union select number, cited from own)"""
+
+
+@query("d05_unverified_citations", f"with {CITING} select number as text_id, cited from named where cited not in (select object_id from known)", (*E_, *C_))
+def _(spark, d):
+    return l.unverified_citations(*citing(spark, d))
+
+
+@query("d05_marked_citations", f"""with {CITING} select number as text_id, sha256(regexp_replace(body, '\\b([0-9A-Za-z]{{27}})\\b', '\\1 (unverified)', 'g') || ' see ' || a || case when a in (select object_id from known) then '' else ' (unverified)' end
+  || ', ' || b || case when b in (select object_id from known) then '' else ' (unverified)' end || '. ' || c || ' (unverified)') as text_sha256 from cites""", (*E_, *C_))
+def _(spark, d):
+    return l.mark_citations(*citing(spark, d)).select("text_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("d06_daily_digest", """select 'reflections/2024-05-01.md' as path, place, section, line from (
