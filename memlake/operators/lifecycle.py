@@ -317,10 +317,17 @@ def tombstones(rows: DataFrame, now: float) -> DataFrame:
 
 
 def object_history(events: DataFrame) -> DataFrame:
-    """L-18: each event's place, the state before it, and whether that state agrees."""
+    """L-18: each event's place by (occurred_us, event_id), the state before it, whether that state
+    agrees, and ``in_order``: whether its time is no earlier than those of the object's events
+    that were written before it (by event_id)."""
     w = Window.partitionBy("object_id").orderBy("occurred_us", "event_id")
     before = F.lag("to_state").over(w)
-    return events.withColumns({"place": F.row_number().over(w), "previous": before, "consistent": before.isNull() | (before == F.col("from_state"))})
+    written = Window.partitionBy("object_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max("occurred_us").over(written)
+    return events.withColumns({
+        "place": F.row_number().over(w), "previous": before, "consistent": before.isNull() | (before == F.col("from_state")),
+        "in_order": latest.isNull() | (F.col("occurred_us") >= latest),
+    })
 
 
 def candidate_pool(pool: DataFrame, seen: DataFrame, clustered: DataFrame, now: float, ttl: float = 30 * DAY) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.text import cosine
 from memlake.schemas import HALF_LIFE_DAYS, HALF_LIFE_DEFAULT_DAYS, PROVENANCE, PROVENANCE_DEFAULT, WEIGHTS
 
 
@@ -99,14 +100,24 @@ def content_dedup(hits: DataFrame) -> DataFrame:
     return hits.withColumn("content_hash", F.sha2(F.substring("content", 1, 300), 256)).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
-def thought_history(thoughts: DataFrame, namespace: str, presence: str | None = None, channel: str | None = None, min_importance: int = 1) -> DataFrame:
-    """R-12: newest first."""
-    out = thoughts.filter((F.col("namespace") == namespace) & (F.col("importance") >= min_importance))
-    if presence is not None:
-        out = out.filter((F.col("from_presence") == presence) | (F.col("to_presence") == presence))
-    if channel is not None:
-        out = out.filter(F.col("channel") == channel)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("created_epoch"), "object_id")))
+def thought_history(asked: DataFrame, thoughts: DataFrame, by_similarity: bool = False) -> DataFrame:
+    """R-12: (query_id, place, and the thought): for each row of ``asked`` (query_id, namespace, channel,
+    presence, min_importance, in_reply_to, limit; null where anything does) the thoughts of its
+    namespace that meet it, newest first; or by the
+    cosine of the ``vector`` of both, those without one last. ``presence`` is sender or receiver."""
+    t = thoughts.alias("t")
+    q = asked.withColumnRenamed("namespace", "wanted_namespace").alias("q")
+    meets = F.col("t.namespace") == F.col("q.wanted_namespace")
+    met = t.join(q, meets).filter(
+        (F.col("q.channel").isNull() | (F.col("q.channel") == F.col("t.channel"))) & (F.col("q.min_importance").isNull() | (F.col("t.importance") >= F.col("q.min_importance")))
+        & (F.col("q.presence").isNull() | (F.col("q.presence") == F.col("t.from_presence")) | (F.col("q.presence") == F.col("t.to_presence")))
+        & (F.col("q.in_reply_to").isNull() | (F.col("q.in_reply_to") == F.col("t.in_reply_to")))
+    )
+    order = [F.desc_nulls_last("similarity")] if by_similarity else []
+    score = {"similarity": F.round(cosine(F.col("q.vector"), F.col("t.vector")), 9)} if by_similarity else {}
+    out = met.select("q.query_id", F.col("q.limit").alias("most"), "t.*", *(c.alias(n) for n, c in score.items()))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, F.desc("created_epoch"), "object_id"))
+    return out.withColumn("place", place).filter(F.col("most").isNull() | (F.col("place") <= F.col("most"))).drop("most")
 
 
 def unread_thoughts(thoughts: DataFrame, me: str) -> DataFrame:

@@ -82,6 +82,30 @@ def blended_retrieve(legs: list[DataFrame], limit: int) -> DataFrame:
     return r.merge_best(kept, limit)
 
 
+def blended_search(
+    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, planes: tuple[str, ...], presences: tuple[str, ...], limit: int, now: float, deep: bool = False
+) -> DataFrame:
+    """R-10 from namespaces to a ranked list, for all queries in one job.
+
+    Each query (query_id, namespace, vector; terms with weights) is asked in every leg of its
+    namespace, as a query of its own: twice ``limit`` hits, scored within the leg. A query's legs are then one list
+    without duplicates of content, in deep mode (``deep``) also of tags and vectors (R-11), and of
+    lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    legs = expand_namespaces(queries, planes, presences).withColumn("leg_id", F.xxhash64("query_id", "plane", "namespace")).checkpoint()
+    of = legs.select("query_id", "leg_id", "namespace")
+    asked = queries.drop("namespace").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "vector")
+    words = terms.select("query_id", "term", "weight").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "term", "weight")
+    found = hybrid_search(asked, words, rows, postings, 2 * limit, max(20, 4 * limit), now=now).select("query_id", "object_id", "rrf_score")
+    hits = found.join(rows, "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
+    scored = r.score_hits(hits, now).withColumnRenamed("query_id", "leg_id").join(of.select("leg_id", "query_id"), "leg_id").checkpoint()
+    kept = r.content_dedup(scored)
+    if deep:
+        kept = kept.join(r.fuzzy_dedup(scored), ["query_id", "object_id"], "left_semi")
+    return r.merge_best(dedupe_lineage(kept), limit)
+
+
 def lexical_top(queries: DataFrame, rows: DataFrame, now: float, k: int = 10) -> DataFrame:
     """Text queries against visible memories: BM25, scored with recency, importance, provenance
     and reinforcement, the best k per query."""

@@ -182,6 +182,38 @@ def _(spark, d):
     return retrieval.blended_retrieve([scored.filter(F.col("plane") == p) for p in ("episodic", "concept", "curated")], 20).select("query_id", "object_id", "rank")
 
 
+def blended_inputs(spark, d):
+    """All memories, concepts and notes, with vectors (T-17 where there is none), tags and lineage,
+    and every hundredth document as a query of its language's blended namespace, or of its own."""
+    n, none = F.col("number"), F.lit(None).cast("string")
+    columns = ["object_id", "plane", "namespace", "number", "state", "content", "tags", "vector", "updated_epoch", "importance", "reinforcement_count", "access_count", "valid_from_epoch", "valid_until_epoch", "promoted_to", "superseded_by"]
+    tags, later = F.array(F.concat(F.lit("g"), n % 5)), F.when(n % 3 == 0, P.key("D", n + 20))
+    e = P.episodic(spark, d).withColumns({"plane": F.lit("episodic"), "promoted_to": none, "superseded_by": later, "tags": tags})
+    c = P.concept(spark, d).withColumns({"plane": F.lit("concept"), "access_count": F.col("promotion_attempts"), "valid_from_epoch": F.lit(None).cast("double"), "valid_until_epoch": F.lit(None).cast("double"), "superseded_by": none, "tags": tags, "content": F.concat(F.lit("Concept: "), "content")})
+    k = P.curated(spark, d).withColumns({"plane": F.lit("curated"), "reinforcement_count": F.lit(0), "access_count": F.lit(3), "promoted_to": none, "superseded_by": none, "tags": tags})
+    every = None
+    for one in (e, c, k):
+        one = embedded(spark, d, one).withColumn("namespace", F.replace("namespace", F.lit("/shared/"), F.lit("/_shared/"))).select(columns)
+        every = one if every is None else every.unionByName(one)
+    docs = embedded(spark, d, P.episodic(spark, d)).filter(n % 100 == 0)
+    asked = docs.select(n.alias("query_id"), F.when(n % 200 == 0, F.concat("identity_family", F.lit("/blended"))).otherwise(F.col("namespace")).alias("namespace"), "vector")
+    words = postings(spark, d).select("number", "term", "weight")
+    terms = words.filter(n % 100 == 0).withColumnRenamed("number", "query_id")
+    return asked, terms, every, words.join(every.select("number", "object_id", "namespace"), "number").select("object_id", "namespace", "term", "weight")
+
+
+@query("r10_blended_search")
+def _(spark, d):
+    out = retrieval.blended_search(*blended_inputs(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW)
+    return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
+
+
+@query("r10_blended_search_deep")
+def _(spark, d):
+    out = retrieval.blended_search(*blended_inputs(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, deep=True)
+    return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
+
+
 @query("r10_expand_namespaces", """with q as (select number as query_id, case when number % 2 = 0 then identity_family || '/blended' else namespace end as namespace, identity_family, split_part(namespace, '/', 2) as source from episodic)
   select query_id, 'curated' as plane, identity_family || case when query_id % 2 = 0 then '/_shared/curated' else '/' || source || '/curated' end as namespace from q
   union all select query_id, 'episodic', identity_family || '/' || p || '/episodic' from (select *, unnest(['desk', 'car']) as p from q where query_id % 2 = 0) t

@@ -230,9 +230,53 @@ def _(spark, d):
     return r.content_dedup(r.score_hits(hits(spark, d), P.NOW)).select("query_id", "object_id", "plane")
 
 
-@query("r12_thought_history", """select object_id, row_number() over (order by created_epoch desc, object_id) as place from thought where namespace = 'conv3/chat/thought' and importance >= 2 and (from_presence = 'user' or to_presence = 'user')""", T_)
+ASKED = """asked as (select namespace as wanted, min(object_id) as first, cast(replace(split_part(namespace, '/', 1), 'conv', '') as bigint) as query_id from thought group by namespace),
+  q as (select query_id, wanted, case when query_id % 2 = 0 then 'user' end as presence, case when query_id % 3 = 0 then 'c' || (query_id % 3) end as channel, case when query_id % 2 = 1 then 2 end as least,
+    case when query_id % 4 = 3 then first end as reply from asked)"""
+
+
+def asked_history(spark, d):
+    """A query for each namespace; some ask for a presence, a channel, an importance or the replies to its first thought."""
+    t = P.thought(spark, d).groupBy("namespace").agg(F.min("object_id").alias("first"))
+    n = F.col("query_id")
+    numbered = t.withColumn("query_id", F.substring_index(F.substring("namespace", 5, 100), "/", 1).cast("long"))  # conv0 to conv9
+    return numbered.select(
+        "query_id", "namespace", F.when(n % 2 == 0, "user").alias("presence"), F.when(n % 3 == 0, F.concat(F.lit("c"), n % 3)).alias("channel"), F.when(n % 2 == 1, 2).alias("min_importance"),
+        F.when(n % 4 == 3, F.col("first")).alias("in_reply_to"), F.when(n % 5 == 0, 25).alias("limit"),
+    )
+
+
+@query("r12_thought_history", f"""with {ASKED}, h as (select q.query_id, t.object_id, row_number() over (partition by q.query_id order by created_epoch desc, object_id) as place from q join thought t on t.namespace = q.wanted
+    where (presence is null or from_presence = presence or to_presence = presence) and (q.channel is null or q.channel = t.channel) and (least is null or importance >= least) and (reply is null or in_reply_to = reply))
+  select * from h where query_id % 5 <> 0 or place <= 25""", T_)
+def _(spark, d):
+    return r.thought_history(asked_history(spark, d), P.thought(spark, d)).select("query_id", "object_id", "place")
+
+
+@query("r12_similar_thoughts", f"""with {ASKED}, s as (select t.*, [length(content) % 7 - 3.0, importance - 5.0, length(content) % 5 - 2.0] as v from thought t),
+  h as (select q.query_id, t.object_id, round(list_inner_product(v, [1.0, 2.0, q.query_id - 4.0]) / nullif(sqrt(list_inner_product(v, v)) * sqrt(5 + (q.query_id - 4.0) * (q.query_id - 4.0)), 0), 9) as cosine, created_epoch from q join s t on t.namespace = q.wanted
+    where (presence is null or from_presence = presence or to_presence = presence) and (q.channel is null or q.channel = t.channel) and (least is null or importance >= least) and (reply is null or in_reply_to = reply)),
+  p as (select query_id, object_id, row_number() over (partition by query_id order by coalesce(cosine, 0.0) desc, created_epoch desc, object_id) as place from h)
+  select * from p where query_id % 5 <> 0 or place <= 25""", T_)
 def _(spark, d):
-    return r.thought_history(P.thought(spark, d), "conv3/chat/thought", presence="user", min_importance=2).select("object_id", "place")
+    """By the cosine of three numbers of each thought."""
+    n, size = F.col("query_id"), F.length("content")
+    t = P.thought(spark, d).withColumn("vector", F.array(size % 7 - 3.0, F.col("importance") - 5.0, size % 5 - 2.0))
+    asked = asked_history(spark, d).withColumn("vector", F.array(F.lit(1.0), F.lit(2.0), n - 4.0))
+    return r.thought_history(asked, t, by_similarity=True).select("query_id", "object_id", "place")
+
+
+@query("r11_fuzzy_dedup")
+def _(spark, d):
+    """Pages of 40 ids over three planes: copies of one content, and rows whose vectors and tags are near."""
+    return r.fuzzy_dedup(pages(spark, d))
+
+
+def pages(spark, d):
+    n = F.col("number")
+    h = r.score_hits(hits(spark, d).withColumn("query_id", F.floor(n / 40)), P.NOW)
+    small = F.col("number") % 3
+    return h.withColumns({"tags": F.array(F.concat(F.lit("t"), n % 2), F.concat(F.lit("u"), n % 3)), "vector": F.array(1.0 + small, n % 5 - 2.0, F.lit(0.5)), "content": F.concat("plane", F.substring("content", 1, 20))})
 
 
 @query("r13_unread_thoughts", "select object_id from thought where to_presence in ('user', 'all') and not list_contains(read_by, 'user') and from_presence <> 'user'", T_)

@@ -231,9 +231,13 @@ def _(spark, d):
     return l.tombstones(P.episodic(spark, d), NOW).select("object_id")
 
 
-@query("l18_object_history", """select event_id, row_number() over w as place, lag(to_state) over w as previous, coalesce(lag(to_state) over w = from_state, true) as consistent from lifecycle_events window w as (partition by object_id order by occurred_us, event_id)""", ("lifecycle_events",))
+@query("l18_object_history", """select event_id, row_number() over w as place, lag(to_state) over w as previous, coalesce(lag(to_state) over w = from_state, true) as consistent,
+  coalesce(occurred_us >= max(occurred_us) over (partition by object_id order by event_id rows between unbounded preceding and 1 preceding), true) as in_order
+  from (select * exclude (occurred_us), occurred_us - case when event_id % 7 = 0 then 864000000000 else 0 end as occurred_us from lifecycle_events) window w as (partition by object_id order by occurred_us, event_id)""", ("lifecycle_events",))
 def _(spark, d):
-    return l.object_history(P.lifecycle_events(spark, d)).select("event_id", "place", "previous", "consistent")
+    """Every seventh event is ten days late."""
+    events = P.lifecycle_events(spark, d).withColumn("occurred_us", F.col("occurred_us") - F.when(F.col("event_id") % 7 == 0, 864000000000).otherwise(0))
+    return l.object_history(events).select("event_id", "place", "previous", "consistent", "in_order")
 
 
 @query("l20_candidate_pool", """select family, object_id, first_seen, attempts from (select p.identity_family as family, p.object_id, case when number % 3 = 0 then created_epoch else 1714521600.0 end as first_seen,

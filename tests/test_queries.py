@@ -372,6 +372,108 @@ def brute_l19_report(spark, columns, got):
     assert {r.pop("family"): r for r in named(columns, got)} == want
 
 
+SOURCES = {"curated": 4, "concept": 3}
+
+
+def source_rank(h):
+    return SOURCES.get(h["plane"], {"matured": 2, "provisional": 1}.get(h["state"], 0))
+
+
+def without_duplicates(hits, deep):
+    """One query's hits, best source first; what is like an earlier one goes."""
+    kept = []
+    for h in sorted(hits, key=lambda h: (-source_rank(h), -h["score"], h["object_id"])):
+        if not any(h["content"][:300] == k["content"][:300] for k in kept):
+            kept.append(h)
+    if not deep:
+        return kept
+    out = []
+    for h in kept:
+        a, x = set(h["tags"]), np.array(h["vector"], float)
+        for k in out:
+            b, y = set(k["tags"]), np.array(k["vector"], float)
+            if (len(a & b) / len(a | b) if a | b else 1) >= 0.5 and float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y) or 1) >= 0.92:
+                break
+        else:
+            out.append(h)
+    return out
+
+
+def brute_r11(spark, columns, got):
+    from memlake.queries.searching import pages
+
+    by_query = {}
+    for r in pages(spark, SF).collect():
+        by_query.setdefault(r.query_id, []).append(r.asDict())
+    want = {(q, h["object_id"]) for q, hits in by_query.items() for h in without_duplicates(hits, True)}
+    assert {(r["query_id"], r["object_id"]) for r in named(columns, got)} == want
+    assert len(want) < sum(len(without_duplicates(hits, False)) for hits in by_query.values())
+
+
+def blended_by_hand(spark, deep):
+    from memlake.queries.flowing import blended_inputs
+
+    asked, terms, rows, words = ([r.asDict() for r in df.collect()] for df in blended_inputs(spark, SF))
+    weights, query_words = {}, {}
+    for w in words:
+        weights.setdefault(w["object_id"], {})[w["term"]] = w["weight"]
+    for w in terms:
+        query_words.setdefault(w["query_id"], {})[w["term"]] = w["weight"]
+
+    def shown(r):
+        valid = (r["valid_from_epoch"] is None or r["valid_from_epoch"] <= NOW) and (r["valid_until_epoch"] is None or NOW < r["valid_until_epoch"])
+        return r["state"] in ("matured", "promoted") and (r["plane"] != "curated" or valid)
+
+    by_space = {}
+    for r in filter(shown, rows):
+        v = np.array(r["vector"], float)
+        by_space.setdefault(r["namespace"], []).append(r | {"unit": v / (np.linalg.norm(v) or 1)})
+    out = {}
+    for q in asked:
+        tenant, family = q["namespace"].split("/")[0], "/".join(q["namespace"].split("/")[:2])
+        legs = [f"{family}/{p}" for p in ("curated", "concept", "episodic")]
+        if q["namespace"].endswith("/blended"):
+            legs = [f"{tenant}/_shared/curated", f"{tenant}/_shared/concept", *(f"{tenant}/{p}/episodic" for p in ("src0", "src3", "src10"))]
+        unit, hits = np.array(q["vector"], float) / (np.linalg.norm(np.array(q["vector"], float)) or 1), []
+        for leg in legs:
+            near = by_space.get(leg, [])
+            dense = sorted(near, key=lambda r: (-float(unit @ r["unit"]), r["object_id"]))[:40]
+            own = query_words.get(q["query_id"], {})
+            dots = {r["object_id"]: round(sum(w * own[t] for t, w in weights.get(r["object_id"], {}).items() if t in own), 9) for r in near}
+            sparse = sorted((r for r in near if dots[r["object_id"]] > 0), key=lambda r: (-dots[r["object_id"]], r["object_id"]))[:40]
+            fused = Counter()
+            for channel in (dense, sparse):
+                for rank, r in enumerate(channel, 1):
+                    fused[r["object_id"]] += 1 / (60 + rank)
+            found = {r["object_id"]: r for r in near}
+            first = sorted(fused.items(), key=lambda x: (-round(x[1], 12), x[0]))[:20]
+            best = max((s for _, s in first), default=0)
+            for i, s in first:
+                r = found[i]
+                days = HALF_LIFE_DAYS.get(r["plane"], HALF_LIFE_DEFAULT_DAYS)
+                recency = math.exp(-max(NOW - r["updated_epoch"], 0) / 3600 * math.log(2) / (days * 24))
+                count, access = r["reinforcement_count"], r["access_count"]
+                reinforced = min(1, math.log1p(count) / math.log1p(20)) if count else min(1, math.log1p(access) / math.log1p(100))
+                parts = (s / best, recency, r["importance"] / 10, PROVENANCE.get((r["plane"], r["state"]), PROVENANCE_DEFAULT), reinforced)
+                hits.append(r | {"score": round(sum(w * min(max(p, 0), 1) for w, p in zip(WEIGHTS, parts)), 12)})
+        kept = without_duplicates(hits, deep)
+        ids = {h["object_id"] for h in kept}
+        kept = [h for h in kept if h["promoted_to"] not in ids and h["superseded_by"] not in ids]
+        for rank, h in enumerate(sorted(kept, key=lambda h: (-h["score"], h["object_id"]))[:10], 1):
+            out[q["query_id"], rank] = (h["object_id"], h["score"])
+    return out
+
+
+def brute_blended(deep):
+    def check(spark, columns, got):
+        want = blended_by_hand(spark, deep)
+        have = {(r["query_id"], r["rank"]): (r["object_id"], r["score"]) for r in named(columns, got)}
+        assert have.keys() == want.keys() and len({q for q, _ in want}) == 2
+        assert all(have[k][0] == want[k][0] and have[k][1] == pytest.approx(want[k][1], abs=1e-5) for k in want)
+
+    return check
+
+
 def rows_only(spark, columns, got):
     """Checked by name in another test of this folder."""
     assert got
@@ -381,7 +483,7 @@ def rows_only(spark, columns, got):
 BRUTE = {
     "t03_normalize_content": brute_t03, "t05_truncate_grapheme": brute_t05, "t06_redact_pii": brute_t06, "t10_sentence_windows": brute_t10_sentences, "t11_chunk_markdown": brute_t11, "t15_ksuid_timestamp": brute_t15,
     "s01_idempotent_capture": brute_s01, "s04_rate_limit": brute_s04, "l17_retract": brute_l17,
-    "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": brute_l19, "l19_report": brute_l19_report, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
+    "r11_fuzzy_dedup": brute_r11, "r10_blended_search": brute_blended(False), "r10_blended_search_deep": brute_blended(True), "c03_suppressed": rows_only, "c05_pack": rows_only, "c06_render_pack": rows_only, "l19_synthesize": brute_l19, "l19_report": brute_l19_report, "r06_fast_retrieve": brute_r06, "r08_deep_retrieve": brute_r08, "t17_hash_embed": brute_t17,
 }
 
 
