@@ -108,9 +108,20 @@ def _(spark, d):
 @query("io08_migrate_memories", """select cast(doc_id as varchar) as object_id, 'old/legacy/episodic' as namespace, 'migrated from ' || case when doc_id % 2 = 0 then source else 'legacy' end as source_context, 1704067200.0 + doc_id % 28 * 86400 as created_epoch
   from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0""")
 def _(spark, d):
+    old = legacy(spark, d)
+    return x.migrate_memories(old, old.filter("cast(id as bigint) % 7 = 0"), "old/legacy/episodic").select("object_id", "namespace", "source_context", "created_epoch")
+
+
+def legacy(spark, d):
     n = F.col("doc_id")
-    old = P.read_table(spark, d, "documents").select(n.cast("string").alias("id"), F.col("text").alias("content"), F.lit("note").alias("type"), F.when(n % 2 == 0, F.col("source")).alias("agent"), F.lit(None).cast("string").alias("context"), F.when(n % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00"))).alias("created_at"))
-    return x.migrate_memories(old, old.filter(n % 7 == 0), "old/legacy/episodic").select("object_id", "namespace", "source_context", "created_epoch")
+    day = F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00"))
+    return P.read_table(spark, d, "documents").select(n.cast("string").alias("id"), F.col("text").alias("content"), F.lit("note").alias("type"), F.when(n % 2 == 0, F.col("source")).alias("agent"), F.lit(None).cast("string").alias("context"), F.when(n % 5 != 0, day).alias("created_at"))
+
+
+@query("io08_migration_report", "select case when doc_id % 5 = 0 then 'no creation time' when doc_id % 7 = 0 then 'migrated before' else 'migrated' end as outcome, count(*) as n from documents group by all")
+def _(spark, d):
+    old = legacy(spark, d)
+    return x.migration_report(old, old.filter("cast(id as bigint) % 7 = 0"))
 
 
 @query("io09_migrate_thoughts", "select object_id, case when to_presence = 'all' then 'broadcast' else to_presence end || '/legacy/thought' as namespace, from_presence, to_presence from thought", T_)

@@ -160,9 +160,13 @@ def _(spark, d):
 SLUG = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("l12_promotion_path", f"select object_id, 'curated/' || identity_family || '/shared/' || topics[1] || '/' || {SLUG} || '.md' as path from concept", C_)
+@query("l12_promotion_path", f"""select object_id, 'curated/' || identity_family || '/shared/' || case when number % 14 = 0 then '_misc' when number % 7 = 0 then 'linked-to-' || cast(number % 4 as varchar) else topics[1] end || '/' || {SLUG} || '.md' as path from concept""", C_)
 def _(spark, d):
-    return l.promotion_path(P.concept(spark, d)).select("object_id", "path")
+    """Every seventh concept has no topics of its own, and half of these are linked to none."""
+    n = F.col("number")
+    linked = F.when(n % 14 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Linked to: "), n % 4)))
+    c = P.concept(spark, d).withColumns({"topics": F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("topics")), "linked_to_topics": linked})
+    return l.promotion_path(c).select("object_id", "path")
 
 
 @query("l13_resolve_path_conflicts", """with w as (select 'p' || cast(number % 50 as varchar) as stem, object_id, number from concept), h as (select 'p' || cast(number % 50 as varchar) as stem, min(number) as number from concept where number % 3 = 0 group by number % 50),

@@ -100,6 +100,13 @@ def migrate_memories(old: DataFrame, migrated: DataFrame, namespace: str) -> Dat
     )
 
 
+def migration_report(old: DataFrame, migrated: DataFrame) -> DataFrame:
+    """IO-8: (outcome, n): rows migrated, and those skipped, by reason."""
+    known = migrated.select("id", F.lit(True).alias("known")).distinct()
+    outcome = F.when(F.col("created_at").isNull(), "no creation time").when(F.col("known"), "migrated before").otherwise("migrated")
+    return old.join(known, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def migrate_thoughts(old: DataFrame) -> DataFrame:
     """IO-9: the namespace follows the receiver, ``all`` being the broadcast one."""
     to = F.coalesce("to_presence", F.lit("all"))

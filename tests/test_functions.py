@@ -446,3 +446,16 @@ def test_markdown_sections_and_oversize_ones():
     assert len(got[0][1].split()) == 512 and got[0][1].startswith("## Big Section") and got[1][1].endswith("big799")
     assert [(h, a, b) for a, b, h in ch.chunk_markdown_text("plain text with no headings at all")] == [("unknown", 0, 34)]
     assert list(ch.chunk_markdown_text("\n \n")) == [] and [h for _, _, h in ch.chunk_markdown_text("  \n## A\nx")] == ["A"]
+
+
+def test_planes_prune_by_family_state_and_time(spark, tmp_path):
+    rows = planes.episodic(spark, "/root/testdata/sf0.01")
+    path = str(tmp_path / "plane")
+    planes.write_plane(rows, path)
+    back = planes.read_plane(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("title",)))
+    assert back.count() == rows.count()
+    some = back.filter("identity_family = 'en' and state = 'matured' and created_epoch >= 1706000000 and created_epoch < 1706600000")
+    plan = some._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(identity_family" in plan and "PushedFilters: [IsNotNull(created_epoch)" in plan
+    want = rows.filter("identity_family = 'en' and state = 'matured' and created_epoch >= 1706000000 and created_epoch < 1706600000")
+    assert sorted(r.object_id for r in some.collect()) == sorted(r.object_id for r in want.collect())
