@@ -240,7 +240,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     sample = agreed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else agreed
     sample = sample.limit(sample_rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")  # sample_rows ids at most
-    rows = with_stats(some).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).limit(sample_rows).toPandas().sort_values("doc_id")
+    met = with_stats(some).join(F.broadcast(sample), "doc_id")
+    one = met.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("stats"))  # of several texts of an id always the same
+    rows = one.select("doc_id", "quality", "stats.*").toPandas().sort_values("doc_id")  # a row per sampled id
     bad = rows.quality.to_numpy() == 0
     if not bad.any() or bad.all():
         return []

@@ -129,7 +129,8 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: tuple[int, int] = SAMPLE_
     if chosen is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("toxic")).limit(0)
     chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")  # of several texts of an id always the same
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: tuple[int, int] = SAMPLE_B
             found = [sorted(at[w] for w in features_of(x) if w in at) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "features", "toxic"])
 
-    each = rows.mapInArrow(run, "doc_id bigint, features array<int>, toxic int").limit(sum(bounds)).toPandas().sort_values("doc_id", kind="stable")
+    each = rows.mapInArrow(run, "doc_id bigint, features array<int>, toxic int").toPandas().sort_values("doc_id", kind="stable")
     return fit(list(told.feature), told.odds.to_numpy(), told.n.to_numpy(), [np.asarray(x, np.int64) for x in each.features], each.toxic.to_numpy())
 
 

@@ -273,3 +273,56 @@ def test_language_id_of_odd_rows(spark, odd_docs, no_docs):
 def test_equal_language_sums_take_the_first_name(spark):
     docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (3, "same", None)], "doc_id bigint, text string, lang string")
     assert {(r.lang_pred, r.score) for r in language_id.predict(docs, F.lit(True)).collect()} == {("a", 0.5)}
+
+
+def repeated(spark, odd_docs):
+    """Documents of sf0.01 with their labels, odd ones, and an id with several texts and labels."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = labels.first().doc_id
+    more = spark.createDataFrame([(known, "another text of this id " * 9), (known, None), (known, "")], "doc_id bigint, text string")
+    odd = odd_docs.select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+    return docs.unionByName(more).unionByName(odd), labels.unionByName(labels.limit(5))
+
+
+def test_verdicts_of_quality_rules_equal_brute_force(spark, odd_docs):
+    """The first rule whose conditions all hold decides, with every statistic counted by hand."""
+    docs, labels = repeated(spark, odd_docs)
+    rules = quality_rules.learn_rules(docs, labels)
+    assert rules and rules == quality_rules.learn_rules(docs.repartition(7), labels.repartition(3))
+    got = quality_rules.quality_rules(docs, labels).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text)
+    fired = Counter()
+    for r in got:
+        some = [dict(zip(quality_rules.STATS, quality_rules.text_stats(t))) for t in texts[r.doc_id]]
+        stats = next(s for s in some if all(s[k] == r[k] for k in quality_rules.STATS))
+        slow = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), slow_stats(next(t for t, s in zip(texts[r.doc_id], some) if s == stats))))
+        failed = slow["n_words"] < 20 or 100 * slow["n_repeat_words"] > 30 * slow["n_words"]
+        want = 0 if failed else None
+        for i, rule in enumerate(rules, 1):
+            values = [stats[quality_rules.FEATURES[c.feature][1]] / max(stats[quality_rules.FEATURES[c.feature][2]], 1) for c in rule.conditions]
+            if want is None and all(v > c.threshold if c.above else v < c.threshold for v, c in zip(values, rule.conditions)):
+                want = i
+        assert (r.base_failed, r.rule, r.kept) == (failed, want, want is None)
+        fired[want] += 1
+    assert fired[0] and fired[None] and sum(n for k, n in fired.items() if k)
+
+
+def test_severity_equals_brute_force(spark, odd_docs):
+    """Sums of weights over distinct words and beginnings, against the ordered cuts, number by number."""
+    docs, labels = repeated(spark, odd_docs)
+    model = toxicity.learn(docs, labels)
+    again = toxicity.learn(docs.repartition(7), labels.repartition(3))
+    assert model.weights.keys() == again.weights.keys() and model.weights and list(model.cuts) == sorted(model.cuts)
+    want = Counter()
+    for r in docs.collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        features = words | {f"^{w[:n]}" for w in words for n in (3, 4, 5) if len(w) > n}
+        z = sum(model.weights.get(f, 0.0) for f in features)
+        above = [1 / (1 + math.exp(-(z - cut))) for cut in model.cuts]
+        chance = [1 - above[0], above[0] - above[1], above[1]]
+        want[r.doc_id, round(sum(k * p for k, p in enumerate(chance)), 6), above[0] >= toxicity.THRESHOLD] += 1
+    assert Counter((r.doc_id, round(r.expected_severity, 6), r.toxic) for r in toxicity.score(docs, model).collect()) == want
