@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,16 @@ _LOCAL: str | None = None
 
 #: Rows that a task of a table of known size takes at least.
 ROWS_OF_TASK = 2000
-#: Folders written since the innermost ``scratch()`` began, one list for each that is open.
-_OPEN: list[list[tuple[SparkSession, str]]] = []
+#: Folders written since each ``scratch()`` that is open began, the innermost last; threads and
+#: contexts have their own, so queries that run side by side don't meet.
+_OPEN: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
+#: Folders that results still read; see ``release``.
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
@@ -50,40 +59,54 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None, rows: int
 
     Cuts the lineage: a lost executor never makes the work before it run again, and readers
     get the same rows in the same files each time. Inside ``scratch()`` the table goes when the
-    block ends. ``rows``, a bound of the table's size where one is known, spares a small table
-    more tasks and files than it fills.
+    block ends, else at the next ``release``. ``rows``, a bound of the table's size where one is
+    known, spares a small table more tasks and files than it fills.
     """
     spark, path = df.sparkSession, os.path.join(shared_dir(df.sparkSession), f"memlake-{uuid.uuid4().hex}")
-    if _OPEN:
-        _OPEN[-1].append((spark, path))
+    (_OPEN.get() or (_KEPT,))[-1].append((spark, path))
     if rows is not None:
         df = df.coalesce(max(1, math.ceil(rows / ROWS_OF_TASK)))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.memlake_path = path
+    return out
 
 
 def kept_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``materialize`` for the result of a ``scratch()`` block: the table stays."""
-    outer = _OPEN.pop() if _OPEN else None
+    token = _OPEN.set(_OPEN.get()[:-1])
     try:
         return materialize(df, rows=rows)
     finally:
-        if outer is not None:
-            _OPEN.append(outer)
+        _OPEN.reset(token)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes the tables that ``materialize`` writes in the block; what is needed of them
     afterwards has to be written by ``kept_table``."""
-    _OPEN.append([])
+    mine: list[tuple[SparkSession, str]] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
     try:
         yield
     finally:
-        for spark, path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _OPEN.reset(token)
+        for spark, path in mine:
+            _delete(spark, path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what ``materialize`` or ``kept_table`` wrote for ``df``, if it did; nothing may read it any more."""
+    if path := getattr(df, "memlake_path", None):
+        _delete(df.sparkSession, path)
+
+
+def release() -> None:
+    """Delete every table that results of this process still read: for when they have been written
+    or collected."""
+    while _KEPT:
+        _delete(*_KEPT.pop())
 
 
 #: At most HOT keys, of more than HOT_ROWS rows each, count as hot; a hot key's rows are dealt

@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import random
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -496,3 +497,33 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
             docs = odd_docs if name == "quality rules" and docs is not no_docs else out
         pieces = corpus_pipeline.STAGES[-1][1](spark, out, sf)
         assert pieces.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
+
+
+def test_tables_of_a_block_go_and_results_stay_until_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common, "_KEPT", [])
+
+    def folders():
+        return len(list(tmp_path.glob("memlake-*")))
+
+    def work():
+        with common.scratch():
+            common.materialize(spark.range(3))
+            with common.scratch():
+                common.materialize(spark.range(4))
+                inner = common.kept_table(spark.range(5))
+            assert inner.count() == 5
+            out = common.kept_table(inner)
+        return out
+
+    threads = [threading.Thread(target=work) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    out = work()
+    assert folders() == 4 and out.count() == 5
+    common.drop_table(out)
+    assert folders() == 3
+    common.release()
+    assert folders() == 0
