@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import exact_dedup, language_id, near_dedup, packing, quality_rules
-from memlake.llm.common import kept_table, scratch, table
+from memlake.llm.common import drop_table, kept_table, scratch, table
 
 #: A document below this share for its likeliest language is in none of the learned ones.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -61,6 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        with scratch():  # a stage's own tables go once its result is written
-            docs = kept_table(stage(spark, docs, sf_dir))
+        with scratch():  # a stage's own tables go once its result is written, and its input with them
+            before, docs = docs, kept_table(stage(spark, docs, sf_dir))
+        drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
