@@ -7,8 +7,10 @@ further apart than both radii and the angle asked for can't have a pair and are
 with an upper bound, neither are two that are wholly nearer than that. The others are compared,
 each pair of blocks in one matrix product and a task of its own.
 
-Zero vectors have a cosine of 0 with all others and no angle; they lie in blocks that are always
-compared. Rows that occur twice are two rows.
+Rows that are far from every pivot would make a block's radius large; they lie in blocks of
+their own that are always compared, as do zero vectors, which have a cosine of 0 with all others
+and no angle. So where nothing is clustered all blocks are compared, and no more than those.
+Rows that occur twice are two rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 from memlake.operators.nearest import fresh, unit
 from memlake.sources.scratch import ensure_checkpoint_dir
 
-#: Rows of a block, pivots of a group at most, and rows that are assigned to pivots at once.
+#: Rows of a block, pivots for each of a group's blocks and in all, and rows that are assigned to
+#: pivots at once. With more pivots than blocks, few of them stand for several clusters.
 BLOCK = 1024
-PIVOTS = 256
+PIVOTS_OF_BLOCK, PIVOTS = 4, 512
 ASSIGNED = 8192
+#: Beyond that angle no pivot is near: such rows lie in blocks of their own, always compared.
+FAR = math.pi / 4
 #: What rounding may take from an angle near 0.
 SLACK = 1e-6
 PAIR = "group string, a string, b string, cosine double"
@@ -57,7 +62,7 @@ def _part(key: str | Column, parts: Column) -> Column:
 def _assigned(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of large groups with pivot and angle, angles between the pivots of a group)."""
     held = rows.join(large, "group")
-    drawn = F.pmod(F.xxhash64("object_id", F.lit("pivot")), F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(PIVOTS), F.ceil(F.col("n") / BLOCK)) / F.col("n")
+    drawn = F.pmod(F.xxhash64("object_id", F.lit("pivot")), F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(PIVOTS), PIVOTS_OF_BLOCK * F.ceil(F.col("n") / BLOCK)) / F.col("n")
     pivots = held.filter(drawn & (F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x) > 0)).select("group", "n", "object_id", "vector")
 
     def nearest(part: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
@@ -68,8 +73,10 @@ def _assigned(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
             scores = np.clip(u @ unit(pivot.vector).T, -1, 1)
             some = (np.abs(u).max(axis=1) > 0)
             best = scores.argmax(axis=1)
+            angle = np.arccos(scores[np.arange(len(u)), best])
+            some &= angle <= FAR
             out["pivot"] = np.where(some, pivot.object_id.to_numpy()[best], "")
-            out["angle"] = np.where(some, np.arccos(scores[np.arange(len(u)), best]), math.pi)
+            out["angle"] = np.where(some, angle, math.pi)
         return out
 
     def apart(key: tuple, pivot: pd.DataFrame) -> pd.DataFrame:
