@@ -133,8 +133,8 @@ def _excerpt(text: pd.Series, room: pd.Series) -> pd.Series:
 
 def _tombstone(excerpt: Column) -> Column:
     return F.concat(
-        F.lit("RETRACTED "), "asked_on", F.lit(". This memory was FALSE. Do not act on it.\nWhy it is false: "), "because", F.lit("\nOriginal excerpt:\n"), excerpt,
-        F.lit("\nCorrected truth:\n"), "truth", F.lit("\nThe complete original is preserved in artifact "), "evidence_id", F.lit("."),
+        F.lit("Withdrawn on "), "asked_on", F.lit(": this memory is wrong, nothing may rest on it.\nReason: "), "because", F.lit("\nIt began:\n"), excerpt,
+        F.lit("\nWhat holds instead:\n"), "truth", F.lit("\nIts whole text is kept as artifact "), "evidence_id", F.lit("."),
     )
 
 

@@ -301,7 +301,7 @@ def test_retraction_writes_a_bounded_tombstone(spark):
     excerpts = {"1": family * 13, "2": "short", "3": "x" * 256}  # 13 clusters pairs are the first to reach 256 bytes
     for i, r in got.items():
         truth = {"3": 32_300}.get(i, 10)
-        want = f"RETRACTED 2024-05-01. This memory was FALSE. Do not act on it.\nWhy it is false: wrong\nOriginal excerpt:\n{excerpts[i]}\nCorrected truth:\n{'t' * truth}\nThe complete original is preserved in artifact {r.evidence_id}."
+        want = f"Withdrawn on 2024-05-01: this memory is wrong, nothing may rest on it.\nReason: wrong\nIt began:\n{excerpts[i]}\nWhat holds instead:\n{'t' * truth}\nIts whole text is kept as artifact {r.evidence_id}."
         assert r.content == want and len(want.encode()) <= synthesis.TOMBSTONE_BYTES
         assert r.kept_bytes == len(excerpts[i].encode()) and r.kept_bytes + r.omitted_bytes == r.original_bytes == len(text[i].encode())
         a = kept[r.evidence_id]

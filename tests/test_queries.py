@@ -13,7 +13,9 @@ import duckdb
 import numpy as np
 import pytest
 import regex
+import xxhash
 
+from memlake.functions.text import ksuid_timestamp
 from memlake.queries import QUERIES, SQL
 from memlake.schemas import HALF_LIFE_DAYS, HALF_LIFE_DEFAULT_DAYS, OPERATOR_FACTOR, PROVENANCE, PROVENANCE_DEFAULT, RATE_LIMITS, WEIGHTS
 
@@ -149,7 +151,9 @@ def brute_t15(spark, columns, got):
         n = 0
         for c in "0" + r["object_id"][1:]:
             n = n * 62 + digits.index(c)
-        assert r["seconds"] in ((n >> 128), (n >> 128) + 1_400_000_000)
+        assert r["seconds"] == (n >> 128) + 1_400_000_000
+    known = spark.createDataFrame([("0ujtsYcgvSTl8PAuAdqWYSMnLOv",), ("0ujtsYcgvSTl8PAuAdqWYSMnLO",), ("0ujtsYcgvSTl8PAuAdqWYSMnLO-",), (None,)], "id string")
+    assert [r[0] for r in known.select(ksuid_timestamp("id")).collect()] == [1_507_608_047, None, None, None]  # a published example
 
 
 def brute_s01(spark, columns, got):
@@ -189,21 +193,26 @@ def brute_l17(spark, columns, got):
             assert number % 3 == 0 or not text
             continue
         assert r["outcome"] == "retracted" and number % 3
-        head, rest = r["content"].split("Original excerpt:\n", 1)
-        excerpt = rest[: rest.rindex("\nCorrected truth:\nit was not so\n")]
-        assert head == "RETRACTED 2024-05-01. This memory was FALSE. Do not act on it.\nWhy it is false: wrong é\n"
+        head, rest = r["content"].split("It began:\n", 1)
+        excerpt = rest[: rest.rindex("\nWhat holds instead:\nit was not so\n")]
+        assert head == "Withdrawn on 2024-05-01: this memory is wrong, nothing may rest on it.\nReason: wrong é\n"
         size = len(excerpt.encode())
         assert text.startswith(excerpt) and r["kept_bytes"] == size >= min(256, len(text.encode())) and size < 256 + 100
         assert r["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["evidence_id"] in r["content"]
 
 
 def brute_t17(spark, columns, got):
-    from memlake.functions.text import hash_embed
-
-    assert len(got) == len(documents(spark)) and all(r["dims"] == 64 for r in named(columns, got))
-    texts = spark.createDataFrame([("a",), ("b",), ("a",)], "t string")
-    a, b, again = (np.array(r[0]) for r in texts.select(hash_embed(64)("t")).collect())
-    assert (a == again).all() and np.linalg.norm(a) == pytest.approx(1, abs=1e-5) and abs(float(a @ b)) < 0.6
+    """Every word adds or takes one at the place that its hash names; the sum has length one."""
+    texts = documents(spark)
+    for r in named(columns, got):
+        want = np.zeros(64)
+        for word in re.split(r"\s+", (texts[int(r["object_id"][1:])] or "").lower()):
+            if word:
+                digest = xxhash.xxh3_64(word.encode()).intdigest()
+                want[digest % 64] += 1 if digest >= 2**63 else -1
+        norm = math.sqrt(sum(x * x for x in want))
+        assert np.allclose(r["vector"], want / norm if norm else want, atol=1e-6)
+    assert len(got) == len(texts)
 
 
 STATES = ("provisional", "matured", "matured", "matured", "matured", "demoted", "archived", "superseded")
