@@ -43,7 +43,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Characters of the words in each of the two generations of a worker's cache, each word counting
 #: WORD_COST more; words of more than LONG_WORD characters are never kept.
-CACHE_CHARS, WORD_COST, LONG_WORD = 20_000_000, 60, 64
+CACHE_CHARS, WORD_COST, LONG_WORD = 30_000_000, 150, 64
 _RUN = re.compile(r"^\s|\s\s|\s\Z")
 
 PIECES_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local_rank bigint"
