@@ -177,7 +177,9 @@ def _(spark, d):
     """With the lineage of the hits, in the namespaces of the rows."""
     q, terms, rows, p = searchable(spark, d)
     spaces, n = rows.select("number", "namespace"), F.col("number")
-    planes = {x: rows.filter(F.col("plane") == x) for x in ("episodic", "curated")}
+    ensure_checkpoint_dir(spark)
+    stored = rows.select("plane", "namespace", "object_id", "superseded_by", "title", "state").checkpoint()  # the walk reads the planes once a hop
+    planes = {x: stored.filter(F.col("plane") == x) for x in ("episodic", "curated")}
     planes["concept"] = P.concept(spark, d).drop("namespace").join(spaces, "number")
     planes["artifact"] = P.artifact(spark, d).withColumn("namespace", F.concat(F.lit("ns"), n % 2))
     out = retrieval.deep_retrieve(q, terms, rows, p, limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"), lineage=planes)
