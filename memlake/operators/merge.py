@@ -46,12 +46,13 @@ def merge_into(existing: DataFrame, new: DataFrame, keys: list[str], now: float)
 
 def upsert_curated(new: DataFrame, existing: DataFrame) -> DataFrame:
     """A-2: what to do for each (namespace, vault_path): noop, update, supersede, insert, or
-    keep where nothing new came; with the id, hash and version that result."""
+    keep where nothing new came; with the id, hash and version that result. Two notes without a
+    text, whose hashes are null, are the same."""
     key = ["namespace", "vault_path"]
     n = new.select(*key, F.col("object_id").alias("new_id"), F.col("body_hash").alias("new_hash"))
     e = existing.select(*key, F.col("object_id").alias("old_id"), F.col("body_hash").alias("old_hash"), F.col("version").alias("old_version"))
     action = (
-        F.when(F.col("new_id").isNull(), "keep").when(F.col("old_id").isNull(), "insert").when(F.col("new_hash") == F.col("old_hash"), "noop")
+        F.when(F.col("new_id").isNull(), "keep").when(F.col("old_id").isNull(), "insert").when(F.col("new_hash").eqNullSafe(F.col("old_hash")), "noop")
         .when(F.col("new_id") == F.col("old_id"), "update").otherwise("supersede")
     )
     kept = F.col("action").isin("keep", "noop")

@@ -171,7 +171,7 @@ def _(spark, d):
   union all select namespace, vault_path, 'keep', object_id, 1 from curated where number % 5 = 0 and number % 2 = 1""", K_)
 def _(spark, d):
     k, n = P.curated(spark, d), F.col("number")
-    new = k.filter(n % 5 != 0).withColumn("body_hash", F.when(n % 3 == 0, F.col("body_hash")).otherwise(F.sha2(F.concat("title", F.lit("#")), 256)))
+    new = k.filter(n % 5 != 0).withColumn("body_hash", F.when(n % 3 == 0, F.col("body_hash")).otherwise(F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("#")), 256)))
     new = new.withColumn("object_id", F.when((n % 2 == 1) & (n % 3 == 2), F.concat(F.lit("N"), "object_id")).otherwise(F.col("object_id")))
     return m.upsert_curated(new, k.filter(n % 2 == 1)).select("namespace", "vault_path", "action", "object_id", "version")
 

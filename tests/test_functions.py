@@ -459,3 +459,11 @@ def test_planes_prune_by_family_state_and_time(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(identity_family" in plan and "PushedFilters: [IsNotNull(created_epoch)" in plan
     want = rows.filter("identity_family = 'en' and state = 'matured' and created_epoch >= 1706000000 and created_epoch < 1706600000")
     assert sorted(r.object_id for r in some.collect()) == sorted(r.object_id for r in want.collect())
+
+
+def test_notes_without_a_text_are_the_same(spark):
+    columns = "namespace string, vault_path string, object_id string, body_hash string, version int"
+    old = spark.createDataFrame([("n", "a", "1", None, 3), ("n", "b", "2", None, 3), ("n", "c", "3", "h", 3)], columns)
+    new = spark.createDataFrame([("n", "a", "1", None, 1), ("n", "b", "9", "x", 1), ("n", "c", "3", None, 1)], columns)
+    got = {r.vault_path: (r.action, r.version) for r in merge.upsert_curated(new, old).collect()}
+    assert got == {"a": ("noop", 3), "b": ("supersede", 1), "c": ("update", 4)}
