@@ -100,9 +100,13 @@ def _(spark, d):
 
 @query("io07_verify_manifest", "select filename as path, case when number % 4 = 1 then 'missing' when number % 4 = 2 then 'extra' else 'drift' end as problem from artifact where number % 4 > 0", ("artifact",))
 def _(spark, d):
-    a, n = P.artifact(spark, d).withColumn("path", F.col("filename")), F.col("number")
-    found = a.filter(n % 4 != 1).select("path", F.when(n % 4 == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
-    return notes.verify_manifest(found, a.filter(n % 4 != 2).select("path", "sha256"))
+    """Pages of one address are files of their own, each in a folder by its id."""
+    n = F.col("number")
+    a = P.artifact(spark, d).withColumn("path", F.concat_ws("/", "object_id", "filename"))
+    changed = F.sha2(F.coalesce("sha256", F.lit("")), 256)
+    found = a.filter(n % 4 != 1).select("path", F.when(n % 4 == 3, changed).otherwise(F.col("sha256")).alias("sha256"))
+    out = notes.verify_manifest(found, a.filter(n % 4 != 2).select("path", "sha256"))
+    return out.select(F.regexp_replace("path", "^[^/]*/", "").alias("path"), "problem")
 
 
 @query("io08_migrate_memories", """select cast(doc_id as varchar) as object_id, 'old/legacy/episodic' as namespace, 'migrated from ' || case when doc_id % 2 = 0 then source else 'legacy' end as source_context, 1704067200.0 + doc_id % 28 * 86400 as created_epoch

@@ -137,12 +137,13 @@ def hash_folder(spark: SparkSession, root: str) -> DataFrame:
 
 def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """IO-7: files that drift from the manifest's checksum, miss, are extra or leave the folder."""
-    m = manifest.select("path", F.col("sha256").alias("pinned"))
+    here, there = F.lit(True).alias("is_found"), F.lit(True).alias("is_pinned")
+    m = manifest.select("path", F.col("sha256").alias("pinned"), there)
     problem = (
-        F.when(F.col("path").rlike("(^/)|(^|/)\\.\\.(/|$)"), "path_escape").when(F.col("sha256").isNull(), "missing").when(F.col("pinned").isNull(), "extra")
-        .when(F.col("sha256") != F.col("pinned"), "drift")
+        F.when(F.col("path").rlike("(^/)|(^|/)\\.\\.(/|$)"), "path_escape").when(F.col("is_found").isNull(), "missing").when(F.col("is_pinned").isNull(), "extra")
+        .when(~F.col("sha256").eqNullSafe(F.col("pinned")), "drift")
     )
-    return found.join(m, "path", "full_outer").select("path", problem.alias("problem")).filter("problem is not null")
+    return found.select("path", "sha256", here).join(m, "path", "full_outer").select("path", problem.alias("problem")).filter("problem is not null")
 
 
 def verify_folder(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:

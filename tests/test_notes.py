@@ -68,3 +68,12 @@ def test_times_without_a_zone_are_refused(spark):
     fields = [{"title": "t", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00"}, {"title": "t", "updated_at": "2024-01-01T00:00:00+02:00"}, {"title": "t", "valid_until": "2024-01-01"}]
     df = spark.createDataFrame([(str(i), f, "b", "h") for i, f in enumerate(fields)], "path string, fields map<string,string>, body string, body_hash string")
     assert [r.reason for r in exchange.frontmatter_to_curated(df).orderBy("path").collect()] == ["naive_time", None, "naive_time"]
+
+
+def test_pages_of_one_address_or_without_a_text_are_files_of_their_own(spark, tmp_path):
+    from memlake.queries import QUERIES
+
+    pages = [(i, "http://a/b" if i < 8 else f"http://a/{i}", None if i % 5 == 0 else str(i)) for i in range(40)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["io07_verify_manifest"](spark, str(tmp_path)).collect())
+    assert got == sorted((url, {1: "missing", 2: "extra", 3: "drift"}[i % 4]) for i, url, _ in pages if i % 4)
