@@ -9,7 +9,9 @@ each pair of blocks in one matrix product and a task of its own.
 
 Rows that are far from every pivot would make a block's radius large; they lie in blocks of
 their own that are always compared, as do zero vectors, which have a cosine of 0 with all others
-and no angle. So where nothing is clustered all blocks are compared, and no more than those.
+and no angle. Where little can be skipped, as at a low cosine, a group is dealt into blocks of TILE
+rows by a hash instead, so that no row is sent to more blocks than that takes: what each way
+would send is counted first, from the blocks' sizes alone.
 Rows that occur twice are two rows.
 """
 
@@ -21,15 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from memlake.operators.nearest import fresh, unit
-from memlake.sources.scratch import ensure_checkpoint_dir
+from memlake.sources.scratch import stored
 
 #: Rows of a block, pivots for each of a group's blocks and in all, and rows that are assigned to
 #: pivots at once. With more pivots than blocks, few of them stand for several clusters.
 BLOCK = 1024
 PIVOTS_OF_BLOCK, PIVOTS = 4, 512
 ASSIGNED = 8192
+#: Rows of a block where nothing is skipped, and of one side that are compared at once.
+TILE, STRIP = 8192, 1024
 #: Beyond that angle no pivot is near: such rows lie in blocks of their own, always compared.
 FAR = math.pi / 4
 #: What rounding may take from an angle near 0.
@@ -37,22 +42,52 @@ SLACK = 1e-6
 PAIR = "group string, a string, b string, cosine double"
 
 
-def _pairs(x: pd.DataFrame, y: pd.DataFrame, group: str, same: bool, two_sided: bool, threshold: float, below: float | None) -> pd.DataFrame:
+def _pairs(x: pd.DataFrame, y: pd.DataFrame, group: str, same: bool, two_sided: bool, threshold: float, below: float | None, forest: bool = False) -> pd.DataFrame:
     def table(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"group": np.full(len(a), group, object), "a": a.astype(object), "b": b.astype(object), "cosine": cosine})
 
     if not len(x) or not len(y):
         return table(*(np.empty(0),) * 3)
-    scores = unit(x.vector) @ unit(y.vector).T
-    hit = scores >= threshold
-    if below is not None:
-        hit &= scores < below
-    p, q = np.nonzero(hit)
-    a, b, cosine = x.object_id.to_numpy()[p], y.object_id.to_numpy()[q], scores[p, q]
-    if not two_sided:
-        keep = a < b if same else np.ones(len(a), bool)
-        a, b, cosine = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep], cosine[keep]
-    return table(a, b, cosine)
+    u, w, ids, others = unit(x.vector), unit(y.vector).T, x.object_id.to_numpy(), y.object_id.to_numpy()
+    links = _Links(ids, others) if forest else None
+    out = []
+    for begin in range(0, len(u), STRIP):
+        scores = u[begin : begin + STRIP] @ w
+        hit = scores >= threshold
+        if below is not None:
+            hit &= scores < below
+        if links:
+            p, q = links.joined(begin, hit)
+        else:
+            p, q = np.nonzero(hit)
+        a, b, cosine = ids[begin + p], others[q], scores[p, q]
+        if not two_sided:
+            keep = a != b if links else a < b if same else np.ones(len(a), bool)
+            a, b, cosine = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep], cosine[keep]
+        out.append(table(a, b, cosine))
+    return pd.concat(out, ignore_index=True)
+
+
+class _Links:
+    """Components of the ids of two blocks; of the hits, only those that join two of them."""
+
+    def __init__(self, ids: np.ndarray, others: np.ndarray):
+        names, number = np.unique(np.r_[ids.astype(str), others.astype(str)], return_inverse=True)
+        self.left, self.right = number[: len(ids)], number[len(ids) :]
+        self.label = np.arange(len(names))
+
+    def joined(self, begin: int, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, columns = [], []
+        for i in np.flatnonzero(hit.any(axis=1)):
+            at = np.flatnonzero(hit[i])
+            mine = self.label[self.left[begin + i]]
+            found, first = np.unique(self.label[self.right[at]], return_index=True)
+            new = found != mine
+            if new.any():
+                rows.append(np.full(new.sum(), i))
+                columns.append(at[first[new]])
+                self.label[np.isin(self.label, found[new])] = mine
+        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, int), np.empty(0, int))
 
 
 def _part(key: str | Column, parts: Column) -> Column:
@@ -88,14 +123,14 @@ def _assigned(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     salted = held.withColumn("salt", F.pmod(F.xxhash64("object_id", "side"), salts).cast("int"))
     every = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     every = fresh(every)
-    near = salted.groupBy("group", "salt").cogroup(every.groupBy("group", "salt")).applyInPandas(nearest, "group string, side int, object_id string, vector array<double>, pivot string, angle double")
+    near = salted.groupBy("group", "salt").cogroup(every.groupBy("group", "salt")).applyInPandas(nearest, f"group string, side int, object_id string, vector {rows.schema['vector'].dataType.simpleString()}, pivot string, angle double")
     return near, pivots.dropDuplicates(["group", "object_id"]).groupBy("group").applyInPandas(apart, "group string, pivot_i string, pivot_j string, apart double")
 
 
 def block_pairs(rows: DataFrame, large: DataFrame, two_sided: bool, threshold: float, below: float | None) -> tuple[DataFrame, DataFrame]:
     """(rows with the block that they lie in, all pairs of blocks with ``kept``)."""
     near, angles = _assigned(rows, large)
-    near = near.unionByName(rows.join(large, "group", "left_anti").withColumns({"pivot": F.lit(""), "angle": F.lit(math.pi)})).checkpoint()
+    near = stored(near.unionByName(rows.join(large, "group", "left_anti").withColumns({"pivot": F.lit(""), "angle": F.lit(math.pi)})))
     cell = ["group", "side", "pivot"]
     parts = near.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     dealt = near.join(parts, cell).withColumn("block", F.concat_ws(":", F.col("side").cast("string"), "pivot", _part("object_id", F.col("parts")).cast("string"))).drop("parts")
@@ -113,34 +148,62 @@ def block_pairs(rows: DataFrame, large: DataFrame, two_sided: bool, threshold: f
     return dealt, met.select("group", "block_i", "block_j", kept.alias("kept"))
 
 
-def similar_pairs(df: DataFrame, threshold: float, below: float | None = None, other: DataFrame | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float, below: float | None = None, other: DataFrame | None = None, forest: bool = False) -> DataFrame:
     """(group, a, b, cosine) with a cosine in [threshold, below), of rows (group, object_id, vector).
 
     Without ``other`` the pairs are within ``df``, a < b; with it, a is of ``df`` and b of ``other``.
+    With ``forest``, without ``other``, only pairs that connect what all of them do: fewer than the
+    rows of each two blocks that are compared.
     """
     two_sided = other is not None
+    floats = all(x.schema["vector"].dataType == ArrayType(FloatType(), x.schema["vector"].dataType.containsNull) for x in (df, other) if x is not None)
+    kind = "array<float>" if floats else "array<double>"  # compared in doubles either way, but half the size on its way
 
     def side(rows: DataFrame, number: int) -> DataFrame:
-        return rows.select(F.col("group").cast("string").alias("group"), F.lit(number).alias("side"), "object_id", F.col("vector").cast("array<double>").alias("vector"))
+        return rows.select(F.col("group").cast("string").alias("group"), F.lit(number).alias("side"), "object_id", F.col("vector").cast(kind).alias("vector"))
 
     rows = side(df, 0).unionByName(side(other, 1)) if two_sided else side(df, 0)
-    large = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides"))
+    if two_sided:
+        sizes = sizes.filter("sides = 2")
+    large = sizes.filter(F.col("n") > BLOCK).select("group", "n")
+    small = sizes.filter((F.col("n") > 1) & (F.col("n") <= BLOCK))
+    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for group, of in part.groupby("group", sort=False):
+            x, y = (of[of.side == 0], of[of.side == 1]) if two_sided else (of, of)
+            found.append(_pairs(x, y, group, True, two_sided, threshold, below, forest))
+        return pd.concat(found, ignore_index=True)
+
+    # groups are small, and may be many: about ASSIGNED rows of them at once
+    bucket = F.pmod(F.xxhash64("group", F.lit("bucket")), F.lit(max(1, -(-total // ASSIGNED))))
+    within = rows.join(small.select("group"), "group", "left_semi").groupBy(bucket).applyInPandas(whole, PAIR)
     if large.isEmpty():
-
-        def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            x, y = (part[part.side == 0], part[part.side == 1]) if two_sided else (part, part)
-            return _pairs(x, y, key[0], True, two_sided, threshold, below)
-
-        return rows.groupBy("group").applyInPandas(whole, PAIR)  # BLOCK rows at most
-    ensure_checkpoint_dir(df.sparkSession)
+        return within
+    rows, large = stored(rows.join(large.select("group"), "group", "left_semi")), stored(large)
     dealt, met = block_pairs(rows, large, two_sided, threshold, below)
-    kept = met.filter("kept").drop("kept").checkpoint()
+    dealt, met = stored(dealt), stored(met)
+    held = dealt.groupBy("group", "block").agg(F.count(F.lit(1)).alias("rows"))
+    sent = met.filter("kept")
+    by = [sent.join(held.withColumnRenamed("block", f"block_{i}"), ["group", f"block_{i}"]).select("group", "rows") for i in "ij"]
+    sent = by[0].unionByName(by[1]).groupBy("group").agg(F.sum("rows").alias("sent"))
+    tiles = F.ceil(F.col("n") / TILE)
+    # groups where skipping sends more rows than comparing all tiles does
+    plain = stored(large.join(sent, "group").filter(F.col("sent") > F.col("n") * (tiles + 1)).select("group", tiles.cast("int").alias("tiles")))
+    tiled = rows.join(F.broadcast(plain), "group").withColumn("block", F.concat_ws(":", F.col("side").cast("string"), _part("object_id", F.col("tiles")).cast("string"))).drop("tiles")
+    dealt = dealt.join(F.broadcast(plain), "group", "left_anti").select("group", "side", "object_id", "vector", "block").unionByName(tiled.select("group", "side", "object_id", "vector", "block"))
+    pair = F.col("side_i") < F.col("side_j") if two_sided else F.col("block_i") <= F.col("block_j")
+    of_tiles = [tiled.select("group", F.col("side").alias(f"side_{i}"), F.col("block").alias(f"block_{i}")).distinct() for i in "ij"]
+    every = of_tiles[0].join(of_tiles[1], "group").filter(pair).select("group", "block_i", "block_j")
+    kept = stored(met.filter("kept").join(F.broadcast(plain), "group", "left_anti").select("group", "block_i", "block_j").unionByName(every))
 
     def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _pairs(x, y, key[0], key[1] == key[2], two_sided, threshold, below)
+        return _pairs(x, y, key[0], key[1] == key[2], two_sided, threshold, below, forest)
 
     def rows_of(i: str) -> DataFrame:
         return dealt.select("group", F.col("block").alias(f"block_{i}"), "object_id", "vector").join(kept, ["group", f"block_{i}"])
 
     key = ["group", "block_i", "block_j"]
-    return rows_of("i").groupBy(key).cogroup(fresh(rows_of("j")).groupBy(key)).applyInPandas(compare, PAIR)
+    return within.unionByName(rows_of("i").groupBy(key).cogroup(fresh(rows_of("j")).groupBy(key)).applyInPandas(compare, PAIR))

@@ -13,7 +13,7 @@ from memlake.functions.models import judge_pairs
 from memlake.functions.text import CLUSTER
 from memlake.operators import merge as m, similarity as v
 from memlake.operators.lifecycle import DAY, candidate_pool
-from memlake.sources.scratch import ensure_checkpoint_dir
+from memlake.sources.scratch import ensure_checkpoint_dir, stored
 from memlake.streaming.jobs import after_cursor
 
 #: Bytes of a tombstone at most, and of the original in it at least.
@@ -74,16 +74,20 @@ def synthesize(
     ensure_checkpoint_dir(memories.sparkSession)
     new, marks = after_cursor(memories, cursors)
     waiting = memories.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
-    every = new.unionByName(waiting).dropDuplicates(["family", "object_id"]).withColumn("decodes", decodes())
+    known = ["family", "object_id", "importance", "topics", "tags"]
+    take = [*known, F.when(decodes(), F.col("vector")).alias("vector"), decodes().alias("decodes")]
+    every = stored(new.select(take).unionByName(waiting.select(take)).dropDuplicates(["family", "object_id"]))  # without the texts, which only members need
     failed, chosen = every.filter("not decodes"), every.filter("decodes").drop("decodes")
     grouped = v.cluster_groups(chosen).withColumn("group", F.concat_ws("\x1f", "family", "group"))
-    linked = v.clusters(v.similar_pairs(grouped.select("group", "object_id", "vector"), threshold))
-    members = v.cap_cluster(linked.join(chosen.select("object_id", "family", "importance", "content", "vector"), "object_id"), most)
+    linked = v.clusters(v.similar_pairs(grouped.select("group", "object_id", "vector"), threshold, forest=True))
+    members = stored(v.cap_cluster(linked.join(chosen.select("object_id", "family", "importance", "vector"), "object_id"), most))
+    texts = memories.join(members.select("family", "object_id").distinct(), ["family", "object_id"], "left_semi").select("family", "object_id", "content")
+    members = members.join(texts.dropDuplicates(["family", "object_id"]), ["family", "object_id"])
     sets = members.groupBy("family", "group", "cluster").agg(F.array_sort(F.collect_list("object_id")).alias("ids"))  # `most` at most
     nth = F.row_number().over(Window.partitionBy("family", "ids").orderBy("group", "cluster"))  # the same members by another topic
     members = members.join(sets.withColumn("nth", nth).filter("nth = 1").select("group", "cluster"), ["group", "cluster"], "left_semi")
     made = summarize(members, summarizer).withColumn("family", F.split("group", "\x1f")[0])
-    made = made.withColumns({"object_id": F.substring(F.sha2(F.array_join("merged_from", ","), 256), 1, 27), "query_id": F.monotonically_increasing_id()}).checkpoint()
+    made = stored(made.withColumns({"object_id": F.substring(F.sha2(F.array_join("merged_from", ","), 256), 1, 27), "query_id": F.monotonically_increasing_id()}))
     live = existing.filter(F.col("state").isin("matured", "promoted") & F.col("vector").isNotNull())
     nearest = v.best_match(made.select("query_id", F.col("family").alias("namespace"), "vector"), live.select(F.col("family").alias("namespace"), "object_id", "vector"), match)
     matched = made.join(nearest.select("query_id", F.col("object_id").alias("known")), "query_id").checkpoint()

@@ -1,10 +1,11 @@
-"""The shared folder for checkpoints."""
+"""The shared folder for checkpoints and for what a job reads again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -15,3 +16,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlake-"))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own, not made yet, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as columns in files: smaller than a checkpoint, and of a size that the next joins know.
+    A checkpoint keeps the estimate of the plan that it cuts, which loops multiply up."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

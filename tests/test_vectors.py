@@ -106,3 +106,42 @@ def test_duplicates_merge_only_where_they_agree(spark):
     got = {r.query_id: (r.action, r.object_id) for r in similarity.duplicate_candidate(new, old, "episodic", ["body"]).collect()}
     assert got == {1: ("merge", "x"), 2: ("insert", "x"), 3: ("insert", None), 4: ("insert", None), 5: ("insert", "x")}
     assert {r.action for r in similarity.duplicate_candidate(new, old, "thought", ["body"]).collect()} == {"insert"}
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_few_pairs_connect_what_all_do(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_pairs, "BLOCK", 16)
+    monkeypatch.setattr(near_pairs, "TILE", tile)
+    x = clustered(240, 4, 5)
+    rows = [("g" if i % 3 else "h", "n", f"o{i:03d}", x[i].tolist()) for i in range(240)]
+    table = spark.createDataFrame(rows, ROWS)
+    every = {tuple(r)[:3] for r in near_pairs.similar_pairs(table, 0.3).collect()}
+    few = {tuple(r)[:3] for r in near_pairs.similar_pairs(table, 0.3, forest=True).collect()}
+    assert every == brute(rows, 0.3, None) and few < every and len(few) < len(every) / 2
+    wanted, got = ({tuple(r) for r in similarity.components(spark.createDataFrame(sorted(pairs), "group string, a string, b string")).collect()} for pairs in (every, few))
+    assert got == wanted
+
+
+@pytest.mark.parametrize(("block", "step"), [(8192, 2_000_000), (7, 50)])
+def test_sparse_top_k_of_queries(spark, monkeypatch, block, step):
+    from memlake.operators import sparse
+
+    monkeypatch.setattr(sparse, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(sparse, "STEP", step)
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(150):
+        terms = sorted({f"t{int(t)}" for t in rng.zipf(1.5, 12) if t < 60})
+        rows.append((f"o{i:03d}", None if i % 29 == 0 else f"n{i % 2}", terms, [1.0 + (i * 7 + j) % 5 / 3 for j in range(len(terms))]))
+    table = spark.createDataFrame(rows, "object_id string, namespace string, terms array<string>, weights array<double>")
+    asked = [(i, *rows[i][1:]) for i in range(0, 150, 5)]
+    queries = spark.createDataFrame(asked, "query_id bigint, namespace string, terms array<string>, weights array<double>")
+    got = {(r.query_id, r.rank): (r.object_id, r.score) for r in sparse.sparse_topk(queries, table.repartition(3), 4).collect()}
+    wanted = {}
+    for q, space, terms, weights in asked:
+        of, scores = dict(zip(terms, weights)), []
+        for o, n, ts, ws in rows:
+            if n is not None and n == space and of.keys() & {*ts}:
+                scores.append((-round(sum(of[t] * w for t, w in zip(ts, ws) if t in of), 9), o))
+        wanted |= {(q, k + 1): (o, -s) for k, (s, o) in enumerate(sorted(scores)[:4])}
+    assert got == wanted
