@@ -3,22 +3,25 @@
 Hits are few and planes are large. So keys are gathered from the hits and a plane is joined with
 them alone (broadcast where they are few, counted first): no step builds anything over a whole
 plane. Chains of supersession are walked hop by hop: the frontier, the rows whose successor is not known yet, is
-joined with the plane until it is empty, so the number of joins is the longest chain of the hits.
+joined with the plane until it is empty, so the number of joins is the longest chain of the hits. Each
+hop is a file that the next one reads, as the estimates of plans multiply with the hops else.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from memlake.operators.similarity import if_small
-from memlake.sources.scratch import ensure_checkpoint_dir
+from memlake.operators.similarity import SMALL_ROWS, if_small
+from memlake.sources.scratch import new_folder, stored
 
 #: Hops of a chain that are followed at most.
 HOPS = 64
 #: Planes whose rows may supersede one another.
 CHAINED = ("episodic", "concept", "curated")
 KEY = ["plane", "namespace", "object_id"]
+TIP = ["tip", "tip_title", "tip_state"]
 
 
 def sibling(plane: str) -> Column:
@@ -35,24 +38,21 @@ def walk_to_tips(hits: DataFrame, chain: DataFrame) -> DataFrame:
     """(plane, namespace, object_id, tip, tip_title, tip_state): the last row that a chain of
     ``superseded_by`` reaches in the hit's own plane and namespace; hits that nothing supersedes, or
     that a missing row does, have none. A chain that comes back to a row ends before it."""
-    start = found(hits, chain, KEY).select(*KEY, F.col("superseded_by").alias("next"), F.array("object_id").alias("seen"), *(F.lit(None).cast("string").alias(c) for c in ("tip", "tip_title", "tip_state")))
-    walk, done = start.checkpoint(), None
-    for _ in range(HOPS):
-        open_ = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        ended = walk.filter(~F.coalesce(open_, F.lit(False)))
-        done = ended if done is None else done.unionByName(ended)
-        front = walk.filter(open_)
-        if front.isEmpty():
-            return done.select(*KEY, "tip", "tip_title", "tip_state")
-        at = ["plane", "namespace", "next"]
-        there = chain.select("plane", "namespace", F.col("object_id").alias("next"), F.col("superseded_by").alias("further"), F.col("title").alias("to_title"), F.col("state").alias("to_state"))
-        met = front.join(found(front, there, at).checkpoint(), at, "left")
-        reached = F.col("to_state").isNotNull()
-        walk = met.select(
-            *KEY, F.col("further").alias("next"), F.when(reached, F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"),
-            *(F.when(reached, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (("tip", "next"), ("tip_title", "to_title"), ("tip_state", "to_state"))),
-        ).checkpoint()
-    return done.unionByName(walk).select(*KEY, "tip", "tip_title", "tip_state")
+    spark, folder = hits.sparkSession, new_folder(hits.sparkSession)
+    found(hits, chain, KEY).select(*KEY, F.col("superseded_by").alias("next"), F.array("object_id").alias("seen"), *(F.lit(None).cast("string").alias(c) for c in TIP)).write.parquet(f"{folder}/hop=0")
+    schema = spark.read.parquet(f"{folder}/hop=0").schema
+    at = ["plane", "namespace", "next"]
+    there = chain.select("plane", "namespace", F.col("object_id").alias("next"), F.col("superseded_by").alias("further"), F.col("title").alias("to_title"), F.col("state").alias("to_state"))
+    for hop in range(HOPS):
+        walk = spark.read.schema(schema).parquet(f"{folder}/hop={hop}")
+        front = walk.filter(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next")))
+        n = front.limit(SMALL_ROWS + 1).count()
+        if not n:
+            break
+        met = there.join(F.broadcast(front) if n <= SMALL_ROWS else front, at)
+        met.select(*KEY, F.col("further").alias("next"), F.concat("seen", F.array("next")).alias("seen"), F.col("next").alias("tip"), F.col("to_title").alias("tip_title"), F.col("to_state").alias("tip_state")).write.parquet(f"{folder}/hop={hop + 1}")
+    every = spark.read.schema(StructType([*schema, StructField("hop", IntegerType())])).parquet(folder)
+    return every.groupBy(KEY).agg(F.max_by(F.struct(*TIP), "hop").alias("last")).select(*KEY, *(F.col(f"last.{c}").alias(c) for c in TIP))
 
 
 def hydrate_lineage(hits: DataFrame, planes: dict[str, DataFrame]) -> DataFrame:
@@ -63,8 +63,7 @@ def hydrate_lineage(hits: DataFrame, planes: dict[str, DataFrame]) -> DataFrame:
     null, or an empty array. ``planes`` maps names to rows; a plane that is missing has none.
     """
     spark = hits.sparkSession
-    ensure_checkpoint_dir(spark)
-    hits = hits.checkpoint()
+    hits = stored(hits)
 
     def rows(plane: str, *columns: str) -> DataFrame:
         df = planes.get(plane)
@@ -76,6 +75,7 @@ def hydrate_lineage(hits: DataFrame, planes: dict[str, DataFrame]) -> DataFrame:
     for plane in CHAINED:
         one = rows(plane, "superseded_by", "title", "state").withColumn("plane", F.lit(plane))
         chain = one if chain is None else chain.unionByName(one)
+    chain = stored(chain)  # read once a hop
     out = hits.join(walk_to_tips(hits, chain), KEY, "left")
     older = chain.filter("superseded_by is not null").select("plane", "namespace", F.col("superseded_by").alias("object_id"), F.col("object_id").alias("older"))
     older = found(hits, older, KEY).groupBy(KEY).agg(F.sort_array(F.collect_set("older")).alias("supersedes"))

@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from memlake.operators.lexical import SMALL_ROWS, bm25
 from memlake.operators.near_pairs import similar_pairs
 from memlake.operators.nearest import dense_topk
+from memlake.operators.sparse import sparse_topk
 from memlake.schemas import DUPLICATE_THRESHOLDS
 from memlake.sources.scratch import ensure_checkpoint_dir
 
 
-__all__ = ["bm25", "dense_topk", "similar_pairs"]  # of modules of their own
-
-
-def _topk(scores: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "object_id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
+__all__ = ["bm25", "dense_topk", "similar_pairs", "sparse_topk"]  # of modules of their own
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -25,15 +21,6 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def sparse_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """V-3: by the dot product of (query_id, namespace, term, weight) and (object_id, namespace,
-    term, weight) postings. Scores are rounded to 9 digits so that ties don't hang on the order
-    of a sum."""
-    q = if_small(queries.select("query_id", "namespace", "term", F.col("weight").alias("query_weight")))
-    dot = rows.join(q, ["namespace", "term"]).groupBy("query_id", "object_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
-    return _topk(dot, k)
-
-
 def rrf(channels: list[DataFrame], k: int = 60) -> DataFrame:
     """V-4: (query_id, object_id, rrf_score): the sum of 1 / (k + rank) over channels."""
     every = channels[0].select("query_id", "object_id", "rank")

@@ -19,7 +19,7 @@ def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, posting
 
     States and, with ``now``, the validity of curated rows are filtered before the channels, so a
     query never runs short of rows that it may show. Rows without a vector compete in the sparse
-    channel alone.
+    channel alone. ``terms`` and ``postings`` hold the sparse vectors of queries and rows (V-3).
     """
     visible = F.col("state").isin(*visible_states(mode))
     if now is not None:
@@ -87,7 +87,7 @@ def blended_search(
 ) -> DataFrame:
     """R-10 from namespaces to a ranked list, for all queries in one job.
 
-    Each query (query_id, namespace, vector; terms with weights) is asked in every leg of its
+    Each query (query_id, namespace, vector; terms and weights) is asked in every leg of its
     namespace, as a query of its own: twice ``limit`` hits, scored within the leg. A query's legs are then one list
     without duplicates of content, in deep mode (``deep``) also of tags and vectors (R-11), and of
     lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay.
@@ -96,7 +96,7 @@ def blended_search(
     legs = expand_namespaces(queries, planes, presences).withColumn("leg_id", F.xxhash64("query_id", "plane", "namespace")).checkpoint()
     of = legs.select("query_id", "leg_id", "namespace")
     asked = queries.drop("namespace").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "vector")
-    words = terms.select("query_id", "term", "weight").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "term", "weight")
+    words = terms.select("query_id", "terms", "weights").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "terms", "weights")
     found = hybrid_search(asked, words, rows, postings, 2 * limit, max(20, 4 * limit), now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows, "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
     scored = r.score_hits(hits, now).withColumnRenamed("query_id", "leg_id").join(of.select("leg_id", "query_id"), "leg_id").checkpoint()

@@ -8,10 +8,9 @@ from memlake.functions import text as T
 from memlake.operators import ranking as r
 from memlake.plans import retrieval, synthesis
 from memlake.queries.registry import STRIPPED, query
-from memlake.queries.searching import BM25, HITS, POSTINGS, VECTORS, hits, postings, vector_queries, vectors
+from memlake.queries.searching import BM25, HITS, POSTINGS, VECTORS, hits, vector_queries, vectors, word_vectors
 from memlake.sources import exchange as x, notes
 from memlake.sources import planes as P
-from memlake.sources.scratch import ensure_checkpoint_dir
 from memlake.streaming import jobs
 
 E_, C_, K_, T_, L_ = ("episodic",), ("concept",), ("curated",), ("thought",), ("lifecycle_events",)
@@ -141,17 +140,18 @@ def _(spark, d):
 
 
 def searchable(spark, d):
-    """All memories with scoring columns, with a vector where there is one, postings of their texts,
+    """All memories with scoring columns, with a vector where there is one, the words of their texts,
     and the stated queries. Every tenth memory is superseded by the one thirty ids on."""
     n = F.col("number")
     e = P.episodic(spark, d).drop("namespace", "tags", "topics").withColumn("plane", F.when(n % 3 == 0, "curated").otherwise("episodic"))
     e = e.withColumns({"promoted_to": F.lit(None).cast("string"), "promoted_from": P.key("C", n + 1), "superseded_by": F.when(n % 10 == 7, P.key("D", n + 30))})
     v = vectors(spark, d).select("object_id", "namespace", "vector")
     rows = e.join(v, "object_id", "left").withColumn("namespace", F.coalesce("namespace", F.concat(F.lit("ns"), n % 2)))
-    p = postings(spark, d).drop("namespace").join(rows.select("object_id", "namespace"), "object_id")
+    p = word_vectors(spark, d).drop("namespace").join(rows.select("object_id", "namespace"), "object_id")
     q = vector_queries(spark, d).withColumn("query_text", F.lit("q"))
-    terms = p.join(q.select(F.col("query_id").alias("number")), "number").select(F.col("number").alias("query_id"), "namespace", "term", "weight")
-    return q, terms, rows, p.select("object_id", "namespace", "term", "weight")
+    asked = word_vectors(spark, d, "doc_id % 100 = 0").drop("namespace")
+    terms = asked.withColumnRenamed("number", "query_id").join(q.select("query_id", "namespace"), "query_id")
+    return q, terms.select("query_id", "namespace", "terms", "weights"), rows, p.select("object_id", "namespace", "terms", "weights")
 
 
 RETRIEVAL = f"""{VECTORS}, {POSTINGS}, spaces as (select e.object_id, e.number, coalesce(v.namespace, 'ns' || cast(e.number % 2 as varchar)) as namespace, v.vector from episodic e left join vectors v on v.object_id = e.object_id),
@@ -181,9 +181,7 @@ def _(spark, d):
     """With the lineage of the hits, in the namespaces of the rows."""
     q, terms, rows, p = searchable(spark, d)
     spaces, n = rows.select("number", "namespace"), F.col("number")
-    ensure_checkpoint_dir(spark)
-    stored = rows.select("plane", "namespace", "object_id", "superseded_by", "title", "state").checkpoint()  # the walk reads the planes once a hop
-    planes = {x: stored.filter(F.col("plane") == x) for x in ("episodic", "curated")}
+    planes = {x: rows.filter(F.col("plane") == x) for x in ("episodic", "curated")}
     planes["concept"] = P.concept(spark, d).drop("namespace").join(spaces, "number")
     planes["artifact"] = P.artifact(spark, d).withColumn("namespace", F.concat(F.lit("ns"), n % 2))
     out = retrieval.deep_retrieve(q, terms, rows, p, limit=10, now=P.NOW, scorer=lambda q, t: (F.length(t) % 7 - 3).cast("double"), lineage=planes)
@@ -199,7 +197,7 @@ def _(spark, d):
     return retrieval.blended_retrieve([scored.filter(F.col("plane") == p) for p in ("episodic", "concept", "curated")], 20).select("query_id", "object_id", "rank")
 
 
-def blended_inputs(spark, d):
+def blended_vectors(spark, d):
     """All memories, concepts and notes, with vectors (T-17 where there is none), tags and lineage,
     and every hundredth document as a query of its language's blended namespace, or of its own."""
     n, none = F.col("number"), F.lit(None).cast("string")
@@ -214,20 +212,27 @@ def blended_inputs(spark, d):
         every = one if every is None else every.unionByName(one)
     docs = embedded(spark, d, P.episodic(spark, d)).filter(n % 100 == 0)
     asked = docs.select(n.alias("query_id"), F.when(n % 200 == 0, F.concat("identity_family", F.lit("/blended"))).otherwise(F.col("namespace")).alias("namespace"), "vector")
-    words = postings(spark, d).select("number", "term", "weight")
-    terms = words.filter(n % 100 == 0).withColumnRenamed("number", "query_id")
-    return asked, terms, every, words.join(every.select("number", "object_id", "namespace"), "number").select("object_id", "namespace", "term", "weight")
+    words = word_vectors(spark, d).drop("object_id", "namespace")
+    terms = word_vectors(spark, d, "doc_id % 100 = 0").withColumnRenamed("number", "query_id").select("query_id", "terms", "weights")
+    return asked, terms, every, words.join(every.select("number", "object_id", "namespace"), "number").select("object_id", "namespace", "terms", "weights")
+
+
+def blended_inputs(spark, d):
+    """The same, with a row per term."""
+    asked, terms, every, words = blended_vectors(spark, d)
+    terms, words = (df.withColumn("x", F.explode(F.arrays_zip("terms", "weights"))).select(*(c for c in df.columns if c not in ("terms", "weights")), F.col("x.terms").alias("term"), F.col("x.weights").alias("weight")) for df in (terms, words))
+    return asked, terms, every, words
 
 
 @query("r10_blended_search")
 def _(spark, d):
-    out = retrieval.blended_search(*blended_inputs(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW)
+    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW)
     return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
 
 
 @query("r10_blended_search_deep")
 def _(spark, d):
-    out = retrieval.blended_search(*blended_inputs(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, deep=True)
+    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, deep=True)
     return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators import ranking as r, similarity as v
+from memlake.operators.sparse import term_vectors
 from memlake.queries.registry import query
 from memlake.sources import planes as P
 
@@ -47,6 +48,12 @@ def postings(spark, d):
     return tf.select(P.key("D", F.col("doc_id")).alias("object_id"), F.col("doc_id").alias("number"), "namespace", "term", "weight")
 
 
+def word_vectors(spark, d, which="true"):
+    """The same, a row per document, of some."""
+    docs = P.read_table(spark, d, "documents").filter(which)
+    return term_vectors(docs.select(P.key("D", F.col("doc_id")).alias("object_id"), F.col("doc_id").alias("number"), F.col("lang").alias("namespace"), "text"))
+
+
 POSTINGS = """postings as (select 'D' || lpad(cast(doc_id as varchar), 26, '0') as object_id, doc_id as number, lang as namespace, term, 1 + ln(count(*)) as weight
   from (select doc_id, lang, unnest(string_split(lower(text), ' ')) as term from documents) t where term <> '' group by doc_id, lang, term)"""
 
@@ -54,9 +61,8 @@ POSTINGS = """postings as (select 'D' || lpad(cast(doc_id as varchar), 26, '0')
 @query("v03_sparse_topk", f"""with {POSTINGS} select query_id, object_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, object_id) as rank from (
   select q.number as query_id, p.object_id, round(sum(p.weight * q.weight), 9) as score from postings p join postings q on p.namespace = q.namespace and p.term = q.term where q.number % 100 = 0 group by q.number, p.object_id) t) u where rank <= 20""")
 def _(spark, d):
-    p = postings(spark, d)
-    q = p.filter(F.col("number") % 100 == 0).select(F.col("number").alias("query_id"), "namespace", "term", "weight")
-    return v.sparse_topk(q, p, 20).select("query_id", "object_id", "rank", F.round("score", 6).alias("score"))
+    q = word_vectors(spark, d, "doc_id % 100 = 0").withColumnRenamed("number", "query_id")
+    return v.sparse_topk(q, word_vectors(spark, d), 20).select("query_id", "object_id", "rank", F.round("score", 6).alias("score"))
 
 
 def channels(spark, d):
@@ -111,7 +117,7 @@ def _(spark, d):
   labels as (select "group", node as object_id, min(root) as cluster from walk group by "group", node)
   select "group", cluster, object_id from labels l where (select count(*) from labels m where m."group" = l."group" and m.cluster = l.cluster) >= 3""")
 def _(spark, d):
-    return v.clusters(v.similar_pairs(vectors(spark, d), 0.3))
+    return v.clusters(v.similar_pairs(vectors(spark, d), 0.3, forest=True))
 
 
 @query("v09_cluster_groups", """select object_id, unnest(case when len(topics) > 0 then topics else tags end) as "group" from episodic""", E_)
