@@ -141,3 +141,17 @@ def test_registered_packs_follow_the_rule(spark):
     low = {r.query_id: r.n for r in QUERIES["c03_suppressed"](spark, sf).collect() if r.reason == "low_relevance"}
     assert low == {q: n for q, (_, n) in want.items() if n}
     assert {r.query_id: r.text.count("\n- [") for r in QUERIES["c06_render_pack"](spark, sf).collect()} == {q: len(items) for q, items in got.items()}
+
+
+def test_a_query_without_tokens_is_ranked_as_its_sql_says(spark, tmp_path):
+    import duckdb
+
+    from memlake.queries import QUERIES, SQL
+
+    docs = [(i, "Ö Ö Ö Ö Ö" if i == 0 else f"word{i % 7} of text", "en", "src0", 10) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted((q, i, round(e, 5), p) for q, i, e, p in con.execute(SQL["c04_essence_rank"]).fetchall())
+    got = sorted((r.query_id, r.object_id, round(r.essence, 5), r.place) for r in QUERIES["c04_essence_rank"](spark, str(tmp_path)).collect())
+    assert got == want
