@@ -37,13 +37,14 @@ def reinforcement(count: Column, access: Column) -> Column:
     return F.when(count > 0, F.least(F.lit(1.0), F.log1p(count) / math.log1p(20))).otherwise(F.least(F.lit(1.0), F.log1p(access) / math.log1p(100)))
 
 
-def score_hits(hits: DataFrame, now: float, batch_max: Column | None = None) -> DataFrame:
+def score_hits(hits: DataFrame, now: float, batch_max: Column | None = None, few_queries: bool = False) -> DataFrame:
     """R-1: relevance, recency, importance, provenance and reinforcement, each in [0, 1], and
     their weighted sum; the batch is the query unless ``batch_max`` says otherwise. The query's
-    best is summed up before the shuffle and joined, so no task sorts all matches of a query."""
+    best is summed up before the shuffle and joined, so no task sorts all matches of a query. With
+    ``few_queries``, a fixed number, the bests go to every task: hits of one query don't meet in one."""
     if batch_max is None:
         tops = hits.groupBy("query_id").agg(F.max("rrf_score").alias("batch_max"))
-        hits, batch_max = hits.join(tops, "query_id"), F.col("batch_max")
+        hits, batch_max = hits.join(F.broadcast(tops) if few_queries else tops, "query_id"), F.col("batch_max")
     best = batch_max
     parts = {
         "relevance": relevance(F.col("rerank_score"), F.col("rrf_score"), best), "recency": recency(F.col("plane"), F.col("updated_epoch"), now), "importance_part": clamp(F.col("importance"), 1, 10) / 10,

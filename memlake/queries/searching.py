@@ -233,7 +233,7 @@ def _(spark, d):
 @query("r11_content_dedup", f"""with {HITS.format(leg='')} select query_id, object_id, plane from (select *, row_number() over (partition by query_id, sha256(substr(content, 1, 300)) order by
   case when plane = 'curated' then 4 when plane = 'concept' then 3 when state = 'matured' then 2 when state = 'provisional' then 1 else 0 end desc, score desc, object_id) as k from scored) t where k = 1""", ALL)
 def _(spark, d):
-    return r.content_dedup(r.score_hits(hits(spark, d), P.NOW)).select("query_id", "object_id", "plane")
+    return r.content_dedup(r.score_hits(hits(spark, d), P.NOW, few_queries=True)).select("query_id", "object_id", "plane")
 
 
 ASKED = """asked as (select namespace as wanted, min(object_id) as first, cast(replace(split_part(namespace, '/', 1), 'conv', '') as bigint) as query_id from thought group by namespace),

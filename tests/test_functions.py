@@ -8,6 +8,7 @@ import json
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,3 +468,29 @@ def test_notes_without_a_text_are_the_same(spark):
     new = spark.createDataFrame([("n", "a", "1", None, 1), ("n", "b", "9", "x", 1), ("n", "c", "3", None, 1)], columns)
     got = {r.vault_path: (r.action, r.version) for r in merge.upsert_curated(new, old).collect()}
     assert got == {"a": ("noop", 3), "b": ("supersede", 1), "c": ("update", 4)}
+
+
+def test_chunks_are_given_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(ch, "TEXTS", 3)
+    made, make = [], ch._chunk_batch
+    monkeypatch.setattr(ch, "_chunk_batch", lambda rows: made.append(len({r[0] for r in rows})) or make(rows))
+    seen = []
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(10)]), pa.array([f"a b {i}" for i in range(10)])], ["object_id", "content"])
+            seen.extend(r for b in run([batch]) for r in b.to_pylist())
+
+    ch.chunk_tokens(Table())
+    assert max(made) == 3 and [r["content"] for r in seen] == [f"a b {i}" for i in range(10)]
+
+
+def test_bests_of_few_queries_go_to_the_hits(spark):
+    from memlake.queries.searching import hits
+    from memlake.operators import ranking
+
+    plan = ranking.score_hits(hits(spark, "/root/testdata/sf0.001"), 0.0, few_queries=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
