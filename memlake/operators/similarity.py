@@ -22,11 +22,13 @@ def if_small(df: DataFrame) -> DataFrame:
 
 
 def rrf(channels: list[DataFrame], k: int = 60) -> DataFrame:
-    """V-4: (query_id, object_id, rrf_score): the sum of 1 / (k + rank) over channels."""
+    """V-4: (query_id, object_id, rrf_score): the sum of 1 / (k + rank) over channels. The union is dealt
+    anew: Spark takes a union of channels dealt by query for one dealt so itself, and where a reused
+    shuffle undoes that, its partitions are twice as many as the next join expects."""
     every = channels[0].select("query_id", "object_id", "rank")
     for c in channels[1:]:
         every = every.unionByName(c.select("query_id", "object_id", "rank"))
-    return every.groupBy("query_id", "object_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf_score"))
+    return every.repartition("query_id").groupBy("query_id", "object_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf_score"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,12 @@ from memlake.operators import ranking as r, similarity as v
 from memlake.operators.filters import holds_at, visible_states
 from memlake.operators.joins import dedupe_lineage
 from memlake.operators.lineage import hydrate_lineage
-from memlake.sources.scratch import ensure_checkpoint_dir
+from memlake.sources.scratch import ensure_checkpoint_dir, stored
+
+
+def _best_found() -> Column:
+    """The best fused score of a query, over the few hits that a search leaves it."""
+    return F.max("rrf_score").over(Window.partitionBy("query_id"))
 
 
 def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, limit: int, prefetch: int = 50, mode: str = "fast", now: float | None = None) -> DataFrame:
@@ -36,7 +41,7 @@ def fast_retrieve(queries: DataFrame, terms: DataFrame, rows: DataFrame, posting
     """R-6: hybrid search with a prefetch of max(20, 2 * limit), scored and ranked."""
     found = hybrid_search(queries, terms, rows, postings, 2 * limit, max(20, 2 * limit), now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows.drop("vector"), "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
-    return r.rank_hits(r.score_hits(hits, now)).filter(F.col("rank") <= limit)
+    return r.rank_hits(r.score_hits(hits, now, _best_found())).filter(F.col("rank") <= limit)
 
 
 def deep_retrieve(
@@ -47,7 +52,7 @@ def deep_retrieve(
     found = hybrid_search(queries, terms, rows, postings, 2 * limit, now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows.drop("vector"), "object_id").join(queries.select("query_id", "query_text"), "query_id")
     reranked = r.rerank(hits, scorer, 2 * limit).drop("rank")
-    ranked = r.rank_hits(r.score_hits(reranked, now)).filter(F.col("rank") <= limit)
+    ranked = r.rank_hits(r.score_hits(reranked, now, _best_found())).filter(F.col("rank") <= limit)
     return hydrate_lineage(ranked, lineage) if lineage else ranked
 
 
@@ -90,16 +95,18 @@ def blended_search(
     Each query (query_id, namespace, vector; terms and weights) is asked in every leg of its
     namespace, as a query of its own: twice ``limit`` hits, scored within the leg. A query's legs are then one list
     without duplicates of content, in deep mode (``deep``) also of tags and vectors (R-11), and of
-    lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay.
+    lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay. The rows
+    are stored first, as each channel and the hits read them.
     """
     ensure_checkpoint_dir(rows.sparkSession)
+    rows = stored(rows)
     legs = expand_namespaces(queries, planes, presences).withColumn("leg_id", F.xxhash64("query_id", "plane", "namespace")).checkpoint()
     of = legs.select("query_id", "leg_id", "namespace")
     asked = queries.drop("namespace").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "vector")
     words = terms.select("query_id", "terms", "weights").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "terms", "weights")
     found = hybrid_search(asked, words, rows, postings, 2 * limit, max(20, 4 * limit), now=now).select("query_id", "object_id", "rrf_score")
     hits = found.join(rows, "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
-    scored = r.score_hits(hits, now).withColumnRenamed("query_id", "leg_id").join(of.select("leg_id", "query_id"), "leg_id").checkpoint()
+    scored = r.score_hits(hits, now, _best_found()).withColumnRenamed("query_id", "leg_id").join(of.select("leg_id", "query_id"), "leg_id").checkpoint()
     kept = r.content_dedup(scored)
     if deep:
         kept = kept.join(r.fuzzy_dedup(scored), ["query_id", "object_id"], "left_semi")

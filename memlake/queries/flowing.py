@@ -208,8 +208,9 @@ def blended_vectors(spark, d):
     k = P.curated(spark, d).withColumns({"plane": F.lit("curated"), "reinforcement_count": F.lit(0), "access_count": F.lit(3), "promoted_to": none, "superseded_by": none, "tags": tags})
     every = None
     for one in (e, c, k):
-        one = embedded(spark, d, one).withColumn("namespace", F.replace("namespace", F.lit("/shared/"), F.lit("/_shared/"))).select(columns)
+        one = one.withColumn("namespace", F.replace("namespace", F.lit("/shared/"), F.lit("/_shared/"))).select([c for c in columns if c != "vector"])
         every = one if every is None else every.unionByName(one)
+    every = embedded(spark, d, every).select(columns)
     docs = embedded(spark, d, P.episodic(spark, d)).filter(n % 100 == 0)
     asked = docs.select(n.alias("query_id"), F.when(n % 200 == 0, F.concat("identity_family", F.lit("/blended"))).otherwise(F.col("namespace")).alias("namespace"), "vector")
     words = word_vectors(spark, d).drop("object_id", "namespace")

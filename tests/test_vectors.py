@@ -145,3 +145,18 @@ def test_sparse_top_k_of_queries(spark, monkeypatch, block, step):
                 scores.append((-round(sum(of[t] * w for t, w in zip(ts, ws) if t in of), 9), o))
         wanted |= {(q, k + 1): (o, -s) for k, (s, o) in enumerate(sorted(scores)[:4])}
     assert got == wanted
+
+
+def test_fused_channels_are_dealt_anew(spark):
+    """Channels that are dealt by query give a union that must not pass for one dealt so."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def channel(seed):
+        x = spark.range(400).select((F.col("id") % 7).alias("query_id"), F.concat(F.lit("D"), F.col("id") % 50).alias("object_id"), (F.col("id") * seed % 97).alias("score")).distinct()
+        return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "object_id")))
+
+    fused = similarity.rrf([channel(37), channel(53)])
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Union")
+    assert fused.groupBy("query_id", "object_id").count().filter("count > 1").isEmpty()
