@@ -16,10 +16,11 @@ def _lookup(key: Column, table: dict) -> Column:
 
 def context_candidates(recent: DataFrame, ranked: DataFrame, recent_limit: int = 10) -> DataFrame:
     """C-1: both lanes, one row per (query, namespace, plane, object), the ranked lane's first;
-    the newest ``recent_limit`` recent hits of each query, with the score 0."""
-    newest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_epoch"), "object_id"))
-    few = recent.withColumn("k", newest).filter(F.col("k") <= recent_limit).drop("k")
-    both = ranked.withColumn("lane", F.lit("ranked")).unionByName(few.withColumns({"lane": F.lit("recent"), "retrieve_score": F.lit(0.0)}))
+    the newest ``recent_limit`` recent hits of each query, with the score 0. The rows are dealt by
+    query once, which serves all that follows."""
+    both = ranked.withColumn("lane", F.lit("ranked")).unionByName(recent.withColumns({"lane": F.lit("recent"), "retrieve_score": F.lit(0.0)})).repartition("query_id")
+    newest = F.row_number().over(Window.partitionBy("query_id", "lane").orderBy(F.desc("created_epoch"), "object_id"))
+    both = both.withColumn("k", newest).filter((F.col("lane") == "ranked") | (F.col("k") <= recent_limit)).drop("k")
     w = Window.partitionBy("query_id", "namespace", "plane", "object_id").orderBy("lane")
     return both.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
@@ -52,13 +53,13 @@ def hidden_reason(include_history: bool = False) -> Column:
 def essence_rank(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """C-4: candidates with kind and staleness, ranked in each query. Statistics of the text
     relevance are those of the query's own candidates, so each query's candidates are scored
-    as documents of their own."""
+    as documents of their own. Of a text only its length and the counts of the query's tokens
+    are kept; its tokens are sent nowhere."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "content", F.array_join("tags", " "))
-    docs = candidates.select("query_id", "object_id", tokenize(text).alias("tokens"))
     asked = queries.select("query_id", tokenize(F.col("query_text")).alias("query_tokens"))
-    relevance = _bm25_within(docs, asked)
-    overlap = F.size(F.array_intersect("tokens", "query_tokens"))
-    met = candidates.join(docs, ["query_id", "object_id"]).join(asked, "query_id").withColumn("overlap", overlap).join(relevance, ["query_id", "object_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    met = candidates.join(asked, "query_id").withColumn("tokens", tokenize(text))
+    met = met.withColumns({"length": F.size("tokens"), "overlap": F.size(F.array_intersect("tokens", "query_tokens")), "tf": _times("tokens")}).drop("tokens")
+    met = met.join(_statistics(met), "query_id").withColumn("bm25", _bm25_within()).drop("length", "tf", "statistics")
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     epoch = F.coalesce("updated_epoch", "created_epoch")
     hint = F.when(epoch <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.5), F.log10(F.greatest(epoch, F.lit(1.0))) / 20))
@@ -71,15 +72,30 @@ def essence_rank(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     return met.withColumn("essence", F.round(score, 9)).withColumn("place", F.row_number().over(order))
 
 
-def _bm25_within(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    wanted = asked.select("query_id", F.explode("query_tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    stats = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean_length"))
-    tf = docs.select("query_id", "object_id", F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode("tokens").alias("token")).join(wanted, ["query_id", "token"]).groupBy("query_id", "object_id", "length", "token", "times").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, ["query_id", "token"]).join(stats, "query_id")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return joined.groupBy("query_id", "object_id").agg(F.sum(part * F.col("times")).alias("bm25"))
+def _times(tokens: str) -> Column:
+    """How often each distinct token of the query is in an array."""
+    return F.transform(F.array_distinct("query_tokens"), lambda t: F.size(F.filter(tokens, lambda x: x == t)))
+
+
+def _statistics(met: DataFrame) -> DataFrame:
+    """(query_id, statistics): of the candidates' lengths, then of each distinct token of the query
+    in turn: the sum, the number of candidates and of those that have any."""
+    numbers = met.select("query_id", F.posexplode(F.concat(F.array("length"), "tf")).alias("at", "n"))
+    each = numbers.groupBy("query_id", "at").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs"), F.count(F.when(F.col("n") > 0, 1)).alias("df"))
+    return each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "total", "docs", "df"))).alias("statistics"))  # a query's tokens
+
+
+def _bm25_within(k1: float = 1.5, b: float = 0.75) -> Column:
+    every = F.get("statistics", F.lit(0))
+    share = F.greatest("length", F.lit(1)) / F.greatest(every["total"] / every["docs"], F.lit(1.0))
+
+    def part(x: Column) -> Column:
+        idf = F.log(1 + (every["docs"] - x["df"] + 0.5) / (x["df"] + 0.5))
+        return idf * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * share)) * x["times"]
+
+    df = F.transform(F.slice("statistics", F.lit(2), F.size("statistics")), lambda x: x["df"])
+    tokens = F.arrays_zip(F.col("tf").alias("tf"), _times("query_tokens").alias("times"), df.alias("df"))
+    return F.aggregate(tokens, F.lit(0.0), lambda s, x: s + part(x))
 
 
 def _fold(ranked: DataFrame, max_items: int, max_chars: int, recent_reserve: int) -> DataFrame:

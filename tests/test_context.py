@@ -155,3 +155,19 @@ def test_a_query_without_tokens_is_ranked_as_its_sql_says(spark, tmp_path):
     want = sorted((q, i, round(e, 5), p) for q, i, e, p in con.execute(SQL["c04_essence_rank"]).fetchall())
     got = sorted((r.query_id, r.object_id, round(r.essence, 5), r.place) for r in QUERIES["c04_essence_rank"](spark, str(tmp_path)).collect())
     assert got == want
+
+
+def test_candidates_are_dealt_once(spark):
+    """Both lanes, the newest and the ids go by one shuffle of the texts."""
+    from pyspark.sql import functions as F
+
+    from memlake.operators.context import context_candidates
+
+    n = F.col("id")
+    rows = spark.range(60).select((n % 3).alias("query_id"), F.lit("a").alias("namespace"), F.lit("episodic").alias("plane"), (n % 40).cast("string").alias("object_id"), n.cast("double").alias("created_epoch"), F.lit(0.5).alias("retrieve_score"))
+    out = context_candidates(rows.filter("query_id < 2"), rows.filter(n % 2 == 0), 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = out.groupBy("query_id", "lane").count().collect()
+    assert {(r.query_id, r.lane) for r in got} == {(0, "ranked"), (1, "ranked"), (2, "ranked"), (0, "recent"), (1, "recent")}
+    assert all(r["count"] <= 5 for r in got if r.lane == "recent")
