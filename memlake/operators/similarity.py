@@ -10,7 +10,7 @@ from memlake.operators.near_pairs import similar_pairs
 from memlake.operators.nearest import dense_topk
 from memlake.operators.sparse import sparse_topk
 from memlake.schemas import DUPLICATE_THRESHOLDS
-from memlake.sources.scratch import ensure_checkpoint_dir
+from memlake.sources.scratch import ensure_checkpoint_dir, stored
 
 
 __all__ = ["bm25", "dense_topk", "similar_pairs", "sparse_topk"]  # of modules of their own
@@ -107,12 +107,15 @@ def max_pool_sparse(postings: DataFrame) -> DataFrame:
 
 def supersession_candidate(new: DataFrame, matured: DataFrame, threshold: float) -> DataFrame:
     """V-17: the only matured row of the namespace that shares a topic and is similar enough;
-    none if there are several. Pairs are searched within each namespace and topic."""
+    none if there are several. Pairs are searched within each namespace and topic that both have."""
 
     def by_topic(df: DataFrame) -> DataFrame:
         return df.select("object_id", "vector", "namespace", F.explode("topics").alias("topic")).withColumn("group", F.concat_ws("\x1f", "namespace", "topic"))
 
-    near = similar_pairs(by_topic(new), threshold, other=by_topic(matured)).filter("a <> b")
+    new = stored(by_topic(new))  # read for the groups, their sizes and the pairs
+    old = stored(by_topic(matured).join(new.select("group").distinct(), "group", "left_semi"))
+    new = new.join(old.select("group").distinct(), "group", "left_semi")
+    near = similar_pairs(new, threshold, other=old).filter("a <> b")
     alone = near.groupBy(F.col("a").alias("object_id")).agg(F.min("b").alias("candidate"), F.max("b").alias("last"), F.min("cosine").alias("score"))
     return alone.filter("candidate = last").drop("last")
 

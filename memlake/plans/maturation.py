@@ -32,7 +32,7 @@ def mature(
     ripe = F.coalesce(l.to_mature(now), F.lit(False))
     chosen, others = memories.filter(ripe), memories.filter(~ripe)
     enriched = models.infer_topics(models.score_importance(chosen, scorer), inferrer).withColumn("tags", normalize_tags(F.col("tags"), aliases))
-    hinted = enriched.filter(has_supersession_hint(F.col("content")))
+    hinted = models.infer_topics(chosen.filter(has_supersession_hint(F.col("content"))), inferrer)
     found = v.supersession_candidate(hinted, others.filter("state = 'matured'"), threshold)
     pairs = found.groupBy("candidate").agg(F.min("object_id").alias("object_id")).checkpoint()
     matured, events = l.sweep(enriched, F.lit(True), "matured", REASON, "episodic", now)

@@ -160,3 +160,21 @@ def test_fused_channels_are_dealt_anew(spark):
     plan = fused._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Union")
     assert fused.groupBy("query_id", "object_id").count().filter("count > 1").isEmpty()
+
+
+def test_candidates_are_searched_in_shared_topics(spark, monkeypatch):
+    """Topics that only one side has are no groups of the search."""
+    from pyspark.sql import functions as F
+
+    groups = []
+
+    def recorded(rows, threshold, other):
+        groups.append([{r.topic for r in df.collect()} for df in (rows, other)])
+        return near_pairs.similar_pairs(rows, threshold, other=other)
+
+    monkeypatch.setattr(similarity, "similar_pairs", recorded)
+    n = F.col("id")
+    rows = spark.range(40).select(F.concat(F.lit("D"), n).alias("object_id"), F.lit("a").alias("namespace"), F.array(F.lit(1.0), n / 100).alias("vector"), F.array(F.concat(F.lit("t"), F.floor(n / 2))).alias("topics"))
+    found = similarity.supersession_candidate(rows.filter("id in (0, 9)"), rows.filter("id % 2 = 1 and id <> 9"), 0.5).collect()
+    assert groups == [[{"t0"}, {"t0"}]]
+    assert [(r.object_id, r.candidate) for r in found] == [("D0", "D1")]
