@@ -7,11 +7,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 BATCH = 10
+#: Rows that are objects of Python at once, some batches; a batch of Arrow may have thousands of long texts.
+HELD = 12 * BATCH
 
 Scorer = Callable[[list[tuple[str, str, int]]], dict[str, int] | None]
 Inferrer = Callable[[str, str, list[str]], list[str]]
@@ -25,16 +28,23 @@ def keep_importance(rows: list[tuple[str, str, int]]) -> dict[str, int]:
 def score_importance(df: DataFrame, scorer: Scorer = keep_importance) -> DataFrame:
     """K-1: importance by the scorer, in batches of ``BATCH`` rows, clamped to 1..10."""
 
-    def one(ids: pd.Series, content: pd.Series, importance: pd.Series) -> pd.Series:
-        rows, out = list(zip(ids, content, importance.astype(int))), {}
-        for at in range(0, len(rows), BATCH):
-            try:
-                out |= scorer(rows[at : at + BATCH]) or {}
-            except Exception:  # a failed batch falls back, the others land
-                continue
-        return pd.Series([min(10, max(1, int(out.get(i, old)))) for i, _, old in rows], dtype="int32")
+    def one(ids: pa.Array, content: pa.Array, importance: pa.Array) -> pa.Array:
+        out: dict[str, int] = {}
+        for rows in _held(ids, content, importance):
+            for at in range(0, len(rows), BATCH):
+                try:
+                    out |= scorer(rows[at : at + BATCH]) or {}
+                except Exception:  # a failed batch falls back, the others land
+                    continue
+        return pa.array([min(10, max(1, int(out.get(i, old)))) for i, old in zip(ids.to_pylist(), importance.to_pylist())], pa.int32())
 
-    return df.withColumn("importance", F.pandas_udf(one, IntegerType())("object_id", "content", "importance"))
+    return df.withColumn("importance", F.arrow_udf(one, IntegerType())("object_id", "content", "importance"))
+
+
+def _held(*columns: pa.Array) -> Iterator[list[tuple]]:
+    """The rows of the columns, HELD at a time."""
+    for begin in range(0, len(columns[0]), HELD):
+        yield list(zip(*(c.slice(begin, HELD).to_pylist() for c in columns)))
 
 
 def no_topics(object_id: str, content: str, tags: list[str]) -> list[str]:
@@ -45,10 +55,10 @@ def no_topics(object_id: str, content: str, tags: list[str]) -> list[str]:
 def infer_topics(df: DataFrame, inferrer: Inferrer = no_topics) -> DataFrame:
     """K-2: topics by the inferrer where it finds any."""
 
-    def one(ids: pd.Series, content: pd.Series, tags: pd.Series, topics: pd.Series) -> pd.Series:
-        return pd.Series([inferrer(i, c, list(t)) or list(old) for i, c, t, old in zip(ids, content, tags, topics)])
+    def one(ids: pa.Array, content: pa.Array, tags: pa.Array, topics: pa.Array) -> pa.Array:
+        return pa.array([inferrer(i, c, t) or old for rows in _held(ids, content, tags, topics) for i, c, t, old in rows], pa.list_(pa.string()))
 
-    return df.withColumn("topics", F.pandas_udf(one, ArrayType(StringType()))("object_id", "content", "tags", "topics"))
+    return df.withColumn("topics", F.arrow_udf(one, ArrayType(StringType()))("object_id", "content", "tags", "topics"))
 
 
 def judge_pairs(pairs: DataFrame, judge: Callable[[str, str], bool]) -> DataFrame:
