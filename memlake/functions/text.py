@@ -6,6 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,14 +50,19 @@ def fold_content(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")), "[.!?]+$", ""))
 
 
-@F.pandas_udf(StringType())
-def normalize_content(text: pd.Series) -> pd.Series:
+#: Texts that are strings of Python at once; a batch of Arrow may have thousands of long ones.
+TEXTS = 128
+
+
+@F.arrow_udf(StringType())
+def normalize_content(text: pa.Array) -> pa.Array:
     """T-3: as ``fold_content``, after NFKC and full case folding."""
 
     def one(x: str | None) -> str | None:
         return None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()).rstrip(".!?").rstrip()
 
-    return text.map(one)
+    parts = (text.slice(begin, TEXTS).to_pylist() for begin in range(0, len(text), TEXTS))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(one, part), pa.string()) for part in parts)])
 
 
 def content_hash(text: Column) -> Column:

@@ -494,3 +494,23 @@ def test_bests_of_few_queries_go_to_the_hits(spark):
 
     plan = ranking.score_hits(hits(spark, "/root/testdata/sf0.001"), 0.0, few_queries=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_texts_of_a_batch_are_held_a_few_at_a_time():
+    """A batch of Arrow with many long texts is never a list of strings as a whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from memlake.functions import models
+
+    texts = pa.array([f"{i} Some Words!" * 200 for i in range(3000)])  # 8 MB
+    tracemalloc.start()
+    normal = T.normalize_content.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000 and len(normal) == 3000
+    assert normal[7].as_py() == "7 some words!" * 199 + "7 some words"
+    assert len(T.normalize_content.func(texts.slice(0, 0))) == 0
+    held = [len(rows) for rows in models._held(texts, texts)]
+    assert max(held) == models.HELD and sum(held) == 3000
