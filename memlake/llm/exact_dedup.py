@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ascii_lower, materialize
+from memlake.llm.common import ascii_lower, materialize, sifted
 
 #: Mean number of digests in a bucket of the index; bounds a task's memory at any input size.
 BUCKET_KEYS = 4096
@@ -173,7 +173,9 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     null, and digest.
     """
     even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    gone = exact_dedup(docs.filter(even), docs.filter(~even)).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    gone = exact_dedup(docs.filter(even), docs.filter(~even)).filter("not kept").select(F.col("doc_id").cast("long").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
     told = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
-    return told.join(materialize(gone.distinct()), same, "left_anti").select("doc.*")
+    gone = materialize(gone.distinct())
+    some, rest = sifted(told, F.struct("id", "digest"), gone, F.struct("gone_id", "gone_digest"))
+    return some.join(gone, same, "left_anti").unionByName(rest).select("doc.*")

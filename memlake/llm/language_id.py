@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import SALTS, materialize, rows_of
+from memlake.llm.common import SALTS, materialize, rows_of, sifted
 from memlake.llm.shingles import _mix
 
 LONGEST = 5
@@ -372,4 +372,5 @@ def keep_documents(docs: DataFrame, least_score: float) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part")
     told = docs.select(F.struct("*").alias("doc"), digest.alias("digest"), part).filter(F.col("digest").isNotNull())
     parts = gone.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"))
-    return told.join(parts, ["digest", "part"], "left_anti").select("doc.*")
+    some, rest = sifted(told, F.col("digest"), gone, F.col("digest"))
+    return some.join(parts, ["digest", "part"], "left_anti").unionByName(rest).select("doc.*")

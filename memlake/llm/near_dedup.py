@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import hot_from_counts, hot_keys, join_hot, kept_table, materialize, rows_of, scratch
+from memlake.llm.common import hot_from_counts, hot_keys, join_hot, kept_table, materialize, rows_of, scratch, sifted
 from memlake.llm.shingles import MinHash, ascii_lower_words, jaccard, shingle_set
 
 ROWS = 5
@@ -249,15 +249,17 @@ def _prefixes(near: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("levels", levels).withColumn("other", F.explode(fits)).drop("levels")
 
 
-def by_difference(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def by_difference(near: DataFrame, percent: int, hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b) among the documents near each pivot (step 3 above), one of them not known
     to be in its component, and the keys that are frequent on both sides, as groups (key, rep, core).
 
-    ``near`` has label and loose (not that of the pivot).
+    ``near`` has label and loose (not that of the pivot); ``hot`` are its hot pivots. Documents are
+    dealt out anew before their differences are taken apart, as one pivot may have most of them.
     """
     t, c = percent / 100, (100 - percent) / (100 + percent)
     hubs = near.filter("loose").select("a").distinct()
-    met = materialize(_prefixes(near.join(hubs, "a", "left_semi"), percent))
+    dealt = join_hot(near, hubs, ["a"], "b", hot)
+    met = materialize(_prefixes(dealt.repartition("a", "b"), percent))
     level = F.floor(F.col("d") / F.col("g"))
     # a loose y does not link with the pivot: |D(y)| > K(p, y), so levels below that have none
     x = met.filter(f"g * other + g - 1 > {c} * (p + {t} * s) - 1e-9").select(
@@ -336,7 +338,7 @@ def turn_of(
         found = near.filter("links").select("a", "b")
         known = kept_table(known.unionByName(found).distinct() if known else found, rows=n)
         labels = materialize(labels_of(known), rows=n)
-        met, heavy = by_difference(with_labels(near, labels, hot), percent)
+        met, heavy = by_difference(with_labels(near, labels, hot), percent, hot)
         judged = near.filter(F.col("inter") >= resolved * (F.col("size_a") + F.col("size_b") - F.col("inter")))
         judged = judged.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
         settled = seats.join(judged, ["pivot", "rep"], "left_semi").select("key", "rep")
@@ -362,8 +364,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     pairs, known = all_pairs(members.filter(F.col("n") <= SMALL)), None
     large, turn = members.filter(F.col("n") > SMALL).select("key", "rep", F.lit(False).alias("core")), 0
     crowd = materialize(large.select("rep").distinct())
-    ids = F.col("doc_id").cast("long")
-    texts = materialize(docs.select(ids.alias("doc_id"), "text").join(crowd, ids == F.col("rep"), "left_semi"))
+    some, _ = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("doc_id"), crowd, F.col("rep"))
+    texts = materialize(some.join(crowd, F.col("doc_id") == F.col("rep"), "left_semi"))
     signs = materialize(signed.join(crowd, "rep", "left_semi"))
     while n := large.count():
         known, more, large = turn_of(large, n, known, texts, signs, width, percent, turn)
@@ -428,4 +430,6 @@ def keep_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = near_dedup(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = found.filter("not kept").select(F.col("doc_id").alias("id"))
     told = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
-    return told.join(materialize(gone), "id", "left_anti").select("doc.*")
+    gone = materialize(gone)
+    some, rest = sifted(told, F.col("id"), gone, F.col("id"))
+    return some.join(gone, "id", "left_anti").unionByName(rest).select("doc.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from memlake.llm import chat_format, common, exact_dedup, hmm_lm, near_dedup, packing
+from memlake.llm import chat_format, common, exact_dedup, hmm_lm, language_id, near_dedup, packing
 from memlake.llm.shingles import ascii_lower_words, jaccard, shingle_set
 from tests.llm.conftest import LONG, ROWS
 
@@ -282,6 +282,38 @@ def test_near_dedup_of_a_large_family(spark, monkeypatch, width, percent):
     assert 1 < len(set(got.values())) < len(rows)
 
 
+def test_documents_of_one_pivot_are_dealt_evenly(spark, monkeypatch):
+    seen = []
+
+    def spied(near, percent, whole=near_dedup._prefixes):
+        seen.append([r.n for r in near.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return whole(near, percent)
+
+    monkeypatch.setattr(near_dedup, "_prefixes", spied)
+    rows = [(-1, i, 90, 100, 99, [i, -i - 1], i, i % 2 == 0) for i in range(400)]
+    schema = "a bigint, b bigint, inter bigint, size_a bigint, size_b bigint, difference array<bigint>, label bigint, loose boolean"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near_dedup.by_difference(spark.createDataFrame(rows, schema), 85)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(seen[0]) == 400 and max(seen[0]) < 200
+
+
+def test_texts_that_stay_are_not_shuffled(spark, odd_docs):
+    """Only what a sieve lets through is joined with the documents to drop, or searched for."""
+    rows = spark.range(20_000).withColumn("doc_id", F.when(F.col("id") % 7 > 0, F.col("id")))
+    gone = spark.range(0, 20_000, 400)
+    some, rest = common.sifted(rows, F.col("doc_id"), gone, F.col("id"))
+    found = {r.doc_id for r in some.collect()}
+    assert {r.id for r in gone.collect() if r.id % 7} <= found and len(found) < 200
+    assert sorted(r.id for r in some.unionByName(rest).collect()) == list(range(20_000))
+    kept = (exact_dedup.keep_documents(odd_docs), near_dedup.keep_documents(odd_docs, 5, 80), language_id.keep_documents(odd_docs, 0.4))
+    for plan in (df._jdf.queryExecution().optimizedPlan().toString() for df in kept):
+        top, dropped = plan.split("LeftAnti")
+        assert "Union" in top and "sieve_bits" in dropped
+
+
 def test_near_dedup_of_odd_rows(spark, odd_docs, no_docs):
     got = near_dedup.near_dedup(odd_docs, 5, 80).collect()
     assert len(got) == len(ROWS)
