@@ -5,15 +5,17 @@ language) come counts of words and of the words' character n-grams by language.
 a training document has is *known*: it scores the log of its smoothed frequency in each
 language. Another word is scored by its n-grams: at each position the longest known one of
 n = 5 to 1 counts, by the log of its smoothed frequency in each language; an n-gram is known if
-any training word has it. Neither words nor n-grams have a bound, and both are joined by shuffles:
+any training word has it. Neither words nor n-grams have a bound, and both are joined by shuffles;
+the texts are read twice:
 
-1. Blocks of some million tokens number their own words: documents as local numbers, many to a
-   packed row, and (block, word, local number, count in each language's training documents).
-2. Counts are summed up by word over the blocks. The n-grams are counted from the words known.
-3. The words that are not known are dealt into blocks; each asks once for every n-gram that its
+1. Counts of all words are summed up by language. The n-grams are counted from the words known.
+2. The words that are not known are dealt into blocks; each asks once for every n-gram that its
    words have, gets the counts of those that are known, and scores its words.
-4. The words' scores go back to the blocks in packed form (a word is one row per block, so a hot
-   word is spread thin), and each block sums up its documents' scores.
+3. Every task has the scores of the HEAD most frequent words and sums them up by document. Blocks
+   of some million rarer tokens number their own words: documents as local numbers, many to a
+   packed row, and (block, word, local number).
+4. The rarer words' scores go back to the blocks in packed form (a word is one row per block),
+   and each block completes its documents' sums.
 
 A document takes the language of the largest mean over its words; equal means take the first
 name. ``score`` is that language's share after normalising (softmax) the mean log frequencies
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,8 +47,10 @@ from memlake.llm.common import SALTS, materialize, rows_of, sifted
 from memlake.llm.shingles import _mix
 
 LONGEST = 5
+#: The most frequent words whose scores every task has.
+HEAD = 1 << 17
 SHARPNESS = 8.0
-#: A block ends at that many tokens, or at that many counts (words times languages).
+#: A block ends at that many rare tokens, or at that many scores (rare words times languages).
 BLOCK_TOKENS = 1_500_000
 BLOCK_COUNTS = 3_000_000
 #: Tokens of the documents that are packed together.
@@ -73,65 +78,104 @@ def unsqueeze(raw: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(dtype).ravel()
 
 
-def encode_blocks(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """Kind 0: documents (doc_ids, digests, their lengths and local word numbers), many to a row.
-    Kind 1: a block's words and their counts in the training documents (lang not null) of each
-    language.
+def word_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
+    """(word, n0 ...) of every word of ``docs`` (text, lang): its counts in the texts of each language;
+    words that only texts without one have count 0."""
+    at = {lang: i for i, lang in enumerate(languages)}
+    names = [f"n{i}" for i in range(len(languages))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Counter() for _ in range(len(names) + 1)]  # the last of texts without a language
 
-    ``docs`` has doc_id, digest, text and lang.
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(dict.fromkeys(w for c in held for w in c))
+            for i in range(0, len(words), WORDS_AT_ONCE):
+                some = words[i : i + WORDS_AT_ONCE]
+                numbers = (pa.array([c.get(w, 0) for w in some], pa.int64()) for c in held[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *numbers], ["word", *names])
+            for c in held:
+                c.clear()
+
+        for text, lang in rows_of(batches):
+            held[-1 if lang is None else at[lang]].update(words_of(text))
+            if sum(map(len, held)) * len(held) >= BLOCK_COUNTS:
+                yield from flush()
+        yield from flush()
+
+    parts = docs.select("text", "lang").mapInArrow(run, ", ".join(["word string", *(f"{name} bigint" for name in names)]))
+    return parts.groupBy("word").agg(*(F.sum(name).alias(name) for name in names))
+
+
+def head_words(known: DataFrame, kinds: int) -> list:
+    """The rows (word, n0 ...) of the most frequent words, HEAD at most, by steps of an eighth of a
+    power of two of their frequency."""
+    step = F.floor(8 * F.log2(sum((F.col(f"n{i}") for i in range(kinds)), F.lit(0)))).alias("step")
+    sizes = sorted(known.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"])
+    room, least = HEAD, None
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    return [] if least is None else known.filter(step >= least).collect()
+
+
+def encode_blocks(docs: DataFrame, head: list[str], values: np.ndarray) -> DataFrame:
+    """Kind 0: documents (doc_ids, digests, numbers of words, sums of the ``values`` of words of
+    ``head``, and of the other words their numbers and local numbers), many to a row.
+    Kind 1: a block's words that are not in ``head``.
+
+    ``docs`` has doc_id, digest and text.
     """
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts = [f"n{i}" for i in range(len(languages))]
     fields = [("kind", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))]
-    fields += [("lengths", pa.binary()), ("ids", pa.binary()), ("word", pa.string()), ("local", pa.int32())]
-    schema = pa.schema([*fields, *((name, pa.int64()) for name in counts)])
+    fields += [("tokens", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64())), ("lengths", pa.binary()), ("ids", pa.binary())]
+    schema = pa.schema([*fields, ("word", pa.string()), ("local", pa.int32())])
 
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
         found = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
         return pa.RecordBatch.from_arrays(found, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index, rows, tokens = TaskContext.get().partitionId() << 32, {}, [], 0
+        first = {w: i for i, w in enumerate(head)}
+        block, index, rows, tokens = TaskContext.get().partitionId() << 32, dict(first), [], 0
 
         def packed(part: list[tuple]) -> pa.RecordBatch:
-            ids = np.concatenate([r[3] for r in part])
-            lengths = np.array([len(r[3]) for r in part], np.int32)
-            names, digests = [[r[0] for r in part]], [[r[1] for r in part]]
-            return batch_of(1, kind=[0], block=[block], doc_ids=names, digests=digests, lengths=[squeeze(lengths)], ids=[squeeze(ids)])
+            ids = np.concatenate([r[4] for r in part])
+            lengths = np.array([len(r[4]) for r in part], np.int32)
+            names, digests, counts = ([[r[i] for r in part]] for i in range(3))
+            sums = [np.concatenate([r[3] for r in part])]
+            return batch_of(1, kind=[0], block=[block], doc_ids=names, digests=digests, tokens=counts, sums=sums, lengths=[squeeze(lengths)], ids=[squeeze(ids)])
 
         def flush() -> Iterator[pa.RecordBatch]:
             part, held = [], 0
             for row in rows:
                 part.append(row)
-                held += len(row[3]) + 1
+                held += len(row[4]) + len(row[3]) + 1
                 if held >= PACKED_TOKENS:
                     yield packed(part)
                     part, held = [], 0
             if part:
                 yield packed(part)
-            words, sums = list(index), {}
-            for name, lang in zip(counts, languages):
-                trained = [r[3] for r in rows if r[2] == at[lang]]
-                sums[name] = np.bincount(np.concatenate(trained), minlength=len(index)) if trained else np.zeros(len(index), np.int64)
+            words = list(index)[len(head) :]
             for i in range(0, len(words), WORDS_AT_ONCE):
                 some = words[i : i + WORDS_AT_ONCE]
                 numbers = {"kind": np.ones(len(some), np.int32), "block": np.full(len(some), block)}
-                more = {name: x[i : i + len(some)] for name, x in sums.items()}
-                yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)), **more)
+                yield batch_of(len(some), **numbers, word=some, local=np.arange(i, i + len(some)))
 
-        for doc_id, digest, text, lang in rows_of(batches):
+        for doc_id, digest, text in rows_of(batches):
             words = words_of(text)
             ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))
-            rows.append((doc_id, digest, None if lang is None else at[lang], ids))
-            tokens += len(ids) + 1
-            if tokens >= BLOCK_TOKENS or len(index) * len(languages) >= BLOCK_COUNTS:
+            rare = ids[ids >= len(head)] - len(head)
+            rows.append((doc_id, digest, len(ids), values[ids[ids < len(head)]].sum(axis=0), rare))
+            tokens += len(rare) + values.shape[1] + 1
+            if tokens >= BLOCK_TOKENS or (len(index) - len(head)) * values.shape[1] >= BLOCK_COUNTS:
                 yield from flush()
-                block, index, rows, tokens = block + 1, {}, [], 0
+                block, index, rows, tokens = block + 1, dict(first), [], 0
         if rows:
             yield from flush()
 
-    names = "kind int, block bigint, doc_ids array<bigint>, digests array<binary>, lengths binary, ids binary, word string, local int"
-    return docs.mapInArrow(run, ", ".join([names, *(f"{name} bigint" for name in counts)]))
+    names = "kind int, block bigint, doc_ids array<bigint>, digests array<binary>, tokens array<bigint>, sums array<double>"
+    return docs.mapInArrow(run, f"{names}, lengths binary, ids binary, word string, local int")
 
 
 class Spelled:
@@ -305,29 +349,27 @@ def _scores_by_block(words: DataFrame, languages: int) -> DataFrame:
     return words.mapInArrow(run, "block bigint, words binary")
 
 
-def _scored_words(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(block, local, s0 ...) of the rows (word, block, local, n0 ...)."""
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, lang_pred and score of every whole text of ``docs`` (doc_id, digest, text,
+    lang), learned from the rows whose lang is not null."""
+    trained = docs.filter("text is not null and lang is not null")
+    languages = sorted(r.lang for r in trained.select("lang").distinct().collect())  # a row per language
+    if not languages:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"))
     counts, scored = [f"n{i}" for i in range(len(languages))], [f"s{i}" for i in range(len(languages))]
-    words = materialize(rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in counts)))
+    words = materialize(word_counts(docs.select("text", F.when(F.col("text").isNotNull(), F.col("lang")).alias("lang")), languages))
     found = F.greatest(F.lit(0), F.lit(0), *counts) > 0
     known = words.filter(found)
     grams = materialize(gram_counts(known.select("word", *counts), len(languages)))
     model = learn(known, grams, languages)
+    head = head_words(known, len(languages))
+    values = np.log((np.array([[r[c] for c in counts] for r in head], float).reshape(-1, len(languages)) + 0.5) / (model.totals + 1))
+    encoded = materialize(encode_blocks(docs.select("doc_id", "digest", "text"), [r.word for r in head], values), ["kind"])
     log = [F.log((F.col(c) + 0.5) / (float(model.totals[i]) + 1)).alias(scored[i]) for i, c in enumerate(counts)]
-    unseen = _unseen_scores(words.filter(~found).select("word"), grams, model)
-    every = known.select("word", *log).unionByName(unseen).select("word", *(F.col(c).cast("float").alias(c) for c in scored))
-    return rows.select("word", "block", "local").join(every, "word").select("block", "local", *scored)
-
-
-def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, lang_pred and score of every whole text of ``docs`` (doc_id, digest, text,
-    lang), learned from the rows whose lang is not null."""
-    trained = docs.filter("text is not null and lang is not null")
-    languages = sorted(r.lang for r in trained.select("lang").distinct().collect())  # a row per language
-    encoded = materialize(encode_blocks(docs.select("doc_id", "digest", "text", F.when(F.col("text").isNotNull(), F.col("lang"))), languages), ["kind"])
-    counts = [f"n{i}" for i in range(len(languages))]
-    rows = encoded.filter("kind = 1").select("word", "block", "local", *counts)
-    packed = _scores_by_block(_scored_words(rows, languages), len(languages)) if languages else None
+    every = known.select("word", *log).unionByName(_unseen_scores(words.filter(~found).select("word"), grams, model))
+    every = every.select("word", *(F.col(c).cast("float").alias(c) for c in scored))
+    met = encoded.filter("kind = 1").select("word", "block", "local").join(every, "word")
+    packed = _scores_by_block(met.select("block", "local", *scored), len(languages))
 
     def sum_up(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         read = [unsqueeze(x, "<f4").reshape(1 + len(languages), -1) for x in words.words]
@@ -335,22 +377,19 @@ def scores(docs: DataFrame) -> DataFrame:
         for x in read:
             table[x[0].view(np.int32)] = x[1:].T
         out: list[tuple] = []
-        for names, digests, lengths, ids in zip(texts.doc_ids, texts.digests, texts.lengths, texts.ids):
-            lengths, ids = unsqueeze(lengths, "<i4"), unsqueeze(ids, "<i4")
-            for doc_id, digest, part in zip(names, digests, np.split(ids, np.cumsum(lengths)[:-1])):
+        for names, digests, tokens, sums, lengths, ids in zip(texts.doc_ids, texts.digests, texts.tokens, texts.sums, texts.lengths, texts.ids):
+            lengths, ids, sums = unsqueeze(lengths, "<i4"), unsqueeze(ids, "<i4"), np.asarray(sums).reshape(-1, len(languages))
+            for doc_id, digest, n, head_sum, part in zip(names, digests, tokens, sums, np.split(ids, np.cumsum(lengths)[:-1])):
                 name, share = UNKNOWN_LANGUAGE, 0.0
-                if len(part):
-                    mean = table[part].mean(axis=0)
+                if n:
+                    mean = (head_sum + table[part].sum(axis=0)) / n
                     best = int(np.argmax(mean))
                     name, share = languages[best], float(1.0 / np.exp(SHARPNESS * (mean - mean[best])).sum())
                 out.append((None if pd.isna(doc_id) else int(doc_id), digest, name, share))
         found = pd.DataFrame(out, columns=["doc_id", "digest", "lang_pred", "score"], dtype="object")
         return found.astype({"doc_id": "Int64", "score": "float64"})
 
-    texts = encoded.filter("kind = 0").select("block", "doc_ids", "digests", "lengths", "ids")
-    if not languages:
-        each = texts.select(F.explode(F.arrays_zip("doc_ids", "digests")).alias("x"))
-        return each.select("x.doc_ids", "x.digests", F.lit(UNKNOWN_LANGUAGE), F.lit(0.0)).toDF("doc_id", "digest", "lang_pred", "score")
+    texts = encoded.filter("kind = 0").select("block", "doc_ids", "digests", "tokens", "sums", "lengths", "ids")
     schema = "doc_id bigint, digest binary, lang_pred string, score double"
     return texts.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(sum_up, schema)
 

@@ -253,6 +253,27 @@ def test_language_id_of_whole_tables_equals_brute_force(spark, monkeypatch):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_language_id_sends_rare_words_only(spark, monkeypatch):
+    """Frequent words are summed up where the text is read; the rest, known or not, comes by shuffle."""
+    monkeypatch.setattr(language_id, "HEAD", 300)
+    monkeypatch.setattr(language_id, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(language_id, "BLOCK_COUNTS", 4000)
+    sent = []
+
+    def spied(words, *rest, whole=language_id._scores_by_block):
+        sent.append(words.count())
+        return whole(words, *rest)
+
+    monkeypatch.setattr(language_id, "_scores_by_block", spied)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(200)
+    rows = [(r.doc_id, r.text, r.lang if r.doc_id % 3 else None) for r in docs.collect()]
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    same_languages(got.collect(), brute_languages(rows))
+    found = Counter(w for _, text, _ in rows for w in language_id.words_of(text))
+    often = sum(n for _, n in found.most_common(100))
+    assert len(found) - 300 <= sent[0] < sum(found.values()) - often
+
+
 def test_language_id_of_odd_rows(spark, odd_docs, no_docs):
     taught = [("der hund und die katze " * 30, "de"), ("le chien et le chat " * 30, "fr"), ("the dog and the cat " * 30, "en"), (None, "xx"), ("x", None)]
     asked = [("und die hunde", "de"), ("chiens et chats", "fr"), ("dogs and cats", "en"), ("12 !?", "und"), (None, "und")]
