@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -178,6 +179,10 @@ def deterministic_id(namespace: Column, key: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", namespace, key), 256), 1, 27)
 
 
+#: Texts whose words are hashed at once.
+HASHED_TEXTS = 128
+
+
 def hash_embed(dim: int = 64):
     """T-17: a UDF for unit vectors of hashed words, so that near texts get near vectors."""
 
@@ -185,15 +190,16 @@ def hash_embed(dim: int = 64):
     def embed(text: pd.Series) -> pd.Series:
         import xxhash
 
-        def one(x: str | None) -> list[float]:
-            v = np.zeros(dim)
-            for w in (x or "").lower().split():
-                h = xxhash.xxh3_64_intdigest(w)
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            norm = np.linalg.norm(v)
-            return (v / norm if norm else v).astype("float32").tolist()
-
-        return text.map(one)
+        out = np.zeros((len(text), dim))
+        for begin in range(0, len(text), HASHED_TEXTS):
+            words = [(x or "").lower().split() for x in text.iloc[begin : begin + HASHED_TEXTS]]
+            hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(words))), ">u8").astype(np.uint64)
+            row = np.repeat(np.arange(len(words)), [len(of) for of in words])
+            sign = np.where(hashes >> np.uint64(63), 1.0, -1.0)
+            place = row * dim + (hashes % np.uint64(dim)).astype(np.int64)
+            out[begin : begin + len(words)] = np.bincount(place, sign, len(words) * dim).reshape(len(words), dim)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(out, norm, out=out, where=norm > 0).astype("float32")), dtype=object)
 
     return embed
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Queries that go to every task, or to a cell, and rows of a cell.
 FEW = 2048
 CELL_ROWS = 8192
+#: A matrix product's rounding, by dimension and lengths; scores that may be among the best are taken
+#: again, EXACT at once, each by itself: equal vectors have equal scores wherever they lie.
+ROUNDING, EXACT = 4e-16, 2**16
 FOUND = "query_id bigint, object_id string, score double"
 
 
@@ -60,10 +63,12 @@ class _Best:
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         scores = self.vectors @ rows.T
+        slack = ROUNDING * rows.shape[1] * np.linalg.norm(self.vectors, axis=1) * (np.linalg.norm(rows, axis=1).max() if len(rows) else 0.0)
         if scores.shape[1] > self.k:  # what is below a query's k-th best here can't be among its k best
-            self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        query, row = np.nonzero(scores >= self.floor[:, None])
-        query, score, ids = np.r_[self.query, query], np.r_[self.score, scores[query, row]], np.r_[self.ids, ids[row]]
+            self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k] - slack)
+        query, row = np.nonzero(scores >= (self.floor - slack)[:, None])
+        score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", self.vectors[query[at : at + EXACT]], rows[row[at : at + EXACT]]) for at in range(0, len(query), EXACT))])
+        query, score, ids = np.r_[self.query, query], np.r_[self.score, score], np.r_[self.ids, ids[row]]
         stay = first_k(query, score, ids.astype(str), self.k)
         self.query, self.score, self.ids = query[stay], score[stay], ids[stay]
         full = np.bincount(self.query, minlength=len(self.floor)) == self.k

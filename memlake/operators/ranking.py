@@ -93,12 +93,19 @@ def recent_retrieve(queries: DataFrame, rows: DataFrame, states: tuple[str, ...]
     return out.filter(F.col("rank") <= F.col("limit")).withColumn("provenance", provenance(F.col("plane"), F.col("state"), None))
 
 
+def content_hash() -> Column:
+    """What texts have in common whose first 300 characters agree."""
+    return F.sha2(F.substring("content", 1, 300), 256)
+
+
 def content_dedup(hits: DataFrame) -> DataFrame:
     """R-11, hash part: of hits whose first 300 characters agree, the one of the best source
-    (curated, concept, matured, provisional), then the best score, then object_id."""
+    (curated, concept, matured, provisional), then the best score, then object_id. Hits may have their
+    ``content_hash`` instead of their texts."""
+    hits = hits if "content_hash" in hits.columns else hits.withColumn("content_hash", content_hash())
     source = F.when(F.col("plane") == "curated", 4).when(F.col("plane") == "concept", 3).when(F.col("state") == "matured", 2).when(F.col("state") == "provisional", 1).otherwise(0)
     w = Window.partitionBy("query_id", "content_hash").orderBy(F.desc(source), F.desc("score"), "object_id")
-    return hits.withColumn("content_hash", F.sha2(F.substring("content", 1, 300), 256)).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    return hits.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
 def thought_history(asked: DataFrame, thoughts: DataFrame, by_similarity: bool = False) -> DataFrame:

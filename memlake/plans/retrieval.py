@@ -14,6 +14,15 @@ from memlake.operators.lineage import hydrate_lineage
 from memlake.sources.scratch import ensure_checkpoint_dir, stored
 
 
+#: Columns that say whether a row is shown.
+VISIBLE = ("plane", "state", "valid_from_epoch", "valid_until_epoch")
+
+
+def _shown(mode: str, now: float | None) -> Column:
+    visible = F.col("state").isin(*visible_states(mode))
+    return visible if now is None else visible & ((F.col("plane") != "curated") | holds_at(now))
+
+
 def _best_found() -> Column:
     """The best fused score of a query, over the few hits that a search leaves it."""
     return F.max("rrf_score").over(Window.partitionBy("query_id"))
@@ -25,13 +34,13 @@ def hybrid_search(queries: DataFrame, terms: DataFrame, rows: DataFrame, posting
     States and, with ``now``, the validity of curated rows are filtered before the channels, so a
     query never runs short of rows that it may show. Rows without a vector compete in the sparse
     channel alone. ``terms`` and ``postings`` hold the sparse vectors of queries and rows (V-3).
+    Postings that have the columns of VISIBLE are filtered by these, others by the rows that are shown.
     """
-    visible = F.col("state").isin(*visible_states(mode))
-    if now is not None:
-        visible &= (F.col("plane") != "curated") | holds_at(now)
+    visible = _shown(mode, now)
     shown = rows.filter(visible)
     dense = v.dense_topk(queries, shown.filter("vector is not null"), prefetch)
-    sparse = v.sparse_topk(terms, postings.join(shown.select("object_id"), "object_id", "left_semi"), prefetch)
+    carried = {*VISIBLE} <= {*postings.columns}
+    sparse = v.sparse_topk(terms, postings.filter(visible) if carried else postings.join(shown.select("object_id"), "object_id", "left_semi"), prefetch)
     fused = v.rrf([dense, sparse])
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "object_id")
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -88,29 +97,33 @@ def blended_retrieve(legs: list[DataFrame], limit: int) -> DataFrame:
 
 
 def blended_search(
-    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, planes: tuple[str, ...], presences: tuple[str, ...], limit: int, now: float, deep: bool = False
+    queries: DataFrame, terms: DataFrame, rows: DataFrame, postings: DataFrame, planes: tuple[str, ...], presences: tuple[str, ...], limit: int, now: float, deep: bool = False, texts: bool = True
 ) -> DataFrame:
     """R-10 from namespaces to a ranked list, for all queries in one job.
 
     Each query (query_id, namespace, vector; terms and weights) is asked in every leg of its
     namespace, as a query of its own: twice ``limit`` hits, scored within the leg. A query's legs are then one list
     without duplicates of content, in deep mode (``deep``) also of tags and vectors (R-11), and of
-    lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay. The rows
-    are stored first, as each channel and the hits read them.
+    lineage (J-12, by ``promoted_to`` and ``superseded_by``), and the best ``limit`` stay. The rows that
+    are shown are stored first, as each channel and the hits read them; without their texts, of which
+    duplicates need only the hash. The hits that stay get theirs, and a vector, unless ``texts`` is false.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    rows = stored(rows)
+    contents = rows.select("object_id", "content")
+    rows = rows.filter(_shown("fast", now))
+    rows = stored((rows if "content_hash" in rows.columns else rows.withColumn("content_hash", r.content_hash())).drop("content"))
     legs = expand_namespaces(queries, planes, presences).withColumn("leg_id", F.xxhash64("query_id", "plane", "namespace")).checkpoint()
     of = legs.select("query_id", "leg_id", "namespace")
-    asked = queries.drop("namespace").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "vector")
+    asked = stored(queries.drop("namespace").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "vector"))
     words = terms.select("query_id", "terms", "weights").join(of, "query_id").select(F.col("leg_id").alias("query_id"), "namespace", "terms", "weights")
     found = hybrid_search(asked, words, rows, postings, 2 * limit, max(20, 4 * limit), now=now).select("query_id", "object_id", "rrf_score")
-    hits = found.join(rows, "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
+    hits = found.join(rows if deep or texts else rows.drop("vector"), "object_id").withColumn("rerank_score", F.lit(None).cast("double"))
     scored = r.score_hits(hits, now, _best_found()).withColumnRenamed("query_id", "leg_id").join(of.select("leg_id", "query_id"), "leg_id").checkpoint()
     kept = r.content_dedup(scored)
     if deep:
         kept = kept.join(r.fuzzy_dedup(scored), ["query_id", "object_id"], "left_semi")
-    return r.merge_best(dedupe_lineage(kept), limit)
+    best = r.merge_best(dedupe_lineage(kept), limit)
+    return best.join(contents, "object_id") if texts else best
 
 
 def lexical_top(queries: DataFrame, rows: DataFrame, now: float, k: int = 10) -> DataFrame:

@@ -199,7 +199,8 @@ def _(spark, d):
 
 def blended_vectors(spark, d):
     """All memories, concepts and notes, with vectors (T-17 where there is none), tags and lineage,
-    and every hundredth document as a query of its language's blended namespace, or of its own."""
+    and every hundredth document as a query of its language's blended namespace, or of its own. The
+    texts' hashes are taken and the vectors made before rows are dealt, so texts stay where they are."""
     n, none = F.col("number"), F.lit(None).cast("string")
     columns = ["object_id", "plane", "namespace", "number", "state", "content", "tags", "vector", "updated_epoch", "importance", "reinforcement_count", "access_count", "valid_from_epoch", "valid_until_epoch", "promoted_to", "superseded_by"]
     tags, later = F.array(F.concat(F.lit("g"), n % 5)), F.when(n % 3 == 0, P.key("D", n + 20))
@@ -210,12 +211,14 @@ def blended_vectors(spark, d):
     for one in (e, c, k):
         one = one.withColumn("namespace", F.replace("namespace", F.lit("/shared/"), F.lit("/_shared/"))).select([c for c in columns if c != "vector"])
         every = one if every is None else every.unionByName(one)
-    every = embedded(spark, d, every).select(columns)
-    docs = embedded(spark, d, P.episodic(spark, d)).filter(n % 100 == 0)
+    every = every.withColumn("content_hash", r.content_hash())
+    shown = every.select("number", "object_id", "namespace", *retrieval.VISIBLE)
+    every = embedded(spark, d, every).select(*columns, "content_hash")
+    docs = embedded(spark, d, P.episodic(spark, d).filter(n % 100 == 0))
     asked = docs.select(n.alias("query_id"), F.when(n % 200 == 0, F.concat("identity_family", F.lit("/blended"))).otherwise(F.col("namespace")).alias("namespace"), "vector")
     words = word_vectors(spark, d).drop("object_id", "namespace")
     terms = word_vectors(spark, d, "doc_id % 100 = 0").withColumnRenamed("number", "query_id").select("query_id", "terms", "weights")
-    return asked, terms, every, words.join(every.select("number", "object_id", "namespace"), "number").select("object_id", "namespace", "terms", "weights")
+    return asked, terms, every, words.join(shown, "number").drop("number")
 
 
 def blended_inputs(spark, d):
@@ -227,13 +230,13 @@ def blended_inputs(spark, d):
 
 @query("r10_blended_search")
 def _(spark, d):
-    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW)
+    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, texts=False)
     return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
 
 
 @query("r10_blended_search_deep")
 def _(spark, d):
-    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, deep=True)
+    out = retrieval.blended_search(*blended_vectors(spark, d), ("curated", "concept", "episodic"), ("src0", "src3", "src10"), 10, P.NOW, deep=True, texts=False)
     return out.select("query_id", "object_id", "plane", "rank", F.round("score", 6).alias("score"))
 
 
@@ -279,9 +282,9 @@ def _(spark, d):
 
 def embedded(spark, d, rows):
     """Rows with a vector: that of the embeddings, else one of the hashed text (T-17)."""
-    given = vectors(spark, d).select("number", F.col("vector").cast("array<double>").alias("given"))
-    hashed = T.hash_embed(64)("content").cast("array<double>")
-    return rows.join(given, "number", "left").withColumn("vector", F.coalesce("given", hashed)).drop("given")
+    given = vectors(spark, d).select("number", F.col("vector").alias("given"))
+    made = rows.withColumn("made", T.hash_embed(64)("content"))
+    return made.join(given, "number", "left").withColumn("vector", F.coalesce("given", "made").cast("array<double>")).drop("given", "made")
 
 
 def synthesis_inputs(spark, d):

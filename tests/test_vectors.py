@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -178,3 +180,64 @@ def test_candidates_are_searched_in_shared_topics(spark, monkeypatch):
     found = similarity.supersession_candidate(rows.filter("id in (0, 9)"), rows.filter("id % 2 = 1 and id <> 9"), 0.5).collect()
     assert groups == [[{"t0"}, {"t0"}]]
     assert [(r.object_id, r.candidate) for r in found] == [("D0", "D1")]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_equal_vectors_rank_by_id(seed):
+    """Copies have one score wherever they lie in a matrix product, so their ids decide."""
+    rng = np.random.default_rng(seed)
+    copy = rng.normal(size=64)
+    x = nearest.unit(np.where(rng.random(9000)[:, None] < 0.2, copy, rng.normal(size=(9000, 64))))
+    copies = np.flatnonzero((x == nearest.unit([copy])[0]).all(axis=1))
+    queries = nearest.unit(copy + rng.normal(size=(321, 64)) * 0.3)
+    best = nearest._Best(list(range(321)), queries, 40)
+    for begin in range(0, 9000, 4111):
+        best.add(np.array([f"{i:04d}" for i in range(begin, min(9000, begin + 4111))], object), x[begin : begin + 4111])
+    assert len(copies) > 1000
+    assert all(list(best.ids[best.query == i]) == [f"{j:04d}" for j in copies[:40]] for i in range(321))
+
+
+def test_sparse_blocks_read_rows_of_their_namespaces(spark, monkeypatch):
+    """Queries of several namespaces that need several blocks: no row is read by more blocks than the
+    queries of its namespace need, and rows that nobody asks for by none."""
+    from memlake.operators import sparse
+
+    read, of_block = [], sparse._of_block
+
+    def recorded(queries, rows, k):
+        read.append(({*queries["namespace"].to_pylist()}, [(r.namespace, r.object_id) for r in rows.collect()]))
+        return of_block(queries, rows, k)
+
+    monkeypatch.setattr(sparse, "_of_block", recorded)
+    monkeypatch.setattr(sparse, "BLOCK_QUERIES", 10)
+    rows = [(f"o{i:03d}", f"n{i % 7}", [f"t{i % 3}", f"u{i % 4}"], [1.0 + i % 5, 2.0]) for i in range(140)]
+    table = spark.createDataFrame(rows, "object_id string, namespace string, terms array<string>, weights array<double>")
+    asked = [(i, *rows[i][1:]) for i in range(140) if i % 7 < 2 or i % 7 < 6 and i < 30]
+    asked += [(1000 + i, "empty", ["t0"], [1.0]) for i in range(12)]
+    got = sparse.sparse_topk(spark.createDataFrame(asked, "query_id bigint, namespace string, terms array<string>, weights array<double>"), table, 3).collect()
+    wanted = set()
+    for q, space, terms, weights in asked:
+        of = dict(zip(terms, weights))
+        scores = sorted((-sum(of[t] * w for t, w in zip(ts, ws) if t in of), o) for o, n, ts, ws in rows if n == space and of.keys() & {*ts})
+        wanted |= {(q, o, k, -s) for k, (s, o) in enumerate(scores[:3], 1)}
+    assert {(r.query_id, r.object_id, r.rank, r.score) for r in got} == wanted
+    times = Counter(name for _, of in read for name in {n for n, _ in of})
+    assert times == {"n0": 2, "n1": 2, "n2": 1, "n3": 1, "n4": 1, "n5": 1}
+    assert not any("empty" in names for names, _ in read)
+
+
+def test_texts_stay_where_they_are(spark):
+    """Rows meet the given vectors with their texts' hashes and made vectors, not with the texts."""
+    from memlake.queries.flowing import blended_vectors, synthesis_inputs
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    d = "/root/testdata/sf0.001"
+    for rows in (blended_vectors(spark, d)[2].drop("content"), synthesis_inputs(spark, d)[0].select("family", "object_id", "vector")):
+        joins = [p for p in nodes(rows._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Join"]
+        assert joins
+        for side in (s for j in joins for s in (j.left(), j.right())):
+            assert not any(name in side.output().toString() for name in ("content#", "text#"))
