@@ -12,6 +12,11 @@ their own that are always compared, as do zero vectors, which have a cosine of 0
 and no angle. Where little can be skipped, as at a low cosine, a group is dealt into blocks of TILE
 rows by a hash instead, so that no row is sent to more blocks than that takes: what each way
 would send is counted first, from the blocks' sizes alone.
+
+Where only the pairs that connect are asked for, a large group first meets its hubs, about HUBS rows
+drawn by a hash. What has a pair with one of the hubs' largest component is connected with
+all else that has one, so only the other rows must meet the whole group. Where these are more than
+LEFT of it, as at a high cosine, the group goes the way of all pairs.
 Rows that occur twice are two rows.
 """
 
@@ -35,11 +40,15 @@ PIVOTS_OF_BLOCK, PIVOTS = 4, 512
 ASSIGNED = 8192
 #: Rows of a block where nothing is skipped, and of one side that are compared at once.
 TILE, STRIP = 8192, 1024
+#: Hubs of a group, of groups of more than twice as many rows, and the share of rows without a link to them
+#: up to which these alone meet the group.
+HUBS, LEFT = 2048, 0.25
 #: Beyond that angle no pivot is near: such rows lie in blocks of their own, always compared.
 FAR = math.pi / 4
 #: What rounding may take from an angle near 0.
 SLACK = 1e-6
 PAIR = "group string, a string, b string, cosine double"
+MET = f"{PAIR}, vector array<double>, main boolean"
 
 
 def _pairs(x: pd.DataFrame, y: pd.DataFrame, group: str, same: bool, two_sided: bool, threshold: float, below: float | None, forest: bool = False) -> pd.DataFrame:
@@ -90,6 +99,85 @@ class _Links:
         return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, int), np.empty(0, int))
 
 
+def _met(group: str, links: list[pd.DataFrame], ids=(), vectors=(), main=False) -> pd.DataFrame:
+    """Links, and rows (without ``b``) with their vectors."""
+    rows = pd.DataFrame({"group": np.full(len(ids), group, object), "a": pd.Series(list(ids), dtype=object), "b": None, "cosine": 0.0, "vector": pd.Series(list(vectors), dtype=object), "main": main})
+    return pd.concat([*(x.assign(vector=None, main=False) for x in links if len(x)), rows], ignore_index=True)
+
+
+def _hub_links(rows: DataFrame, many: DataFrame, threshold: float, below: float | None) -> DataFrame:
+    """Pairs (MET) that connect the rows of each group that have one with its hubs; and, without ``b``,
+    the rows that have none with the hubs' largest component."""
+    held = rows.join(many, "group")
+    drawn = F.pmod(F.xxhash64("object_id", F.lit("hub")), F.lit(1_000_000)) < F.lit(1_000_000) * HUBS / F.col("n")
+
+    def within(key: tuple, hub: pd.DataFrame) -> pd.DataFrame:
+        hub = hub.sort_values("object_id").reset_index(drop=True)
+        ids, vectors = hub.object_id.to_numpy(), hub.vector
+        links = _pairs(hub, hub, key[0], True, False, threshold, below, True)
+        names, number = np.unique(ids.astype(str), return_inverse=True)
+        label = np.arange(len(names))
+        for a, b in zip(np.searchsorted(names, links.a.astype(str)), np.searchsorted(names, links.b.astype(str))):
+            label[label == label[b]] = label[a]
+        label = label[number]
+        return _met(key[0], [links], ids, vectors, label == np.bincount(label).argmax())
+
+    found = stored(held.filter(drawn).groupBy("group").applyInPandas(within, MET))
+
+    def meet(key: tuple, part: pd.DataFrame, hub: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return _met(key[0], [])
+        hub = hub.sort_values("a")
+        main, others = hub[hub.main], hub[~hub.main].rename(columns={"a": "object_id"})
+        ids, names, linked, links = part.object_id.to_numpy(), main.a.to_numpy(), np.zeros(len(part), bool), []
+        if len(main):
+            u, w = unit(part.vector), unit(main.vector).T
+            for begin in range(0, len(u), STRIP):
+                scores = u[begin : begin + STRIP] @ w
+                hit = scores >= threshold
+                if below is not None:
+                    hit &= scores < below
+                first = hit.argmax(axis=1)
+                p = np.flatnonzero(hit[np.arange(len(hit)), first])
+                linked[begin + p] = True
+                x, y = ids[begin + p], names[first[p]]
+                keep = x != y
+                links.append(pd.DataFrame({"group": key[0], "a": np.where(x < y, x, y)[keep], "b": np.where(x < y, y, x)[keep], "cosine": scores[p, first[p]][keep]}))
+        links.append(_pairs(part, others, key[0], False, False, threshold, below, True))
+        return _met(key[0], links, ids[~linked], part.vector[~linked])
+
+    salts = F.ceil(F.col("n") / ASSIGNED).cast("int")
+    salted = held.select("group", "object_id", "vector", F.pmod(F.xxhash64("object_id", F.lit("salt")), salts).cast("int").alias("salt"))
+    every = found.filter("b is null").join(many, "group").select("group", "a", "vector", "main", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    met = salted.groupBy("group", "salt").cogroup(fresh(every).groupBy("group", "salt")).applyInPandas(meet, MET)
+    return stored(found.filter("b is not null").unionByName(met))
+
+
+def _by_hubs(rows: DataFrame, large: DataFrame, threshold: float, below: float | None) -> tuple[DataFrame, DataFrame] | None:
+    """(pairs that connect the groups that go by hubs, these groups); None if there are none."""
+    many = stored(large.filter(F.col("n") > 2 * HUBS))
+    if many.isEmpty():
+        return None
+    found = _hub_links(rows, many, threshold, below)
+    alone = found.filter("b is null").groupBy("group").agg(F.count(F.lit(1)).alias("alone"))
+    done = many.join(alone, "group", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(F.col("alone") <= LEFT * F.col("n"))
+    done = stored(done.select("group", F.ceil(F.col("alone") / TILE).cast("int").alias("left_tiles"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    if done.isEmpty():
+        return None
+    sides = done.filter("left_tiles > 0")
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.join(F.broadcast(sides), "group").select("group", "object_id", "vector", _part("object_id", F.col(own)).alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return _pairs(x, y, key[0], False, False, threshold, below, True)
+
+    key = ["group", "left_tiles", "tiles"]
+    left = side(found.filter("b is null").select("group", F.col("a").alias("object_id"), "vector"), "left_tiles", "tiles")
+    links = left.groupBy(key).cogroup(fresh(side(rows.select("group", "object_id", "vector"), "tiles", "left_tiles")).groupBy(key)).applyInPandas(compare, PAIR)
+    return links.unionByName(found.filter("b is not null").join(F.broadcast(done.select("group")), "group", "left_semi").select("group", "a", "b", "cosine")), done.select("group")
+
+
 def _part(key: str | Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("part")), parts).cast("int")
 
@@ -183,6 +271,12 @@ def similar_pairs(df: DataFrame, threshold: float, below: float | None = None, o
     if large.isEmpty():
         return within
     rows, large = stored(rows.join(large.select("group"), "group", "left_semi")), stored(large)
+    hubs = _by_hubs(rows, large, threshold, below) if forest else None
+    if hubs:
+        within, large = within.unionByName(hubs[0]), stored(large.join(F.broadcast(hubs[1]), "group", "left_anti"))
+        if large.isEmpty():
+            return within
+        rows = rows.join(F.broadcast(hubs[1]), "group", "left_anti")
     dealt, met = block_pairs(rows, large, two_sided, threshold, below)
     dealt, met = stored(dealt), stored(met)
     held = dealt.groupBy("group", "block").agg(F.count(F.lit(1)).alias("rows"))

@@ -72,11 +72,12 @@ def synthesize(
     that contradict are linked. ``existing`` may have null vectors; these match nothing.
     """
     ensure_checkpoint_dir(memories.sparkSession)
-    new, marks = after_cursor(memories, cursors)
-    waiting = memories.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
-    known = ["family", "object_id", "importance", "topics", "tags"]
-    take = [*known, F.when(decodes(), F.col("vector")).alias("vector"), decodes().alias("decodes")]
-    every = stored(new.select(take).unionByName(waiting.select(take)).dropDuplicates(["family", "object_id"]))  # without the texts, which only members need
+    take = ["family", "object_id", "importance", "topics", "tags", "vector", "decodes"]
+    own = {"vector": F.when(decodes(), F.col("vector")), "decodes": decodes()}
+    seen = stored(memories.select("updated_epoch", *(own[c].alias(c) if c in own else c for c in take)))  # without the texts, which only members need
+    new, marks = after_cursor(seen, cursors)
+    waiting = seen.join(pool.select("family", "object_id"), ["family", "object_id"], "left_semi")
+    every = stored(new.select(take).unionByName(waiting.select(take)).dropDuplicates(["family", "object_id"]))
     failed, chosen = every.filter("not decodes"), every.filter("decodes").drop("decodes")
     grouped = v.cluster_groups(chosen).withColumn("group", F.concat_ws("\x1f", "family", "group"))
     linked = v.clusters(v.similar_pairs(grouped.select("group", "object_id", "vector"), threshold, forest=True))

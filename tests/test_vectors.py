@@ -241,3 +241,25 @@ def test_texts_stay_where_they_are(spark):
         assert joins
         for side in (s for j in joins for s in (j.left(), j.right())):
             assert not any(name in side.output().toString() for name in ("content#", "text#"))
+
+
+@pytest.mark.parametrize(("threshold", "below"), [(0.3, None), (0.3, 0.9), (0.97, None)])
+def test_hubs_connect_what_all_pairs_do(spark, monkeypatch, threshold, below):
+    """Most rows meet the hubs alone; those without a link to them meet all rows of their group."""
+    for name, value in {"BLOCK": 16, "TILE": 50, "HUBS": 24, "ASSIGNED": 64, "STRIP": 20}.items():
+        monkeypatch.setattr(near_pairs, name, value)
+    by_hubs, went = near_pairs._by_hubs, []
+
+    def recorded(*args):
+        went.append(by_hubs(*args))
+        return went[-1]
+
+    monkeypatch.setattr(near_pairs, "_by_hubs", recorded)
+    x = np.r_[clustered(260, 12, 5, centres=3), np.random.default_rng(1).normal(size=(40, 12))]
+    rows = [("g" if i % 5 else "h", "n", f"o{i:03d}", x[i].tolist()) for i in range(300)]
+    few = {tuple(r)[:3] for r in near_pairs.similar_pairs(spark.createDataFrame(rows, ROWS), threshold, below, forest=True).collect()}
+    every = brute(rows, threshold, below)
+    assert few < every and (threshold > 0.9 or len(few) < len(every) / 2)
+    wanted, got = ({tuple(r) for r in similarity.components(spark.createDataFrame(sorted(pairs), "group string, a string, b string")).collect()} for pairs in (every, few))
+    assert got == wanted
+    assert [w is not None for w in went] == [threshold < 0.9]
